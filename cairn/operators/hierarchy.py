@@ -4,63 +4,78 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairn.session import exists, shared_path, written
 
 
-def hierarchy(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent", paths: bool = True) -> DataFrame:
+#: Levels that one pass extends the frontier by.
+STRIDE = 8
+
+
+def hierarchy(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent", paths: bool = True, stride: int = STRIDE) -> DataFrame:
     """One row per id: id, root, depth and, with ``paths``, the ids from the root down.
 
-    A frontier starts at the roots; each level joins the rows not yet reached to the
-    frontier on their parent.  Rows that match are the next frontier, the others stay for
-    the next level, so each level reads only what is left.  Each level is a table in the
-    shared folder, split into reached and left; the loop ends at a level that reaches
-    nothing, and what is then left lies on a cycle or below one.
+    A frontier starts at the roots.  A pass joins the rows not yet reached to their parents
+    ``stride`` - 1 times, then joins where they arrived to the frontier: rows that meet it
+    lie up to ``stride`` levels below it, and the deepest of them are the next frontier.
+    Each pass is a table in the shared folder, split into reached and left; the loop ends
+    at a pass that reaches nothing, and what is then left lies on a cycle or below one.
 
     Defined results: a null, empty or unknown parent makes a root of depth 0; rows with a
     null id are dropped; of rows that repeat an id the smallest non-empty parent counts;
     nodes on or below a cycle have root '' and depth -1 (and an empty path); an empty input
     gives an empty result; other columns are not read.
 
-    Scale: one shuffle per level of the rows still unreached.  A parent with a third of all
-    rows is one key of a join whose other side has one row for it, so the skew join of
-    adaptive execution splits it.  Levels are as many as the deepest tree has.
+    Scale: ``stride`` shuffles per pass of the rows still unreached; the parents' side of
+    all joins of a pass is one exchange.  A parent with a third of all rows is one key of
+    joins whose other side has one row for it, so adaptive execution splits it.
     """
     spark = nodes.sparkSession
     base = nodes.select(F.col(id_col).cast("string").alias("id"), F.expr(f"nullif(cast(`{parent_col}` as string), '')").alias("parent"))
     base, _ = written(base.where("id is not null").groupBy("id").agg(F.min("parent").alias("parent")), "nodes")
     known = base.select(F.col("id").alias("parent"), F.lit(True).alias("found"))
-    first = base.join(known, "parent", "left").select("id", "parent", F.col("id").alias("root"), F.lit(0).alias("depth"), *[F.array("id").alias("path")] * paths, F.col("found").isNull().alias("hit"))
+    none = F.array().cast("array<string>")
+    step = base.join(known, "parent", "left").select("id", "parent", F.col("id").alias("root"), F.lit(0).alias("depth"), *([F.array("id").alias("path")] if paths else []), F.col("found").isNull().alias("hit"))
+    schema = step.schema
+    body = T.StructType([f for f in schema if f.name != "hit"])
     where = shared_path(spark, "levels")
-    schema = first.schema
-    level, reached = 0, []
-    step = first
+    level, turn, reached = 0, 0, []
     while True:
-        path = f"{where}/{level}"
+        path = f"{where}/{turn}"
         step.write.mode("overwrite").partitionBy("hit").parquet(path)
         here = spark.read.schema(schema).parquet(path)
-        rest = here.where("not hit").select("id", "parent")
+        rest = here.where("not hit").select("id", "parent") if exists(spark, f"{path}/hit=false") else None
         if not exists(spark, f"{path}/hit=true"):
             break
         reached.append(f"{path}/hit=true")
-        if not exists(spark, f"{path}/hit=false"):
-            rest = None
+        if rest is None:
             break
-        level += 1
-        front = here.where("hit").select(F.col("id").alias("parent"), F.col("root").alias("r"), *[F.col("path").alias("p")] * paths)
-        step = rest.join(front, "parent", "left").select(
+        front = here.where(f"hit and depth = {level}").select(F.col("id").alias("end"), F.col("root").alias("r"), F.col("depth").alias("d"), *([F.col("path").alias("p")] if paths else []))
+        climb = rest.select("id", "parent", F.col("parent").alias("end"), F.lit(1).alias("n"), *([none.alias("via")] if paths else []))
+        up = rest.select(F.col("id").alias("end"), F.col("parent").alias("next"))
+        for _ in range(stride - 1):
+            more = F.col("next").isNotNull()
+            climb = climb.join(up, "end", "left").select(
+                "id",
+                "parent",
+                F.coalesce("next", "end").alias("end"),
+                (F.col("n") + more.cast("int")).alias("n"),
+                *([F.when(more, F.concat(F.array("end"), "via")).otherwise(F.col("via")).alias("via")] if paths else []),
+            )
+        step = climb.join(front, "end", "left").select(
             "id",
             "parent",
             F.coalesce("r", F.lit("")).alias("root"),
-            F.lit(level).alias("depth"),
-            *[F.concat(F.coalesce("p", F.array().cast("array<string>")), F.array("id")).alias("path")] * paths,
+            F.coalesce(F.col("d") + F.col("n"), F.lit(-1)).alias("depth"),
+            *([F.concat(F.coalesce("p", none), "via", F.array("id")).alias("path")] if paths else []),
             F.col("r").isNotNull().alias("hit"),
         )
-    cols = ["id", "root", "depth", *["path"] * paths]
-    body = [f for f in schema if f.name != "hit"]
-    out = spark.read.schema(type(schema)(body)).parquet(*reached).select(*cols) if reached else spark.createDataFrame([], type(schema)(body)).select(*cols)
+        level, turn = level + stride, turn + 1
+    cols = ["id", "root", "depth", *(["path"] if paths else [])]
+    out = spark.read.schema(body).parquet(*reached).select(*cols) if reached else spark.createDataFrame([], body).select(*cols)
     if rest is not None:
-        out = out.unionByName(rest.select("id", F.lit("").alias("root"), F.lit(-1).alias("depth"), *[F.array().cast("array<string>").alias("path")] * paths))
+        out = out.unionByName(rest.select("id", F.lit("").alias("root"), F.lit(-1).alias("depth"), *([none.alias("path")] if paths else [])))
     return out
 
 

@@ -54,7 +54,7 @@ def nested_objects(lines: DataFrame, key: str = "line_id", message: str = "messa
             for at, n in _passes(texts):
                 r = flatten(texts.slice(at, n), True, text)
                 if len(r["row"]):
-                    cols = [ids.slice(at, n).take(pa.array(r["row"])), r["path"], r["parent_path"], pa.array(r["block"]), *[r["json"]] * text]
+                    cols = [ids.slice(at, n).take(pa.array(r["row"])), r["path"], r["parent_path"], pa.array(r["block"]), *([r["json"]] if text else [])]
                     yield pa.RecordBatch.from_arrays(cols, names=[key, "path", "parent_path", "block", *["json"] * text])
 
     return src.mapInArrow(run, f"`{key}` bigint, path string, parent_path string, block boolean" + ", json string" * text)
