@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,3 +70,17 @@ def exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the workers this package, once per context, so that no path has to be set on them."""
+    sc = spark.sparkContext
+    if getattr(sc, "_cairn_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    into = Path(tempfile.mkdtemp(prefix="cairn-code-"))
+    with zipfile.ZipFile(into / "cairn.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, f"cairn/{p.relative_to(root)}")
+    sc.addPyFile(str(into / "cairn.zip"))
+    sc._cairn_shipped = True
