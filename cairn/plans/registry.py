@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from cairn.plans import problems
+from cairn.plans import text_queries, problems
 
-MODULES = [problems]
+BOOKS = [m.book for m in (text_queries,)]
 
 
 def queries() -> dict:
-    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
+    out = dict(problems.QUERIES)
+    for b in BOOKS:
+        out.update(b.queries)
+    return out
 
 
 def oracles() -> dict:
-    return {k: " ".join(s.split()) if "--" not in s else s for m in MODULES for k, s in m.ORACLES.items()}
+    out = dict(problems.ORACLES)
+    for b in BOOKS:
+        out.update(b.oracles)
+    return out
