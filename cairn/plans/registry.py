@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cairn.plans import text_queries, problems
+from cairn.plans import text_queries, log_queries, problems
 
-BOOKS = [m.book for m in (text_queries,)]
+BOOKS = [m.book for m in (text_queries, log_queries)]
 
 
 def queries() -> dict:
