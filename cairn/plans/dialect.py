@@ -207,7 +207,7 @@ class Duck(Spark):
         return f"list({x} ORDER BY {by or x}) FILTER ({x} IS NOT NULL)"
 
     def gather_set(self, x: str) -> str:
-        return f"list(DISTINCT {x} ORDER BY {x}) FILTER ({x} IS NOT NULL)"
+        return f"coalesce(list(DISTINCT {x} ORDER BY {x}) FILTER ({x} IS NOT NULL), [])"
 
     def text_agg(self, x: str, sep: str, by: str) -> str:
         return f"string_agg({x}, {self.lit(sep)} ORDER BY {by})"
