@@ -87,7 +87,7 @@ def jon27_agg17_confusion(d: Spark) -> str:
 @book.sql
 def jon24_agg18_constraints_kept(d: Spark) -> str:
     """Binding sentences of documents that some task text still holds: markers, polarity and 60 % of the words."""
-    src = lambda t: f"(SELECT DISTINCT s FROM (SELECT text FROM {t} WHERE text IS NOT NULL) t {d.unnest(W.sentences(d, 'text'), 's')})"
+    src = lambda t: f"(SELECT DISTINCT s FROM (SELECT replace(text, chr(13), '') AS text FROM {t} WHERE text IS NOT NULL) t {d.unnest(W.sentences(d, 'text'), 's')})"
     ws = lambda x: d.distinct(d.all(W.expand_contractions(d, x), "[a-z0-9]+"))
     keys = d.filter("w", "x", f"length(x) > 3 AND NOT {d.has(d.strings(W.CONSTRAINT_STOPWORDS + W.CONSTRAINT_MARKERS), 'x')}")
     marks = d.filter("w", "x", d.has(d.strings(W.CONSTRAINT_MARKERS), "x"))

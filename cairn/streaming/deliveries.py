@@ -21,8 +21,9 @@ HORIZON = "interval 2 days"
 #: Bytes of new files that one micro-batch takes.
 BATCH_BYTES = 2 << 30
 
-_STORE = T.StructType.fromDDL("message_id string, best struct<tokens:bigint,minus_line:bigint>, last timestamp, old_line bigint, archived boolean")
-_OUT = T.StructType.fromDDL("message_id string, line_id bigint")
+_BEST = T.StructType([T.StructField("tokens", T.LongType()), T.StructField("minus_line", T.LongType())])
+_STORE = T.StructType([T.StructField("message_id", T.StringType()), T.StructField("best", _BEST), T.StructField("last", T.TimestampType()), T.StructField("old_line", T.LongType()), T.StructField("archived", T.BooleanType())])
+_OUT = T.StructType([T.StructField("message_id", T.StringType()), T.StructField("line_id", T.LongType())])
 
 
 def copies(lines: DataFrame) -> DataFrame:
@@ -88,7 +89,7 @@ class DeliveryStore:
             got = got.join(late, "message_id", "left").join(live.withColumnRenamed("last", "seen"), "message_id", "full")
             old = F.greatest("best", "late")
         else:
-            got, old, top = got.withColumn("seen", F.lit(None).cast("timestamp")), F.lit(None).cast(_STORE["best"].dataType), None
+            got, old, top = got.withColumn("seen", F.lit(None).cast("timestamp")), F.lit(None).cast(_BEST), None
         best, last = F.greatest("b", old), F.greatest("t", "seen")
         gone = F.coalesce(last < F.expr(f"timestamp'{top}' - {self.horizon}"), F.lit(False)) if top is not None else F.lit(False)
         state = got.select("message_id", best.alias("best"), last.alias("last"), F.when(old < best, -old["minus_line"]).alias("old_line"), gone.alias("archived"))
