@@ -45,8 +45,8 @@ def _utf8_as(word: str, name: str) -> str:
     return "".join(t[b] for b in word.encode("utf-8", "replace"))
 
 
-def chains(word: str) -> Iterator[tuple[str, str]]:
-    """(garbled form, chain) of one clean word under all chains; both normal forms are garbled.
+def chains(word: str) -> Iterator[tuple[str, str, str]]:
+    """(garbled form, chain, the spelling it was made from) of one clean word; both normal forms are garbled.
 
     A form in which every lost character is one mark comes with a run of marks cut to one.
     """
@@ -54,24 +54,24 @@ def chains(word: str) -> Iterator[tuple[str, str]]:
         w = unicodedata.normalize(norm, word)
         for a in READ_AS:
             one = _utf8_as(w, a)
-            yield one, f"utf-8>{a}"
+            yield one, f"utf-8>{a}", w
             if a in TWICE:
                 for b in TWICE if a in ("cp1252", "latin-1") else [a]:
                     two = _utf8_as(one, b)
-                    yield two, f"utf-8>{a}>utf-8>{b}"
+                    yield two, f"utf-8>{a}>utf-8>{b}", w
                     if a == b and a in ("cp1252", "latin-1"):
-                        yield _utf8_as(two, b), f"utf-8>{a} three times"
-            yield "".join(c if ord(c) > 32 and c not in "\xa0\xad" else " " for c in one), f"utf-8>{a}, blanks lost"
+                        yield _utf8_as(two, b), f"utf-8>{a} three times", w
+            yield "".join(c if ord(c) > 32 and c not in "\xa0\xad" else " " for c in one), f"utf-8>{a}, blanks lost", w
         for a, b in MIXED:
             if all(c in _WRITE[a] for c in w):
-                yield "".join(_READ[b][_WRITE[a][c]] for c in w), f"{a}>{b}"
+                yield "".join(_READ[b][_WRITE[a][c]] for c in w), f"{a}>{b}", w
         for a in LOSSY:
             raw = w.encode(a, "replace")
             if a != "ascii":
-                yield raw.decode("utf-8", "replace"), f"{a}>utf-8 with marks"
-            yield raw.decode(a), f"{a} with question marks"
-        yield w.encode("utf-8").decode("ascii", "replace"), "utf-8>ascii with marks"
-        yield w.encode("cp1252", "replace").decode("ascii", "replace"), "cp1252>ascii with marks"
+                yield raw.decode("utf-8", "replace"), f"{a}>utf-8 with marks", w
+            yield raw.decode(a), f"{a} with question marks", w
+        yield w.encode("utf-8").decode("ascii", "replace"), "utf-8>ascii with marks", w
+        yield w.encode("cp1252", "replace").decode("ascii", "replace"), "cp1252>ascii with marks", w
 
 
 def key(form: str) -> str:
@@ -83,10 +83,10 @@ def _letters(x: str) -> int:
     return sum(ord(c) > 127 for c in x)
 
 
-def forms_of(word: str, run: bool) -> list[tuple[str, str]]:
-    """Garbled forms of a word, or of a run of non-ASCII characters, that differ from it and tell."""
+def forms_of(word: str, run: bool) -> list[tuple[str, str, str]]:
+    """Garbled forms of a word, or of a run of non-ASCII characters, that differ from it and tell: form, original, chain."""
     out = {}
-    for f, chain in chains(word):
+    for f, chain, made_from in chains(word):
         if "blanks lost" in chain:
             f = f.strip(" ")
             if f == word or len(f) < 2 or run and len(f) < 3:
@@ -103,8 +103,8 @@ def forms_of(word: str, run: bool) -> list[tuple[str, str]]:
         if not lost and not any(ord(c) > 127 for c in f):
             continue
         if run and f == "�" * len(f) or not lost or "?" in f:
-            out.setdefault(key(f).rstrip("?") if lost else key(f), chain)
-    return list(out.items())
+            out.setdefault(key(f).rstrip("?") if lost else key(f), (made_from, chain))
+    return [(f, w, c) for f, (w, c) in out.items()]
 
 
 def suspicious(word: str) -> bool:
@@ -131,12 +131,12 @@ def _generate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if suspicious(unit):
                 continue
             run = all(ord(c) > 127 for c in unit)
-            got += [(f, unit, c, n) for f, c in forms_of(unit, False)]
+            got += [(f, w, c, n) for f, w, c in forms_of(unit, False)]
             if run:
-                got += [(f, unit, c, n) for f, c in forms_of(unit, True)]
+                got += [(f, w, c, n) for f, w, c in forms_of(unit, True)]
             else:  # runs that only a decomposed spelling has
                 for r in re.findall(r"[^\x00-\x7f]+", unicodedata.normalize("NFD", unit)):
-                    got += [(f, r, c, n) for f, c in forms_of(r, True)]
+                    got += [(f, w, c, n) for f, w, c in forms_of(r, True)]
         if got:
             form, clean, chain, n_docs = zip(*got)
             yield pa.RecordBatch.from_arrays([pa.array(form), pa.array(clean), pa.array(chain), pa.array(n_docs, pa.int64())], names=["form", "clean", "chain", "n"])
