@@ -7,32 +7,60 @@ import re
 import tomllib
 
 
-def _requirements(items: object) -> list[str]:
-    return [m[0] for x in items or [] if isinstance(x, str) and (m := re.match(r"[A-Za-z0-9][\w.\-]*", x.strip()))]
+def _names(items: object) -> list[str]:
+    return [m[0] for x in items or () if isinstance(x, str) and (m := re.match(r"[A-Za-z0-9][\w.\-]*", x.strip()))]
+
+
+def _tables(o: dict, *paths: str) -> list[str]:
+    """Keys of the tables at dotted paths."""
+    out: list[str] = []
+    for p in paths:
+        at: object = o
+        for k in p.split("."):
+            at = at.get(k, {}) if isinstance(at, dict) else {}
+        out += list(at) if isinstance(at, dict) else []
+    return out
+
+
+def _python(text: str) -> tuple[list[object], list[str]]:
+    o = tomllib.loads(text)
+    project = o.get("project", {})
+    extras = [d for x in (project.get("optional-dependencies") or {}).values() for d in _names(x)]
+    old = [d for d in _tables(o, "tool.poetry.dependencies") if d.lower() != "python"]
+    return [project.get("name") or o.get("tool", {}).get("poetry", {}).get("name")], _names(project.get("dependencies")) + old + extras
+
+
+def _script(text: str) -> tuple[list[object], list[str]]:
+    o = json.loads(text)
+    return [o.get("name")], _tables(o, "dependencies", "peerDependencies", "devDependencies")
+
+
+def _crate(text: str) -> tuple[list[object], list[str]]:
+    o = tomllib.loads(text)
+    return [o.get("package", {}).get("name")], _tables(o, "dependencies")
+
+
+def _module(text: str) -> tuple[list[object], list[str]]:
+    return re.findall(r"(?m)^module\s+(\S+)", text)[:1], re.findall(r"(?m)^\s*(?:require\s+)?([\w.\-]+\.[\w.\-/]+)\s+v[\w.\-+]+", text)
+
+
+#: How each manifest is read.
+MANIFESTS = {
+    "pyproject.toml": _python,
+    "package.json": _script,
+    "Cargo.toml": _crate,
+    "go.mod": _module,
+    "requirements.txt": lambda text: ([], _names(x for x in text.splitlines() if x[:1] not in ("-", "#"))),
+}
 
 
 def manifest(name: str, text: str) -> tuple[list[str], list[str]]:
     """(packages provided, packages needed) that a manifest states; none of one that doesn't read."""
     try:
-        if name == "package.json":
-            o = json.loads(text)
-            return [o["name"]] if o.get("name") else [], sorted({k for part in ("dependencies", "peerDependencies", "devDependencies") for k in o.get(part) or {}})
-        if name in ("pyproject.toml", "Cargo.toml"):
-            o = tomllib.loads(text)
-            if name == "Cargo.toml":
-                p = (o.get("package") or {}).get("name")
-                return [p] if p else [], sorted(o.get("dependencies") or {})
-            p, old = o.get("project") or {}, (o.get("tool") or {}).get("poetry") or {}
-            need = _requirements(p.get("dependencies")) + [d for d in old.get("dependencies") or {} if d.lower() != "python"]
-            need += [d for extra in (p.get("optional-dependencies") or {}).values() for d in _requirements(extra)]
-            return [x for x in [p.get("name") or old.get("name")] if x], sorted(set(need))
-    except (ValueError, AttributeError, TypeError):
+        provides, needs = MANIFESTS[name](text)
+    except (KeyError, ValueError, AttributeError, TypeError):
         return [], []
-    if name == "go.mod":
-        return re.findall(r"(?m)^module\s+(\S+)", text)[:1], sorted(set(re.findall(r"(?m)^\s*(?:require\s+)?([\w.\-]+\.[\w.\-/]+)\s+v[\w.\-+]+", text)))
-    if name == "requirements.txt":
-        return [], sorted(set(_requirements(x for x in text.splitlines() if not x.startswith(("-", "#")))))
-    return [], []
+    return [p for p in provides if isinstance(p, str) and p], sorted(set(needs))
 
 
 def json_items(text: str) -> list:

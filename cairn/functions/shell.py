@@ -5,89 +5,97 @@ from __future__ import annotations
 import posixpath
 import re
 import shlex
+from itertools import groupby
 
 # Programs that read files or search, and options that take a value.
-READERS = {"cat", "head", "tail", "less", "more", "nl", "wc", "bat", "sed"}
-SEARCHERS = {"grep", "egrep", "fgrep", "rg", "ag", "ack"}
-VALUED = {"-A", "-B", "-C", "-m", "-e", "-f", "-g", "-t", "-T", "-d", "-D", "--glob", "--type", "--include", "--exclude", "--max-count", "--context", "--regexp"}
-ENDS = {"&&", "||", ";", "|", "&", "|&"}
+READERS = "cat head tail less more nl wc bat sed".split()
+SEARCHERS = "grep egrep fgrep rg ag ack".split()
+VALUED = "-A -B -C -m -e -f -g -t -T -d -D --glob --type --include --exclude --max-count --context --regexp".split()
+ENDS = "&& || ; | & |&".split()
 
+_REDIRECTS = re.compile(r"[<>&]+\Z")
+_ASSIGNS = re.compile(r"[A-Za-z_]\w*=")
 
-def simple_commands(command: str) -> list[tuple[list[str], bool]]:
-    """(words, fed by a pipe) of each simple command, redirections dropped; none where something is substituted."""
-    if "$(" in command or "`" in command:
-        return []
-    text = command.split("\n", 1)[0] if "<<" in command else command
-    reader = shlex.shlex(text.replace("\n", " ; "), posix=True, punctuation_chars=True)
+
+def _tokens(command: str) -> list[str]:
+    reader = shlex.shlex(re.sub(r"<<[\s\S]*", "", command).replace("\n", " ; "), posix=True, punctuation_chars=True)
     reader.whitespace_split = True
-    out: list[tuple[list[str], bool]] = []
-    now: list[str] = []
-    fed = target = False
     try:
-        for w in [*reader, ";"]:
-            if w in ENDS:
-                if now:
-                    out.append((now, fed))
-                now, fed, target = [], w in ("|", "|&"), False
-            elif target:
-                target = False
-            elif w and all(c in "<>&" for c in w):
-                target = True
-                if now and now[-1].isdigit():
-                    now.pop()
-            else:
-                now.append(w)
+        return list(reader)
     except ValueError:
         return []
+
+
+def simple_commands(command: str) -> list[tuple[list[str], bool]]:
+    """(words, fed by a pipe) of each simple command.
+
+    Redirections go with their targets and numbers, what follows a here-document mark is
+    data, and a command with a substitution gives nothing, as what it reads isn't known.
+    """
+    if re.search(r"\$\(|`", command):
+        return []
+    out: list[tuple[list[str], bool]] = []
+    before = ""
+    for is_end, run in groupby(_tokens(command), key=ENDS.__contains__):
+        run = list(run)
+        if is_end:
+            before = run[-1]
+            continue
+        points = [bool(_REDIRECTS.match(w)) for w in run]
+        drops = {i + step for i, p in enumerate(points) if p for step in (0, 1)}
+        drops |= {i - 1 for i, p in enumerate(points) if p and i and run[i - 1].isdigit()}
+        words = [w for i, w in enumerate(run) if i not in drops]
+        while words and _ASSIGNS.match(words[0]):
+            del words[0]
+        if words:
+            out.append((words, before.startswith("|") and before != "||"))
     return out
 
 
-def _search_words(args: list[str]) -> tuple[str | None, list[str]]:
-    what, where, k = None, [], 0
-    while k < len(args):
-        w = args[k]
-        if w in VALUED:
-            if w in ("-e", "--regexp") and k + 1 < len(args):
-                what = args[k + 1]
-            k += 1
-        elif w.startswith("--regexp="):
-            what = w.split("=", 1)[1]
-        elif not w.startswith("-") or w == "-":
-            if what is None:
-                what = w
-            else:
-                where.append(w)
-        k += 1
-    return what, where
+def _plain(args: list[str]) -> tuple[list[str], dict[str, str]]:
+    """Arguments that are no options, and the options that have a value."""
+    valued = {a: b for a, b in zip(args, args[1:]) if a in VALUED}
+    valued |= dict(a.split("=", 1) for a in args if a.startswith("--") and "=" in a)
+    taken = {i + 1 for i, a in enumerate(args) if a in VALUED}
+    return [a for i, a in enumerate(args) if i not in taken and (a == "-" or not a.startswith("-"))], valued
+
+
+def _searched(args: list[str]) -> list[tuple[str, str]]:
+    free, valued = _plain(args)
+    what = valued.get("-e") or valued.get("--regexp")
+    if what is None:
+        what, free = (free[0], free[1:]) if free else ("", [])
+    return [("search", f"{what} in {p}") for p in free or ["."]] if what else []
+
+
+def _found(args: list[str]) -> list[tuple[str, str]]:
+    cut = next((i for i, a in enumerate(args) if a[:1] in ("-", "(", "!")), len(args))
+    names = [b for a, b in zip(args, args[1:]) if a in ("-name", "-iname", "-path", "-ipath")]
+    return [("search", f"{names[0]} in {p}") for p in args[:cut] or ["."]] if names else []
 
 
 def observations(command: str | None, cwd: str = "/") -> list[tuple[str, str]]:
-    """(kind, value) of each file read and each search of a command; cd is followed."""
+    """(kind, value) of each file read and each search of a command; cd is followed, searches of a pipe don't count."""
     out: list[tuple[str, str]] = []
-    path = lambda p: posixpath.normpath(posixpath.join(cwd, p))
     for words, fed in simple_commands(command or ""):
-        while words and re.match(r"[A-Za-z_]\w*=", words[0]):
-            words = words[1:]
-        if not words:
-            continue
         program, args = posixpath.basename(words[0]), words[1:]
         if program == "cd":
-            cwd = path(args[0]) if args else "/"
-        elif program == "git" and args[:1] == ["grep"] or program in SEARCHERS:
-            what, where = _search_words(args[1:] if program == "git" else args)
-            if what and not fed:
-                out += [("search", f"{what} in {path(p)}") for p in where or ["."]]
-        elif program == "find" and not fed:
-            names = [args[i + 1] for i, a in enumerate(args[:-1]) if a in ("-name", "-iname", "-path", "-ipath")]
-            roots = []
-            for a in args:
-                if a.startswith("-") or a in "(!":
-                    break
-                roots.append(a)
-            if names:
-                out += [("search", f"{names[0]} in {path(p)}") for p in roots or ["."]]
+            cwd = posixpath.normpath(posixpath.join(cwd, args[0] if args else "/"))
+            continue
+        if program == "git" and args[:1] == ["grep"]:
+            got = _searched(args[1:])
+        elif program in SEARCHERS:
+            got = _searched(args)
+        elif program == "find":
+            got = _found(args)
         elif program in READERS and not (program == "sed" and any(a.startswith("-i") for a in args)):
-            out += [("read", path(a)) for a in args if not a.startswith("-")]
+            got = [("read", a) for a in args if not a.startswith("-")]
+        else:
+            got = []
+        for kind, value in got:
+            what, mark, path = value.rpartition(" in ") if kind == "search" else ("", "", value)
+            if kind == "read" or not fed:
+                out.append((kind, what + mark + posixpath.normpath(posixpath.join(cwd, path))))
     return out
 
 

@@ -135,7 +135,7 @@ def scl31_34_slugs(d: Spark) -> str:
 @book.sql
 def scl35_36_remotes(d: Spark) -> str:
     """Remotes in several spellings brought to host and path; a local path has none."""
-    rows = [("git@Example.org:team/garden.git",), ("https://user:x@Example.org:8443/team/garden.git/",), ("ssh://git@example.org/team/garden",), ("/srv/garden",), ("../garden",), ("example.org/team/garden",), ("file:///srv/x",), ("localhost/a/b.git",), ("",), (None,)]
+    rows = [("git@Example.org:team/harbour.git",), ("https://user:x@Example.org:8443/team/harbour.git/",), ("ssh://git@example.org/team/harbour",), ("/srv/harbour",), ("../harbour",), ("example.org/team/harbour",), ("file:///srv/x",), ("localhost/a/b.git",), ("",), (None,)]
     body = d.sub("r", r"^[a-z+]+://(?:[^@/]*@)?|^[^@/:]+@", "")
     host = f"lower({d.ext(body, r'^([A-Za-z0-9.-]+)(?::\d+)?[:/]', 1)})"
     path = d.sub(d.ext(body, r"^[A-Za-z0-9.-]+(?::\d+)?[:/]+(.*)$", 1), r"/+$", "")

@@ -84,7 +84,7 @@ def repeated_briefs(events: DataFrame, key: str = "session_id", deny: float = 0.
     state = T.StructType([T.StructField("seqs", T.ArrayType(T.LongType())), T.StructField("words", T.ArrayType(T.StringType()))])
 
     def step(now: tuple, r):  # noqa: ANN001, ANN202
-        mine = set(re.findall(r"[a-z0-9_]{3,}", (r.text or "").lower()))
+        mine = set(re.findall(r"[a-z0-9_]{3,}", r.text.lower() if isinstance(r.text, str) else ""))
         seqs, words = list(now[0]), list(now[1])
         verdict, sim, like = "allow", 0.0, None
         for s, w in zip(seqs, words):
@@ -102,7 +102,7 @@ def repeated_briefs(events: DataFrame, key: str = "session_id", deny: float = 0.
 
 
 def running_stats(events: DataFrame, key: str = "key", live_ms: int | None = LIVE_MS) -> DataFrame:
-    """(key, seq, accesses, sessions, cost) after each event; of the sessions only the last 32 are remembered.
+    """(key, seq, accesses, sessions, cost) after each event; of the sessions only the last 32 are remembered, a null cost is 0.
 
     ``events`` has the key, seq, session and cost.
     """
@@ -114,7 +114,7 @@ def running_stats(events: DataFrame, key: str = "key", live_ms: int | None = LIV
         last = list(last)
         if r.session not in last:
             s, last = s + 1, [*last, r.session][-SESSIONS:]
-        n, c = n + 1, c + float(r.cost or 0)
+        n, c = n + 1, c + (0.0 if pd.isna(r.cost) else float(r.cost))
         return (n, s, c, last), (r.seq, n, s, c)
 
     return _keyed(events, key, step, out, state, (0, 0, 0.0, []), live_ms)

@@ -24,7 +24,7 @@ LINES = "run_id string, line_no int, text string"
         ("level=err component=plotd ts=2026-05-22T07:57:11-05:00 msg=\"level=info \\\"x\\\"\"", ("2026-05-22 12:57:11", "ERROR", "plotd")),
         ("F0507 12:26:57.869409 17761 grid_solver.cc:129] stop", ("????-05-07 12:26:57", "FATAL", "grid_solver.cc")),
         ("2026-07-12T11:26:43.085Z WARN  [relay.pool] cache\r", ("2026-07-12 11:26:43", "WARNING", "relay.pool")),
-        ("[2026-06-28 13:33:31] garden.relay.DEBUG: queue", ("2026-06-28 13:33:31", "DEBUG", "garden.relay")),
+        ("[2026-06-28 13:33:31] harbour.relay.DEBUG: queue", ("2026-06-28 13:33:31", "DEBUG", "harbour.relay")),
         ("11:23:56.440 [main-7] WARN a.sync - started", ("????-??-?? 11:23:56", "WARNING", "a.sync")),
         ("INFO 2026/08/23 14:12:28 a.gate: written", ("2026-08-23 14:12:28", "INFO", "a.gate")),
         ("27.04.2026 17:31:12 | ERROR | spool/writer | drained", ("2026-04-27 17:31:12", "ERROR", "spool/writer")),
