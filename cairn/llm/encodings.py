@@ -155,7 +155,12 @@ def units(docs: DataFrame, doc_key: str = "doc_id") -> DataFrame:
     body = F.when(right, F.regexp_replace(text, _SPAN, " ")).otherwise(text)
     src = docs.select(F.col(doc_key).cast("bigint").alias("doc_id"), body.alias("t")).where(F.col("doc_id").isNotNull() & (F.col("t").rlike(_NON) | F.col("t").rlike("[A-Za-z]\\?[a-z]")))
     marks = "[\\x21-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7E]+"
-    words = F.filter(F.split("t", "[ \\t\\r\\n]+"), lambda x: x.rlike(_NON) | x.rlike("[A-Za-z]\\?[a-z]"))
+    # Possessive and anchored at a word's start, so that a word of plain characters is passed over once.
+    word = f"(?<![^ \\t\\r\\n])([\\x21-\\x7E]*+{_NON}[^ \\t\\r\\n]*)"
+    asked = "(?<![^ \\t\\r\\n])([^ \\t\\r\\n]*[A-Za-z]\\?[a-z][^ \\t\\r\\n]*)"
+    none = F.array().cast("array<string>")
+    questions = F.when(F.contains("t", F.lit("?")), F.regexp_extract_all("t", F.lit(asked), F.lit(1))).otherwise(none)
+    words = F.array_distinct(F.concat(F.regexp_extract_all("t", F.lit(word), F.lit(1)), questions))
     words = F.transform(words, lambda x: F.regexp_replace(x, f"^{marks}|{marks}$", ""))
     runs = F.regexp_extract_all("t", F.lit(f"({_NON}+)"), F.lit(1))
     every = F.array_distinct(F.concat(F.array_distinct(words), F.array_distinct(runs)))
