@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.session import written
+
 # Encodings that text in UTF-8 is wrongly read as, and pairs of one-byte encodings mixed up.
 READ_AS = ["cp1252", "latin-1", "mac-roman", "cp437", "cp850", "cp1250", "cp1251", "koi8-r", "cp866", "iso8859-2", "iso8859-15", "iso8859-5", "cp1254", "mac-cyrillic"]
 TWICE = ["cp1252", "latin-1", "mac-roman", "cp437", "cp1250", "cp1251"]
@@ -174,10 +176,10 @@ def garbled(docs: DataFrame, doc_key: str = "doc_id") -> DataFrame:
     the smallest; ``clean`` is null where the form is nothing but marks of lost characters.
 
     Scale: the corpus is reduced to its distinct words with map-side combination before
-    anything is generated; forms are made in parallel from that list and meet the words by
+    anything is generated; texts are read once into a table of their units; forms are made in parallel from that list and meet the words by
     a hash join; nothing is collected.
     """
-    u = units(docs, doc_key)
+    u, _ = written(units(docs, doc_key), "units")
     vocab = u.groupBy("unit").agg(F.count("*").alias("n"))
     forms = vocab.select("unit", "n").repartition("unit").mapInArrow(_generate, "form string, clean string, chain string, n bigint")
     # Letters for letters could be read either way; the spelling that more documents have is the clean one.
