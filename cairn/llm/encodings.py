@@ -181,7 +181,9 @@ def garbled(docs: DataFrame, doc_key: str = "doc_id") -> DataFrame:
     """
     u, _ = written(units(docs, doc_key), "units")
     vocab = u.groupBy("unit").agg(F.count("*").alias("n"))
-    forms = vocab.select("unit", "n").repartition("unit").mapInArrow(_generate, "form string, clean string, chain string, n bigint")
+    # A fixed number of parts: the words are few bytes, so adaptive execution would make them one task.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    forms = vocab.select("unit", "n").repartition(parts, F.xxhash64("unit")).mapInArrow(_generate, "form string, clean string, chain string, n bigint")
     # Letters for letters could be read either way; the spelling that more documents have is the clean one.
     swapped = ~F.col("chain").startswith("utf-8") & ~F.col("chain").contains("marks")
     forms = forms.join(vocab.select(F.col("unit").alias("form"), F.col("n").alias("here")), "form").where(~swapped | (F.col("n") > F.col("here")))
