@@ -250,12 +250,14 @@ class Book:
     def __init__(self) -> None:
         self.queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
         self.oracles: dict[str, str] = {}
+        self.shared: set[str] = set()  # names whose query is one text for both dialects
 
     def sql(self, f: Text) -> Text:
         """A query that is one text for both dialects."""
         self.queries[f.__name__] = lambda spark, d: ask(spark, d, f)
         self.queries[f.__name__].__doc__ = f.__doc__
         self.oracles[f.__name__] = f(DUCK)
+        self.shared.add(f.__name__)
         return f
 
     def frame(self, oracle: Text | str | None = None) -> Callable:
