@@ -12,7 +12,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.session import written
@@ -85,8 +85,13 @@ def _letters(x: str) -> int:
     return sum(ord(c) > 127 for c in x)
 
 
-def forms_of(word: str, run: bool) -> list[tuple[str, str, str]]:
-    """Garbled forms of a word, or of a run of non-ASCII characters, that differ from it and tell: form, original, chain."""
+def forms_of(word: str, run: bool) -> list[tuple[str, str, str, int]]:
+    """Garbled forms of a word, or of a run of non-ASCII characters, that differ from it and tell: form, original, chain, doubt.
+
+    A swap of one-byte encodings gives letters for letters.  A longer word of several tells by
+    itself (doubt 0, as all that isn't a swap); of a word with one, or a short one, it takes more
+    (1), and of a short one of nothing else the most (2).
+    """
     out = {}
     for f, chain, made_from in chains(word):
         if "blanks lost" in chain:
@@ -97,16 +102,18 @@ def forms_of(word: str, run: bool) -> list[tuple[str, str, str]]:
         lost = "question" in chain
         if f in (word, unicodedata.normalize("NFC", word), unicodedata.normalize("NFD", word)) or not f or " " in f:
             continue
-        # A swap of one-byte encodings gives letters for letters; only a longer word of several tells.
-        if mixed and (run and len(word) < 4 or _letters(word) < 2 or len(word) < 4):
-            continue
+        doubt = 0
+        if mixed and (_letters(word) < 2 or len(word) < 4):
+            if run:
+                continue
+            doubt = 2 if _letters(word) == len(word) else 1
         if lost and (run or not re.search(r"\w\?\w", f)):
             continue
         if not lost and not any(ord(c) > 127 for c in f):
             continue
         if run and f == "�" * len(f) or not lost or "?" in f:
-            out.setdefault(key(f).rstrip("?") if lost else key(f), (made_from, chain))
-    return [(f, w, c) for f, (w, c) in out.items()]
+            out.setdefault(key(f).rstrip("?") if lost else key(f), (made_from, chain, doubt))
+    return [(f, *x) for f, x in out.items()]
 
 
 def suspicious(word: str) -> bool:
@@ -128,20 +135,20 @@ def suspicious(word: str) -> bool:
 
 def _generate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        got: list[tuple[str, str, str, int]] = []
+        got: list[tuple[str, str, str, int, int]] = []
         for unit, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             if suspicious(unit):
                 continue
             run = all(ord(c) > 127 for c in unit)
-            got += [(f, w, c, n) for f, w, c in forms_of(unit, False)]
+            got += [(*x, n) for x in forms_of(unit, False)]
             if run:
-                got += [(f, w, c, n) for f, w, c in forms_of(unit, True)]
+                got += [(*x, n) for x in forms_of(unit, True)]
             else:  # runs that only a decomposed spelling has
                 for r in re.findall(r"[^\x00-\x7f]+", unicodedata.normalize("NFD", unit)):
-                    got += [(f, w, c, n) for f, w, c in forms_of(r, True)]
+                    got += [(*x, n) for x in forms_of(r, True)]
         if got:
-            form, clean, chain, n_docs = zip(*got)
-            yield pa.RecordBatch.from_arrays([pa.array(form), pa.array(clean), pa.array(chain), pa.array(n_docs, pa.int64())], names=["form", "clean", "chain", "n"])
+            form, clean, chain, doubt, n_docs = zip(*got)
+            yield pa.RecordBatch.from_arrays([pa.array(form), pa.array(clean), pa.array(chain), pa.array(doubt, pa.int32()), pa.array(n_docs, pa.int64())], names=["form", "clean", "chain", "doubt", "n"])
 
 
 #: Example spans; a correct text may show garbled characters in one, next to the right ones in another.
@@ -169,11 +176,19 @@ def units(docs: DataFrame, doc_key: str = "doc_id") -> DataFrame:
     return src.select("doc_id", F.explode(every).alias("unit")).where("unit != ''").withColumn("unit", F.regexp_replace("unit", "�+", "�"))
 
 
+def _swapped() -> Column:
+    """Whether a chain is a swap of one-byte encodings."""
+    return ~F.col("chain").startswith("utf-8") & ~F.col("chain").contains("marks")
+
+
 def garbled(docs: DataFrame, doc_key: str = "doc_id") -> DataFrame:
     """(doc_id, unit, clean, chain): the garbled words of each document and their likeliest original.
 
     Of several originals of one form the one that most documents hold is taken, of equals
     the smallest; ``clean`` is null where the form is nothing but marks of lost characters.
+    A word with one swapped letter, or a short one, counts if twice as many documents have the
+    clean spelling, or more at all and two other words of the document are swapped alike;
+    letters that stand alone count only so.
 
     Scale: the corpus is reduced to its distinct words with map-side combination before
     anything is generated; texts are read once into a table of their units; forms are made in parallel from that list and meet the words by
@@ -183,13 +198,21 @@ def garbled(docs: DataFrame, doc_key: str = "doc_id") -> DataFrame:
     vocab = u.groupBy("unit").agg(F.count("*").alias("n"))
     # A fixed number of parts: the words are few bytes, so adaptive execution would make them one task.
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    forms = vocab.select("unit", "n").repartition(parts, F.xxhash64("unit")).mapInArrow(_generate, "form string, clean string, chain string, n bigint")
+    forms = vocab.select("unit", "n").repartition(parts, F.xxhash64("unit")).mapInArrow(_generate, "form string, clean string, chain string, doubt int, n bigint")
     # Letters for letters could be read either way; the spelling that more documents have is the clean one.
-    swapped = ~F.col("chain").startswith("utf-8") & ~F.col("chain").contains("marks")
-    forms = forms.join(vocab.select(F.col("unit").alias("form"), F.col("n").alias("here")), "form").where(~swapped | (F.col("n") > F.col("here")))
-    best = forms.groupBy("form").agg(F.max(F.struct("n", F.struct(F.expr("-length(clean)").alias("l"), "clean", "chain").alias("c"))).alias("b"))
-    best = best.select(F.col("form").alias("unit"), F.when(F.col("form") != "�", F.col("b.c.clean")).alias("clean"), F.col("b.c.chain").alias("chain"))
-    return u.join(best, "unit").select("doc_id", "unit", "clean", "chain")
+    forms = forms.join(vocab.select(F.col("unit").alias("form"), F.col("n").alias("here")), "form").where(~_swapped() | (F.col("n") > F.col("here")))
+    forms, _ = written(forms.withColumn("swapped", _swapped()), "forms")
+    sure = (F.col("doubt") == 0) | (F.col("doubt") == 1) & (F.col("n") >= 2 * F.col("here"))
+    likeliest = F.max(F.struct(-F.col("doubt"), "n", F.struct(F.expr("-length(clean)").alias("l"), "clean", "chain", "swapped").alias("c"))).alias("b")
+    best = forms.where(sure).groupBy("form").agg(likeliest)
+    best = best.select(F.col("form").alias("unit"), F.when(F.col("form") != "�", F.col("b.c.clean")).alias("clean"), F.col("b.c.chain").alias("chain"), F.col("b.c.swapped").alias("swapped"))
+    told = u.join(best, "unit").select("doc_id", "unit", "clean", "chain", "swapped")
+    # What is in doubt goes by two other words of the document that were swapped the same way.
+    same = told.where("swapped").groupBy("doc_id", "chain").agg(F.countDistinct("unit").alias("others")).where("others > 1")
+    doubtful = forms.where(~sure).join(best.select(F.col("unit").alias("form")), "form", "left_anti").withColumnRenamed("form", "unit")
+    more = u.join(doubtful, "unit").join(same, ["doc_id", "chain"]).groupBy("doc_id", "unit").agg(likeliest)
+    more = more.select("doc_id", "unit", "b.c.clean", "b.c.chain")
+    return told.drop("swapped").unionByName(more)
 
 
 def _restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +222,7 @@ def _restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for s in sorted(swaps, key=lambda s: -len(s["unit"])):
                 if s["clean"] is not None:
                     pattern = "�+".join(map(re.escape, s["unit"].split("�")))
-                    word = any(ord(c) < 128 for c in s["unit"])
+                    word = len(s["unit"]) < 4 and s["swapped"] or any(ord(c) < 128 for c in s["unit"])
                     text = re.sub(rf"(?<!\w){pattern}(?!\w)" if word else pattern, lambda m, c=s["clean"]: c, text)
             out.append(text)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["doc_id", "restored"])
@@ -213,7 +236,7 @@ def repair(docs: DataFrame, doc_key: str = "doc_id") -> DataFrame:
     lost characters without a known word stay as they are; repeated documents come once
     for each key and text; other columns are not read.
     """
-    bad = garbled(docs, doc_key).groupBy("doc_id").agg(F.collect_set(F.struct("unit", "clean")).alias("swaps"))
+    bad = garbled(docs, doc_key).groupBy("doc_id").agg(F.collect_set(F.struct("unit", "clean", _swapped().alias("swapped"))).alias("swaps"))
     src = docs.select(F.col(doc_key).cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(bad, "doc_id")
     counts = bad.select("doc_id", F.size("swaps").alias("n_garbled"))
     fixed = src.select("doc_id", "text", "swaps").mapInArrow(_restore, "doc_id bigint, restored string")

@@ -48,3 +48,20 @@ def test_odd_rows(spark):
     df = spark.createDataFrame([(1, None, "a", "b"), (None, "Ã¼ber", "a", "b"), (2, "x" * 300_000 + " Ã¼ber über über", "a", "b"), (2, "x" * 300_000 + " Ã¼ber über über", "a", "b")], "doc_id bigint, text string, unit string, clean string")
     assert {r.doc_id for r in garbled(df).collect()} == {2}
     assert repair(df.limit(0)).count() == 0
+
+
+def test_words_with_one_swapped_letter(spark):
+    t = "Sprawdzał listę i każdą część jeśli został."
+    one = "Nazwa ostrzeżenia została później wpisana."
+    bad = {10: (sloppy(t.encode("cp1250"), "cp1252"), t), 11: (sloppy(one.encode("cp1250"), "cp1252"), one)}
+    same = [(20, "Une tête même"), (21, "Sur la tête"), (22, "Ένα και ê"), (23, "ę oraz ê"), (24, "ę albo ę"), (25, "ę")]
+    df = spark.createDataFrame([*((i, t) for i in (1, 2)), *((i, one) for i in (3, 4)), *same, *((i, g) for i, (g, _) in bad.items())], "doc_id bigint, text string")
+    assert {r.doc_id: r.restored for r in repair(df).collect()} == {i: t for i, (_, t) in bad.items()}
+
+
+def test_short_words_go_by_the_others(spark):
+    t = "он и вы читали документ проверяли"
+    bad = sloppy(t.encode("koi8-r"), "cp1251")
+    alone = "ПО Х"  # looks like a swap of short words, but nothing else of its text does
+    df = spark.createDataFrame([*((i, t) for i in range(1, 6)), (6, "он и по"), (7, alone), (10, bad)], "doc_id bigint, text string")
+    assert {r.doc_id: r.restored for r in repair(df).collect()} == {10: t}
