@@ -3,15 +3,12 @@
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 
 #: Lines of the blocks compared on either side of a gap.
 BLOCK = 8
-#: Numbers that words are counted under.
-BUCKETS = 64
 #: A piece is filled to at least this share of the limit before it may end.
 FILL = 0.5
 
@@ -23,6 +20,43 @@ def estimate(chars: int) -> int:
     return max(1, round(chars / 4))
 
 
+def _cosines(words: list[list[int]], n_words: int) -> np.ndarray:
+    """Cosine of the word counts of the blocks before and after each line's end.
+
+    Each distinct word has a count of its own. From a gap to the next only the words of three
+    lines change sides, and the sums of products are kept up by these: time goes with the words
+    of the file, whatever its vocabulary.
+    """
+    n = len(words)
+    left, right = [0] * n_words, [0] * n_words
+    dot = ll = rr = 0
+    for x in words[:BLOCK]:
+        for w in x:
+            rr += 2 * right[w] + 1
+            right[w] += 1
+    out = np.zeros(n)
+    for i in range(n):
+        for w in words[i]:  # this line goes from the right to the left
+            a, b = left[w], right[w]
+            dot += b - a - 1
+            ll += 2 * a + 1
+            rr -= 2 * b - 1
+            left[w], right[w] = a + 1, b - 1
+        if i >= BLOCK:
+            for w in words[i - BLOCK]:
+                dot -= right[w]
+                ll -= 2 * left[w] - 1
+                left[w] -= 1
+        if i + BLOCK < n:
+            for w in words[i + BLOCK]:
+                dot += left[w]
+                rr += 2 * right[w] + 1
+                right[w] += 1
+        if ll and rr:
+            out[i] = dot / (ll * rr) ** 0.5
+    return out
+
+
 def valleys(lines: list[str]) -> np.ndarray:
     """How deep the valley of cohesion is after each line; blank lines and shallow indents deepen it.
 
@@ -30,23 +64,9 @@ def valleys(lines: list[str]) -> np.ndarray:
     the similarity lies below the nearest peaks on both sides.
     """
     n = len(lines)
-    counts = np.zeros((n + 1, BUCKETS), np.float32)
     seen: dict[str, int] = {}
-    rows, cols = [], []
-    for i, x in enumerate(lines, 1):
-        for w in _WORD.findall(x):
-            k = seen.get(w)
-            if k is None:
-                k = seen[w] = zlib.crc32(w.lower().encode()) % BUCKETS
-            rows.append(i)
-            cols.append(k)
-    np.add.at(counts, (rows, cols), 1)
-    run = np.cumsum(counts, axis=0)
-    gap = np.arange(1, n + 1)
-    left = run[gap] - run[np.maximum(gap - BLOCK, 0)]
-    right = run[np.minimum(gap + BLOCK, n)] - run[gap]
-    norm = np.sqrt((left * left).sum(1) * (right * right).sum(1))
-    sim = np.where(norm > 0, (left * right).sum(1) / np.maximum(norm, 1e-9), 0.0)
+    words = [[seen.setdefault(w.lower(), len(seen)) for w in _WORD.findall(x)] for x in lines]
+    sim = _cosines(words, len(seen))
     peak = np.copy(sim)
     for k in range(1, BLOCK + 1):  # the highest similarity within a block on each side
         peak[k:] = np.maximum(peak[k:], sim[:-k])

@@ -8,7 +8,7 @@ import pytest
 from cairn.llm.code import documented, documented_pairs, split_symbols
 from cairn.llm.codespans import cpp_spans
 from cairn.llm.docwords import described
-from cairn.llm.segment import estimate
+from cairn.llm.segment import BLOCK, estimate, valleys
 
 SYM = "id string, path string, name string, qualname string, type string, start_line int, end_line int, doc string, tokens int, parent string"
 FILE = "path string, language string, content string, doc string"
@@ -193,3 +193,24 @@ def test_pieces(spark):
     natural = sum(not lines[r.end_line - 1].strip() or not lines[r.end_line].strip() or lines[r.end_line - 1] == "}" for r in free)
     assert len(free) >= 4 and natural == len(free)
     assert split_symbols(df.limit(0), files).count() == 0
+
+
+def test_cohesion_counts_every_word():
+    from collections import Counter
+
+    rnd = random.Random(5)
+    words = [f"{a}{b}" for a in "abcdefghijklmnop" for b in "abcdefghijklmnop"]
+    lines = [" " * 20 + " ".join(rnd.choice(words) for _ in range(rnd.randrange(1, 9))) for _ in range(60)] + [" " * 20 + "Ab aB"]
+    count = lambda x: Counter(" ".join(x).lower().split())
+
+    def cosine(k):
+        a, b = count(lines[max(0, k - BLOCK) : k]), count(lines[k : k + BLOCK])
+        norm = (sum(v * v for v in a.values()) * sum(v * v for v in b.values())) ** 0.5
+        return sum(v * b[w] for w, v in a.items()) / norm if norm else 0.0
+
+    sim = [cosine(k) for k in range(1, len(lines) + 1)]
+    want = [max(sim[max(0, i - BLOCK) : i + 1]) + max(sim[i : i + BLOCK + 1]) - 2 * x for i, x in enumerate(sim)]
+    want[-1] += 1  # nothing follows the last line
+    assert valleys(lines).tolist() == pytest.approx(want)
+    for short in ([""], ["a"], ["a b", "a"], ["x"] * 20):
+        assert len(valleys(short)) == len(short)
