@@ -8,8 +8,10 @@ time, so a key that comes back after it starts anew.  A stream that is to end (a
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Callable, Iterator
+import sys
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -22,16 +24,14 @@ from cairn.session import shared_path
 LIVE_MS = 86_400_000
 #: Sessions of a key that are remembered; one that was pushed out counts again.
 SESSIONS = 32
-#: Briefs of a session that are remembered.
-BRIEFS = 200
 
 
-def _keyed(events: DataFrame, key: str, step: Callable, out: T.StructType, state: T.StructType, first: tuple, live_ms: int | None) -> DataFrame:
+def _keyed(events: DataFrame, key: str, step: Callable, out: T.StructType, state: T.StructType, first: tuple, live_ms: int | None, opened: Callable = lambda x: x, closed: Callable = lambda x: x) -> DataFrame:
     def run(k: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         if held.hasTimedOut:
             held.remove()
             return
-        now = held.get if held.exists else first
+        now = opened(held.get if held.exists else first)
         rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
         got = []
         for r in rows.itertuples(index=False):
@@ -42,7 +42,7 @@ def _keyed(events: DataFrame, key: str, step: Callable, out: T.StructType, state
             if held.exists:
                 held.remove()
         else:
-            held.update(now)
+            held.update(closed(now))
             if live_ms:
                 held.setTimeoutDuration(live_ms)
         yield pd.DataFrame(got, columns=out.fieldNames()) if got else pd.DataFrame({f: [] for f in out.fieldNames()})
@@ -74,31 +74,62 @@ def once(events: DataFrame, key: str = "session_id", live_ms: int | None = LIVE_
     return _keyed(events, key, lambda now, r: ((True,), None if now[0] else (r.seq,)), out, state, (False,), live_ms)
 
 
+class _Briefs:
+    """The briefs let through in a session, in order, and which of them have a word."""
+
+    def __init__(self, seqs: Iterable[int], words: Iterable[str]) -> None:
+        self.seqs: list[int] = []
+        self.sets: list[frozenset[str]] = []
+        self.having: dict[str, list[int]] = {}
+        for s, w in zip(seqs, words):
+            self.add(int(s), frozenset(map(sys.intern, w.split())))
+
+    def add(self, seq: int, words: frozenset[str]) -> None:
+        for w in words:
+            self.having.setdefault(w, []).append(len(self.seqs))
+        self.seqs.append(seq)
+        self.sets.append(words)
+
+    def near(self, words: set[str], least: float) -> Iterable[int]:
+        """All briefs that may be as similar as ``least``, in order: of the words too many to miss all of, one is shared."""
+        if least <= 0:
+            return range(len(self.seqs))
+        n = len(words)
+        needed = max(1, math.ceil(least * n - 1e-9))
+        rarest = sorted((self.having.get(w, ()) for w in words), key=len)[: n - needed + 1]
+        return sorted({k for x in rarest for k in x if least * n - 1e-9 <= len(self.sets[k]) <= n / least + 1e-9})
+
+    def row(self) -> tuple[list[int], list[str]]:
+        return self.seqs, [" ".join(sorted(x)) for x in self.sets]
+
+
 def repeated_briefs(events: DataFrame, key: str = "session_id", deny: float = 0.9, hint: float = 0.6, live_ms: int | None = LIVE_MS) -> DataFrame:
     """(key, seq, verdict, similarity, like) of each brief against those let through before in its session.
 
-    Denied briefs don't enter the state, so what is compared depends on earlier verdicts.
-    ``events`` has the key, seq and text.
+    Denied briefs don't enter the state, so what is compared depends on earlier verdicts; all
+    others stay in it as long as the session lives.  ``events`` has the key, seq and text.
+
+    Scale: a brief meets only those that share one of its rarest words, by an index made once
+    per batch; the words of all briefs let through in one session are held by one task.
     """
     out = T.StructType([T.StructField(key, T.StringType()), T.StructField("seq", T.LongType()), T.StructField("verdict", T.StringType()), T.StructField("similarity", T.DoubleType()), T.StructField("like", T.LongType())])
     state = T.StructType([T.StructField("seqs", T.ArrayType(T.LongType())), T.StructField("words", T.ArrayType(T.StringType()))])
 
-    def step(now: tuple, r):  # noqa: ANN001, ANN202
+    def step(now: _Briefs, r):  # noqa: ANN001, ANN202
         mine = set(re.findall(r"[a-z0-9_]{3,}", r.text.lower() if isinstance(r.text, str) else ""))
-        seqs, words = list(now[0]), list(now[1])
         verdict, sim, like = "allow", 0.0, None
-        for s, w in zip(seqs, words):
-            other = set(w.split())
+        for k in now.near(mine, hint):
+            other = now.sets[k]
             x = len(mine & other) / len(mine | other) if mine and other else 0.0
             if x >= hint:
-                verdict, sim, like = ("deny" if x >= deny else "hint"), x, s
+                verdict, sim, like = ("deny" if x >= deny else "hint"), x, now.seqs[k]
                 if x >= deny:
                     break
         if verdict != "deny":
-            seqs, words = [*seqs, int(r.seq)][-BRIEFS:], [*words, " ".join(sorted(mine))][-BRIEFS:]
-        return (seqs, words), (r.seq, verdict, sim, like)
+            now.add(int(r.seq), frozenset(mine))
+        return now, (r.seq, verdict, sim, like)
 
-    return _keyed(events, key, step, out, state, ([], []), live_ms)
+    return _keyed(events, key, step, out, state, ([], []), live_ms, lambda x: _Briefs(*x), _Briefs.row)
 
 
 def running_stats(events: DataFrame, key: str = "key", live_ms: int | None = LIVE_MS) -> DataFrame:

@@ -155,3 +155,29 @@ def test_streams(spark, tmp_path):
 def test_every_query_has_a_name_of_its_own():
     assert len(registry.queries()) == sum(len(b.queries) for b in registry.BOOKS) + len(registry.problems.QUERIES)
     assert set(registry.oracles()) <= set(registry.queries())
+
+
+def test_briefs_of_a_long_session(spark, tmp_path):
+    rnd = random.Random(8)
+    words = [f"word{i}" for i in range(60)]
+    texts = [" ".join(rnd.sample(words, rnd.randrange(0, 9))) for _ in range(500)]
+    texts = [texts[0] + " once only brief", *texts, texts[0] + " only once brief"]
+    where, want, kept = str(tmp_path / "in"), {}, []
+    for i, t in enumerate(texts):
+        mine, got = set(t.split()), ("allow", None)
+        for k, other in kept:
+            x = len(mine & other) / len(mine | other) if mine and other else 0.0
+            if x >= 0.6:
+                got = ("deny" if x >= 0.9 else "hint", k)
+                if x >= 0.9:
+                    break
+        if got[0] != "deny":
+            kept.append((i, mine))
+        want[i] = got
+    assert len(kept) > 300 and want[501] == ("deny", 0)
+    rows = spark.createDataFrame([("s", i, t) for i, t in enumerate(texts)], "session_id string, seq bigint, text string")
+    root = f"file://{tmp_path}/briefs"
+    for part in (rows.where("seq < 300"), rows.where("seq >= 300")):  # the state is taken up again
+        part.coalesce(1).write.mode("append").parquet(where)
+        got = drain(spark, repeated_briefs(follow(spark, where, rows.schema), live_ms=None), root)
+    assert {r.seq: (r.verdict, r.like) for r in got.collect()} == want
