@@ -161,7 +161,7 @@ def mth06_10_19_20_values(d: Spark) -> str:
 @book.sql
 def top04_candidates(d: Spark) -> str:
     """Keys over a threshold, most valuable first."""
-    return f"SELECT k, round(value, 6) AS value FROM {valued(d)} v WHERE value >= 1 ORDER BY value DESC, k LIMIT 100"
+    return f"SELECT k, round(value, 6) AS value FROM {valued(d)} v WHERE value >= 1 ORDER BY value DESC, k"
 
 
 @book.sql
