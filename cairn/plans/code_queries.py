@@ -206,12 +206,12 @@ def agg07_counts(d: Spark) -> str:
 
 @book.sql
 def agg08_src39_harvest(d: Spark) -> str:
-    """Top languages and folders of each repository, and the repositories it depends on."""
+    """Top languages and folders of each repository, and all repositories it depends on."""
     repo = d.ext("path", "^([^/]+)/", 1)
     return f"""SELECT repo, what, name, n FROM (SELECT *, row_number() OVER (PARTITION BY repo, what ORDER BY n DESC, name) AS k FROM (
         SELECT {repo} AS repo, 'language' AS what, language AS name, count(*) AS n FROM {files(d)} f WHERE language IS NOT NULL GROUP BY {repo}, language
         UNION ALL SELECT {repo}, 'folder', {d.ext('path', '^[^/]+/([^/]+)/', 1)}, count(*) FROM {files(d)} f GROUP BY {repo}, {d.ext('path', '^[^/]+/([^/]+)/', 1)}
-        UNION ALL SELECT {repo}, 'depends', {d.ext('target', '^([^/]+)/', 1)}, count(*) FROM {imports(d)} i WHERE {repo} <> {d.ext('target', '^([^/]+)/', 1)} GROUP BY {repo}, {d.ext('target', '^([^/]+)/', 1)}) u) t WHERE k <= CASE what WHEN 'language' THEN 4 ELSE 10 END"""
+        UNION ALL SELECT {repo}, 'depends', {d.ext('target', '^([^/]+)/', 1)}, count(*) FROM {imports(d)} i WHERE {repo} <> {d.ext('target', '^([^/]+)/', 1)} GROUP BY {repo}, {d.ext('target', '^([^/]+)/', 1)}) u) t WHERE what = 'depends' OR k <= CASE what WHEN 'language' THEN 4 ELSE 10 END"""
 
 
 @book.sql

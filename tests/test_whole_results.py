@@ -1,5 +1,7 @@
 """Queries give all that their operator has, against plain versions."""
 
+import pandas as pd
+
 from cairn.plans import registry
 
 DATA = "/root/testdata/sf0.1"
@@ -14,3 +16,15 @@ def test_all_candidates(spark):
     want = {k for k, _, value, _ in rows(spark, "mth06_10_19_20_values") if value >= 1}
     assert len(got) > 100 and {k for k, _ in got} == want
     assert got == sorted(got, key=lambda r: (-r[1], r[0]))
+
+
+def test_all_dependencies(spark):
+    from cairn.plans.code_queries import imports
+    from cairn.plans.dialect import ask
+
+    links = ask(spark, DATA, lambda d: f"SELECT path, target FROM {imports(d)} i").collect()
+    want = {(r.path.split("/")[0], r.target.split("/")[0]) for r in links if "/" in r.path and "/" in r.target}
+    got = rows(spark, "agg08_src39_harvest")
+    assert {(repo, name) for repo, what, name, _ in got if what == "depends"} == {(a, b) for a, b in want if a != b}
+    most = pd.DataFrame(got, columns=["repo", "what", "name", "n"]).groupby(["what", "repo"]).size().groupby("what").max()
+    assert most["language"] <= 4 and most["folder"] <= 10 < most["depends"]
