@@ -203,7 +203,7 @@ def rwr04_flt17_reports(d: Spark) -> str:
 def rwr05_06_marked_blocks(d: Spark) -> str:
     """Texts with the first fenced block replaced by a note, else the note put behind; on one line."""
     note = "<kept elsewhere>"
-    return f"SELECT doc_id, left(CASE WHEN {d.match('text', W.FENCE)} THEN {d.sub('text', W.FENCE, note)} ELSE concat(text, ' ', {d.lit(note)}) END, 4000) AS text FROM {texts(d)} t"
+    return f"SELECT doc_id, CASE WHEN {d.match('text', W.FENCE)} THEN {d.sub('text', W.FENCE, note)} ELSE concat(text, ' ', {d.lit(note)}) END AS text FROM {texts(d)} t"
 
 
 @book.sql

@@ -28,3 +28,10 @@ def test_all_dependencies(spark):
     assert {(repo, name) for repo, what, name, _ in got if what == "depends"} == {(a, b) for a, b in want if a != b}
     most = pd.DataFrame(got, columns=["repo", "what", "name", "n"]).groupby(["what", "repo"]).size().groupby("what").max()
     assert most["language"] <= 4 and most["folder"] <= 10 < most["depends"]
+
+
+def test_whole_merged_texts(spark):
+    docs = pd.read_parquet(f"{DATA}/documents.parquet", columns=["doc_id", "text"]).dropna(subset=["text"])
+    want = sorted((i, t + " <kept elsewhere>") for i, t in zip(docs.doc_id, docs.text.str.replace("\r", "")) if "```" not in t)
+    got = sorted(r for r in rows(spark, "rwr05_06_marked_blocks") if r[0] in {i for i, _ in want})
+    assert max(len(t) for _, t in want) > 4000 and got == want
