@@ -321,9 +321,11 @@ def win06_07_flt03_context(d: Spark) -> str:
 
 @book.sql
 def flt04_line_ranges(d: Spark) -> str:
-    """The lines that noted events name, with at most 400 after each."""
-    return f"""SELECT e.run_id, e.signature, l.line_no FROM (SELECT run_id, signature, min(x) AS a FROM (SELECT run_id, signature, lines FROM log_events WHERE lines IS NOT NULL) t {d.unnest('lines', 'x')} GROUP BY run_id, signature) e
-        JOIN (SELECT DISTINCT run_id, line_no FROM log_lines) l ON l.run_id = e.run_id AND l.line_no BETWEEN e.a AND e.a + 3"""
+    """The lines that noted events name, each with those up to the next noted one of its run, 400 at most."""
+    return f"""WITH e AS (SELECT DISTINCT run_id, signature, x AS a FROM (SELECT run_id, signature, lines FROM log_events WHERE lines IS NOT NULL AND run_id IS NOT NULL) t {d.unnest('lines', 'x')}), n AS (SELECT DISTINCT run_id, a FROM e WHERE a IS NOT NULL),
+        m AS (SELECT coalesce(l.run_id, n.run_id) AS run_id, coalesce(l.line_no, n.a) AS x, l.line_no, n.a FROM (SELECT DISTINCT run_id, line_no FROM log_lines) l FULL OUTER JOIN n ON n.run_id = l.run_id AND n.a = l.line_no),
+        s AS (SELECT run_id, line_no, max(a) OVER (PARTITION BY run_id ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS a FROM m)
+        SELECT e.run_id, e.signature, s.line_no FROM s JOIN e ON e.run_id = s.run_id AND e.a = s.a WHERE s.line_no - s.a < 400"""
 
 
 @book.sql

@@ -1,5 +1,7 @@
 """Queries give all that their operator has, against plain versions."""
 
+import glob
+
 import pandas as pd
 
 from cairn.plans import registry
@@ -35,3 +37,22 @@ def test_whole_merged_texts(spark):
     want = sorted((i, t + " <kept elsewhere>") for i, t in zip(docs.doc_id, docs.text.str.replace("\r", "")) if "```" not in t)
     got = sorted(r for r in rows(spark, "rwr05_06_marked_blocks") if r[0] in {i for i, _ in want})
     assert max(len(t) for _, t in want) > 4000 and got == want
+
+
+def test_whole_line_ranges(spark, tmp_path):
+    lines = [("r", k) for k in [*range(1, 30), *range(31, 900)]] + [("q", 1), ("r", 7)]
+    events = [("r", "s", [3, 9]), ("r", "s", [20]), ("r", "t", [9]), ("r", "u", [30, 30]), ("q", "s", None), ("x", "s", [1]), ("r", "v", [None])]
+    want = set()
+    starts = sorted({x for r, _, a in events if r == "r" for x in a or [] if x})
+    for r, s, a in events:
+        for x in a or []:
+            if x:
+                upto = min([y for y in starts if y > x] + [x + 400])
+                want |= {(r, s, k) for run, k in lines if run == r and x <= k < min(upto, x + 400)}
+    for t in glob.glob("/root/testdata/sf0.001/*.parquet"):
+        (tmp_path / t.rsplit("/", 1)[1]).symlink_to(t)
+    for name, df in (("log_lines", spark.createDataFrame([(*x, "") for x in lines], "run_id string, line_no int, text string")), ("log_events", spark.createDataFrame(events, "run_id string, signature string, lines array<int>"))):
+        (tmp_path / f"{name}.parquet").unlink()
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = rows(spark, "flt04_line_ranges", str(tmp_path))
+    assert len(got) == len(want) and set(got) == want
