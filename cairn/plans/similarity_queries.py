@@ -132,12 +132,16 @@ def jon28_set11_links(d: Spark) -> str:
 
 @book.sql
 def jon29_30_note_retrieval(d: Spark) -> str:
-    """The five notes that share most rare words with each task text."""
-    notes = f"(SELECT doc_id, w FROM (SELECT doc_id, text FROM documents WHERE source = 'shared-notes' AND text IS NOT NULL) t {d.unnest(W.note_words(d, 'text'), 'w')})"
-    return f"""WITH n AS (SELECT doc_id, w FROM {notes} x), f AS (SELECT w, count(*) AS df FROM n GROUP BY w), c AS (SELECT count(DISTINCT doc_id) AS n FROM n),
-        q AS (SELECT item_id, w FROM (SELECT item_id, text FROM eval_items) t {d.unnest(W.note_words(d, 'text'), 'w')}),
-        s AS (SELECT q.item_id, n.doc_id, count(*) AS shared FROM q JOIN n ON n.w = q.w JOIN f ON f.w = q.w CROSS JOIN c WHERE f.df * 3 <= c.n GROUP BY q.item_id, n.doc_id HAVING count(*) >= 2)
-        SELECT item_id, doc_id, shared FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id) AS k FROM s) t WHERE k <= 5"""
+    """The five notes of each store (source) that share most rare words and paths with each task text; k is their place with the stores one after another."""
+    docs = "(SELECT doc_id, coalesce(source, '') AS store, text FROM documents WHERE text IS NOT NULL)"
+    paths = d.distinct(d.all("text", r"[A-Za-z0-9_.-]+(?:/[A-Za-z0-9_.-]+)*/[A-Za-z0-9_-]+[.][a-z]+"))
+    q = lambda x: f"(SELECT item_id, w FROM (SELECT item_id, text FROM eval_items WHERE text IS NOT NULL) t {d.unnest(x, 'w')})"
+    n = lambda x: f"(SELECT store, doc_id, w FROM {docs} t {d.unnest(x, 'w')})"
+    return f"""WITH q AS (SELECT * FROM {q(W.note_words(d, 'text'))} x), p AS (SELECT * FROM {q(paths)} x), c AS (SELECT store, count(*) AS n FROM {docs} t GROUP BY store),
+        f AS (SELECT store, doc_id, n.w, count(*) OVER (PARTITION BY store, n.w) AS df FROM {n(W.note_words(d, 'text'))} n JOIN (SELECT DISTINCT w FROM q) v ON v.w = n.w),
+        s AS (SELECT item_id, store, doc_id, {d.big('sum(worth)')} AS shared FROM (SELECT q.item_id, f.store, f.doc_id, 1 AS worth FROM f JOIN c ON c.store = f.store JOIN q ON q.w = f.w WHERE c.n < 4 OR f.df * 3 <= c.n
+            UNION ALL SELECT p.item_id, n.store, n.doc_id, 3 FROM {n(paths)} n JOIN p ON p.w = n.w) t GROUP BY item_id, store, doc_id HAVING sum(worth) >= 2)
+        SELECT item_id, store, doc_id, shared, {d.big('row_number() OVER (PARTITION BY item_id ORDER BY store, k)')} AS k FROM (SELECT *, row_number() OVER (PARTITION BY item_id, store ORDER BY shared DESC, doc_id) AS k FROM s) t WHERE k <= 5"""
 
 
 @book.sql

@@ -56,3 +56,15 @@ def test_whole_line_ranges(spark, tmp_path):
         df.write.parquet(str(tmp_path / f"{name}.parquet"))
     got = rows(spark, "flt04_line_ranges", str(tmp_path))
     assert len(got) == len(want) and set(got) == want
+
+
+def test_notes_of_all_stores(spark, tmp_path):
+    for t in glob.glob("/root/testdata/sf0.001/*.parquet"):
+        (tmp_path / t.rsplit("/", 1)[1]).symlink_to(t)
+    docs = [(1, "b", "walrus tundra glacier"), (2, "b", "walrus tundra"), (3, "a", "see src/main/grid.py"), (4, None, "walrus tundra"), *((10 + k, "c", "walrus tundra filler") for k in range(6)), (5, "a", "walrus"), (6, "a", None)]
+    for name, df in (("documents", spark.createDataFrame(docs, "doc_id bigint, source string, text string")), ("eval_items", spark.createDataFrame([("i", "suite", "walrus tundra glacier in src/main/grid.py")], "item_id string, suite string, text string"))):
+        (tmp_path / f"{name}.parquet").unlink()
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = sorted(rows(spark, "jon29_30_note_retrieval", str(tmp_path)), key=lambda r: r[4])
+    # words of over a third of the notes count only in stores of under four
+    assert [r[:4] for r in got] == [("i", "", 4, 2), ("i", "a", 3, 6), ("i", "b", 1, 3), ("i", "b", 2, 2)]
