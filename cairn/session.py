@@ -29,28 +29,28 @@ def session(app: str = "cairn", master: str | None = None, partitions: int | Non
 def shared_root(spark: SparkSession) -> str:
     """The folder all executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where that is unset (tests on one machine) a folder of our own is taken and set.
+    Only where that is unset and the master is this machine (tests) a folder of our own is
+    taken; on a cluster it has to be set.
     """
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    where = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if where is None:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        held = sc._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="cairn-shared-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(where)
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(where)
     return where
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new folder name below the shared root."""
-    return f"{shared_root(spark).rstrip('/')}/cairn-{label}-{uuid.uuid4().hex[:12]}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the shared folder, without its lineage; survives lost executors."""
-    shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """A new folder name below the shared root; :func:`release` deletes it."""
+    path = f"{shared_root(spark).rstrip('/')}/cairn-{label}-{uuid.uuid4().hex[:12]}"
+    spark.sparkContext.__dict__.setdefault("_cairn_paths", []).append(path)
+    return path
 
 
 def written(df: DataFrame, label: str, by: str | None = None) -> tuple[DataFrame, str]:
@@ -65,11 +65,27 @@ def written(df: DataFrame, label: str, by: str | None = None) -> tuple[DataFrame
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def hadoop(spark: SparkSession, path: str) -> tuple:
+    """The file system of a path and the path as it knows it; asking them takes no job."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path is there, asked of the file system without a job."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    """Whether a path is there."""
+    fs, at = hadoop(spark, path)
+    return fs.exists(at)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the tables that this session's operators wrote into the shared folder.
+
+    Results that are still to be computed read them, so call it when results are stored.
+    """
+    sc = spark.sparkContext
+    for path in sc.__dict__.pop("_cairn_paths", []):
+        fs, at = hadoop(spark, path)
+        fs.delete(at, True)
 
 
 def ship(spark: SparkSession) -> None:

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from cairn.streaming.deliveries import copies, deliveries
+from cairn.streaming.deliveries import DeliveryStore, copies, deliveries
 
 
 def message(i, n=None, quoted=False):
@@ -48,12 +48,50 @@ def test_batches_expiry_and_late_copies(spark, tmp_path):
     where = f"{tmp_path}/in"
     write(spark, where, [ROWS[:5], ROWS[5:11], ROWS[11:14], ROWS[14:18], ROWS[18:] + ROWS[:2]])
     schema = spark.read.parquet(where).schema
-    for horizon in ("interval 1 hours", "interval 30 days"):
-        store = deliveries(spark, where, schema, horizon=horizon, files=1)
+    for horizon, steps in ((3600, 4), (30 * 86_400, 4), (3600, 1), (1, 9)):
+        store = deliveries(spark, where, schema, horizon_s=horizon, files=1, steps=steps)
         assert {tuple(r) for r in store.dropped().collect()} == want(ROWS)
         kept = {r.message_id: r.line_id for r in store.kept().collect()}
         assert kept == {"a": 12, "b": 4, "c": 14, "d": 13, "A": 15, "e": 20}
-    assert store._store(store._committed(), True).count() == 0
+    assert {lv for lv, _ in store.committed()["segments"]} & {1, 2}  # segments were merged
+
+
+def test_archive_is_looked_up(spark, tmp_path):
+    """Ids that come back long after they expired, in steps that all read the store before them."""
+    at = datetime(2026, 1, 1)
+    rows = [(k, message(f"m{k % 150}", (k * 7) % 11), at + timedelta(days=k)) for k in range(400)]
+    spark.createDataFrame(rows, "line_id bigint, message string, received_at timestamp").coalesce(1).write.parquet(f"{tmp_path}/in")
+    schema = spark.read.parquet(f"{tmp_path}/in").schema
+    for steps in (4, 16):
+        store = deliveries(spark, f"{tmp_path}/in", schema, steps=steps)
+        assert {tuple(r) for r in store.dropped().collect()} == want([(a, b) for a, b, _ in rows])
+        done = store.committed()
+        assert done["step"] == steps - 1 and done["segments"] and len(done["segments"]) <= 3 * 2
+
+
+def test_step_is_taken_again(spark, tmp_path):
+    """A step that was interrupted before its commit is done again over the same names."""
+    where = f"{tmp_path}/in"
+    write(spark, where, [ROWS])
+    lines = spark.read.parquet(where)
+    store = DeliveryStore(spark, f"file://{tmp_path}/root", 3600, 4)
+    commit, seen = store._commit, []
+
+    def stop(state):
+        seen.append(state["step"])
+        if seen == [0, 1]:
+            raise RuntimeError("lost")
+        commit(state)
+
+    store._commit = stop
+    try:
+        store.take(lines, 0)
+    except RuntimeError:
+        pass
+    assert store.committed()["of"] == 1
+    store.take(lines, 0)
+    assert seen == [0, 1, 1, 2, 3]
+    assert {tuple(r) for r in store.dropped().collect()} == want(ROWS)
 
 
 def test_goes_on_where_it_stopped(spark, tmp_path):
