@@ -94,18 +94,20 @@ def documented_pairs(symbols: DataFrame, files: DataFrame) -> DataFrame:
     return one.join(d, "path").select("content", "items").mapInArrow(_cut, "id string, qualname string, type string, doc string, code string")
 
 
-_PIECE = "id string, piece int, start_line int, end_line int, start_char int, end_char int, tokens int, text string"
+_PIECE = "id string, piece int, start_line int, end_line int, start_char int, end_char int, tokens int, text string, depth double, deepest double"
 
 
 def split_symbols(symbols: DataFrame, files: DataFrame, limit: int = 800, overlap: int = 3, text: bool = True) -> DataFrame:
-    """Pieces of the symbols of more than ``limit`` tokens: id, piece, start_line, end_line, start_char, end_char, tokens, text.
+    """Pieces of the symbols of more than ``limit`` tokens: id, piece, start_line, end_line, start_char, end_char, tokens, text, depth, deepest.
 
     A piece is a run of whole lines of at most ``limit`` tokens (a quarter of their
     characters) and begins with the last ``overlap`` lines of the one before.  Lexical
     cohesion is measured at every line gap of the file: blocks of lines on either side are
     compared by their words, and the valleys of the similarity mark boundaries; a piece
-    ends at the deepest valley in its size window, blank lines and shallow indents
-    deepening it.  A line too long by itself is cut inside (start_char and end_char).
+    ends at the deepest valley that lies at a natural boundary of its size window (a blank
+    line or a lone closing bracket), at the deepest of any line where the window has none.
+    ``depth`` is that of the valley taken and ``deepest`` that of the deepest such gap, null
+    where there was no choice.  A line too long by itself is cut inside (start_char and end_char).
 
     Defined results: the size is ``tokens`` where positive, else a quarter of the
     characters of the symbol's lines, rounded half to even, at least 1; without both it
@@ -127,7 +129,21 @@ def split_symbols(symbols: DataFrame, files: DataFrame, limit: int = 800, overla
                 rows = list(pieces(content, [(i["id"], i["start_line"], i["end_line"], i["size"]) for i in items], limit, overlap, text))
                 if rows:
                     c = list(zip(*rows))
-                    kinds = [pa.string(), *[pa.int32()] * 6, pa.string()]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, kinds)], names=["id", "piece", "start_line", "end_line", "start_char", "end_char", "tokens", "text"])
+                    kinds = [pa.string(), *[pa.int32()] * 6, pa.string(), pa.float64(), pa.float64()]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, kinds)], names=["id", "piece", "start_line", "end_line", "start_char", "end_char", "tokens", "text", "depth", "deepest"])
 
     return groups.join(one, "path", "left").select("content", "items").mapInArrow(run, _PIECE)
+
+
+def rebuilt(parts: DataFrame) -> DataFrame:
+    """id and the text that the pieces of :func:`split_symbols` give without what they repeat.
+
+    Symbols without lines (no content) give no row.  A symbol's pieces meet in one row, as
+    large as the symbol.
+    """
+    before = F.lag("end_line").over(Window.partitionBy("id").orderBy("piece"))
+    p = parts.where("start_line is not null").withColumn("before", before)
+    again = F.greatest(F.lit(0), F.coalesce(F.col("before") + 1 - F.col("start_line"), F.lit(0)))
+    own = F.when(F.col("start_char") > 0, F.col("text")).otherwise(F.concat(F.when(F.col("piece") > 0, F.lit("\n")).otherwise(F.lit("")), F.array_join(F.expr("slice(split(text, '\n', -1), again + 1, 1000000)"), "\n")))
+    p = p.withColumn("again", again).select("id", F.struct("piece", own.alias("own")).alias("x"))
+    return p.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x.own), "").alias("text"))

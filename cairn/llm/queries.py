@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.code import documented, documented_pairs, split_symbols
+from cairn.llm.code import documented, documented_pairs, rebuilt, split_symbols
 from cairn.llm.contamination import contamination
 from cairn.llm.encodings import garbled, repair
 from cairn.llm.mixing import mix_report, mix_schedule
@@ -32,6 +32,17 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_symbols(load(spark, d, "symbols"), load(spark, d, "source_files"))
 
 
+def p2_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """A hash of what the pieces of each symbol make up."""
+    return rebuilt(split_symbols(load(spark, d, "symbols"), load(spark, d, "source_files"))).select("id", F.sha2("text", 256).alias("hash"))
+
+
+def p2_cuts(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces over the limit and cuts that left a deeper valley of their window: 0 of both."""
+    p = split_symbols(load(spark, d, "symbols"), load(spark, d, "source_files"), text=False)
+    return p.agg(F.count_if(F.expr("start_line is not null and tokens > 800")).alias("n_over"), F.count_if(F.col("depth") < F.col("deepest")).alias("n_shallow"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents and the items they leak."""
     return contamination(load(spark, d, "documents"), load(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
@@ -63,11 +74,16 @@ def p9_repaired(spark: SparkSession, d: str) -> DataFrame:
     return repair(load(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_pieces, p7_found, p7_items, p8_report, p8_schedule, p9_found, p9_repaired)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_pieces, p2_rebuilt, p2_cuts, p7_found, p7_items, p8_report, p8_schedule, p9_found, p9_repaired)}
 
 ORACLES = {
     "p2_found": "WITH s AS (SELECT DISTINCT id, path, start_line, end_line, tokens FROM symbols WHERE id IS NOT NULL), "
     "f AS (SELECT path, max(content) AS content FROM source_files WHERE content IS NOT NULL GROUP BY path) "
     "SELECT DISTINCT id FROM s LEFT JOIN f USING (path) WHERE CASE WHEN tokens > 0 THEN tokens "
     "ELSE greatest(1, round_even(length(array_to_string(string_split(content, chr(10))[start_line:end_line], chr(10))) / 4.0, 0)) END > 800",
+    "p2_rebuilt": "WITH s AS (SELECT id, path, start_line, end_line, tokens FROM symbols WHERE id IS NOT NULL GROUP BY ALL), "
+    "f AS (SELECT path, string_split(max(content), chr(10)) AS ls FROM source_files WHERE content IS NOT NULL GROUP BY path), "
+    "t AS (SELECT id, tokens, array_to_string(ls[greatest(1, start_line):least(len(ls), end_line)], chr(10)) AS x FROM s JOIN f USING (path)) "
+    "SELECT DISTINCT id, sha256(x) AS hash FROM t WHERE CASE WHEN tokens > 0 THEN tokens ELSE greatest(1, round_even(length(x) / 4.0, 0)) END > 800",
+    "p2_cuts": "SELECT 0::BIGINT AS n_over, 0::BIGINT AS n_shallow",
 }

@@ -12,7 +12,7 @@ BLOCK = 8
 #: A piece is filled to at least this share of the limit before it may end.
 FILL = 0.5
 
-_WORD = re.compile(r"[A-Za-z]+")
+_WORD = re.compile(r"[^\W\d_]+")
 
 
 def estimate(chars: int) -> int:
@@ -57,11 +57,12 @@ def _cosines(words: list[list[int]], n_words: int) -> np.ndarray:
     return out
 
 
-def valleys(lines: list[str]) -> np.ndarray:
-    """How deep the valley of cohesion is after each line; blank lines and shallow indents deepen it.
+def valleys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """How deep the valley of cohesion is after each line, and whether the code has a natural boundary there.
 
     The words of the two blocks around a gap are compared by cosine; the depth is how far
-    the similarity lies below the nearest peaks on both sides.
+    the similarity lies below the nearest peaks on both sides.  Blank lines and lone closing
+    brackets are natural boundaries, as paragraphs are for prose.
     """
     n = len(lines)
     seen: dict[str, int] = {}
@@ -75,22 +76,20 @@ def valleys(lines: list[str]) -> np.ndarray:
         after[:-k] = np.maximum(after[:-k], sim[k:])
     depth = (peak - sim) + (after - sim)
     blank = np.array([not x.strip() for x in lines], bool)
-    indent = np.array([len(x) - len(x.lstrip()) if x.strip() else 99 for x in lines])
-    follows = np.append(indent[1:], 0)
     closing = np.array([x.strip() in ("}", "};", "})", ")", "]") for x in lines], bool)
-    return depth + 1.0 * blank + np.where(follows < 99, np.maximum(0, 8 - follows) / 8, 0) + 0.3 * closing
+    return depth, blank | np.append(blank[1:], True) | closing
 
 
 def pieces(content: str | None, items: list[tuple[str, int | None, int | None, int | None]], limit: int, overlap: int, text: bool) -> Iterator[tuple]:
-    """(id, piece, start_line, end_line, start_char, end_char, tokens, text) of the items of one file over the limit."""
+    """(id, piece, start_line, end_line, start_char, end_char, tokens, text, depth, deepest) of the items of one file over the limit."""
     if content is None:
         for i, _, _, size in items:
             if size is not None and size > limit:
-                yield i, 0, None, None, None, None, size, None
+                yield i, 0, None, None, None, None, size, None, None, None
         return
     lines = content.split("\n")
     total = np.concatenate([[0], np.cumsum([len(x) + 1 for x in lines])])
-    depth = None
+    found = None
     for i, a, b, size in items:
         a, b = max(1, a or 1), min(len(lines), b or a or 1)
         if size is None:
@@ -100,14 +99,14 @@ def pieces(content: str | None, items: list[tuple[str, int | None, int | None, i
         if size <= limit:
             continue
         if a > b:
-            yield i, 0, None, None, None, None, size, None
+            yield i, 0, None, None, None, None, size, None, None, None
             continue
-        if depth is None:
-            depth = valleys(lines)
-        yield from ((i, *p) for p in _split(lines, total, depth, a, b, limit, overlap, text))
+        if found is None:
+            found = valleys(lines)
+        yield from ((i, *p) for p in _split(lines, total, *found, a, b, limit, overlap, text))
 
 
-def _split(lines: list[str], total: np.ndarray, depth: np.ndarray, a: int, b: int, limit: int, overlap: int, text: bool) -> Iterator[tuple]:
+def _split(lines: list[str], total: np.ndarray, depth: np.ndarray, natural: np.ndarray, a: int, b: int, limit: int, overlap: int, text: bool) -> Iterator[tuple]:
     most = 4 * limit + 2  # characters that still round to the limit
     while estimate(most) > limit:
         most -= 1
@@ -124,7 +123,7 @@ def _split(lines: list[str], total: np.ndarray, depth: np.ndarray, a: int, b: in
                 room = most - (size(begin, new - 1) + 1 if begin < new else 0)
                 upto = min(len(line), at + room)
                 part = "\n".join([*lines[begin - 1 : new - 1], line[at:upto]])
-                yield k, begin, new, at if begin == new else 0, upto, estimate(len(part)), part if text else None
+                yield k, begin, new, at if begin == new else 0, upto, estimate(len(part)), part if text else None, None, None
                 k, at, begin = k + 1, upto, new
             new += 1
             begin = new
@@ -132,13 +131,18 @@ def _split(lines: list[str], total: np.ndarray, depth: np.ndarray, a: int, b: in
         # the last line that still fits
         end = int(np.searchsorted(total, total[begin - 1] + most + 1, "right")) - 1
         end = min(end, b)
+        here = deepest = None
         if end < b:
             low = int(np.searchsorted(total, total[begin - 1] + int(most * FILL), "left"))
             low = min(max(low, new), end)
-            window = depth[low - 1 : end]
-            end = low + int(len(window) - 1 - np.argmax(window[::-1]))
+            gaps = np.arange(low - 1, end)  # boundaries lie at natural gaps; where the window has none, any line will do
+            own = gaps[natural[low - 1 : end]]
+            gaps = own if len(own) else gaps
+            deepest = float(depth[gaps].max())
+            end = int(gaps[depth[gaps] == deepest][-1]) + 1
+            here = float(depth[end - 1])
         n = size(begin, end)
-        yield k, begin, end, 0, len(lines[end - 1]), estimate(n), "\n".join(lines[begin - 1 : end]) if text else None
+        yield k, begin, end, 0, len(lines[end - 1]), estimate(n), "\n".join(lines[begin - 1 : end]) if text else None, here, deepest
         k += 1
         new = end + 1
         begin = max(a, new - overlap)

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from cairn.llm.code import documented, documented_pairs, split_symbols
+from cairn.llm.code import documented, documented_pairs, rebuilt, split_symbols
 from cairn.llm.codespans import cpp_spans
 from cairn.llm.docwords import described
 from cairn.llm.segment import BLOCK, estimate, valleys
@@ -188,6 +188,7 @@ def test_pieces(spark):
     assert set(by) == {"big", "part", "edge", "lost", "past", "open"}
     check_pieces(by["big"], content, 1, 900, 800, 3)
     check_pieces(by["part"], content, 290, 420, 800, 3)
+    assert {r.id: r.text for r in rebuilt(split_symbols(df, files)).collect() if r.id in ("big", "part")} == {"big": content, "part": "\n".join(lines[289:420])}
     assert len(by["edge"]) == 1 and by["lost"][0].start_line is None and by["past"][0].text is None
     free = [r for r in by["big"] if r.end_line < 900 and r.end_line not in (300, 301, 302)]  # elsewhere the long lines leave no choice
     natural = sum(not lines[r.end_line - 1].strip() or not lines[r.end_line].strip() or lines[r.end_line - 1] == "}" for r in free)
@@ -210,7 +211,22 @@ def test_cohesion_counts_every_word():
 
     sim = [cosine(k) for k in range(1, len(lines) + 1)]
     want = [max(sim[max(0, i - BLOCK) : i + 1]) + max(sim[i : i + BLOCK + 1]) - 2 * x for i, x in enumerate(sim)]
-    want[-1] += 1  # nothing follows the last line
-    assert valleys(lines).tolist() == pytest.approx(want)
+    assert valleys(lines)[0].tolist() == pytest.approx(want)
     for short in ([""], ["a"], ["a b", "a"], ["x"] * 20):
-        assert len(valleys(short)) == len(short)
+        assert len(valleys(short)[0]) == len(valleys(short)[1]) == len(short)
+
+
+def test_cuts_lie_at_the_deepest_valley(spark):
+    """Blocks of their own words between blank lines: the cut is where the words change, not at any blank line."""
+    topic = lambda k: [f"    {a}{k} = load({b}{k}, {c}{k})" if j % 5 else "" for j, (a, b, c) in enumerate([("alpha", "beta", "gamma"), ("beta", "delta", "alpha"), ("gamma", "alpha", "delta")] * 9)]
+    lines = [x for k in ("one", "two", "three", "four", "five", "six") for x in topic(k)]
+    symbols = spark.createDataFrame([("big", "f.py", "big", "big", "class", 1, len(lines), None, None, None)], SYM)
+    files = spark.createDataFrame([("f.py", "python", "\n".join(lines), None)], FILE)
+    rows = split_symbols(symbols, files, limit=300).orderBy("piece").collect()
+    chosen = [r for r in rows if r.deepest is not None]
+    assert len(chosen) >= 4 and all(r.depth == r.deepest for r in chosen)
+    assert all(abs(r.end_line % 27) <= 1 or r.end_line % 27 == 26 for r in chosen)
+    flat = spark.createDataFrame([("f.py", "python", "\n".join(x or "    x = 1" for x in lines), None)], FILE)
+    assert all(r.depth == r.deepest for r in split_symbols(symbols, flat, limit=300).collect() if r.deepest is not None)
+    whole = rebuilt(split_symbols(symbols, files, limit=300)).first().text
+    assert whole == "\n".join(lines)
