@@ -16,28 +16,37 @@ FUNCTIONS = ("function", "method", "async_function", "async_method", "async func
 
 
 def _files(files: DataFrame) -> DataFrame:
-    """One row per path that has content: path, language, content."""
+    """Rows with path and content: path, language, content, h. Of contents of one path that with the greatest hash h counts."""
     src = files.select(F.col("path").cast("string").alias("path"), F.col("language").cast("string").alias("language"), F.col("content").cast("string").alias("content"))
-    return src.where("path is not null and content is not null")
+    return src.where("path is not null and content is not null").withColumn("h", F.xxhash64("content"))
 
 
-def _symbols(symbols: DataFrame) -> DataFrame:
-    """One row per id: the greatest of rows that repeat it."""
+def _contents(files: DataFrame) -> DataFrame:
+    """path and the content that counts."""
+    return _files(files).groupBy("path").agg(F.max_by("content", "h").alias("content"))
+
+
+def _symbols(symbols: DataFrame, only: tuple[str, ...] = ()) -> DataFrame:
+    """One row per id: the greatest of rows that repeat it, of those of ``only`` these types."""
     cols = {"path": "string", "name": "string", "qualname": "string", "type": "string", "start_line": "int", "end_line": "int", "tokens": "int"}
-    s = symbols.select(F.col("id").cast("string").alias("id"), F.struct(*[F.col(c).cast(t).alias(c) for c, t in cols.items()]).alias("s"))
+    s = symbols.where(F.lower(F.trim(F.col("type").cast("string"))).isin(*only)) if only else symbols
+    s = s.select(F.col("id").cast("string").alias("id"), F.struct(*[F.col(c).cast(t).alias(c) for c, t in cols.items()]).alias("s"))
     return s.where("id is not null").groupBy("id").agg(F.max("s").alias("s")).select("id", "s.*")
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for path, lang, text in zip(*(b.column(i).to_pylist() for i in range(3))):
+        rows, at = [], []
+        for k, (path, lang, text) in enumerate(zip(*(b.column(i).to_pylist() for i in range(3)))):
             python = is_python(path, lang)
-            rows = list((python_spans if python else cpp_spans)(text))
-            if rows:
-                kind, line, pos, after, doc = zip(*rows)
-                n = len(rows)
-                cols = [pa.array([path] * n), pa.array([python] * n), pa.array([k == "head" for k in kind]), pa.array(line, pa.int32()), pa.array(pos, pa.int64()), pa.array(after, pa.int64()), pa.array(doc, pa.string())]
-                yield pa.RecordBatch.from_arrays(cols, names=["path", "python", "head", "line", "pos", "after", "doc"])
+            for kind, line, pos, after, doc in (python_spans if python else cpp_spans)(text):
+                # Of a head the line it begins on, of a span what it has to follow; in Python positions count from the end.
+                rows.append((line if kind == "head" else None, -pos if python else pos, None if kind == "head" else after, doc))
+                at.append(k)
+        if rows:
+            line, pos, after, doc = zip(*rows)
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(3).take(take), pa.array(line, pa.int32()), pa.array(pos, pa.int64()), pa.array(after, pa.int64()), pa.array(doc, pa.string())], names=["path", "h", "line", "k", "after", "doc"])
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,19 +68,23 @@ def documented(symbols: DataFrame, files: DataFrame) -> DataFrame:
     of a file without content give nothing; case and blanks of ``type`` don't matter;
     repeated rows count once; the ``doc`` of the table isn't used; other columns aren't read.
 
-    Scale: file contents are mapped where they are read and never shuffled; one window over
-    each path, whose rows are bounded by the lines of one file.
+    Scale: file contents are mapped where they are read, once, and never shuffled; spans, heads
+    and functions meet in one exchange by path, whose rows are bounded by the lines of one file.
     """
-    s = _symbols(symbols).where(F.lower(F.trim("type")).isin(*FUNCTIONS) & F.col("path").isNotNull() & F.col("start_line").isNotNull())
-    spans = _files(files).mapInArrow(_spans, "path string, python boolean, head boolean, line int, pos bigint, after bigint, doc string").distinct()
-    heads = spans.where("head").select("path", F.col("line").alias("start_line"), F.col("pos").alias("end_of_head")).dropDuplicates(["path", "start_line"])
-    key = F.when(F.col("python"), -F.col("pos")).otherwise(F.col("pos"))
-    docs = spans.where("not head").select("path", key.alias("k"), F.lit(0).alias("own"), F.struct("after", "doc").alias("span"), F.lit(None).cast("bigint").alias("pos"), F.lit(None).cast("struct<id:string,name:string,qualname:string,type:string,start_line:int,end_line:int>").alias("f"))
-    funcs = s.join(heads, ["path", "start_line"], "left")
-    own = F.coalesce("end_of_head", F.col("start_line").cast("bigint"))
-    funcs = funcs.select("path", F.when(F.col("end_of_head").isNotNull(), -own).otherwise(own).alias("k"), F.lit(-1).alias("own"), F.lit(None).cast("struct<after:bigint,doc:string>").alias("span"), own.alias("pos"), F.struct("id", "name", "qualname", "type", "start_line", "end_line").alias("f"))
-    before = Window.partitionBy("path").orderBy("k", "own").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    near = docs.unionByName(funcs).withColumn("near", F.last("span", ignorenulls=True).over(before)).where(F.col("f").isNotNull() & (F.col("near.after") == F.col("pos")))
+    s = _symbols(symbols, FUNCTIONS).where("path is not null and start_line is not null")
+    spans = _files(files).mapInArrow(_spans, "path string, h bigint, line int, k bigint, after bigint, doc string")
+    f = F.struct("id", "name", "qualname", "type", "start_line", "end_line")
+    rows = spans.withColumn("f", F.lit(None).cast("struct<id:string,name:string,qualname:string,type:string,start_line:int,end_line:int>"))
+    rows = rows.unionByName(s.select("path", F.col("start_line").alias("line"), f.alias("f")), allowMissingColumns=True)
+    path = Window.partitionBy("path")
+    rows = rows.withColumn("h", F.coalesce("h", F.max("h").over(path))).withColumn("newest", F.max("h").over(path)).where("h = newest")
+    # A function begins where its head does; without a head (C++) at its line.
+    heads = path.orderBy("line").rangeBetween(Window.currentRow, Window.currentRow)
+    head = F.max(F.when(F.col("f").isNull() & F.col("line").isNotNull(), F.col("k"))).over(heads)
+    rows = rows.withColumn("k", F.when(F.col("f").isNotNull(), F.coalesce(head, F.col("line").cast("bigint"))).otherwise(F.col("k")))
+    rows = rows.where("f is not null or line is null")
+    before = path.orderBy("k", F.col("f").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = rows.withColumn("near", F.last(F.when(F.col("f").isNull(), F.struct("after", "doc")), ignorenulls=True).over(before)).where(F.col("f").isNotNull() & (F.col("near.after") == F.abs("k")))
     out = near.select("f.id", "path", "f.name", "f.qualname", "f.type", "f.start_line", "f.end_line", F.col("near.doc").alias("doc"))
     return out.mapInArrow(_described, out.schema)
 
@@ -90,8 +103,7 @@ def documented_pairs(symbols: DataFrame, files: DataFrame) -> DataFrame:
     A file's functions meet its content as one row, so content isn't repeated in a shuffle.
     """
     d = documented(symbols, files).groupBy("path").agg(F.collect_list(F.struct("id", "qualname", "type", "doc", "start_line", "end_line")).alias("items"))
-    one = _files(files).groupBy("path").agg(F.max("content").alias("content"))
-    return one.join(d, "path").select("content", "items").mapInArrow(_cut, "id string, qualname string, type string, doc string, code string")
+    return _contents(files).join(d, "path").select("content", "items").mapInArrow(_cut, "id string, qualname string, type string, doc string, code string")
 
 
 _PIECE = "id string, piece int, start_line int, end_line int, start_char int, end_char int, tokens int, text string, depth double, deepest double"
@@ -121,7 +133,7 @@ def split_symbols(symbols: DataFrame, files: DataFrame, limit: int = 800, overla
     s = _symbols(symbols).where("path is not null")
     s = s.where(f"tokens is null or tokens <= 0 or tokens > {limit}")
     groups = s.groupBy("path").agg(F.collect_list(F.struct("id", "start_line", "end_line", F.when(F.col("tokens") > 0, F.col("tokens")).alias("size"))).alias("items"))
-    one = _files(files).groupBy("path").agg(F.max("content").alias("content"))
+    one = _contents(files)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 _PY = re.compile(
     r"#[^\n]*|[rRuUbBfF]{0,2}(?:\"\"\"[^\"\\]*(?:(?:\\[\s\S]|\"(?!\"\"))[^\"\\]*)*\"\"\"|'''[^'\\]*(?:(?:\\[\s\S]|'(?!''))[^'\\]*)*'''|\"[^\"\\\n]*(?:\\[\s\S][^\"\\\n]*)*\"|'[^'\\\n]*(?:\\[\s\S][^'\\\n]*)*')"
 )
-_CPP = re.compile(r"//[^\n]*|/\*[\s\S]*?\*/|R\"(\w*)\([\s\S]*?\)\1\"|\"[^\"\\\n]*(?:\\[\s\S][^\"\\\n]*)*\"|'[^'\\\n]*(?:\\[\s\S][^'\\\n]*)*'")
+_CPP = re.compile(r"\b\d[\w.]*(?:'[\w.]+)+|//[^\n]*|/\*[\s\S]*?\*/|R\"(\w*)\([\s\S]*?\)\1\"|\"[^\"\\\n]*(?:\\[\s\S][^\"\\\n]*)*\"|'[^'\\\n]*(?:\\[\s\S][^'\\\n]*)*'")
 _HEAD = re.compile(r"(?m)^[ \t]*(?:async[ \t]+)?def[ \t]+\w+[ \t]*")
 _SIMPLE = re.compile(r"\([^()\[\]{}\"'#\n]*\)[ \t]*(?:->[ \t]*[\w.]+[ \t]*)?:")
 _PAIRED = re.compile(r"[()\[\]{}:]")

@@ -230,3 +230,16 @@ def test_cuts_lie_at_the_deepest_valley(spark):
     assert all(r.depth == r.deepest for r in split_symbols(symbols, flat, limit=300).collect() if r.deepest is not None)
     whole = rebuilt(split_symbols(symbols, files, limit=300)).first().text
     assert whole == "\n".join(lines)
+
+
+def test_digit_separators_hide_no_comment():
+    assert [(r[0], r[4]) for r in cpp_spans("int a = 1'000;\n// Width in cells.\nint f();\nint b = 2'000;\n")] == [("span", "// Width in cells.")]
+
+
+def test_one_content_of_a_path_counts(spark):
+    """Two contents of one path: code and documentation come from the same one."""
+    a, b = 'def walk():\n    """Walk the rows once."""\n', '\n\ndef walk():\n    """Fold the cells twice."""\n    return 1\n'
+    files = spark.createDataFrame([("f.py", "python", a, None), ("f.py", "python", b, None)], FILE)
+    sym = spark.createDataFrame([("i", "f.py", "walk", "walk", "function", 1, 2, None, None, None), ("j", "f.py", "walk", "walk", "function", 3, 5, None, None, None)], SYM)
+    rows = documented_pairs(sym, files).collect()
+    assert [(r.id, r.doc, r.code) for r in rows] in ([("i", "Walk the rows once.", a.rstrip("\n"))], [("j", "Fold the cells twice.", b.strip("\n"))])
