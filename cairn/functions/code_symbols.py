@@ -36,13 +36,13 @@ def python_symbols(text: str) -> tuple[list[Symbol], list[str], bool]:
     return sorted(out, key=lambda s: (s[3], -s[4], s[0])), sorted(set(imports)), False
 
 
-_MASK = re.compile(r"//[^\n]*|/\*[\s\S]*?\*/|R\"(\w*)\([\s\S]*?\)\1\"|\"[^\"\\\n]*(?:\\[\s\S][^\"\\\n]*)*\"|'[^'\\\n]*(?:\\[\s\S][^'\\\n]*)*'")
+_MASK = re.compile(r"\b\d[\w.]*(?:'[\w.]+)+|//[^\n]*|/\*[\s\S]*?\*/|R\"(\w*)\([\s\S]*?\)\1\"|\"[^\"\\\n]*(?:\\[\s\S][^\"\\\n]*)*\"|'[^'\\\n]*(?:\\[\s\S][^'\\\n]*)*'")
 _HEAD = re.compile(r"(?:^|[;{}])\s*((?:template\s*<[^;{}]*>\s*)?(?:(namespace|class|struct|enum(?:\s+class)?|union)\s+([A-Za-z_]\w*)[^;{}()]*|[^;{}()=]*?([~A-Za-z_][\w:~]*)\s*\([^;{}]*\)[^;{}()]*))\{")
 _WORDS = {"if", "for", "while", "switch", "catch", "return", "sizeof", "do", "else", "new", "delete", "throw"}
 
 
 def blank(text: str) -> str:
-    """The text with literals and comments as blanks of the same length; line ends stay."""
+    """The text with literals, comments and numbers with digit separators as blanks of the same length; line ends stay."""
     return _MASK.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text)
 
 

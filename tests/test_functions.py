@@ -72,3 +72,10 @@ def test_cpp_symbols():
     text = 'namespace a {\n// struct no {\nstruct S {\n    int f(int x) { if (x) { return g("}"); } return 0; }\n};\nint h() {\n    return 1;\n}\n}\n'
     assert [(s[0], s[2], s[3], s[4]) for s in cpp_symbols(text)] == [("a", "namespace", 1, 9), ("a::S", "type", 3, 5), ("a::S::f", "method", 4, 4), ("a::h", "function", 6, 8)]
     assert len(blank(text)) == len(text) and blank(text).count("\n") == text.count("\n") and cpp_symbols("") == [] and cpp_symbols("}}{") == []
+
+
+def test_digit_separators_open_no_literal():
+    from cairn.functions.code_symbols import cpp_symbols
+
+    text = "constexpr int A = 1'000; // don't\nint f() { return 0xFF'FF + 'a'; }\nint g() { return 2'5; }\n"
+    assert [s[1] for s in cpp_symbols(text)] == ["f", "g"]
