@@ -40,6 +40,16 @@ def _spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
     return every.take(pa.array(np.arange(0, len(flat) - 1, 2)))
 
 
+def _unquote(texts: pa.Array) -> pa.Array:
+    """JSON strings, quotes included, as what they say; those with escapes are decoded by one call for all."""
+    plain = pc.utf8_slice_codeunits(texts, 1, -1)
+    odd = pc.match_substring(texts, "\\")
+    if not len(texts) or not pc.any(odd).as_py():
+        return plain
+    said = json.loads("[" + ",".join(texts.filter(odd).to_pylist()) + "]", strict=False)
+    return pc.replace_with_mask(plain, odd, pa.array([x.encode("utf-8", "replace").decode() for x in said], pa.string()))
+
+
 class Flat:
     """Containers of a batch of JSON texts, and the rows made from them."""
 
@@ -205,11 +215,54 @@ class Flat:
 
     def _keys(self, colon: np.ndarray) -> pa.Array:
         s, e = self._keyspan(colon) if len(colon) else (colon, colon)
-        keys = _spans(self.b, s, e).cast(pa.string())
-        if len(keys) and pc.any(pc.match_substring(keys, "\\")).as_py():
-            odd = pc.match_substring(keys, "\\")
-            keys = pc.replace_with_mask(keys, odd, pa.array([json.loads(f'"{x}"') for x in keys.filter(odd).to_pylist()], pa.string()))
-        return keys
+        return _unquote(_spans(self.b, s - 1, e + 1).cast(pa.string()))
+
+    def colons(self) -> tuple[np.ndarray, np.ndarray]:
+        """The token of each key of a valid text, and the container it lies in."""
+        colon = np.flatnonzero(self.tok == ord(":"))
+        colon = colon[~self.bad[self.row[colon]]]
+        return colon, self.place[self.cont[colon]]
+
+    def values(self, colon: np.ndarray) -> pa.Array:
+        """What follows each of these tokens (rising): strings decoded, others as written, null for null."""
+        out = pa.nulls(len(colon), pa.string())
+        opens = self.opens[colon + 1] if len(colon) else np.zeros(0, bool)
+        flat = np.flatnonzero(~opens)
+        if len(flat):
+            raw = pc.utf8_trim(_spans(self.b, self.pos[colon[flat]] + 1, self.pos[colon[flat] + 1]).cast(pa.string()), " \t\n\r")
+            quoted = pc.starts_with(raw, '"')
+            said = pc.replace_with_mask(raw, quoted, _unquote(raw.filter(quoted)))
+            said = pc.if_else(pc.and_(pc.invert(quoted), pc.equal(raw, "null")), pa.scalar(None, pa.string()), said)
+            out = pc.replace_with_mask(out, pa.array(~opens), said)
+        if opens.any():
+            out = pc.replace_with_mask(out, pa.array(opens), self.texts(self.place[colon[opens] + 1]))
+        return out
+
+    def texts(self, which: np.ndarray) -> pa.Array:
+        """The JSON of these containers; containers of one level don't overlap, so a level is one span array."""
+        start, end, level = self.pos[self.at[which]], self.close_of(which), self.level[self.at[which]]
+        order = np.lexsort((start, level))
+        cut = np.flatnonzero(np.diff(level[order])) + 1
+        parts = [_spans(self.b, start[x], end[x]) for x in np.split(order, cut) if len(x)]
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return pa.concat_arrays(parts).take(pa.array(back)).cast(pa.string()) if parts else pa.array([], pa.string())
+
+    def fields(self, owners: np.ndarray, names: tuple[str, ...]) -> dict[str, pa.Array]:
+        """The value of each name in each of these objects (rising), null where it is missing; of repeated keys the last."""
+        slot = np.full(len(self.at), -1, np.int64)
+        slot[owners] = np.arange(len(owners))
+        colon, owner = self.colons()
+        mine = slot[owner] >= 0
+        colon, owner = colon[mine], owner[mine]
+        keys = self._keys(colon)
+        out = {}
+        for n in names:
+            hit = np.flatnonzero(np.asarray(pc.equal(keys, n))) if len(keys) else np.zeros(0, np.int64)
+            at = np.full(len(owners), -1, np.int64)
+            at[slot[owner[hit]]] = np.arange(len(hit))
+            out[n] = self.values(colon[hit]).take(pa.array(at, mask=at < 0))
+        return out
 
     def close_of(self, which: np.ndarray) -> np.ndarray:
         """The byte after each container."""
@@ -219,8 +272,23 @@ class Flat:
         return end[self.at[which]]
 
 
-def flatten(texts: pa.Array, messages: bool = True, json_too: bool = False) -> dict[str, pa.Array | np.ndarray]:
-    """Rows for the objects that are list elements at any depth: row, path, parent_path, list, pos, json.
+def heads(texts: pa.Array, names: tuple[str, ...], inner: str, counters: tuple[str, ...]) -> dict[str, pa.Array | np.ndarray]:
+    """One row per text that is a valid object or list: row, ``names`` of the object and ``counters`` of its object ``inner``."""
+    f = Flat(texts)
+    top = np.flatnonzero(f.level[f.at] == 0)
+    sub = np.flatnonzero(f.keyed & f.is_obj & (f.level[f.at] == 1))
+    sub = sub[np.asarray(pc.equal(f.key.take(pa.array(f.keyrank[sub])), inner))] if len(sub) else sub
+    at = np.full(len(f.at), -1, np.int64)
+    at[f.parent[sub]] = np.arange(len(sub))
+    at = pa.array(at[top], mask=at[top] < 0)
+    below = f.fields(sub, counters)
+    return {"row": f.crow[top]} | f.fields(top, names) | {c: x.take(at) for c, x in below.items()}
+
+
+def flatten(texts: pa.Array, messages: bool = True, json_too: bool = False, names: tuple[str, ...] = ()) -> dict[str, pa.Array | np.ndarray]:
+    """Rows for the objects that are list elements at any depth: row, path, parent_path, block, json and ``names``.
+
+    ``names`` are fields of content elements; a ``content`` that is a string says it as ``text``.
 
     ``messages`` treats texts as messages: where the ``content`` of the text or of an
     element of a ``content`` list is a string or an object it counts as a list of one, and
@@ -267,6 +335,12 @@ def flatten(texts: pa.Array, messages: bool = True, json_too: bool = False) -> d
         parts_a.append(pc.if_else(pa.array(emitted[mine]), p, a))
         done.append(a)
     rows, paths, parents, texts_, lists = [], [], [], [], []
+    named: dict[str, list[pa.Array]] = {n: [] for n in names}
+
+    def add(got: dict[str, pa.Array], n: int) -> None:
+        for name, x in named.items():
+            x.append(got.get(name, pa.nulls(n, pa.string())))
+
     if m:
         all_p, all_in, all_a = pa.concat_arrays(parts_p), pa.concat_arrays(parts_a), pa.concat_arrays(done)
         sel = np.flatnonzero(emitted)
@@ -276,17 +350,17 @@ def flatten(texts: pa.Array, messages: bool = True, json_too: bool = False) -> d
         parents.append(all_a.take(at))
         lists.append(in_content[np.maximum(f.parent[sel], 0)] | (f.keyed[sel] & is_content[sel]))
         if json_too:
-            texts_.append(pa.array([f.b[s:e].tobytes().decode() for s, e in zip(f.pos[f.at[sel]], f.close_of(sel))], pa.string()))
+            texts_.append(f.texts(sel))
+        if names:
+            add(f.fields(sel, names), len(sel))
     if m and messages and context.any():
-        colon = np.flatnonzero(f.tok == ord(":"))
-        colon = colon[colon + 1 < len(f.tok)]
-        colon = colon[f.string[colon + 1] & ~f.bad[f.row[colon]]]
-        owner = f.place[f.cont[colon]]
-        inside = (owner >= 0) & context[np.maximum(owner, 0)]
+        colon, owner = f.colons()
+        inside = f.string[colon + 1] & context[owner]
         colon, owner = colon[inside], owner[inside]
         keys = f._keys(colon)
         base, ring = all_p.take(pa.array(where[owner])), all_in.take(pa.array(where[owner]))
-        raw = lambda w: [f.b[s:e].tobytes().decode() for s, e in zip(f.q[np.searchsorted(f.q, f.pos[colon[w]])], f.q[np.searchsorted(f.q, f.pos[colon[w]]) + 1] + 1)]
+        quote = lambda w: np.searchsorted(f.q, f.pos[colon[w]])
+        raw = lambda w: _spans(f.b, f.q[quote(w)], f.q[quote(w) + 1] + 1).cast(pa.string())
         one = np.flatnonzero(np.asarray(pc.equal(keys, "content")))
         if len(one):
             b, r = base.take(pa.array(one)), ring.take(pa.array(one))
@@ -295,11 +369,15 @@ def flatten(texts: pa.Array, messages: bool = True, json_too: bool = False) -> d
             parents.append(r)
             lists.append(np.ones(len(one), bool))
             if json_too:
-                texts_.append(pa.array(raw(one), pa.string()))
+                texts_.append(raw(one))
+            if names:
+                add({"text": _unquote(raw(one))}, len(one))
         top = f.parent[owner] < 0
         coded = np.flatnonzero(np.asarray(pc.equal(keys, "input")) & ~top)
         if len(coded):
-            inner = flatten(pa.array([x if x.lstrip()[:1] == "{" else None for x in (json.loads(t) for t in raw(coded))], pa.string()), False, json_too)
+            said = _unquote(raw(coded))
+            said = pc.if_else(pc.starts_with(pc.utf8_ltrim(said, " \t\n\r"), "{"), said, pa.scalar(None, pa.string()))
+            inner = flatten(said, False, json_too)
             src = coded[inner["row"]]
             b, r = base.take(pa.array(src)), ring.take(pa.array(src))
             pre = join(b, pc.if_else(pc.equal(b, ""), "input.", ".input."))
@@ -309,8 +387,10 @@ def flatten(texts: pa.Array, messages: bool = True, json_too: bool = False) -> d
             lists.append(np.zeros(len(src), bool))
             if json_too:
                 texts_.append(inner["json"])
+            if names:
+                add({}, len(src))
     cat = lambda x: pa.concat_arrays(x) if x else pa.array([], pa.string())
     out = {"row": np.concatenate(rows) if rows else np.zeros(0, np.int64), "path": cat(paths), "parent_path": cat(parents), "block": np.concatenate(lists) if lists else np.zeros(0, bool), "valid": ~f.bad}
     if json_too:
         out["json"] = cat(texts_)
-    return out
+    return out | {n: cat(x) for n, x in named.items()}

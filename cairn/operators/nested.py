@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.functions.jsonflat import flatten
+from cairn.functions.jsonflat import flatten, heads
 
 #: Bytes of text that one pass of the kernels takes; a longer text is a pass of its own.
 PASS_BYTES = 4 << 20
@@ -23,6 +23,24 @@ def _passes(texts: pa.Array) -> Iterator[tuple[int, int]]:
     yield from ((a, b - a) for a, b in zip(cut, cut[1:]) if b > a)
 
 
+def _map(lines: DataFrame, key: str, message: str, kernel: Callable[[pa.Array], dict], cols: dict[str, str], keep: str | None = None) -> DataFrame:
+    """The rows that a kernel makes of the texts, with the key of each."""
+    src = lines.select(F.col(key).cast("bigint").alias(key), F.col(message).cast("string").alias("m")).where("m is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, texts = b.column(0), b.column(1)
+            if texts.type != pa.string():
+                texts = texts.cast(pa.string())
+            for at, n in _passes(texts) if len(texts) else ():
+                r = kernel(texts.slice(at, n))
+                if len(r["row"]):
+                    out = pa.RecordBatch.from_arrays([ids.slice(at, n).take(pa.array(r["row"])), *(pa.array(r[c]) if isinstance(r[c], np.ndarray) else r[c] for c in cols)], names=[key, *cols])
+                    yield out.filter(pa.array(r[keep])) if keep else out
+
+    return src.mapInArrow(run, ", ".join([f"`{key}` bigint", *(f"`{c}` {t}" for c, t in cols.items())]))
+
+
 def nested_objects(lines: DataFrame, key: str = "line_id", message: str = "message", text: bool = True) -> DataFrame:
     """One row per object that is a list element at any depth of a message that is valid JSON.
 
@@ -42,40 +60,26 @@ def nested_objects(lines: DataFrame, key: str = "line_id", message: str = "messa
 
     Scale: a map over the scan without any shuffle.
     """
-    src = lines.select(F.col(key).cast("bigint").alias(key), F.col(message).cast("string").alias("m")).where("m is not null")
+    cols = {"path": "string", "parent_path": "string", "block": "boolean"} | ({"json": "string"} if text else {})
+    return _map(lines, key, message, lambda t: flatten(t, True, text), cols)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, texts = b.column(0), b.column(1)
-            if texts.type != pa.string():
-                texts = texts.cast(pa.string())
-            if not len(texts):
-                continue
-            for at, n in _passes(texts):
-                r = flatten(texts.slice(at, n), True, text)
-                if len(r["row"]):
-                    cols = [ids.slice(at, n).take(pa.array(r["row"])), r["path"], r["parent_path"], pa.array(r["block"]), *([r["json"]] if text else [])]
-                    yield pa.RecordBatch.from_arrays(cols, names=[key, "path", "parent_path", "block", *["json"] * text])
 
-    return src.mapInArrow(run, f"`{key}` bigint, path string, parent_path string, block boolean" + ", json string" * text)
+_HEAD = ("id", "role", "model", "stop_reason")
+_COUNTERS = ("input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens")
+_FIELDS = ("type", "id", "name", "tool_use_id", "text")
 
 
 def nested_messages(lines: DataFrame, key: str = "line_id", message: str = "message") -> DataFrame:
-    """The parent table: one row per valid message with its scalar fields.
+    """The parent table: one row per message that is a valid object or list, with its scalar fields.
 
-    Counters that are quoted are read as numbers; missing ones are null.
+    Counters that are quoted are read as numbers; missing ones are null.  Fields come out of
+    the same buffers as the objects; of a key that repeats the last counts.
     """
-    v = F.try_parse_json(F.col(message).cast("string"))
-    get = lambda p, t="string": F.try_variant_get("v", f"$.{p}", t).alias(p.rpartition(".")[2])
-    num = lambda p: F.try_variant_get("v", f"$.usage.{p}", "string").try_cast("bigint").alias(p)
-    counters = ("input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens")
-    return lines.select(key, v.alias("v")).where("v is not null").select(key, get("id"), get("role"), get("model"), get("stop_reason"), *map(num, counters))
+    m = _map(lines, key, message, lambda t: heads(t, _HEAD, "usage", _COUNTERS), dict.fromkeys((*_HEAD, *_COUNTERS), "string"))
+    return m.select(key, *_HEAD, *(F.col(c).try_cast("bigint").alias(c) for c in _COUNTERS))
 
 
 def nested_blocks(lines: DataFrame, key: str = "line_id", message: str = "message") -> DataFrame:
     """The child table of content blocks, each with the path of its parent row ('' the message)."""
-    o = nested_objects(lines, key, message).where("block")
-    v = F.try_parse_json("json")
-    get = lambda p: F.try_variant_get(v, f"$.{p}", "string").alias(p)
-    plain = F.try_variant_get(v, "$", "string")
-    return o.select(key, "path", "parent_path", *map(get, ("type", "id", "name", "tool_use_id")), F.coalesce(F.try_variant_get(v, "$.text", "string"), F.when(~F.startswith("json", F.lit("{")), plain)).alias("text"))
+    cols = dict.fromkeys(("path", "parent_path", *_FIELDS), "string")
+    return _map(lines, key, message, lambda t: flatten(t, True, False, _FIELDS), cols, "block")

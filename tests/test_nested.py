@@ -7,7 +7,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from cairn.functions.jsonflat import flatten
+from cairn.functions.jsonflat import flatten, heads
 from cairn.operators.nested import nested_blocks, nested_messages, nested_objects
 
 
@@ -104,3 +104,34 @@ def test_random_order_of_batches(spark):
     rnd = random.Random(0)
     ms = [json.dumps({"content": [{"i": k, "l": [{"j": [{}] * rnd.randrange(3)}]}]}) for k in range(50)]
     assert rows(ms) == [brute(m) for m in ms]
+
+
+def test_fields_against_parsed_json():
+    """Fields of messages and blocks as a parser reads them, whatever their form."""
+    rnd = random.Random(4)
+    value = lambda: rnd.choice(["a", 'q"\\u00e9', "é\\n", "", None, 5, -1.5e3, True, {"x": [1, "}"]}, [1, {"id": 2}], "{", "null"])
+    said = lambda v: None if v is None else v if isinstance(v, str) else json.loads(json.dumps(v)) if isinstance(v, (dict, list)) else json.dumps(v)
+    texts = []
+    for _ in range(300):
+        block = lambda: {k: value() for k in rnd.sample(["type", "id", "name", "tool_use_id", "text", "other"], 4)}
+        m = {k: value() for k in rnd.sample(["id", "role", "model", "stop_reason", "z"], 3)}
+        m |= {"usage": rnd.choice([None, {"output_tokens": value(), "deep": {"output_tokens": 7}}, {}, "x"]), "content": rnd.choice([[block(), {"content": [block()]}], block(), "plain\\ttext"])}
+        texts.append(json.dumps(m, ensure_ascii=rnd.random() < 0.5, indent=rnd.choice([None, 1])))
+    array = pa.array([*texts, None, "{", "5", '[{"id": 1}]'])
+    read = lambda got, v: json.loads(got) if isinstance(v, (dict, list)) else got
+    h = heads(array, ("id", "role"), "usage", ("output_tokens",))
+    assert h["row"].tolist() == [*range(300), 303]
+    for i, t in enumerate(texts):
+        m = json.loads(t)
+        assert all(read(h[k][i].as_py(), m.get(k)) == said(m.get(k)) for k in ("id", "role"))
+        n = (m["usage"] or {}).get("output_tokens") if isinstance(m["usage"], (dict, type(None))) else None
+        assert read(h["output_tokens"][i].as_py(), n) == said(n)
+    b = flatten(array, True, False, ("type", "id", "text"))
+    at = {(r, p): j for j, (r, p) in enumerate(zip(b["row"].tolist(), b["path"].to_pylist()))}
+    for i, t in enumerate(texts):
+        c = json.loads(t)["content"]
+        if isinstance(c, str):
+            assert b["text"][at[i, "content[0]"]].as_py() == c
+            continue
+        for p, o in ([("content[0]", c)] if isinstance(c, dict) else [("content[0]", c[0]), ("content[1].content[0]", c[1]["content"][0])]):
+            assert all(read(b[k][at[i, p]].as_py(), o.get(k)) == said(o.get(k)) for k in ("type", "id", "text"))
