@@ -210,3 +210,15 @@ def is_instruction(d, x: str) -> str:
 
 def is_filler(d, x: str) -> str:
     return f"({trim(d, x)} <> '' AND NOT {is_instruction(d, trim(d, x))} AND {d.match(trim(d, x), FILLER)})"
+
+
+# Places of systems and toolchains, and folders of what others wrote or a build makes.
+SYSTEM_PATH = r"^/(?:usr|opt|Library|Applications|System|nix|sw|Developer|private/var)/|\.sdk/|\.xctoolchain/|/Xcode\.app/|/CommandLineTools/|/Toolchains/"
+VENDOR_PARTS = ["vendor", "third_party", "third-party", "thirdparty", "build", "_deps", "site-packages", "dist-packages", ".venv", "venv", "node_modules"]
+
+
+def user_path(d, p: str) -> str:
+    """Whether a path is a user's own file: not of a system, a toolchain, a vendor or a build."""
+    parts = d.split(p, "/")
+    above = d.slice(parts, "1", d.size(parts) + " - 1") if d.name == "duck" else f"slice({parts}, 1, size({parts}) - 1)"
+    return f"({p} <> '' AND {p} NOT LIKE '<%' AND NOT {d.match(p, SYSTEM_PATH)} AND NOT {d.any(above, 'y', d.has(d.strings(VENDOR_PARTS), 'y'))})"

@@ -239,7 +239,7 @@ def ask(spark: SparkSession, d: str, text: Text) -> DataFrame:
     """The query over the tables of folder ``d`` that it names."""
     sql = text(SPARK)
     for t in TABLES:
-        if re.search(rf"\b{t}\b", sql):
+        if re.search(rf"\b(?:FROM|JOIN)\s+{t}\b", sql):
             load(spark, d, t).createOrReplaceTempView(t)
     return spark.sql(sql)
 

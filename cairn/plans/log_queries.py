@@ -7,63 +7,35 @@ from cairn.plans.dialect import Book, Spark
 
 book = Book()
 
-#: Runs of our own whose output has layouts that the stored lines lack; each text is one run.
-OWN = {
-    ("own-pytest", "pytest -q", 1): """collected 4 items
-___ test_alpha ___
-E   ValueError: width 3 is below 4
-___ test_beta[1] ___
-E   assert 3 == 4
-E   KeyError: 'late'
-=== short test summary info ===
-FAILED tests/test_a.py::test_alpha - ValueError: width 3 is be...
-FAILED tests/test_a.py::test_beta[1]
-ERROR tests/test_b.py::test_gamma - RuntimeError: no disk
-=== 3 failed, 7 passed in 1.25s ===""",
-    ("own-ctest", "ctest -j4", 8): """The following tests FAILED:
-\t  3 - grid_walk (Failed)
-\t  9 - slot_io (Timeout)
-
-Errors while running""",
-    ("own-gcc", "make all", 2): """In file included from src/main.cpp:3:
-src/main.cpp:14:9:   required from here
-/usr/include/c++/11/bits/stl_algo.h:1866:25: error: no match for call
-src/app.cpp:20:5: warning: unused variable 'x'
-src/app.cpp:20:5: note: in instantiation of template requested here
-/usr/bin/ld: app.o: undefined reference to `walk'""",
-    ("own-cmake", "cmake -S .", 1): """CMake Error at CMakeLists.txt:12 (find_package):
-  Could not find Boost
-
-  Set Boost_DIR
--- Configuring incomplete
-CMake Warning (dev) at cmake/x.cmake:3 (message):
-  old policy""",
-    ("own-slurm", "srun job", 137): """slurmstepd: error: Detected 1 oom-kill event(s) in step 4.0
-MaxRSS=64200K
-slurmstepd: error: *** JOB 4 CANCELLED
-MaxRSS: 64300K""",
-    ("own-solver", "solve --tol 1e-6", 0): """iter 1 resid = 0.5
-iter 2 resid = 0.25
-iter 3 resid = 0.125
-iter 4 resid = 0.0625
-iter 5 resid = nan
-norm is nan here""",
-    ("own-clean", "run all", 0): """0 errors, no failures
-WARNING: slow disk
-wrote out/report.csv
-done""",
-}
-_ROWS = [(r, c, e, k, x) for (r, c, e), t in OWN.items() for k, x in enumerate(t.split("\n"), 1)]
+#: Lines per block of a run in windows over its lines, so that one huge run is many tasks.
+BLOCK = 16384
+#: First lines that a cluster of events keeps, and runs kept by the retention.
+FIRST_LINES = 20
 
 
 def lines(d: Spark) -> str:
     """Lines once each, without colour codes and trailing CR: run_id, command, exit_code, line_no, x."""
     clean = d.sub(d.sub("text", W.ANSI, ""), r"\r+$", "")
-    own = d.rows(_ROWS, "run_id, command, exit_code, line_no, text")
     return f"""(SELECT run_id, max(command) AS command, max(exit_code) AS exit_code, line_no, max({clean}) AS x FROM (
-        SELECT run_id, command, exit_code, line_no, coalesce(text, '') AS text FROM log_lines WHERE run_id IS NOT NULL AND line_no IS NOT NULL UNION ALL SELECT * FROM {own} o) a GROUP BY run_id, line_no)"""
+        SELECT run_id, command, exit_code, line_no, coalesce(text, '') AS text FROM log_lines WHERE run_id IS NOT NULL AND line_no IS NOT NULL) a GROUP BY run_id, line_no)"""
+
+
+def since(d: Spark, rel: str, ahead: bool = False, **marks: str) -> str:
+    """``rel`` with the line of the last row up to each row where a mark holds (``ahead``: of the first row from it on).
 
+    Blocks of a run are windowed by themselves; one row per block carries marks over.
+    """
+    pick, order, rest = ("min", " DESC", "FOLLOWING") if ahead else ("max", "", "PRECEDING")
+    blk = d.div("line_no", str(BLOCK))
+    inner = ", ".join(f"{pick}(CASE WHEN {c} THEN line_no END) OVER (PARTITION BY run_id, {blk} ORDER BY line_no{order}) AS i_{n}" for n, c in marks.items())
+    per = ", ".join(f"{pick}(CASE WHEN {c} THEN line_no END) AS m_{n}" for n, c in marks.items())
+    over = ", ".join(f"{pick}(m_{n}) OVER (PARTITION BY run_id ORDER BY blk ROWS BETWEEN {'1 FOLLOWING AND UNBOUNDED FOLLOWING' if ahead else 'UNBOUNDED PRECEDING AND 1 PRECEDING'}) AS b_{n}" for n in marks)
+    out = ", ".join(f"coalesce(w.i_{n}, c.b_{n}) AS {n}" for n in marks)
+    return f"""(SELECT w.*, {out} FROM (SELECT *, {blk} AS blk, {inner} FROM {rel} r) w
+        JOIN (SELECT run_id, blk, {over} FROM (SELECT run_id, {blk} AS blk, {per} FROM {rel} r GROUP BY run_id, {blk}) g) c ON c.run_id = w.run_id AND c.blk = w.blk)"""
 
+
+# Words and layouts that tools write.
 FLAGS = {
     "pytest": r"(?i)short test summary info|={3,} failures ={3,}",
     "ctest": r"(?i)tests failed out of|the following tests failed",
@@ -125,8 +97,7 @@ def log05_pytest_failures(d: Spark) -> str:
     return f"""WITH l AS (SELECT run_id, line_no, {W.trim(d, 'x')} AS s FROM {lines(d)} l),
         m AS (SELECT *, CASE WHEN {d.match('s', head)} THEN {d.ext('s', head, 1)} END AS h, CASE WHEN {d.match('s', '(?i)short test summary info')} THEN 1 ELSE 0 END AS opens,
             CASE WHEN s LIKE '=%' AND NOT {d.match('s', '(?i)short test summary info')} THEN 1 ELSE 0 END AS closes FROM l),
-        w AS (SELECT *, max(CASE WHEN h IS NOT NULL THEN line_no END) OVER (PARTITION BY run_id ORDER BY line_no) AS h_line,
-            max(CASE WHEN opens = 1 THEN line_no END) OVER (PARTITION BY run_id ORDER BY line_no) AS o_line, max(CASE WHEN closes = 1 THEN line_no END) OVER (PARTITION BY run_id ORDER BY line_no) AS c_line FROM m),
+        w AS (SELECT * FROM {since(d, 'm', h_line='h IS NOT NULL', o_line='opens = 1', c_line='closes = 1')} k),
         n AS (SELECT run_id, line_no AS h_line, {d.sub('h', '^ERROR collecting ', '')} AS test FROM m WHERE h IS NOT NULL),
         e AS (SELECT w.run_id, n.test, w.line_no, {d.ext('s', eline, 1)} AS kind, {d.ext('s', eline, 2)} AS msg FROM w JOIN n ON w.run_id = n.run_id AND w.h_line = n.h_line WHERE {d.match('s', eline)}),
         t AS (SELECT run_id, test, min_by(concat(kind, ': ', msg), line_no) AS m FROM e WHERE kind <> '' GROUP BY run_id, test),
@@ -150,23 +121,41 @@ def log06_ctest_failures(d: Spark) -> str:
     """Failing tests of the list that ends at a blank line."""
     row = r"^\s*\d+\s*-\s*(\S+)\s*\((\w+)\)"
     return f"""WITH m AS (SELECT run_id, line_no, x, CASE WHEN {d.match('x', '(?i)the following tests failed')} THEN line_no END AS o, CASE WHEN {W.trim(d, 'x')} = '' THEN line_no END AS c FROM {lines(d)} l),
-        w AS (SELECT *, max(o) OVER (PARTITION BY run_id ORDER BY line_no) AS o_line, max(c) OVER (PARTITION BY run_id ORDER BY line_no) AS c_line FROM m)
+        w AS (SELECT * FROM {since(d, 'm', o_line='o IS NOT NULL', c_line='c IS NOT NULL')} k)
         SELECT run_id, line_no, {d.ext('x', row, 1)} AS test, {d.ext('x', row, 2)} AS status FROM w WHERE {d.match('x', row)} AND o_line > coalesce(c_line, 0)"""
 
 
+def contexts(d: Spark) -> str:
+    """Places that lead to a diagnostic: (run_id, ev, line_no, kind, file, loc), before it or by notes after it."""
+    req = r"^([^:\s][^:]*):(\d+)((?::\d+)?):\s+(?:required from|required by|instantiated from)\b"
+    inc = r"^(?:In file included from|from)\s+([^:\s][^:]*):(\d+)((?::\d+)?)[:,]?$"
+    of = lambda p: f"concat({d.ext('s', p, 1)}, ':', {d.ext('s', p, 2)}, {d.ext('s', p, 3)})"
+    k = f"""(SELECT *, CASE WHEN {d.match('s', req)} THEN {d.ext('s', req, 1)} WHEN {d.match('s', inc)} THEN {d.ext('s', inc, 1)} WHEN is_note THEN {d.ext('s', GCC, 1)} END AS file,
+            CASE WHEN {d.match('s', req)} THEN {of(req)} WHEN {d.match('s', inc)} THEN {of(inc)} WHEN is_note THEN concat({d.ext('s', GCC, 1)}, ':', {d.ext('s', GCC, 2)}, CASE WHEN coalesce({d.ext('s', GCC, 3)}, '') <> '' THEN concat(':', {d.ext('s', GCC, 3)}) ELSE '' END) END AS loc,
+            CASE WHEN {d.match('s', inc)} THEN 'include' ELSE 'instantiation' END AS kind
+        FROM (SELECT run_id, line_no, s, {d.match('s', GCC)} AND {d.ext('s', GCC, 4)} <> 'note' AS is_ev, {d.match('s', GCC)} AND {d.ext('s', GCC, 4)} = 'note' AND {d.match('s', '(?i)requested here|required from|in instantiation of|instantiated from')} AS is_note
+            FROM (SELECT run_id, line_no, {W.trim(d, 'x')} AS s FROM {lines(d)} l) a) b)"""
+    return f"""(SELECT run_id, next_ev AS ev, line_no, kind, file, loc FROM {since(d, k, True, next_ev='is_ev')} w WHERE loc IS NOT NULL AND NOT is_note AND next_ev IS NOT NULL
+        UNION ALL SELECT run_id, last_ev, line_no, kind, file, loc FROM {since(d, k, last_ev='is_ev')} w WHERE is_note AND last_ev IS NOT NULL)"""
+
+
 @book.sql
 def log07_compiler_events(d: Spark) -> str:
     """Diagnostics with where they were instantiated or included from: before the error, or by a note after it."""
-    req = r"^([^:\s][^:]*:\d+(?::\d+)?):\s+(?:required from|required by|instantiated from)\b"
-    inc = r"^(?:In file included from|from)\s+([^:\s][^:]*:\d+(?::\d+)?)[:,]?$"
-    return f"""WITH s AS (SELECT run_id, line_no, {W.trim(d, 'x')} AS s FROM {lines(d)} l),
-        k AS (SELECT *, {d.match('s', GCC)} AND {d.ext('s', GCC, 4)} <> 'note' AS is_ev, CASE WHEN {d.match('s', GCC)} AND {d.ext('s', GCC, 4)} = 'note' AND {d.match('s', '(?i)requested here|required from|in instantiation of|instantiated from')} THEN concat({d.ext('s', GCC, 1)}, ':', {d.ext('s', GCC, 2)}, CASE WHEN coalesce({d.ext('s', GCC, 3)}, '') <> '' THEN concat(':', {d.ext('s', GCC, 3)}) ELSE '' END) END AS note,
-            CASE WHEN {d.match('s', req)} THEN {d.ext('s', req, 1)} WHEN {d.match('s', inc)} THEN {d.ext('s', inc, 1)} END AS before FROM s),
-        w AS (SELECT *, min(CASE WHEN is_ev THEN line_no END) OVER (PARTITION BY run_id ORDER BY line_no DESC) AS next_ev, max(CASE WHEN is_ev THEN line_no END) OVER (PARTITION BY run_id ORDER BY line_no) AS last_ev FROM k),
-        c AS (SELECT run_id, next_ev AS ev, line_no, before AS loc FROM w WHERE before IS NOT NULL AND next_ev IS NOT NULL UNION ALL SELECT run_id, last_ev, line_no, note FROM w WHERE note IS NOT NULL AND last_ev IS NOT NULL),
-        g AS (SELECT run_id, ev, {d.text_agg('loc', ' ', 'line_no')} AS context FROM c GROUP BY run_id, ev)
+    return f"""WITH g AS (SELECT run_id, ev, {d.text_agg('loc', ' ', 'line_no')} AS context FROM {contexts(d)} c GROUP BY run_id, ev)
         SELECT k.run_id, k.line_no, {d.ext('k.s', GCC, 1)} AS file, {d.try_int(d.ext('k.s', GCC, 2))} AS at_line, {d.ext('k.s', GCC, 4)} AS severity, {d.ext('k.s', GCC, 5)} AS message, coalesce(g.context, '') AS context
-        FROM k LEFT JOIN g ON k.run_id = g.run_id AND k.line_no = g.ev WHERE k.is_ev"""
+        FROM (SELECT run_id, line_no, {W.trim(d, 'x')} AS s FROM {lines(d)} l) k LEFT JOIN g ON k.run_id = g.run_id AND k.line_no = g.ev WHERE {d.match('k.s', GCC)} AND {d.ext('k.s', GCC, 4)} <> 'note'"""
+
+
+def user_locations(d: Spark) -> str:
+    """Of each diagnostic the first place in a user's file that it was instantiated from, else included from."""
+    return f"""(SELECT run_id, ev, loc FROM (SELECT *, row_number() OVER (PARTITION BY run_id, ev ORDER BY CASE kind WHEN 'instantiation' THEN 0 ELSE 1 END, line_no) AS k FROM {contexts(d)} c WHERE {W.user_path(d, 'file')}) t WHERE k = 1)"""
+
+
+@book.sql
+def scl14_user_locations(d: Spark) -> str:
+    """Where a user's own code led to a diagnostic of a file that isn't the user's."""
+    return f"SELECT run_id, ev AS line_no, loc FROM {user_locations(d)} u"
 
 
 @book.sql
@@ -182,7 +171,7 @@ def log09_cmake_events(d: Spark) -> str:
     """Each header with the indented lines after it."""
     head = r"^CMake (Error|Warning)(?: \(dev\))? at ([^:]+):(\d+)"
     return f"""WITH m AS (SELECT run_id, line_no, x, {d.match(W.trim(d, 'x'), head)} AS is_head, {d.match('x', '^  ')} OR {W.trim(d, 'x')} = '' AS goes_on FROM {lines(d)} l),
-        w AS (SELECT *, max(CASE WHEN NOT goes_on THEN line_no END) OVER (PARTITION BY run_id ORDER BY line_no) AS owner FROM m),
+        w AS (SELECT * FROM {since(d, 'm', owner='NOT goes_on')} k),
         h AS (SELECT run_id, line_no, {W.trim(d, 'x')} AS s FROM m WHERE is_head AND NOT goes_on),
         p AS (SELECT run_id, owner, {d.text_agg(W.trim(d, 'x'), ' ', 'line_no')} AS body FROM w WHERE goes_on AND {W.trim(d, 'x')} <> '' GROUP BY run_id, owner)
         SELECT h.run_id, h.line_no, lower({d.ext('s', head, 1)}) AS severity, concat({d.ext('s', head, 2)}, ':', {d.ext('s', head, 3)}, ': ', coalesce(body, s)) AS message FROM h LEFT JOIN p ON h.run_id = p.run_id AND h.line_no = p.owner"""
@@ -192,8 +181,8 @@ def log09_cmake_events(d: Spark) -> str:
 def log10_tracebacks(d: Spark) -> str:
     """The exception line of each traceback: the first that isn't indented or blank."""
     return f"""WITH m AS (SELECT run_id, line_no, {W.trim(d, 'x')} AS s, {W.trim(d, 'x')} = 'Traceback (most recent call last):' AS is_head, {d.match('x', '^[ ' + chr(92) + 't]')} OR {W.trim(d, 'x')} = '' AS inner_line FROM {lines(d)} l),
-        w AS (SELECT *, lag(CASE WHEN is_head THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY line_no) AS after_head FROM m WHERE NOT inner_line)
-        SELECT run_id, line_no, s AS message FROM w WHERE after_head = 1"""
+        h AS (SELECT DISTINCT run_id, after AS line_no FROM (SELECT h.run_id, h.line_no, min(n.after) AS after FROM (SELECT run_id, line_no + 1 AS line_no FROM m WHERE is_head) h JOIN {since(d, 'm', True, after='NOT inner_line')} n ON n.run_id = h.run_id AND n.line_no = h.line_no GROUP BY h.run_id, h.line_no) t)
+        SELECT m.run_id, m.line_no, m.s AS message FROM m JOIN h ON h.run_id = m.run_id AND h.line_no = m.line_no"""
 
 
 @book.sql
@@ -250,14 +239,15 @@ def log14_all_events(d: Spark) -> str:
 @book.sql
 def agg01_24_event_clusters(d: Spark) -> str:
     """Events by signature within a run: first message, count, first 20 lines."""
-    return f"""SELECT run_id, signature, min_by(message, line_no) AS representative, min_by(severity, line_no) AS severity, count(*) AS n, min(line_no) AS first_line,
-        {d.slice(d.gather('line_no'), '1', '20')} AS first_lines FROM {events(d)} e GROUP BY run_id, signature"""
+    return f"""WITH e AS (SELECT * FROM {events(d)} e), g AS (SELECT run_id, signature, min_by(message, line_no) AS representative, min_by(severity, line_no) AS severity, count(*) AS n, min(line_no) AS first_line FROM e GROUP BY run_id, signature),
+        f AS (SELECT run_id, signature, {d.gather('line_no')} AS first_lines FROM (SELECT run_id, signature, line_no, row_number() OVER (PARTITION BY run_id, signature ORDER BY line_no) AS k FROM e) t WHERE k <= {FIRST_LINES} GROUP BY run_id, signature)
+        SELECT g.*, f.first_lines FROM g JOIN f ON f.run_id = g.run_id AND f.signature = g.signature"""
 
 
 @book.sql
 def log_clusters(d: Spark) -> str:
     """Events of all runs by signature, most frequent first: the flagship report."""
-    return f"""SELECT signature, count(*) AS n, count(DISTINCT run_id) AS n_runs, min(message) AS example FROM {events(d)} e GROUP BY signature ORDER BY n DESC, signature LIMIT 200"""
+    return f"""SELECT signature, count(*) AS n, count(DISTINCT run_id) AS n_runs, min(message) AS example FROM {events(d)} e GROUP BY signature ORDER BY n DESC, signature"""
 
 
 def clusters(d: Spark) -> str:
@@ -273,9 +263,9 @@ def flt12_run_status(d: Spark) -> str:
 
 @book.sql
 def win01_root_errors(d: Spark) -> str:
-    """The event that each run is told by: the first error in a user's file, else the first error."""
-    user = f"file IS NOT NULL AND NOT {d.match('file', '^/(?:usr|opt|System|Library)/')}"
-    return f"""SELECT run_id, line_no, message FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY CASE WHEN {user} THEN 0 ELSE 1 END, line_no) AS k FROM {events(d)} e WHERE severity = 'error') t WHERE k = 1"""
+    """The event that each run is told by: the first error in a user's file, else the first that a user's code led to, else the first."""
+    tier = f"CASE WHEN file IS NOT NULL AND {W.user_path(d, 'file')} THEN 0 WHEN u.loc IS NOT NULL THEN 1 ELSE 2 END"
+    return f"""SELECT run_id, line_no, message, tier FROM (SELECT e.run_id, e.line_no, e.message, {tier} AS tier, row_number() OVER (PARTITION BY e.run_id ORDER BY {tier}, e.line_no) AS k FROM {events(d)} e LEFT JOIN {user_locations(d)} u ON u.run_id = e.run_id AND u.ev = e.line_no WHERE e.severity = 'error') t WHERE k = 1"""
 
 
 def run_order(d: Spark) -> str:
@@ -315,8 +305,9 @@ def win03_retention(d: Spark) -> str:
 @book.sql
 def win06_07_flt03_context(d: Spark) -> str:
     """Lines within two of a fatal one, in its run."""
-    hit = f"CASE WHEN {d.match('x', r'(?i)\b(?:fatal|critical)\b')} THEN 1 ELSE 0 END"
-    return f"""SELECT run_id, line_no, hit = 1 AS is_hit FROM (SELECT run_id, line_no, {hit} AS hit, max({hit}) OVER (PARTITION BY run_id ORDER BY line_no ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM {lines(d)} l) t WHERE near = 1"""
+    hit = d.match("x", r"(?i)\b(?:fatal|critical)\b")
+    near = f"(SELECT DISTINCT run_id, line_no + o AS line_no FROM (SELECT run_id, line_no FROM {lines(d)} l WHERE {hit}) h CROSS JOIN (SELECT -2 AS o UNION ALL SELECT -1 UNION ALL SELECT 0 UNION ALL SELECT 1 UNION ALL SELECT 2) p)"
+    return f"""SELECT l.run_id, l.line_no, {d.match('l.x', r'(?i)\b(?:fatal|critical)\b')} AS is_hit FROM {lines(d)} l JOIN {near} n ON n.run_id = l.run_id AND n.line_no = l.line_no"""
 
 
 @book.sql

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from cairn.functions.code_symbols import cpp_symbols, python_symbols
 from cairn.functions.formats import list_id, manifest
 from cairn.functions.rewrite import without_repeats
-from cairn.functions.shell import observations
+from cairn.functions.shell import decision, is_long, tool_observations
+from cairn.functions.checklists import checklist
 from cairn.operators.nested import nested_objects
 from cairn.operators.selection import bootstrap_deltas, greedy_selection
 from cairn.plans.dialect import Book
@@ -23,15 +24,18 @@ from cairn.tables import load
 book = Book()
 
 
+_TYPES = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
+
+
 def _rows(df: DataFrame, make: Callable, schema: str) -> DataFrame:
-    """Rows that ``make`` gives for each row of ``df``, batch by batch."""
-    names = [c.split()[0] for c in schema.split(", ")]
+    """Rows that ``make`` gives for each row of ``df``, batch by batch as Arrow columns."""
+    fields = [c.split() for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [r for row in zip(*(c.to_pylist() for c in b.columns)) for r in make(*row)]
             if got:
-                yield pa.RecordBatch.from_pandas(__import__("pandas").DataFrame(got, columns=names), preserve_index=False)
+                yield pa.RecordBatch.from_arrays([pa.array(x, _TYPES[t]) for x, (_, t) in zip(zip(*got), fields)], names=[n for n, _ in fields])
 
     return df.mapInArrow(run, schema)
 
@@ -56,16 +60,42 @@ def txt35_37_cpp_symbols(spark: SparkSession, d: str) -> DataFrame:
 
 @book.frame()
 def txt25_27_48_str01_observations(spark: SparkSession, d: str) -> DataFrame:
-    """What the tool calls of transcripts read and searched."""
+    """What the tool calls of transcripts read and searched: reads, searches by tool or pattern, shell commands."""
     o = nested_objects(load(spark, d, "transcripts")).where("block")
     v = F.try_parse_json("json")
     text = lambda p: F.try_variant_get(v, p, "string")
     inner = F.coalesce(F.try_parse_json(text("$.input")), F.try_variant_get(v, "$.input", "variant"))
-    calls = o.where(text("$.type") == "tool_use").select("line_id", text("$.name").alias("tool"), F.try_variant_get(inner, "$.command", "string").alias("command"), F.try_variant_get(inner, "$.file_path", "string").alias("file"))
-    make = lambda i, t, c, f: [(i, k, x) for k, x in (observations(c) if c else [("read" if t == "Read" else "write", f)] if f else [])]
+    names = ("command", "file_path", "pattern", "path", "glob")
+    calls = o.where(text("$.type") == "tool_use").select("line_id", text("$.name").alias("tool"), *(F.try_variant_get(inner, f"$.{n}", "string").alias(n) for n in names))
+    make = lambda i, t, *x: [(i, k, y) for k, y in tool_observations(t, dict(zip(names, x)))]
     return _rows(calls, make, "line_id bigint, kind string, value string")
 
 
+@book.frame()
+def txt28_flt18_routing(spark: SparkSession, d: str) -> DataFrame:
+    """Commands that print much, and what the routing does with each by mode."""
+    c = load(spark, d, "runs").where("command is not null").select("command").distinct()
+    modes = ("redirect", "ask", "rewrite", "off")
+
+    def make(x: str) -> list[tuple]:
+        got = [decision("Bash", x, False, m, "compost") for m in modes]
+        return [(x, is_long(x, "compost"), *(g[0] if g else "none" for g in got), next((g[1] for g in got if g), ""))]
+
+    return _rows(c, make, "command string, is_long boolean, redirect string, ask string, rewrite string, off string, instead string")
+
+
+@book.frame()
+def txt39_checklists(spark: SparkSession, d: str) -> DataFrame:
+    """The last list of each text that is meant for its reader: title, kind, items, how many are done, and its id."""
+    docs = load(spark, d, "documents").where("text is not null").select("doc_id", "text")
+
+    def make(i: int, t: str) -> list[tuple]:
+        c = checklist(t)
+        return [(i, c[0], c[1], len(c[2]), sum(x for _, x in c[2]), list_id([x for x, _ in c[2]]))] if c else []
+
+    return _rows(docs, make, "doc_id bigint, title string, kind string, n bigint, n_done bigint, list_id string")
+
+
 @book.frame()
 def win09_13_set01_greedy_selection(spark: SparkSession, d: str) -> DataFrame:
     """Longest texts of each source first that still fit 5,000 tokens."""
@@ -95,19 +125,12 @@ def scl40_list_ids(spark: SparkSession, d: str) -> DataFrame:
     return _rows(docs, lambda i, x: [(i, list_id(x), len(x))], "doc_id bigint, list_id string, n bigint")
 
 
-_MANIFESTS = [
-    ("package.json", '{"name": "a", "dependencies": {"b": "1"}, "devDependencies": {"c": "2"}}'), ("pyproject.toml", '[project]\nname = "d"\ndependencies = ["e>=1", "f[x]"]'), ("go.mod", "module example.org/g\nrequire example.org/h v1.2.3"),
-    ("Cargo.toml", '[package]\nname = "i"\n[dependencies]\nj = "1"'), ("requirements.txt", "k==1\n# no\n-r x\nl"), ("package.json", "{torn"),
-]
-
-
-@book.frame("SELECT * FROM (VALUES ('package.json', 'a', 'b c'), ('pyproject.toml', 'd', 'e f'), ('go.mod', 'example.org/g', 'example.org/h'), ('Cargo.toml', 'i', 'j'), ('requirements.txt', '', 'k l'), ('package.json', '', '')) v(name, provides, needs)")
+@book.frame()
 def src26_manifests(spark: SparkSession, d: str) -> DataFrame:
-    """Packages that manifests provide and need."""
-    load(spark, d, "region")
-    df = spark.createDataFrame(_MANIFESTS, "name string, body string")
-    make = lambda n, t: [(n, *(" ".join(x) for x in manifest(n, t)))]
-    return _rows(df, make, "name string, provides string, needs string")
+    """Packages that manifests among the files provide and need."""
+    make = lambda p, t: [(p, *(" ".join(x) for x in manifest(p.rpartition("/")[2], t)))]
+    names = ("package.json", "pyproject.toml", "go.mod", "Cargo.toml", "requirements.txt")
+    return _rows(_sources(spark, d).where(F.substring_index("path", "/", -1).isin(*names)).select("path", "content"), make, "path string, provides string, needs string")
 
 
 @book.frame("SELECT event_id, user_id, event_type, value FROM events")

@@ -73,11 +73,7 @@ def scl12_range_compaction(d: Spark) -> str:
 def scl13_user_paths(d: Spark) -> str:
     """Paths that a user owns: not of a system, a toolchain, a vendor or a build."""
     paths = d.all("text", r"/[\w./-]+\.\w+")
-    vendor = ["vendor", "third_party", "third-party", "thirdparty", "build", "_deps", "site-packages", "dist-packages", ".venv", "venv", "node_modules"]
-    system = d.match("p", r"^/(?:usr|opt|Library|Applications|System|nix|sw|Developer|private/var)/|\.sdk/|\.xctoolchain/|/Xcode\.app/|/CommandLineTools/|/Toolchains/")
-    parts = d.split("p", "/")
-    return f"""SELECT p AS path, NOT {system} AND NOT {d.any(d.slice(parts, '1', d.size(parts).replace('cast(', 'cast(', 1) + ' - 1') if d.name == 'duck' else f'slice({parts}, 1, size({parts}) - 1)', 'x', d.has(d.strings(vendor), 'x'))} AS is_user, count(*) AS n
-        FROM (SELECT text FROM log_lines WHERE text IS NOT NULL) t {d.unnest(paths, 'p')} GROUP BY p"""
+    return f"SELECT p AS path, {W.user_path(d, 'p')} AS is_user, count(*) AS n FROM (SELECT text FROM log_lines WHERE text IS NOT NULL) t {d.unnest(paths, 'p')} GROUP BY p"
 
 
 @book.sql
@@ -132,17 +128,6 @@ def scl31_34_slugs(d: Spark) -> str:
                 FROM {texts(d)} t {d.unnest(heads, 'x')}) a) b"""
 
 
-@book.sql
-def scl35_36_remotes(d: Spark) -> str:
-    """Remotes in several spellings brought to host and path; a local path has none."""
-    rows = [("git@Example.org:team/harbour.git",), ("https://user:x@Example.org:8443/team/harbour.git/",), ("ssh://git@example.org/team/harbour",), ("/srv/harbour",), ("../harbour",), ("example.org/team/harbour",), ("file:///srv/x",), ("localhost/a/b.git",), ("",), (None,)]
-    body = d.sub("r", r"^[a-z+]+://(?:[^@/]*@)?|^[^@/:]+@", "")
-    host = f"lower({d.ext(body, r'^([A-Za-z0-9.-]+)(?::\d+)?[:/]', 1)})"
-    path = d.sub(d.ext(body, r"^[A-Za-z0-9.-]+(?::\d+)?[:/]+(.*)$", 1), r"/+$", "")
-    ok = f"{d.match('r', '^(?!x)x|^file:').replace('(?!x)x|', '')} = false AND ({host} = 'localhost' OR {host} LIKE '%.%') AND {host} NOT LIKE '.%'"
-    return f"SELECT r AS remote, CASE WHEN {ok} THEN {host} ELSE '' END AS host, CASE WHEN {ok} THEN {d.sub(path, r'\.git$', '')} ELSE '' END AS path FROM {d.rows(rows, 'r')} t"
-
-
 @book.sql
 def scl37_40_names(d: Spark) -> str:
     """Package names, folder codes, clipped text and a version's parts, over parts and commands."""
@@ -151,16 +136,6 @@ def scl37_40_names(d: Spark) -> str:
         FROM (SELECT p_partkey, p_name, p_type, trim({d.sub('p_name', r'\s+', ' ')}) AS c FROM part) t"""
 
 
-@book.sql
-def scl39_top03_versions(d: Spark) -> str:
-    """Newest release above the current one; pre-releases don't count and parts compare as numbers."""
-    rows = [("v1.2.10", 1), ("v1.2.9", 2), ("1.3.0-rc1", 3), ("v1.10.0", 4), ("v1.9.9", 5), ("nightly", 6)]
-    nums = d.map(d.all(d.ext("tag", r"^v?(\d+(?:\.\d+)*)$", 1), r"\d+"), "x", "cast(x AS BIGINT)")
-    key = f"{d.at('v', '1')} * 1000000000000 + coalesce({d.at('v', '2')}, 0) * 1000000 + coalesce({d.at('v', '3')}, 0)"
-    return f"""SELECT tag, {key} AS rank FROM (SELECT tag, {nums} AS v FROM {d.rows(rows, 'tag, seq')} t WHERE {d.match('tag', r'^v?\d+(?:\.\d+)*$')}) a
-        WHERE {key} > 1000002000009 ORDER BY rank DESC LIMIT 1"""
-
-
 @book.sql
 def scl42_43_common_paths(d: Spark) -> str:
     """Leading and trailing path parts that each file shares with the file it imports."""
@@ -175,20 +150,6 @@ def scl42_43_common_paths(d: Spark) -> str:
         SELECT DISTINCT path, target, {d.split('path', '/')} AS a, {d.split('target', '/')} AS b FROM (SELECT path, resolved_imports FROM source_files WHERE path IS NOT NULL AND resolved_imports IS NOT NULL) f {d.unnest('resolved_imports', 'target')}) t"""
 
 
-@book.sql
-def scl41_44_46_clips(d: Spark) -> str:
-    """Clipped, cut at the last line end past half the limit, and quoted on one line."""
-    flat = f"trim({d.sub('text', r'\s+', ' ')})"
-    head = "left(text, 200)"
-    nl = d.lit("\n") if d.name == "spark" else "chr(10)"
-    back = f"(length({head}) - strpos(reverse({head}), {nl}) + 1)" if d.name == "duck" else f"(length({head}) - locate({nl}, reverse({head})) + 1)"
-    found = f"strpos(reverse({head}), {nl})" if d.name == "duck" else f"locate({nl}, reverse({head}))"
-    bs = d.lit("\\")
-    quoted = f"concat('\"', replace(replace(left({flat}, 60), {bs}, {d.lit(chr(92) * 2)}), '\"', {d.lit(chr(92) + chr(34))}), '\"')"
-    return f"""SELECT doc_id, CASE WHEN length({flat}) > 80 THEN concat(rtrim(left({flat}, 79)), '…') ELSE {flat} END AS clipped,
-        CASE WHEN length(text) <= 200 THEN text WHEN {found} > 0 AND {back} > 100 THEN left(text, cast({back} - 1 AS INT)) ELSE {head} END AS cut, {quoted} AS quoted FROM {texts(d)} t"""
-
-
 @book.sql
 def txt01_02_stripped(d: Spark) -> str:
     """Characters of text left without code, and without code and structure."""
@@ -266,79 +227,134 @@ def txt17_19_files(d: Spark) -> str:
 
 
 @book.sql
-def txt20_23_error_text(d: Spark) -> str:
-    """Locations, exception names and frames that log lines name."""
-    frame = r'File "([^"]+)", line (\d+)'
-    return f"""SELECT run_id, line_no, nullif({d.ext('text', frame, 1)}, '') AS file, {d.try_int(f"nullif({d.ext('text', frame, 2)}, '')")} AS line,
-        nullif({d.ext('text', r'File "[^"]*", line [0-9]+, in ([A-Za-z_][A-Za-z0-9_]*)', 1)}, '') AS frame, {d.sorted(d.distinct(d.all('text', r'\b[A-Za-z_]\w*(?:Error|Exception|Warning|Failure)\b')))} AS names
-        FROM (SELECT DISTINCT run_id, line_no, text FROM log_lines WHERE text IS NOT NULL) t WHERE {d.match('text', r'File "[^"]+", line \d+|\b[A-Za-z_]\w*(?:Error|Exception|Warning|Failure)\b')}"""
+def txt29_30_answers(d: Spark) -> str:
+    """KEY: value lines of texts."""
+    return f"""SELECT doc_id, {d.ext('x', '^([A-Za-z][A-Za-z_]*):', 1)} AS k, count(*) AS n, min({W.trim(d, d.sub('x', '^[A-Za-z][A-Za-z_]*:', ''))}) AS first_value
+        FROM {texts(d)} t {d.unnest(d.all('text', '(?m)^[A-Za-z][A-Za-z_]*:[^\\n]*$'), 'x')} GROUP BY doc_id, {d.ext('x', '^([A-Za-z][A-Za-z_]*):', 1)}"""
+
+
+@book.sql
+def txt32_summaries(d: Spark) -> str:
+    """First paragraph of prose, cut to 300 characters."""
+    marked = d.sub(d.sub("text", W.FENCE, "\n\n"), r"\n\s*\n", "\x01")
+    paras = d.filter(d.map(d.split(marked, "\x01"), "y", f"trim({d.sub('y', r'\s+', ' ')})"), "y", f"y <> '' AND NOT {d.match('y', r'^(?:#|[-*>|!\[<]|---|\d+\.)')}")
+    return f"SELECT doc_id, left({d.at(paras, '1')}, 300) AS summary FROM documents WHERE text IS NOT NULL"
 
 
 @book.sql
-def txt24_47_prompts(d: Spark) -> str:
-    """Whether a text carries an error, and the line that states the task."""
-    err = r"Traceback \(most recent call last\)|\berror:|FAILED \S+\.py"
-    lines = d.split("text", "\n") if d.name == "spark" else "string_split(text, chr(10))"
-    return f"""SELECT doc_id, {d.match('text', err)} AS has_error, coalesce(left({d.at(d.filter(d.map(lines, 'x', W.trim(d, 'x')), 'x', f"x <> '' AND NOT {d.match('x', err)}"), '1')}, 200), 'fix this error') AS task FROM documents WHERE text IS NOT NULL"""
+def txt42_src25_repos_in_text(d: Spark) -> str:
+    """Repositories that documents name, by first place of mention."""
+    return f"""WITH r AS (SELECT DISTINCT {d.ext('path', '^([^/]+)/', 1)} AS repo FROM source_files WHERE path IS NOT NULL)
+        SELECT doc_id, repo, min({d.big('pos')}) AS first_token FROM (SELECT doc_id, pos, x FROM {texts(d)} t {d.unnest(d.all('text', r'[a-z][a-z-]+'), 'x')}) w JOIN r ON r.repo = w.x GROUP BY doc_id, repo"""
+
+
+# Verbs of edits, what a check runs, what waits for an answer, and how errors of several tools name places and things.
+EDIT_VERBS = "implement fix edit write rewrite change modify refactor add create commit update rename delete remove patch migrate bump apply".split()
+RUNS = r"(?i)\b(?:run|re-?run)\b.*\b(?:tests?|pytest|ctest|build|lint|suite|benchmark)s?\b|\b(?:pytest|ctest|npm (?:run )?test|cargo (?:test|build)|make)\b"
+TASK_LINE = r"(?im)^\s*[-*]?\s*\**Task\**\s*:([^\n]*)$"
+WAITING = [r"(?i)enter to select", r"(?i)↑/↓ to navigate|arrow keys to navigate", r"(?i)esc to cancel", r"(?i)do you want to (?:proceed|make this edit|create|run)", r"(?i)\(y/n\)|\[y/n\]", r"(?m)^\s*[❯›>]\s*1\.\s", r"(?i)press enter to confirm"]
+MENTION = r'^@(?:"([^"]+)"|([^\s"]\S*))\s+(\S[\s\S]*)$'
+ERROR_TEXT = [r"Traceback \(most recent call last\):", r"(?m)^\S+\.(?:c|cc|cpp|cxx|h|hh|hpp|hxx)(?::\d+){1,2}: (?:fatal )?error:", r"(?m)^(?:FAILED|ERROR) \S+\.py::\S+", r"(?m)^\S+\.py:\d+: in \S+"]
+NOT_TASK = r"^(?:Traceback|File |E |FAILED|ERROR)"
+PLACES = {
+    "compiler": r"([^\s:()']+):(\d+):(?:\d+:)?\s*(?:fatal error|error|warning|note)\b",
+    "instantiation": r"([^\s:()']+):(\d+):(?:\d+:)?\s+required from",
+    "msvc": r"((?:[A-Za-z]:)?[^\s:()]+)\((\d+)(?:,\d+)?\)\s*:\s*(?:fatal error|error|warning|note)\b",
+    "traceback": r'File "([^"]+)", line (\d+)',
+    "pytest": r"^\s*([^\s:()]+\.[A-Za-z0-9]+):(\d+):(?:\s|$)",
+}
+THINGS = {
+    "exception": r"\b([A-Za-z_]\w*(?:Error|Exception|Warning|Failure))\b",
+    "frame": r'File "[^"]+", line \d+, in ([A-Za-z_]\w*)',
+    "quoted": "['`\u2018\"]([A-Za-z_][\\w:]*)['\u2019\"]",
+    "test": r"^(?:FAILED|ERROR)\s+\S*?::([A-Za-z_][\w:]*)",
+    "echo": r"^(?:>\s+|\s*\d+\s+\|\s)(.*)$",
+}
+FOLDERS = {"entered": "Entering directory [`'\"]([^'`\"]+)['`\"]", "cd": r"(?:^|\s)cd\s+([^\s;&]+)\s*(?:&&|;)", "included": r"In file included from ([^\s:]+):\d+"}
+#: Characters that clipped and cut texts have at most.
+CLIP, CUT = 80, 200
+
+
+def plain_lines(d: Spark) -> str:
+    """Lines of all runs once each, without colour codes and trailing CR."""
+    return f"(SELECT run_id, line_no, max({d.sub(d.sub('text', W.ANSI, ''), r'\r+$', '')}) AS x FROM log_lines WHERE run_id IS NOT NULL AND line_no IS NOT NULL AND text IS NOT NULL GROUP BY run_id, line_no)"
 
 
 @book.sql
-def txt28_flt18_long_commands(d: Spark) -> str:
-    """Commands of the kind that prints much, none of whose parts is unsafe to wrap."""
-    segs = d.split(d.sub("command", r"\s*(?:&&|\|\||;)\s*", "\x01"), "\x01")
-    long = d.match("s", r"^(?:pytest|ctest|ninja|make|cmake|python -m (?:pytest|build)|cargo (?:build|test)|ruff)\b")
-    bad = d.match("s", r"[|<>`]|\$\(")
-    return f"SELECT DISTINCT command, {d.any(segs, 's', long)} AS is_long, {d.any(segs, 's', bad)} AS is_unsafe FROM runs WHERE command IS NOT NULL"
+def txt20_error_places(d: Spark) -> str:
+    """Files and lines that output names, by the form of the tool that wrote it."""
+    part = lambda k, p: f"SELECT run_id, line_no, '{k}' AS form, file, {d.try_int('num')} AS at_line FROM (SELECT run_id, line_no, file, {d.at('nums', 'cast(pos + 1 AS INT)')} AS num FROM (SELECT run_id, line_no, {d.all('x', p, 1)} AS files, {d.all('x', p, 2)} AS nums FROM {plain_lines(d)} l WHERE {d.match('x', p)}) t {d.unnest('files', 'file')}) u"
+    return "SELECT DISTINCT * FROM (" + " UNION ALL ".join(part(k, p) for k, p in PLACES.items()) + ") v"
 
 
 @book.sql
-def txt29_30_answers(d: Spark) -> str:
-    """KEY: value lines of texts."""
-    return f"""SELECT doc_id, {d.ext('x', '^([A-Za-z][A-Za-z_]*):', 1)} AS k, count(*) AS n, min({W.trim(d, d.sub('x', '^[A-Za-z][A-Za-z_]*:', ''))}) AS first_value
-        FROM {texts(d)} t {d.unnest(d.all('text', '(?m)^[A-Za-z][A-Za-z_]*:[^\\n]*$'), 'x')} GROUP BY doc_id, {d.ext('x', '^([A-Za-z][A-Za-z_]*):', 1)}"""
+def txt21_22_error_names(d: Spark) -> str:
+    """What output names: exceptions, frames, quoted names, failing tests and their parts, words of echoed code."""
+    part = lambda k, p: f"SELECT run_id, line_no, '{k}' AS kind, n AS name FROM (SELECT run_id, line_no, {d.all('x', p, 1)} AS ns FROM {plain_lines(d)} l WHERE {d.match('x', p)}) t {d.unnest('ns', 'n')}"
+    words = f"SELECT run_id, line_no, kind, w AS name FROM (SELECT * FROM ({part('echo', THINGS['echo'])}) e) t {d.unnest(d.all('name', '[A-Za-z_][A-Za-z0-9_]*'), 'w')} WHERE length(w) > 1"
+    tests = f"SELECT run_id, line_no, kind, w AS name FROM (SELECT * FROM ({part('test', THINGS['test'])}) e) t {d.unnest(d.split('name', '::'), 'w')} WHERE w <> ''"
+    rest = " UNION ALL ".join(part(k, THINGS[k]) for k in ("exception", "frame", "quoted"))
+    return f"SELECT DISTINCT run_id, line_no, kind, name FROM ({rest} UNION ALL {words} UNION ALL {tests}) v WHERE name <> 'module' AND (kind = 'test' OR NOT {d.has(d.strings(W.TASK_STOPWORDS), 'lower(name)')})"
 
 
 @book.sql
-def txt31_router(d: Spark) -> str:
-    """Which kind of worker a task text asks for."""
-    return f"""SELECT item_id, CASE WHEN {d.match('text', r'(?i)\b(?:edit|change|fix|rename|refactor|implement|write)\b')} THEN 'edit' WHEN {d.match('text', r'(?i)\b(?:run|build|test|benchmark)\b')} THEN 'run' ELSE 'scout' END AS worker FROM eval_items"""
+def txt23_build_folders(d: Spark) -> str:
+    """Folders that a build says it works in."""
+    up = lambda x: d.sub(d.sub(x, r"/?[^/]+$", ""), "^$", ".")
+    part = lambda k, p: f"SELECT run_id, line_no, '{k}' AS how, replace(n, {d.lit(chr(92))}, '/') AS folder FROM (SELECT run_id, line_no, {d.all('x', p, 1)} AS ns FROM {plain_lines(d)} l WHERE {d.match('x', p)}) t {d.unnest('ns', 'n')}"
+    return "SELECT DISTINCT run_id, line_no, how, " + f"CASE WHEN how = 'included' THEN {up('folder')} ELSE folder END AS folder FROM (" + " UNION ALL ".join(part(k, p) for k, p in FOLDERS.items()) + ") v"
 
 
 @book.sql
-def txt32_summaries(d: Spark) -> str:
-    """First paragraph of prose, cut to 300 characters."""
-    marked = d.sub(d.sub("text", W.FENCE, "\n\n"), r"\n\s*\n", "\x01")
-    paras = d.filter(d.map(d.split(marked, "\x01"), "y", f"trim({d.sub('y', r'\s+', ' ')})"), "y", f"y <> '' AND NOT {d.match('y', r'^(?:#|[-*>|!\[<]|---|\d+\.)')}")
-    return f"SELECT doc_id, left({d.at(paras, '1')}, 300) AS summary FROM documents WHERE text IS NOT NULL"
+def txt24_47_prompts(d: Spark) -> str:
+    """Whether a text carries an error, and its first line that isn't error output."""
+    has = lambda x: "(" + " OR ".join(d.match(x, p) for p in ERROR_TEXT) + ")"
+    lines = d.split("replace(text, chr(13), chr(10))", "\n") if d.name == "spark" else "string_split(replace(text, chr(13), chr(10)), chr(10))"
+    own = d.filter(d.map(lines, "x", W.trim(d, "x")), "x", f"x <> '' AND NOT {d.match('x', NOT_TASK)} AND NOT {has('x')}")
+    return f"SELECT doc_id, {has('text')} AS has_error, coalesce(left({d.at(own, '1')}, {CUT}), 'Fix the error') AS task FROM documents WHERE text IS NOT NULL"
 
 
 @book.sql
-def txt39_checklists(d: Spark) -> str:
-    """Longest run of like list items of each text that has three or more."""
-    lines = d.split("text", "\n") if d.name == "spark" else "string_split(text, chr(10))"
-    return f"""WITH l AS (SELECT doc_id, {d.big('pos')} AS pos, CASE WHEN {d.match('x', r'^\s*[-*] ')} THEN 'dash' WHEN {d.match('x', r'^\s*\d+[.)] ')} THEN 'number' ELSE '' END AS kind FROM {texts(d)} t {d.unnest(lines, 'x')}),
-        g AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, kind ORDER BY pos) AS island FROM l WHERE kind <> ''),
-        r AS (SELECT doc_id, kind, min(pos) AS first_line, count(*) AS n FROM g GROUP BY doc_id, kind, island HAVING count(*) >= 3),
-        k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY first_line DESC) AS k FROM r)
-        SELECT doc_id, kind, first_line, n FROM k WHERE k = 1"""
+def txt31_router(d: Spark) -> str:
+    """Which kind of worker a task text asks for: edits before runs, else a scout; a Task line speaks for its text."""
+    task = f"CASE WHEN {d.match('text', TASK_LINE)} THEN {d.ext('text', TASK_LINE, 1)} ELSE text END"
+    edit = rf"(?i)\b(?:{'|'.join(EDIT_VERBS)})\w*\b"
+    return f"""SELECT kind, id, CASE WHEN {d.match('x', edit)} THEN 'edit' WHEN {d.match('x', RUNS)} THEN 'run' ELSE 'scout' END AS worker FROM (
+        SELECT 'item' AS kind, item_id AS id, {task} AS x FROM eval_items WHERE text IS NOT NULL UNION ALL SELECT 'document', doc_id, {task} FROM documents WHERE text IS NOT NULL) t"""
 
 
 @book.sql
 def txt40_mentions(d: Spark) -> str:
-    """Authors mentioned at line starts, by document."""
-    return f"SELECT doc_id, x AS author, count(*) AS n FROM {texts(d)} t {d.unnest(d.all('text', r'(?m)^@([a-z]+)', 1), 'x')} GROUP BY doc_id, x"
+    """Lines that address participants of a text (those who write in it): by full name, by the only name that begins so, or all."""
+    lines = d.split("text", "\n") if d.name == "spark" else "string_split(text, chr(10))"
+    x = W.trim(d, "x")
+    return f"""WITH w AS (SELECT DISTINCT doc_id, lower(x) AS title FROM {texts(d)} t {d.unnest(d.all('text', '(?m)^@(' + chr(92) + 'S+) wrote:', 1), 'x')}),
+        m AS (SELECT doc_id, {d.big('pos')} AS pos, {d.ext(x, MENTION, 1)} AS q, {d.ext(x, MENTION, 2)} AS b, {W.trim(d, d.ext(x, MENTION, 3))} AS body FROM {texts(d)} t {d.unnest(lines, 'x')} WHERE {d.match(x, MENTION)}),
+        n AS (SELECT doc_id, pos, coalesce(q, '') <> '' AS quoted, {W.trim(d, "lower(CASE WHEN coalesce(q, '') <> '' THEN q ELSE b END)")} AS name, body FROM m),
+        c AS (SELECT n.doc_id, n.pos, n.quoted, n.name, n.body, count(w.title) AS everyone, count_if(w.title = n.name) AS same, count_if(left(w.title, length(n.name)) = n.name) AS begin_so, min(CASE WHEN w.title = n.name THEN w.title END) AS exact, min(CASE WHEN left(w.title, length(n.name)) = n.name THEN w.title END) AS prefix FROM n JOIN w ON w.doc_id = n.doc_id GROUP BY n.doc_id, n.pos, n.quoted, n.name, n.body)
+        SELECT doc_id, pos, name, body, CASE WHEN name = 'all' AND NOT quoted THEN everyone ELSE 1 END AS n_targets, CASE WHEN name = 'all' AND NOT quoted THEN '' ELSE coalesce(exact, prefix) END AS target
+        FROM c WHERE (name = 'all' AND NOT quoted) OR same = 1 OR (same = 0 AND begin_so = 1)"""
 
 
 @book.sql
 def txt41_asking(d: Spark) -> str:
-    """Whether the last 14 lines of a text ask something."""
+    """Whether the last 14 lines of a text show a choice or a question of a program."""
     lines = d.split("text", "\n") if d.name == "spark" else "string_split(text, chr(10))"
     last = f"slice({lines}, greatest(1, size({lines}) - 13), 14)" if d.name == "spark" else f"list_slice({lines}, greatest(1, len({lines}) - 13), len({lines}))"
-    return f"SELECT doc_id, {d.any(last, 'x', d.match('x', r'\?\s*$|\(y/n\)|(?i)\bproceed\b'))} AS asking FROM documents WHERE text IS NOT NULL"
+    nl = "array_join(" + last + ", '\\n')" if d.name == "spark" else f"array_to_string({last}, chr(10))"
+    return f"SELECT doc_id, {' OR '.join(d.match('tail', p) for p in WAITING)} AS asking FROM (SELECT doc_id, {nl} AS tail FROM documents WHERE text IS NOT NULL) t"
 
 
 @book.sql
-def txt42_src25_repos_in_text(d: Spark) -> str:
-    """Repositories that documents name, by first place of mention."""
-    return f"""WITH r AS (SELECT DISTINCT {d.ext('path', '^([^/]+)/', 1)} AS repo FROM source_files WHERE path IS NOT NULL)
-        SELECT doc_id, repo, min({d.big('pos')}) AS first_token FROM (SELECT doc_id, pos, x FROM {texts(d)} t {d.unnest(d.all('text', r'[a-z][a-z-]+'), 'x')}) w JOIN r ON r.repo = w.x GROUP BY doc_id, repo"""
+def scl41_44_46_clips(d: Spark) -> str:
+    """Clipped to one line, cut at the last line end past half the limit, and quoted whole on one line."""
+    flat = f"trim({d.sub('text', r'\s+', ' ')})"
+    head = f"left(text, {CUT})"
+    nl = d.lit("\n") if d.name == "spark" else "chr(10)"
+    found = f"strpos(reverse({head}), {nl})" if d.name == "duck" else f"locate({nl}, reverse({head}))"
+    back = f"(length({head}) - {found} + 1)"
+    bs = d.lit("\\")
+    quoted = f"concat('\"', replace(replace({flat}, {bs}, {d.lit(chr(92) * 2)}), '\"', {d.lit(chr(92) + chr(34))}), '\"')"
+    return f"""SELECT doc_id, CASE WHEN length({flat}) > {CLIP} THEN concat(rtrim(left({flat}, {CLIP - 1})), '…') ELSE {flat} END AS clipped,
+        CASE WHEN length(text) <= {CUT} THEN text WHEN {found} > 0 AND {back} > {CUT // 2} THEN left(text, cast({back} - 1 AS INT)) ELSE {head} END AS cut, {quoted} AS quoted FROM {texts(d)} t"""
+
