@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.session import written
+
 
 def greedy_selection(items: DataFrame, group: str, key: str, score: str, cost: str, budget: int) -> DataFrame:
     """(group, key, used): items in falling order of score that still fit the budget; one that doesn't is skipped.
@@ -41,6 +43,24 @@ def greedy_selection(items: DataFrame, group: str, key: str, score: str, cost: s
     return src.mapInArrow(fold, "grp string, key bigint, used bigint")
 
 
+def running_sum(rows: DataFrame, order: list[Column], size: str) -> DataFrame:
+    """``rows`` with ``upto``, the sum of ``size`` up to and with each row in this order, and ``total``.
+
+    ``order`` has to leave no ties, or equal rows share ranges as they fall.  Rows are cut into
+    ranges of the order, which are windowed by themselves; one row per range carries the sums
+    before it, so no task holds more than a range.
+
+    Defined results: null sizes count 0; an empty input gives an empty result.
+    """
+    cut, _ = written(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    n = F.coalesce(F.col(size).cast("bigint"), F.lit(0))
+    parts = cut.groupBy("_part").agg(F.sum(n).alias("_own"))
+    every = Window.orderBy("_part")  # one row per range
+    parts = parts.select("_part", (F.sum("_own").over(every) - F.col("_own")).alias("_before"), F.sum("_own").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"))
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return cut.withColumn("_sum", F.sum(n).over(inside)).join(F.broadcast(parts), "_part").withColumn("upto", F.col("_before") + F.col("_sum")).drop("_part", "_before", "_sum")
+
+
 def bootstrap_deltas(rows: DataFrame, key: str, task: str, arm: str, value: str, base: str, samples: int = 1000, seed: int = 42) -> DataFrame:
     """(task, arm, delta, lo, hi): percent by which an arm's mean differs from the base's, with a 95 % interval.
 

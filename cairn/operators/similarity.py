@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.operators.graph import components
@@ -90,3 +90,41 @@ def contradictions(facts: DataFrame, threshold: float) -> DataFrame:
     shared = F.size(F.array_intersect("wa", "wb"))
     overlap = shared / (F.size("wa") + F.size("wb") - shared)
     return both.select("scope", "denies", "states", overlap.alias("exact")).where(F.col("exact") >= threshold).select("scope", "denies", "states", F.round("exact", 6).alias("overlap"))
+
+
+def overlapping(sets: DataFrame, threshold: float) -> DataFrame:
+    """(scope, a, b, overlap) of sets within one scope with Jaccard overlap of at least ``threshold``, a < b.
+
+    ``sets`` has scope, id (over all scopes one row) and w (distinct words).  Prefix filter by
+    words rare in their scope, as in :func:`similar_pairs`.
+    """
+    n = F.size("w")
+    base, _ = written(sets.where(n > 0).select("scope", "id", "w", n.alias("n")), "scoped")
+    each = base.select("scope", "id", "n", F.explode("w").alias("x"))
+    df = each.groupBy("scope", "x").agg(F.count("*").alias("df"))
+    take = (F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1).cast("int")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "x"))
+    pre = each.join(df, ["scope", "x"]).withColumn("k", rank).where((F.col("k") <= take) & (F.col("df") > 1)).select("scope", "x", "id", "n")
+    a, b = pre.select("scope", "x", F.col("id").alias("a"), F.col("n").alias("na")), pre.select("scope", "x", F.col("id").alias("b"), F.col("n").alias("nb"))
+    fits = (F.col("na") >= F.ceil(F.lit(threshold) * F.col("nb"))) & (F.col("nb") >= F.ceil(F.lit(threshold) * F.col("na")))
+    cand = a.join(b, ["scope", "x"]).where((F.col("a") < F.col("b")) & fits).select("scope", "a", "b").distinct()
+    both = cand.join(base.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").join(base.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
+    shared = F.size(F.array_intersect("wa", "wb"))
+    return both.select("scope", "a", "b", (shared / (F.size("wa") + F.size("wb") - shared)).alias("overlap")).where(F.col("overlap") >= threshold)
+
+
+def repeated(briefs: DataFrame, threshold: float) -> DataFrame:
+    """(line_id, first_line, overlap): rows whose words overlap those of an earlier row of their session, with the first such row.
+
+    ``briefs`` has session_id, o (order, unique), line_id and w (sorted distinct words).  Rows of the
+    same words are one set, of which only the first row can be the first match, so a brief that
+    is repeated any number of times is compared once.
+    """
+    same = F.xxhash64("session_id", F.array_join("w", " "))
+    base, _ = written(briefs.withColumn("id", same), "briefs")
+    sets = base.groupBy("id").agg(F.max("session_id").alias("scope"), F.max("w").alias("w"), F.min(F.struct("o", "line_id")).alias("first"))
+    pairs = overlapping(sets.select("scope", "id", "w"), threshold).select("a", "b", "overlap")
+    links = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "overlap")).unionByName(sets.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("overlap")))
+    near = links.join(sets.select(F.col("id").alias("b"), "first"), "b").groupBy("a").agg(F.min(F.struct("first", "overlap")).alias("m"))
+    out = base.join(near.withColumnRenamed("a", "id"), "id").where(F.col("m.first.o") < F.col("o"))
+    return out.select("line_id", F.col("m.first.line_id").alias("first_line"), F.col("m.overlap").alias("overlap"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
 from cairn.functions import words as W
-from cairn.plans.dialect import Book, Spark
+from cairn.plans.dialect import SPARK, Book, Spark, ask
+from cairn.session import written
 
 book = Book()
 
@@ -113,7 +117,8 @@ def jon06_07_import_resolution(d: Spark) -> str:
     name = d.sub(mod, r'^(?:import |from |#include ")', "")
     stem = d.ext("f.path", r"([^/]+)\.\w+$", 1)
     return f"""WITH i AS (SELECT DISTINCT path, {name} AS module FROM {code_lines(d)} l WHERE {d.match('x', r'^(?:import|from) [a-z_]+|^#include "[a-z_]+')}),
-        c AS (SELECT i.path, i.module, f.path AS target, CASE WHEN {d.ext('i.path', '^([^/]+)/', 1)} = {d.ext('f.path', '^([^/]+)/', 1)} THEN 1 ELSE 0 END AS near FROM i JOIN {files(d)} f ON {d.sub(stem, '_[0-9a-z]+$', '')} = i.module OR {stem} = i.module OR f.path LIKE concat('%/', i.module, '/%')),
+        n AS (SELECT path, {d.sub(stem, '_[0-9a-z]+$', '')} AS module FROM {files(d)} f UNION SELECT path, {stem} FROM {files(d)} f UNION SELECT path, x FROM (SELECT path FROM {files(d)} f) t {d.unnest(d.split('path', '/'), 'x')} WHERE pos > 0 AND pos < {d.size(d.split('path', '/'))} - 1),
+        c AS (SELECT i.path, i.module, n.path AS target, CASE WHEN {d.ext('i.path', '^([^/]+)/', 1)} = {d.ext('n.path', '^([^/]+)/', 1)} THEN 1 ELSE 0 END AS near FROM i JOIN n ON n.module = i.module),
         k AS (SELECT *, row_number() OVER (PARTITION BY path, module ORDER BY near DESC, length(target), target) AS k FROM c)
         SELECT i.path, i.module, k.target FROM i LEFT JOIN k ON k.path = i.path AND k.module = i.module AND k.k = 1"""
 
@@ -179,9 +184,8 @@ def name_index(d: Spark) -> str:
         CROSS JOIN (SELECT count(*) AS n FROM {symbols(d)} y) n) t)"""
 
 
-@book.sql
-def mth11_12_top01_lexical_scores(d: Spark) -> str:
-    """The ten symbols that each task text speaks of most: shared name words by weight, whole names by 12, documentation words added."""
+def lexical(d: Spark) -> str:
+    """The plain text of the scores, every word of a task against every word of a symbol."""
     task = f"(SELECT item_id, w FROM (SELECT item_id, text FROM eval_items) t {d.unnest(W.keywords_a(d, 'text'), 'w')})"
     whole = f"(SELECT DISTINCT item_id, w FROM (SELECT item_id, text FROM eval_items) t {d.unnest(W.word_list(d, 'lower(text)'), 'w')})"
     docs = f"(SELECT id, w FROM (SELECT id, doc FROM {symbols(d)} y WHERE doc <> '') t {d.unnest(W.keywords_a(d, 'doc'), 'w')})"
@@ -191,6 +195,35 @@ def mth11_12_top01_lexical_scores(d: Spark) -> str:
         SELECT item_id, id, score, {d.big('k')} AS k FROM k WHERE k <= 10"""
 
 
+#: Words of tasks that are sent to all executors at most; more are joined by a shuffle.
+SENT_WORDS = 500_000
+
+
+@book.frame(lexical)
+def mth11_12_top01_lexical_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The ten symbols that each task text speaks of most: shared name words by weight, whole names by 12, documentation words added.
+
+    The tasks' words are the query set: weights are looked up for them alone, and each symbol
+    meets them where it is, so that scores of a symbol are summed without a shuffle and only
+    ten rows per task and partition go on.
+    """
+    kw, names, doc = W.keywords_a(SPARK, "text"), W.name_words(SPARK, "name"), W.keywords_a(SPARK, "doc")
+    sym = ask(spark, d, lambda x: f"SELECT id, lower(name) AS whole, length(name) > 2 AS counts, {names} AS names, CASE WHEN doc <> '' THEN {doc} END AS docs FROM {symbols(x)} s")
+    tasks = ask(spark, d, lambda x: f"SELECT item_id, {kw} AS kw, {W.word_list(x, 'lower(text)')} AS whole FROM eval_items WHERE text IS NOT NULL")
+    word = tasks.select("item_id", F.explode("kw").alias("w")).distinct()
+    n = sym.agg(F.count("*").alias("n"))
+    df = sym.select(F.explode("names").alias("w")).join(F.broadcast(word.select("w").distinct()), "w").groupBy("w").agg(F.count("*").alias("df"))
+    idf = df.join(F.broadcast(n), F.lit(True)).select("w", (3.0 * F.least(F.lit(1.0), F.greatest(F.lit(0.05), F.ln((F.col("n") + 1) / (F.col("df") + 0.5)) / F.ln(F.col("n") + 1)))).alias("score"))
+    q = word.join(idf, "w").select("item_id", F.lit("n").alias("kind"), "w", "score")
+    q = q.unionByName(word.select("item_id", F.lit("d").alias("kind"), "w", F.lit(0.5).alias("score")))
+    q, _ = written(q.unionByName(tasks.select("item_id", F.lit("w").alias("kind"), F.explode(F.array_distinct("whole")).alias("w"), F.lit(12.0).alias("score"))), "task-words")
+    tag = lambda c, k: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.struct(F.lit(k).alias("kind"), x.alias("w")))
+    each = sym.select("id", F.explode(F.concat(tag(F.col("names"), "n"), tag(F.col("docs"), "d"), tag(F.when(F.col("counts"), F.array("whole")), "w"))).alias("x")).select("id", "x.kind", "x.w")
+    hit = each.join(F.broadcast(q) if q.count() <= SENT_WORDS else q, ["kind", "w"]).groupBy("id", "item_id").agg((F.bround(F.sum("score") * 100, 0) / 100).alias("score"))
+    k = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "id"))
+    return hit.withColumn("k", k).where("k <= 10").select("item_id", "id", "score", F.col("k").cast("bigint").alias("k"))
+
+
 @book.sql
 def top02_chunks(d: Spark) -> str:
     """One chunk per symbol; a class longer than 30 lines is its head up to its first member."""
@@ -236,14 +269,6 @@ def gra01_04_distances(d: Spark) -> str:
         SELECT id, min(depth) AS distance, CASE WHEN min(depth) = 0 THEN 6 ELSE greatest(0, 6 - min(depth)) END AS score FROM r GROUP BY id"""
 
 
-@book.sql
-def str12_13_refresh(d: Spark) -> str:
-    """Files by what a refresh does with them: dates tell, then content."""
-    old = "(SELECT path, min(mtime) AS mtime FROM source_files WHERE path IS NOT NULL AND kind <> 'test' GROUP BY path)"
-    new = "(SELECT path, max(mtime) AS mtime FROM source_files WHERE path IS NOT NULL AND path NOT LIKE '%_1.%' GROUP BY path)"
-    return f"""SELECT coalesce(n.path, o.path) AS path, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed' WHEN n.mtime IS NOT DISTINCT FROM o.mtime THEN 'unchanged' ELSE 'touched' END AS state FROM {new} n FULL OUTER JOIN {old} o ON n.path = o.path"""
-
-
 @book.sql
 def flt06_08_stale(d: Spark) -> str:
     """Symbols whose file is gone or has no content."""

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from cairn.functions import words as W
-from cairn.plans.dialect import Book, Spark
+from cairn.operators.selection import running_sum
+from cairn.plans.dialect import Book, Spark, ask
 
 book = Book()
 
 #: Lines per block of a run in windows over its lines, so that one huge run is many tasks.
 BLOCK = 16384
-#: First lines that a cluster of events keeps, and runs kept by the retention.
-FIRST_LINES = 20
+#: First lines that a cluster of events keeps; runs of a command and lines of all that the retention keeps.
+FIRST_LINES, KEPT_RUNS, KEPT_LINES = 20, 10, 10_000
 
 
 def lines(d: Spark) -> str:
@@ -294,12 +298,16 @@ def jon13_33_run_diffs(d: Spark) -> str:
         FROM a FULL OUTER JOIN b ON a.id = b.id AND a.signature = b.signature WHERE a.id IS NULL OR b.id IS NULL OR a.n <> b.n"""
 
 
-@book.sql
-def win03_retention(d: Spark) -> str:
+def aged_runs(d: Spark) -> str:
+    return f"(SELECT run_id, began, n_lines, k_back, CASE WHEN k_back > 1 AND k_back <= {KEPT_RUNS} THEN n_lines ELSE 0 END AS size FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY began DESC, run_id DESC) AS k_back FROM {run_order(d)} r) t)"
+
+
+@book.frame(lambda d: f"""SELECT run_id, CASE WHEN k_back > {KEPT_RUNS} THEN 'count' ELSE 'size' END AS reason FROM (SELECT *, sum(coalesce(size, 0)) OVER (ORDER BY began DESC NULLS LAST, run_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS kept FROM {aged_runs(d)} r) s
+    WHERE k_back > {KEPT_RUNS} OR (k_back > 1 AND kept > {KEPT_LINES})""")
+def win03_retention(spark: SparkSession, d: str) -> DataFrame:
     """Runs to drop: past the last 10 of a command, then the oldest until the rest is small enough; the newest of a command stays."""
-    return f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY began DESC, run_id DESC) AS k_back FROM {run_order(d)} r),
-        s AS (SELECT *, coalesce(sum(CASE WHEN k_back > 1 AND k_back <= 10 THEN n_lines ELSE 0 END) OVER (ORDER BY began DESC, run_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS kept FROM r)
-        SELECT run_id, CASE WHEN k_back > 10 THEN 'count' ELSE 'size' END AS reason FROM s WHERE k_back > 10 OR (k_back > 1 AND kept > 10000)"""
+    r = running_sum(ask(spark, d, lambda x: f"SELECT * FROM {aged_runs(x)} r"), [F.desc_nulls_last("began"), F.desc("run_id")], "size")
+    return r.where((F.col("k_back") > KEPT_RUNS) | ((F.col("k_back") > 1) & (F.col("upto") > KEPT_LINES))).select("run_id", F.when(F.col("k_back") > KEPT_RUNS, "count").otherwise("size").alias("reason"))
 
 
 @book.sql

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import words as W
 from cairn.operators.graph import cycle_links, distances
-from cairn.operators.similarity import contradictions, near_duplicates
+from cairn.operators.similarity import contradictions, near_duplicates, repeated
 from cairn.plans.code_queries import files, imports, symbols
 from cairn.plans.dialect import Book, Spark, ask
 from cairn.plans.text_queries import texts
+from cairn.session import written
 from cairn.tables import load
 
 book = Book()
@@ -49,27 +50,33 @@ def jon16_contradictions(spark: SparkSession, d: str) -> DataFrame:
     return contradictions(ask(spark, d, lambda x: f"SELECT * FROM {statements(x)} f"), 0.4)
 
 
-@book.sql
-def jon18_repeated_briefs(d: Spark) -> str:
-    """Briefs that a session already gave: the first earlier one with the same words."""
-    p = r'"description": ?"([^"\\]+)"'
-    return f"""WITH b AS (SELECT session_id, line_no, line_id, lower({d.ext('message', p, 1)}) AS brief FROM transcripts WHERE message LIKE '%"description"%')
-        SELECT line_id, first_line FROM (SELECT line_id, first_value(line_id) OVER (PARTITION BY session_id, brief ORDER BY line_no, line_id) AS first_line FROM b WHERE brief <> '') t WHERE first_line <> line_id"""
+#: Overlap of words from which a brief is denied, and from which it gets a hint.
+DENY, HINT = 0.9, 0.6
 
 
-@book.sql
-def jon21_22_fingerprints(d: Spark) -> str:
-    """Cards that are one repository by remote or by a shared root, the remote first."""
-    rows = [("a", "example.org/t/a", "r1"), ("b", "example.org/t/a", "r2"), ("c", "", "r1"), ("d", "", "r3"), ("e", None, None)]
-    return f"""SELECT a, b, min(why) AS why FROM (SELECT x.slug AS a, y.slug AS b, '1 remote' AS why FROM {d.rows(rows, 'slug, remote, root')} x JOIN {d.rows(rows, 'slug, remote, root')} y ON x.remote = y.remote AND x.slug < y.slug WHERE x.remote <> ''
-        UNION ALL SELECT x.slug, y.slug, '2 root' FROM {d.rows(rows, 'slug, remote, root')} x JOIN {d.rows(rows, 'slug, remote, root')} y ON x.root = y.root AND x.slug < y.slug) t GROUP BY a, b"""
+def briefs(d: Spark) -> str:
+    """Briefs of tool calls with their words: session_id, line_no, line_id, w."""
+    return f"(SELECT session_id, line_no, line_id, {d.sorted(W.note_words(d, 'b'))} AS w FROM (SELECT session_id, line_no, line_id, {d.ext('message', BRIEF, 1)} AS b FROM transcripts WHERE message LIKE '%\"description\"%') t WHERE b <> '')"
+
+
+BRIEF = r'"description": ?"([^"\\]+)"'
+
+
+@book.frame(lambda d: f"""WITH b AS (SELECT *, cast(line_no AS BIGINT) * 1000000000 + line_id AS o FROM {briefs(d)} b WHERE session_id IS NOT NULL), p AS (
+        SELECT x.line_id, y.line_id AS first_line, y.o, len(list_intersect(x.w, y.w)) * 1.0 / nullif(len(x.w) + len(y.w) - len(list_intersect(x.w, y.w)), 0) AS sim FROM b x JOIN b y ON x.session_id = y.session_id AND y.o < x.o)
+    SELECT line_id, first_line, round(sim, 6) AS overlap, CASE WHEN sim >= {DENY} THEN 'deny' ELSE 'hint' END AS verdict FROM (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY o) AS k FROM p WHERE sim >= {HINT}) q WHERE k = 1""")
+def jon18_repeated_briefs(spark: SparkSession, d: str) -> DataFrame:
+    """Briefs much like an earlier one of their session: the first such one, denied or hinted at by its overlap."""
+    b = ask(spark, d, lambda x: f"SELECT session_id, cast(line_no AS BIGINT) * 1000000000 + line_id AS o, line_id, w FROM {briefs(x)} b WHERE session_id IS NOT NULL AND size(w) > 0")
+    return repeated(b, HINT).select("line_id", "first_line", F.round("overlap", 6).alias("overlap"), F.when(F.col("overlap") >= DENY, "deny").otherwise("hint").alias("verdict"))
 
 
 def routing(d: Spark) -> str:
-    """Each task text with each suite's own vocabulary: the share of the text's words that it covers."""
-    desc = f"(SELECT suite, {d.gather_set('w')} AS kw FROM (SELECT suite, text FROM eval_items) t {d.unnest(W.keywords_b(d, 'text'), 'w')} GROUP BY suite)"
-    return f"""(SELECT item_id, truth, suite, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, suite) AS k FROM (SELECT i.item_id, i.suite AS truth, s.suite, {d.size(d.meet('i.kw', 's.kw'))} * 1.0 / greatest(1, {d.size('i.kw')}) AS score
-        FROM (SELECT item_id, suite, {W.keywords_b(d, 'text')} AS kw FROM eval_items) i CROSS JOIN {desc} s) t)"""
+    """Each task text with the suite whose vocabulary covers most of its words, by the words they share."""
+    own = f"(SELECT item_id, suite, {d.distinct(W.keywords_b(d, 'text'))} AS kw FROM eval_items)"
+    return f"""(SELECT i.item_id, i.suite AS truth, coalesce(h.suite, f.suite) AS suite, coalesce(h.n, 0) * 1.0 / greatest(1, {d.size('i.kw')}) AS score, row_number() OVER (PARTITION BY i.item_id ORDER BY coalesce(h.n, 0) DESC, coalesce(h.suite, f.suite)) AS k
+        FROM {own} i CROSS JOIN (SELECT min(suite) AS suite FROM eval_items) f LEFT JOIN (SELECT a.item_id, v.suite, count(*) AS n FROM (SELECT item_id, w FROM {own} t {d.unnest('kw', 'w')}) a
+            JOIN (SELECT DISTINCT suite, w FROM {own} t {d.unnest('kw', 'w')}) v ON v.w = a.w GROUP BY a.item_id, v.suite) h ON h.item_id = i.item_id)"""
 
 
 @book.sql
@@ -84,18 +91,49 @@ def jon27_agg17_confusion(d: Spark) -> str:
     return f"SELECT truth, suite AS routed, count(*) AS n FROM {routing(d)} r WHERE k = 1 GROUP BY truth, suite"
 
 
-@book.sql
-def jon24_agg18_constraints_kept(d: Spark) -> str:
-    """Binding sentences of documents that some task text still holds: markers, polarity and 60 % of the words."""
+def bindings(d: Spark) -> tuple[str, str]:
+    """Distinct binding sentences (s, k key words, m markers, n whether they deny) of documents, and distinct word sets of task sentences (w, n)."""
     src = lambda t: f"(SELECT DISTINCT s FROM (SELECT replace(text, chr(13), '') AS text FROM {t} WHERE text IS NOT NULL) t {d.unnest(W.sentences(d, 'text'), 's')})"
     ws = lambda x: d.distinct(d.all(W.expand_contractions(d, x), "[a-z0-9]+"))
     keys = d.filter("w", "x", f"length(x) > 3 AND NOT {d.has(d.strings(W.CONSTRAINT_STOPWORDS + W.CONSTRAINT_MARKERS), 'x')}")
     marks = d.filter("w", "x", d.has(d.strings(W.CONSTRAINT_MARKERS), "x"))
     neg = lambda x: d.any(x, "x", d.has(d.strings(["never", "not", "no", "nor"]), "x"))
-    return f"""WITH c AS (SELECT s, {keys} AS k, {marks} AS m, {neg('w')} AS n FROM (SELECT s, {ws('s')} AS w FROM {src('documents')} a WHERE {d.match('s', W.CONSTRAINT)}) t), o AS (SELECT w, {neg('w')} AS n FROM (SELECT {ws('s')} AS w FROM {src('eval_items')} b) t)
+    return (
+        f"(SELECT s, {keys} AS k, {marks} AS m, {neg('w')} AS n FROM (SELECT s, {ws('s')} AS w FROM {src('documents')} a WHERE {d.match('s', W.CONSTRAINT)}) t)",
+        f"(SELECT DISTINCT w, {neg('w')} AS n FROM (SELECT {d.sorted(ws('s'))} AS w FROM {src('eval_items')} b) t)",
+    )
+
+
+def _kept(d: Spark) -> str:
+    c, o = bindings(d)
+    return f"""WITH c AS (SELECT * FROM {c} c), o AS (SELECT * FROM {o} o)
         SELECT s AS sentence, EXISTS (SELECT 1 FROM o WHERE o.n = c.n AND {d.size(d.meet('c.m', 'o.w'))} = {d.size('c.m')} AND {d.size(d.meet('c.k', 'o.w'))} >= 0.6 * {d.size('c.k')}) AS kept FROM c"""
 
 
+@book.frame(_kept)
+def jon24_agg18_constraints_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Binding sentences of documents that some task text still holds: markers, polarity and 60 % of the words.
+
+    A sentence that is held has one of its rarest key words in the task's (one of its markers
+    where it has no key words): only those are joined, then the whole rule is tested.
+    """
+    c = ask(spark, d, lambda x: f"SELECT * FROM {bindings(x)[0]} c")
+    c, _ = written(c.withColumn("id", F.xxhash64("s")), "bindings")
+    o, _ = written(ask(spark, d, lambda x: f"SELECT * FROM {bindings(x)[1]} o").withColumn("oid", F.xxhash64("w")), "task-sentences")
+    index = o.select("oid", "n", F.explode("w").alias("x"))
+    df = index.groupBy("x").agg(F.count("*").alias("df"))
+    probe = F.when(F.size("k") > 0, F.col("k")).otherwise(F.col("m"))
+    most = F.when(F.size("k") > 0, F.size("k") - F.ceil(0.6 * F.size("k")).cast("int") + 1).otherwise(1)
+    each = c.select("id", "n", most.alias("most"), F.explode(probe).alias("x")).join(df, "x", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    first = each.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("df", "x"))).where("rank <= most and df > 0")
+    cand = first.join(index, ["n", "x"]).select("id", "oid").distinct()
+    test = (F.size(F.array_intersect("m", "w")) == F.size("m")) & (F.size(F.array_intersect("k", "w")) >= 0.6 * F.size("k"))
+    held = cand.join(c.select("id", "k", "m"), "id").join(o.select("oid", "w"), "oid").where(test).select("id").distinct().withColumn("held", F.lit(True))
+    bare = c.where(F.size(probe) == 0).select("n").distinct().join(o.select("n").distinct(), "n").select("n", F.lit(True).alias("any"))
+    out = c.join(held, "id", "left").join(bare, "n", "left")
+    return out.select(F.col("s").alias("sentence"), (F.coalesce("held", F.lit(False)) | ((F.size(probe) == 0) & F.coalesce("any", F.lit(False)))).alias("kept"))
+
+
 @book.sql
 def jon25_26_set08_resync(d: Spark) -> str:
     """Repositories that only one of the two tables has."""
@@ -104,9 +142,6 @@ def jon25_26_set08_resync(d: Spark) -> str:
         FULL OUTER JOIN (SELECT DISTINCT repo FROM documents WHERE repo IS NOT NULL) b ON a.repo = b.repo"""
 
 
-LINKS = [("m1", "w1"), ("w1", "w2"), ("w2", "m1"), ("m2", "w3"), ("m2", "m2"), ("w3", "w4"), ("m2", "w3"), (None, "w9")]
-
-
 @book.frame("""WITH RECURSIVE e AS (SELECT DISTINCT id AS a, parent AS b FROM symbols WHERE id IS NOT NULL AND parent IS NOT NULL AND parent <> ''), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
     SELECT DISTINCT e.a, e.b FROM e JOIN r ON r.a = e.a AND r.b = e.a""")
 def gra03_set11_cycles(spark: SparkSession, d: str) -> DataFrame:
@@ -124,12 +159,6 @@ def gra01_file_distances(spark: SparkSession, d: str) -> DataFrame:
     return distances(e, seeds, 5)
 
 
-@book.sql
-def jon28_set11_links(d: Spark) -> str:
-    """Links that hold: distinct, none to itself."""
-    return f"SELECT DISTINCT manager, worker FROM {d.rows(LINKS, 'manager, worker')} l WHERE manager IS NOT NULL AND worker IS NOT NULL AND manager <> worker"
-
-
 @book.sql
 def jon29_30_note_retrieval(d: Spark) -> str:
     """The five notes of each store (source) that share most rare words and paths with each task text; k is their place with the stores one after another."""

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from cairn.functions import words as W
-from cairn.plans.dialect import Book, Spark
+from cairn.operators.selection import running_sum
+from cairn.plans.dialect import Book, Spark, ask
 
 book = Book()
 
@@ -131,11 +135,17 @@ def src05_jon14_resume(d: Spark) -> str:
         WHERE NOT EXISTS (SELECT 1 FROM log_events e WHERE e.run_id = r.run_id) GROUP BY k"""
 
 
+#: Tokens that kept keys may have.
+KEPT_TOKENS = 8000
 KEYS = "(SELECT event_id, concat(user_id, ':', event_type) AS k, user_id, event_type, value, ts, cast(floor(value / 100) AS BIGINT) AS hash FROM events WHERE value IS NOT NULL AND user_id IS NOT NULL)"
 
 
+#: What a failure, and a fact of which no failure is recorded, counts as lost.
+FAILURE_COST, FACT_FAILURE = 150, 150
+
+
 def stats(d: Spark) -> str:
-    return f"""(SELECT k, count(*) AS accesses, count(DISTINCT {d.day('ts')}) AS sessions, sum(value) AS cost, count_if(hash <> before) AS changes, max({d.epoch('ts')}) / 1000000.0 AS last_access
+    return f"""(SELECT k, max(event_type) AS kind, count(*) AS accesses, count(DISTINCT {d.day('ts')}) AS sessions, sum(value) AS cost, sum(CASE WHEN value > 200 THEN {FAILURE_COST} ELSE 0 END) AS failures, count_if(hash <> before) AS changes, max({d.epoch('ts')}) / 1000000.0 AS last_access
         FROM (SELECT *, lag(hash) OVER (PARTITION BY k ORDER BY ts, event_id) AS before FROM {KEYS} e) w GROUP BY k)"""
 
 
@@ -146,16 +156,22 @@ def agg02_key_stats(d: Spark) -> str:
 
 
 def valued(d: Spark) -> str:
+    """Value of each key: what repeats and failures cost, by stability and decay, per token kept.
+
+    The first session is sunk cost; a purchase is a fact, which counts a failure even where
+    none is recorded and no session is known; a view is critical and never decays.
+    """
     top = f"(SELECT max({d.epoch('ts')}) / 1000000.0 AS now FROM events)"
-    decay = "power(0.5, greatest(0.0, (now - last_access) / 86400.0) / 30.0)"
-    return f"""(SELECT k, accesses, sessions, cost, changes, (greatest(1, sessions) - 1) * (cost / accesses) * (1.0 / (1 + changes)) * {decay} / greatest(1, cast(ceil(length(k) / 4.0) AS INT)) AS value,
-        cast(greatest(1, length(k) * 3) AS BIGINT) AS tokens FROM {stats(d)} s CROSS JOIN {top} n)"""
+    decay = "CASE WHEN kind = 'view' THEN 1.0 ELSE power(0.5, greatest(0.0, (now - last_access) / 86400.0) / 30.0) END"
+    failure = f"CASE WHEN failures = 0 AND kind = 'purchase' AND sessions = 0 THEN {FACT_FAILURE} ELSE failures END"
+    return f"""(SELECT *, ((greatest(1, sessions) - 1) * (cost / greatest(1, accesses)) + failure) * stability * decay / greatest(1, cast(ceil(length(k) / 4.0) AS INT)) AS value FROM (
+        SELECT k, kind, accesses, sessions, cost, changes, {failure} AS failure, 1.0 / (1 + changes) AS stability, {decay} AS decay, cast(greatest(1, length(k) * 3) AS BIGINT) AS tokens FROM {stats(d)} s CROSS JOIN {top} n) f)"""
 
 
 @book.sql
 def mth06_10_19_20_values(d: Spark) -> str:
-    """Value of keeping each key: costs avoided, by stability and decay, per token kept."""
-    return f"SELECT k, round(1.0 / (1 + changes), 6) AS stability, round(value, 6) AS value, tokens FROM {valued(d)} v"
+    """Value of keeping each key, with its parts."""
+    return f"SELECT k, failure, round(stability, 6) AS stability, round(decay, 6) AS decay, round(value, 6) AS value, tokens FROM {valued(d)} v"
 
 
 @book.sql
@@ -164,10 +180,11 @@ def top04_candidates(d: Spark) -> str:
     return f"SELECT k, round(value, 6) AS value FROM {valued(d)} v WHERE value >= 1 ORDER BY value DESC, k"
 
 
-@book.sql
-def win11_evictions(d: Spark) -> str:
-    """Cheapest keys to give up until the rest fits 8,000 tokens; none if even all wouldn't do."""
-    return f"""SELECT k, tokens FROM (SELECT k, tokens, sum(tokens) OVER () AS total, coalesce(sum(tokens) OVER (ORDER BY value, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS freed FROM {valued(d)} v) t WHERE total - freed > 8000"""
+@book.frame(lambda d: f"SELECT k, tokens FROM (SELECT k, tokens, sum(tokens) OVER () AS total, coalesce(sum(tokens) OVER (ORDER BY value, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS freed FROM {valued(d)} v) t WHERE total - freed > {KEPT_TOKENS}")
+def win11_evictions(spark: SparkSession, d: str) -> DataFrame:
+    """Cheapest keys to give up until the rest fits the budget."""
+    v = ask(spark, d, lambda x: f"SELECT k, tokens, value FROM {valued(x)} v")
+    return running_sum(v, [F.asc("value"), F.asc("k")], "tokens").where(F.col("total") - (F.col("upto") - F.col("tokens")) > KEPT_TOKENS).select("k", "tokens")
 
 
 @book.sql
@@ -234,10 +251,15 @@ def win10_12_prefix_budgets(d: Spark) -> str:
         FROM (SELECT doc_id, source, {W.tokens_half_even(d, 'text')} AS t FROM documents WHERE text IS NOT NULL AND source IS NOT NULL) a) b WHERE upto <= 20000"""
 
 
-@book.sql
-def win14_trial_order(d: Spark) -> str:
+def trials(d: Spark) -> str:
+    return f"(SELECT item_id, rep, {d.sha1("concat('42:', item_id, ':', rep)")} AS h FROM (SELECT item_id, {d.big('rep')} AS rep FROM eval_items CROSS JOIN (SELECT 1 AS rep UNION ALL SELECT 2 UNION ALL SELECT 3) r) t)"
+
+
+@book.frame(lambda d: f"SELECT item_id, rep, row_number() OVER (ORDER BY rep, h, item_id) AS place FROM {trials(d)} t")
+def win14_trial_order(spark: SparkSession, d: str) -> DataFrame:
     """Tasks by repetition, in an order that a seed shuffles."""
-    return f"""SELECT item_id, rep, row_number() OVER (ORDER BY rep, {d.sha1("concat('42:', item_id, ':', rep)")}, item_id) AS place FROM (SELECT item_id, {d.big('rep')} AS rep FROM eval_items CROSS JOIN (SELECT 1 AS rep UNION ALL SELECT 2 UNION ALL SELECT 3) r) t"""
+    t = ask(spark, d, lambda x: f"SELECT item_id, rep, h, 1 AS one FROM {trials(x)} t")
+    return running_sum(t, [F.asc("rep"), F.asc("h"), F.asc("item_id")], "one").select("item_id", "rep", F.col("upto").alias("place"))
 
 
 @book.sql
