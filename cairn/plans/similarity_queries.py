@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import words as W
 from cairn.operators.graph import cycle_links, distances
-from cairn.operators.similarity import contradictions, near_duplicates, repeated
+from cairn.operators.similarity import contradictions, duplicate_groups, near_duplicates, repeated
 from cairn.plans.code_queries import files, imports, symbols
 from cairn.plans.dialect import Book, Spark, ask
 from cairn.plans.text_queries import texts
@@ -32,8 +32,53 @@ def jon17_gra02_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates(load(spark, d, "documents"))
 
 
+#: Overlap of words from which paragraphs and sentences of a document repeat each other, and the words in a row that do it for sentences.
+PARAGRAPHS, SENTENCES, RUN = 0.6, 0.45, 6
+
+
+def units(d: Spark) -> str:
+    """Paragraphs of at least 8 words and sentences of at least 6, as they stand, with the words of their prose."""
+    prose, n = W.strip_code(d, "u"), lambda x: d.size(d.all(W.strip_code(d, x), r"[^ \n\t\r]+"))
+    blocks = d.filter(d.map(d.split(d.sub(d.sub("text", W.FENCE, "\n\n"), r"\n\s*\n", "\x01"), chr(1)), "y", W.trim(d, "y")), "y", "y <> ''")
+    nl = d.lit("\n") if d.name == "spark" else "chr(10)"
+    marked = d.sub(d.sub(d.sub("text", W.FENCE, "\x01"), W.HEADING_LINE, "\x01"), W.LIST_MARKER, "\x01")
+    seq = d.all(f"lower({prose})", "[a-z0-9]+")
+    no = "cast(NULL as array<string>)" if d.name == "spark" else "CAST(NULL AS VARCHAR[])"
+    of = lambda kind, x, least, s: f"SELECT doc_id AS scope, '{kind}' AS kind, {d.big('pos')} AS pos, u, {W.tokens_half_even(d, 'u')} AS tokens, {W.plain_words(d, prose)} AS w, {s} AS seq FROM {texts(d)} t {d.unnest(x, 'u')} WHERE {n('u')} >= {least}"
+    return f"({of('paragraph', blocks, 8, no)} UNION ALL {of('sentence', W.pieces(d, f'replace({marked}, {nl}, {d.lit(chr(32))})'), 6, seq)})"
+
+
+def _groups(d: Spark) -> str:
+    return f"""WITH RECURSIVE u AS (SELECT *, list_transform(generate_series(1, len(seq) - {RUN - 1}), lambda i: array_to_string(list_slice(seq, i, i + {RUN - 1}), ' ')) AS g FROM {units(d)} u WHERE len(w) > 0),
+        p AS (SELECT a.scope, a.kind, a.pos AS a, b.pos AS b, {W.jaccard(d, 'a.w', 'b.w')} AS j, coalesce(list_has_any(a.g, b.g), false) AS r FROM u a JOIN u b ON a.scope = b.scope AND a.kind = b.kind AND a.pos < b.pos),
+        l AS (SELECT * FROM p WHERE j >= CASE kind WHEN 'paragraph' THEN {PARAGRAPHS} ELSE {SENTENCES} END OR r), e AS (SELECT scope, kind, a, b FROM l UNION SELECT scope, kind, b, a FROM l),
+        t AS (SELECT scope, kind, a, a AS m FROM e UNION SELECT e.scope, e.kind, e.b, t.m FROM t JOIN e ON e.scope = t.scope AND e.kind = t.kind AND e.a = t.a WHERE t.m < e.b),
+        c AS (SELECT scope, kind, a, min(m) AS m FROM t GROUP BY ALL), o AS (SELECT l.scope, l.kind, c.m, max(CASE WHEN j >= CASE l.kind WHEN 'paragraph' THEN {PARAGRAPHS} ELSE {SENTENCES} END THEN j END) AS j FROM l JOIN c ON c.scope = l.scope AND c.kind = l.kind AND c.a = l.a GROUP BY ALL),
+        q AS (SELECT c.scope, c.kind, c.m, count(*) AS n, CAST(sum(u.tokens) - max(u.tokens) AS BIGINT) AS wasted FROM c JOIN u ON u.scope = c.scope AND u.kind = c.kind AND u.pos = c.a GROUP BY ALL)
+        SELECT q.scope AS doc_id, q.kind, q.m AS first_pos, q.n, round(o.j, 6) AS max_overlap, q.wasted FROM q JOIN o ON o.scope = q.scope AND o.kind = q.kind AND o.m = q.m"""
+
+
+@book.frame(_groups)
+def jon17_scl27_agg16_repeated_units(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of paragraphs and of sentences of a document that repeat each other: by overlap of words, sentences also by six words in a row; with the tokens that costs."""
+    g = duplicate_groups(ask(spark, d, lambda x: f"SELECT scope, kind, pos, tokens, w, seq FROM {units(x)} u"), {"paragraph": PARAGRAPHS, "sentence": SENTENCES}, RUN)
+    return g.select(F.col("scope").alias("doc_id"), "kind", "first_pos", "n", F.round("max_overlap", 6).alias("max_overlap"), "wasted")
+
+
+@book.frame()
+def gra02_sentence_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of repeated sentences, those left out whose members all stand in repeated paragraphs of their document."""
+    u = ask(spark, d, lambda x: f"SELECT * FROM {units(x)} u")
+    g, _ = written(duplicate_groups(u.drop("u"), {"paragraph": PARAGRAPHS, "sentence": SENTENCES}, RUN), "groups")
+    flat = F.trim(F.regexp_replace("u", r"\s+", " "))
+    member = g.select("scope", "kind", "first_pos", "n", F.explode("members").alias("pos")).join(u.select("scope", "kind", "pos", flat.alias("x")), ["scope", "kind", "pos"])
+    blocks = member.where("kind = 'paragraph'").select("scope", F.col("x").alias("block")).distinct()
+    alone = member.where("kind = 'sentence'").join(blocks, (member["scope"] == blocks["scope"]) & F.col("block").contains(F.col("x")), "left_anti")
+    return alone.groupBy(F.col("scope").alias("doc_id"), "first_pos").agg(F.max("n").alias("n"), F.count("*").alias("n_alone"))
+
+
 @book.sql
-def scl27_agg16_shared_runs(d: Spark) -> str:
+def agg16_shared_sentences(d: Spark) -> str:
     """Sentences that many documents hold, and the tokens that repeating them costs."""
     return f"""SELECT s AS sentence, count(DISTINCT doc_id) AS n_docs, {d.big(f'sum({W.tokens_half_even(d, "s")}) - max({W.tokens_half_even(d, "s")})')} AS wasted FROM {texts(d)} t {d.unnest(W.sentences(d, 'text'), 's')}
         WHERE {d.size(d.all('s', '[^ ]+'))} >= 6 GROUP BY s HAVING count(DISTINCT doc_id) > 1"""
