@@ -15,6 +15,8 @@ book = Book()
 BLOCK = 16384
 #: First lines that a cluster of events keeps; runs of a command and lines of all that the retention keeps.
 FIRST_LINES, KEPT_RUNS, KEPT_LINES = 20, 10, 10_000
+#: Groups and lines that a summary shows: root errors, other errors, warnings, lines of a small output, lines of a tail.
+ROOT_SHOWN, ERRORS_SHOWN, WARNINGS_SHOWN, SMALL, TAIL = 1, 10, 5, 30, 40
 
 
 def lines(d: Spark) -> str:
@@ -63,15 +65,19 @@ def src01_raw_lines(d: Spark) -> str:
     return f"SELECT path, {d.big('pos + 1')} AS line_no, {d.sub('x', chr(92) + 'r$', '')} AS line FROM (SELECT path, max(content) AS content FROM source_files WHERE path IS NOT NULL AND content IS NOT NULL GROUP BY path) t {d.unnest(ls, 'x')}"
 
 
-@book.sql
-def log01_02_profiles(d: Spark) -> str:
-    """What kind of output each run has, by its command and the flags its lines raise."""
+def profiles(d: Spark) -> str:
     flags = ", ".join(f"bool_or({d.match('x', p)}) AS f_{n}" for n, p in FLAGS.items())
-    return f"""SELECT run_id, CASE WHEN c LIKE '%pytest%' OR f_pytest THEN 'pytest' WHEN c LIKE '%ctest%' OR f_ctest THEN 'ctest'
+    return f"""(SELECT run_id, CASE WHEN c LIKE '%pytest%' OR f_pytest THEN 'pytest' WHEN c LIKE '%ctest%' OR f_ctest THEN 'ctest'
         WHEN f_cmake OR (c LIKE '%cmake%' AND c NOT LIKE '%--build%') THEN 'cmake' WHEN c LIKE '%srun%' OR c LIKE '%sbatch%' OR f_slurm THEN 'slurm'
         WHEN f_gcc OR {d.match('c', r'^(?:gcc|g\+\+|clang|cc|c\+\+)|(?:^| )(?:gcc|g\+\+|clang|clang\+\+|cc|c\+\+)(?: |$)')} THEN 'gcc'
         WHEN f_python_traceback THEN 'python_traceback' WHEN f_numerical_solver THEN 'numerical_solver' ELSE 'generic' END AS profile
-        FROM (SELECT run_id, lower(coalesce(max(command), '')) AS c, {flags} FROM {lines(d)} l GROUP BY run_id) g"""
+        FROM (SELECT run_id, lower(coalesce(max(command), '')) AS c, {flags} FROM {lines(d)} l GROUP BY run_id) g)"""
+
+
+@book.sql
+def log01_02_profiles(d: Spark) -> str:
+    """What kind of output each run has, by its command and the flags its lines raise."""
+    return f"SELECT run_id, profile FROM {profiles(d)} p"
 
 
 @book.sql
@@ -258,18 +264,15 @@ def clusters(d: Spark) -> str:
     return f"(SELECT run_id, signature, min_by(severity, line_no) AS severity, min_by(message, line_no) AS message, count(*) AS n, min(line_no) AS first_line FROM {events(d)} e GROUP BY run_id, signature)"
 
 
-@book.sql
-def flt12_run_status(d: Spark) -> str:
-    """Status of each run: failed by its exit code or by an error of its own; 124 is a timeout."""
-    return f"""SELECT r.run_id, CASE WHEN r.exit_code = 124 THEN 'TIMEOUT' WHEN coalesce(r.exit_code, 0) <> 0 OR coalesce(e.n, 0) > 0 THEN 'FAIL' ELSE 'PASS' END AS status
-        FROM (SELECT run_id, max(exit_code) AS exit_code FROM runs GROUP BY run_id) r LEFT JOIN (SELECT run_id, count_if(severity = 'error') AS n FROM {events(d)} e GROUP BY run_id) e ON r.run_id = e.run_id"""
+def roots(d: Spark) -> str:
+    tier = f"CASE WHEN file IS NOT NULL AND {W.user_path(d, 'file')} THEN 0 WHEN u.loc IS NOT NULL THEN 1 ELSE 2 END"
+    return f"""(SELECT run_id, line_no, message, signature, tier FROM (SELECT e.run_id, e.line_no, e.message, e.signature, {tier} AS tier, row_number() OVER (PARTITION BY e.run_id ORDER BY {tier}, e.line_no) AS k FROM {events(d)} e LEFT JOIN {user_locations(d)} u ON u.run_id = e.run_id AND u.ev = e.line_no WHERE e.severity = 'error') t WHERE k = 1)"""
 
 
 @book.sql
 def win01_root_errors(d: Spark) -> str:
     """The event that each run is told by: the first error in a user's file, else the first that a user's code led to, else the first."""
-    tier = f"CASE WHEN file IS NOT NULL AND {W.user_path(d, 'file')} THEN 0 WHEN u.loc IS NOT NULL THEN 1 ELSE 2 END"
-    return f"""SELECT run_id, line_no, message, tier FROM (SELECT e.run_id, e.line_no, e.message, {tier} AS tier, row_number() OVER (PARTITION BY e.run_id ORDER BY {tier}, e.line_no) AS k FROM {events(d)} e LEFT JOIN {user_locations(d)} u ON u.run_id = e.run_id AND u.ev = e.line_no WHERE e.severity = 'error') t WHERE k = 1"""
+    return f"SELECT run_id, line_no, message, tier FROM {roots(d)} r"
 
 
 def run_order(d: Spark) -> str:
@@ -327,11 +330,50 @@ def flt04_line_ranges(d: Spark) -> str:
         SELECT e.run_id, e.signature, s.line_no FROM s JOIN e ON e.run_id = s.run_id AND e.a = s.a WHERE s.line_no - s.a < 400"""
 
 
+def ranked(d: Spark) -> str:
+    """Groups of each run and severity in the order a summary shows them: the root's first, then by count and place."""
+    return f"""(SELECT c.*, row_number() OVER (PARTITION BY c.run_id, c.severity ORDER BY CASE WHEN c.signature = r.signature THEN 0 ELSE 1 END, c.n DESC, c.first_line) AS k, count(*) OVER (PARTITION BY c.run_id, c.severity) AS n_groups
+        FROM {clusters(d)} c LEFT JOIN {roots(d)} r ON r.run_id = c.run_id)"""
+
+
+def statuses(d: Spark) -> str:
+    return f"""(SELECT r.*, coalesce(e.n, 0) AS n_errors, CASE WHEN r.exit_code = 124 THEN 'TIMEOUT' WHEN coalesce(r.exit_code, 0) <> 0 OR coalesce(e.n, 0) > 0 THEN 'FAIL' ELSE 'PASS' END AS status
+        FROM (SELECT run_id, max(command) AS command, max(exit_code) AS exit_code, max(duration_s) AS duration_s, max(n_lines) AS n_lines FROM runs WHERE run_id IS NOT NULL GROUP BY run_id) r LEFT JOIN (SELECT run_id, count_if(severity = 'error') AS n FROM {events(d)} e GROUP BY run_id) e ON r.run_id = e.run_id)"""
+
+
+@book.sql
+def flt12_run_status(d: Spark) -> str:
+    """Status of each run: failed by its exit code or by an error of its own; 124 is a timeout."""
+    return f"SELECT run_id, status FROM {statuses(d)} s"
+
+
 @book.sql
 def win08_summary(d: Spark) -> str:
     """Per run and severity: the groups shown under caps, and how many are left out."""
-    return f"""SELECT run_id, severity, least(count(*), CASE WHEN severity = 'error' THEN 10 ELSE 5 END) AS shown, greatest(0, count(*) - CASE WHEN severity = 'error' THEN 10 ELSE 5 END) AS omitted, {d.big('sum(n)')} AS events
-        FROM {clusters(d)} c GROUP BY run_id, severity"""
+    cap = f"CASE WHEN severity = 'error' THEN {ROOT_SHOWN + ERRORS_SHOWN} ELSE {WARNINGS_SHOWN} END"
+    return f"""SELECT run_id, severity, least(count(*), {cap}) AS shown, greatest(0, count(*) - {cap}) AS omitted, {d.big('sum(n)')} AS events FROM {clusters(d)} c GROUP BY run_id, severity"""
+
+
+@book.sql
+def win08_snk17_run_summaries(d: Spark) -> str:
+    """The text of each run's summary: small output whole, else the root error, other groups and warnings under caps; the tail of a failure that shows no error."""
+    text = lambda x: f"cast({x} AS VARCHAR(20))"
+    nl = "\n"
+    return f"""WITH s AS (SELECT * FROM {statuses(d)} s), k AS (SELECT * FROM {ranked(d)} k), p AS (SELECT * FROM {profiles(d)} p),
+        z AS (SELECT run_id, count(*) AS n FROM {lines(d)} l GROUP BY run_id),
+        t AS (SELECT run_id, line_no, x, row_number() OVER (PARTITION BY run_id ORDER BY line_no DESC) AS back FROM {lines(d)} l),
+        parts AS (
+            SELECT run_id, 1 AS o, concat('$ ', coalesce(command, '')) AS line FROM s
+            UNION ALL SELECT s.run_id, 2, concat('exit=', coalesce({text('s.exit_code')}, 'none'), ' duration_ms=', coalesce({text(d.big('round(s.duration_s * 1000)'))}, 'none'), ' status=', s.status, ' profile=', coalesce(p.profile, 'generic'), ' lines=', {text('coalesce(z.n, 0)')}) FROM s LEFT JOIN p ON p.run_id = s.run_id LEFT JOIN z ON z.run_id = s.run_id
+            UNION ALL SELECT t.run_id, cast(100 + {SMALL} - t.back AS INT), concat('  ', t.x) FROM t JOIN z ON z.run_id = t.run_id WHERE t.back <= {SMALL} AND z.n <= {SMALL}
+            UNION ALL SELECT k.run_id, cast(200 + k.k AS INT), concat(CASE WHEN k.k <= {ROOT_SHOWN} THEN 'Root error: ' ELSE '  - ' END, k.message, ' x', {text('k.n')}, ' (first line ', {text('k.first_line')}, ')') FROM k JOIN z ON z.run_id = k.run_id WHERE k.severity = 'error' AND k.k <= {ROOT_SHOWN + ERRORS_SHOWN} AND z.n > {SMALL}
+            UNION ALL SELECT k.run_id, 290, concat('  (+', {text(f'k.n_groups - {ROOT_SHOWN + ERRORS_SHOWN}')}, ' more groups)') FROM k JOIN z ON z.run_id = k.run_id WHERE k.severity = 'error' AND k.k = 1 AND k.n_groups > {ROOT_SHOWN + ERRORS_SHOWN} AND z.n > {SMALL}
+            UNION ALL SELECT k.run_id, 300, concat('Warnings: ', {text('k.n_groups')}, ' unique') FROM k JOIN z ON z.run_id = k.run_id WHERE k.severity = 'warning' AND k.k = 1 AND z.n > {SMALL}
+            UNION ALL SELECT k.run_id, cast(300 + k.k AS INT), concat('  - ', k.message, ' x', {text('k.n')}) FROM k JOIN z ON z.run_id = k.run_id WHERE k.severity = 'warning' AND k.k <= {WARNINGS_SHOWN} AND z.n > {SMALL}
+            UNION ALL SELECT k.run_id, 390, concat('  (+', {text(f'k.n_groups - {WARNINGS_SHOWN}')}, ' more groups)') FROM k JOIN z ON z.run_id = k.run_id WHERE k.severity = 'warning' AND k.k = 1 AND k.n_groups > {WARNINGS_SHOWN} AND z.n > {SMALL}
+            UNION ALL SELECT t.run_id, cast(500 - t.back AS INT), concat('  ', {text('t.line_no')}, ': ', t.x) FROM t JOIN z ON z.run_id = t.run_id JOIN s ON s.run_id = t.run_id WHERE t.back <= {TAIL} AND z.n > {SMALL} AND s.status <> 'PASS' AND s.n_errors = 0
+            UNION ALL SELECT run_id, 600, 'No errors detected.' FROM s WHERE status = 'PASS' AND n_errors = 0)
+        SELECT run_id, {d.text_agg('line', nl, 'o')} AS summary FROM parts GROUP BY run_id"""
 
 
 @book.sql
