@@ -43,6 +43,71 @@ def greedy_selection(items: DataFrame, group: str, key: str, score: str, cost: s
     return src.mapInArrow(fold, "grp string, key bigint, used bigint")
 
 
+def slices(chunks: DataFrame, budget: int, extra: int = 0, test_share: float = 0.2, named_share: float = 0.1, floor: float = 0.0) -> DataFrame:
+    """(grp, key, how, cost, used): for each group the chunks that make up a slice of at most ``budget`` tokens.
+
+    ``chunks`` has grp, key, score, tokens, path, a, b (first and last line), test (of a test file) and
+    named (called by name in the task).  Falling scores, ties by key: a chunk whose lines
+    are all chosen is nested and free, lines chosen already don't count again, what doesn't fit is skipped, and
+    tests that aren't named may fill ``test_share`` of the budget (``named_share`` where some test is named).
+    Scores of 0 or below ``floor`` of the group's best are left out.  Then named chunks that
+    were left out are added in order while they fit ``extra`` more tokens ('expanded').
+
+    Defined results: rows with a null group, key, path, lines or tokens are dropped; an empty
+    input gives an empty result.
+
+    Scale: a fold over sorted partitions in batches, which holds the chosen lines of one
+    group (no more than the budget pays for) and its named chunks left out.
+    """
+    cols = {"grp": "string", "key": "string", "score": "double", "tokens": "bigint", "path": "string", "a": "int", "b": "int", "test": "boolean", "named": "boolean"}
+    src = chunks.select(*(F.col(c).cast(t).alias(c) for c, t in cols.items())).where("grp is not null and key is not null and path is not null and a is not null and b is not null and tokens is not null")
+    best = src.groupBy("grp").agg(F.max("score").alias("_top"), F.max(F.col("test") & F.col("named")).alias("_named"))
+    src = src.join(best, "grp").where((F.col("score") > 0) & (F.col("score") >= F.lit(floor) * F.col("_top"))).drop("_top")
+    src = src.repartition("grp").sortWithinPartitions("grp", F.desc("score"), "key")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: str | None = None
+        used = tests = 0
+        seen: dict[str, set[int]] = {}
+        left: list[tuple[str, int]] = []
+
+        def late(out: list[tuple]) -> None:
+            nonlocal used
+            for k, c in left:
+                if used + c <= budget + extra:
+                    used += c
+                    out.append((now, k, "expanded", c, used))
+
+        for b in batches:
+            out: list[tuple] = []
+            for r in b.to_pylist():
+                if r["grp"] != now:
+                    late(out)
+                    now, used, tests, seen, left = r["grp"], 0, 0, {}, []
+                lines = set(range(r["a"], max(r["a"], r["b"]) + 1))
+                fresh = lines - seen.get(r["path"], set())
+                cost = round(max(0, r["tokens"]) * len(fresh) / len(lines))
+                capped = r["test"] and not r["named"]
+                if not fresh:
+                    out.append((now, r["key"], "nested", 0, used))
+                elif used + cost > budget or (capped and tests + cost > int(budget * (named_share if r["_named"] else test_share))):
+                    if r["named"] and extra:
+                        left.append((r["key"], cost))
+                else:
+                    used += cost
+                    tests += cost * bool(capped)
+                    seen.setdefault(r["path"], set()).update(lines)
+                    out.append((now, r["key"], "chosen", cost, used))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["grp", "key", "how", "cost", "used"])
+        out = []
+        late(out)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["grp", "key", "how", "cost", "used"])
+
+    return src.mapInArrow(fold, "grp string, key string, how string, cost bigint, used bigint")
+
+
 def running_sum(rows: DataFrame, order: list[Column], size: str) -> DataFrame:
     """``rows`` with ``upto``, the sum of ``size`` up to and with each row in this order, and ``total``.
 

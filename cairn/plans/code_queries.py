@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import words as W
+from cairn.operators.selection import slices
 from cairn.plans.dialect import SPARK, Book, Spark, ask
 from cairn.session import written
 
@@ -184,6 +185,17 @@ def name_index(d: Spark) -> str:
         CROSS JOIN (SELECT count(*) AS n FROM {symbols(d)} y) n) t)"""
 
 
+#: Lines from which a class is given by its head, and lines of such a head at most.
+LARGE_CLASS, HEAD_LINES = 30, 20
+
+
+def chunks(d: Spark) -> str:
+    big = f"c.a IS NOT NULL AND s.type IN ('class', 'type') AND s.b - s.a + 1 > {LARGE_CLASS}"
+    return f"""SELECT s.id, s.a AS start_line, CASE WHEN {big} THEN least(s.a + {HEAD_LINES - 1}, greatest(s.a, CASE WHEN c.first_name IN ('__init__', s.name) THEN c.a ELSE c.a - 1 END)) ELSE s.b END AS end_line, CASE WHEN {big} THEN 'class_header' ELSE s.type END AS kind
+        FROM {symbols(d)} s LEFT JOIN (SELECT parent, min(a) AS a, min_by(name, a) AS first_name FROM {symbols(d)} y WHERE parent IS NOT NULL GROUP BY parent) c ON c.parent = s.id
+        UNION ALL SELECT concat(f.path, ':__file__'), 1, greatest(1, coalesce(f.n, 1)), 'file' FROM (SELECT path, max(line_count) AS n FROM source_files WHERE path IS NOT NULL GROUP BY path) f WHERE NOT EXISTS (SELECT 1 FROM {symbols(d)} y WHERE y.path = f.path)"""
+
+
 def lexical(d: Spark) -> str:
     """The plain text of the scores, every word of a task against every word of a symbol."""
     task = f"(SELECT item_id, w FROM (SELECT item_id, text FROM eval_items) t {d.unnest(W.keywords_a(d, 'text'), 'w')})"
@@ -199,17 +211,15 @@ def lexical(d: Spark) -> str:
 SENT_WORDS = 500_000
 
 
-@book.frame(lexical)
-def mth11_12_top01_lexical_scores(spark: SparkSession, d: str) -> DataFrame:
-    """The ten symbols that each task text speaks of most: shared name words by weight, whole names by 12, documentation words added.
+def lexical_scores(spark: SparkSession, d: str, only: str = "true") -> DataFrame:
+    """item_id, id, score and whether the symbol is called by name, of the tasks ``only`` keeps.
 
     The tasks' words are the query set: weights are looked up for them alone, and each symbol
-    meets them where it is, so that scores of a symbol are summed without a shuffle and only
-    ten rows per task and partition go on.
+    meets them where it is, so that scores of a symbol are summed without a shuffle.
     """
     kw, names, doc = W.keywords_a(SPARK, "text"), W.name_words(SPARK, "name"), W.keywords_a(SPARK, "doc")
     sym = ask(spark, d, lambda x: f"SELECT id, lower(name) AS whole, length(name) > 2 AS counts, {names} AS names, CASE WHEN doc <> '' THEN {doc} END AS docs FROM {symbols(x)} s")
-    tasks = ask(spark, d, lambda x: f"SELECT item_id, {kw} AS kw, {W.word_list(x, 'lower(text)')} AS whole FROM eval_items WHERE text IS NOT NULL")
+    tasks = ask(spark, d, lambda x: f"SELECT item_id, {kw} AS kw, {W.word_list(x, 'lower(text)')} AS whole FROM eval_items WHERE text IS NOT NULL AND {only}")
     word = tasks.select("item_id", F.explode("kw").alias("w")).distinct()
     n = sym.agg(F.count("*").alias("n"))
     df = sym.select(F.explode("names").alias("w")).join(F.broadcast(word.select("w").distinct()), "w").groupBy("w").agg(F.count("*").alias("df"))
@@ -219,16 +229,35 @@ def mth11_12_top01_lexical_scores(spark: SparkSession, d: str) -> DataFrame:
     q, _ = written(q.unionByName(tasks.select("item_id", F.lit("w").alias("kind"), F.explode(F.array_distinct("whole")).alias("w"), F.lit(12.0).alias("score"))), "task-words")
     tag = lambda c, k: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.struct(F.lit(k).alias("kind"), x.alias("w")))
     each = sym.select("id", F.explode(F.concat(tag(F.col("names"), "n"), tag(F.col("docs"), "d"), tag(F.when(F.col("counts"), F.array("whole")), "w"))).alias("x")).select("id", "x.kind", "x.w")
-    hit = each.join(F.broadcast(q) if q.count() <= SENT_WORDS else q, ["kind", "w"]).groupBy("id", "item_id").agg((F.bround(F.sum("score") * 100, 0) / 100).alias("score"))
+    hit = each.join(F.broadcast(q) if q.count() <= SENT_WORDS else q, ["kind", "w"])
+    return hit.groupBy("id", "item_id").agg((F.bround(F.sum("score") * 100, 0) / 100).alias("score"), F.max(F.col("kind") == "w").alias("named"))
+
+
+@book.frame(lexical)
+def mth11_12_top01_lexical_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The ten symbols that each task text speaks of most: shared name words by weight, whole names by 12, documentation words added."""
     k = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "id"))
-    return hit.withColumn("k", k).where("k <= 10").select("item_id", "id", "score", F.col("k").cast("bigint").alias("k"))
+    return lexical_scores(spark, d).withColumn("k", k).where("k <= 10").select("item_id", "id", "score", F.col("k").cast("bigint").alias("k"))
+
+
+#: Tokens of a slice, tokens that expanding it adds, and the share of the best score that chunks need.
+SLICE, EXTRA, FLOOR = 1500, 500, 0.15
+
+
+@book.frame()
+def win09_13_15_top01_slices(spark: SparkSession, d: str) -> DataFrame:
+    """What to read for each task whose id is divisible by 50: chunks by score within a budget, then named ones beyond it."""
+    c = ask(spark, d, lambda x: f"""SELECT c.id, c.start_line AS a, c.end_line AS b, s.path, coalesce(f.kind, '') = 'test' AS test, cast(greatest(1, coalesce(t.tokens, 4 * (c.end_line - c.start_line + 1))) AS bigint) AS tokens FROM ({chunks(x)}) c
+        JOIN {symbols(x)} s ON s.id = c.id LEFT JOIN {files(x)} f ON f.path = s.path LEFT JOIN (SELECT id, max(CASE WHEN tokens > 0 THEN tokens END) AS tokens FROM symbols WHERE id IS NOT NULL GROUP BY id) t ON t.id = c.id""")
+    scored = lexical_scores(spark, d, "item_id % 50 = 0").join(c, "id")
+    out = slices(scored.select(F.col("item_id").cast("string").alias("grp"), F.col("id").alias("key"), "score", "tokens", "path", "a", "b", "test", "named"), SLICE, EXTRA, floor=FLOOR)
+    return out.select(F.col("grp").cast("bigint").alias("item_id"), F.col("key").alias("id"), "how", "cost", "used")
 
 
 @book.sql
 def top02_chunks(d: Spark) -> str:
-    """One chunk per symbol; a class longer than 30 lines is its head up to its first member."""
-    return f"""SELECT s.id, s.a AS start_line, CASE WHEN s.type = 'class' AND s.b - s.a > 30 THEN least(s.a + 29, greatest(s.a, coalesce(c.a, s.b) - 1)) ELSE s.b END AS end_line, CASE WHEN s.type = 'class' AND s.b - s.a > 30 THEN 'class_header' ELSE s.type END AS kind
-        FROM {symbols(d)} s LEFT JOIN (SELECT parent, min(a) AS a FROM {symbols(d)} y WHERE parent IS NOT NULL GROUP BY parent) c ON c.parent = s.id"""
+    """One chunk per symbol and per file without any; a large class with members is its head up to the first, a constructor included."""
+    return chunks(d)
 
 
 @book.sql

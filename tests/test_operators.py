@@ -181,3 +181,112 @@ def test_briefs_of_a_long_session(spark, tmp_path):
         part.coalesce(1).write.mode("append").parquet(where)
         got = drain(spark, repeated_briefs(follow(spark, where, rows.schema), live_ms=None), root)
     assert {r.seq: (r.verdict, r.like) for r in got.collect()} == want
+
+
+def test_slices_against_a_plain_fold(spark):
+    import random
+
+    from cairn.operators.selection import slices
+
+    rnd = random.Random(9)
+    rows = []
+    for g in "xyz":
+        for k in range(60):
+            a = rnd.randrange(1, 80)
+            rows.append((g, f"{g}{k:02}", float(rnd.randrange(-1, 12)), rnd.randrange(0, 60), rnd.choice("pq"), a, a + rnd.randrange(0, 12), rnd.random() < 0.3, rnd.random() < 0.1))
+    rows += [(None, "n", 5.0, 1, "p", 1, 2, False, False), ("w", "only", 3.0, None, "p", 1, 2, False, False)]
+    df = spark.createDataFrame(rows, "grp string, key string, score double, tokens bigint, path string, a int, b int, test boolean, named boolean")
+    got = {(r.grp, r.key): (r.how, r.cost, r.used) for r in slices(df, 200, 40, floor=0.3).collect()}
+    want = {}
+    for g in "xyz":
+        mine = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[2], r[1]))
+        top, named = max(r[2] for r in mine), any(r[7] and r[8] for r in mine)
+        used = tests = 0
+        lines, later = set(), []
+        for _, key, score, tokens, path, a, b, test, name in mine:
+            if score <= 0 or score < 0.3 * top:
+                continue
+            span = {(path, n) for n in range(a, b + 1)}
+            cost = round(tokens * len(span - lines) / len(span))
+            if not span - lines:
+                want[g, key] = ("nested", 0, used)
+            elif used + cost > 200 or (test and not name and tests + cost > (20 if named else 40)):
+                later += [(key, cost)] * name
+            else:
+                used += cost
+                tests += cost if test and not name else 0
+                lines |= span
+                want[g, key] = ("chosen", cost, used)
+        for key, cost in later:
+            if used + cost <= 240:
+                used += cost
+                want[g, key] = ("expanded", cost, used)
+    assert got == want and {h for h, _, _ in got.values()} >= {"chosen", "nested"}
+    assert slices(df.limit(0), 200).count() == 0
+
+
+def test_running_sum(spark):
+    from pyspark.sql import functions as F
+
+    from cairn.operators.selection import running_sum
+
+    rows = [(k * 37 % 1000, (k * 7) % 11 if k % 9 else None) for k in range(1000)]
+    got = running_sum(spark.createDataFrame(rows, "k int, n int").repartition(7), [F.desc("k")], "n").collect()
+    total, want = 0, {}
+    for k, n in sorted(rows, reverse=True):
+        total += n or 0
+        want[k] = total
+    assert {r.k: r.upto for r in got} == want and {r.total for r in got} == {total}
+    assert running_sum(spark.createDataFrame([], "k int, n int"), [F.asc("k")], "n").count() == 0
+
+
+def test_duplicate_groups_and_runs(spark):
+    import itertools
+    import random
+
+    from cairn.operators.similarity import duplicate_groups, longest_run, repeated
+
+    rnd = random.Random(3)
+    words = [f"w{k}" for k in range(14)]
+    units = []
+    for s in (1, 2):
+        for p in range(40):
+            seq = [rnd.choice(words) for _ in range(rnd.randrange(0, 14))]
+            units.append((s, rnd.choice(["paragraph", "sentence"]), p, len(seq), sorted(set(seq)), seq))
+    df = spark.createDataFrame(units + units[:3], "scope bigint, kind string, pos bigint, tokens bigint, w array<string>, seq array<string>")
+    got = {(r.scope, r.kind, tuple(r.members)): (r.n, r.wasted, r.max_overlap) for r in duplicate_groups(df, {"paragraph": 0.6, "sentence": 0.7}, 3).collect()}
+    want = {}
+    for s, kind in itertools.product((1, 2), ("paragraph", "sentence")):
+        mine = {u[2]: u for u in units if u[:2] == (s, kind)}
+        t = {"paragraph": 0.6, "sentence": 0.7}[kind]
+        jac = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) if a and b else 0
+        near = {(a, b): jac(mine[a][4], mine[b][4]) for a, b in itertools.combinations(mine, 2)}
+        run = {p for p in near if longest_run(mine[p[0]][5], mine[p[1]][5]) >= 3}
+        parent = {p: p for p in mine}
+
+        def find(x, parent=parent):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for (a, b), j in near.items():
+            if j >= t or (a, b) in run:
+                parent[find(a)] = find(b)
+        for root in {find(p) for p in mine}:
+            members = tuple(sorted(p for p in mine if find(p) == root))
+            if len(members) > 1:
+                sizes = [mine[p][3] for p in members]
+                best = max((j for (a, b), j in near.items() if j >= t and a in members), default=None)
+                want[s, kind, members] = (len(members), sum(sizes) - max(sizes), best)
+    assert got == want
+    brute = lambda a, b: max((k for i in range(len(a)) for j in range(len(b)) for k in range(1, 1 + min(len(a) - i, len(b) - j)) if a[i : i + k] == b[j : j + k]), default=0)
+    assert all(longest_run(x[5], y[5]) == brute(x[5], y[5]) for x, y in itertools.combinations(units[:20], 2))
+    briefs = [(rnd.choice("ab"), k, 100 + k, sorted(set(rnd.choices(words[:6], k=4)))) for k in range(80)] + [("hot", 1000 + k, 2000 + k, ["x", "y"]) for k in range(300)]
+    got = {r.line_id: (r.first_line, round(r.overlap, 6)) for r in repeated(spark.createDataFrame(briefs, "session_id string, o bigint, line_id bigint, w array<string>"), 0.6).collect()}
+    want = {}
+    for s, o, i, w in briefs:
+        early = [(p, q, len(set(w) & set(v)) / len(set(w) | set(v))) for t, p, q, v in briefs if t == s and p < o]
+        first = min((x for x in early if x[2] >= 0.6), default=None)
+        if first:
+            want[i] = (first[1], round(first[2], 6))
+    assert got == want
