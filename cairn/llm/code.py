@@ -147,15 +147,33 @@ def split_symbols(symbols: DataFrame, files: DataFrame, limit: int = 800, overla
     return groups.join(one, "path", "left").select("content", "items").mapInArrow(run, _PIECE)
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    now, own, upto = None, [], 0
+
+    def done() -> Iterator[pa.RecordBatch]:
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([now], pa.string()), pa.array(["".join(own)], pa.string())], names=["id", "text"])
+
+    for b in batches:
+        for r in b.to_pylist():
+            if r["start_line"] is None:
+                continue
+            if r["id"] != now or r["piece"] == 0:
+                yield from done()
+                now, own, upto = r["id"], [], 0
+            if r["start_char"]:
+                own.append(r["text"])
+            else:
+                again = max(0, upto + 1 - r["start_line"]) if own else 0
+                own.append("\n" * bool(own) + "\n".join(r["text"].split("\n")[again:]))
+            upto = r["end_line"]
+    yield from done()
+
+
 def rebuilt(parts: DataFrame) -> DataFrame:
     """id and the text that the pieces of :func:`split_symbols` give without what they repeat.
 
-    Symbols without lines (no content) give no row.  A symbol's pieces meet in one row, as
-    large as the symbol.
+    The pieces of a symbol have to stand together and in order, as they come from there; they
+    are joined where they are, without a shuffle.  Symbols without lines give no row.
     """
-    before = F.lag("end_line").over(Window.partitionBy("id").orderBy("piece"))
-    p = parts.where("start_line is not null").withColumn("before", before)
-    again = F.greatest(F.lit(0), F.coalesce(F.col("before") + 1 - F.col("start_line"), F.lit(0)))
-    own = F.when(F.col("start_char") > 0, F.col("text")).otherwise(F.concat(F.when(F.col("piece") > 0, F.lit("\n")).otherwise(F.lit("")), F.array_join(F.expr("slice(split(text, '\n', -1), again + 1, 1000000)"), "\n")))
-    p = p.withColumn("again", again).select("id", F.struct("piece", own.alias("own")).alias("x"))
-    return p.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x.own), "").alias("text"))
+    return parts.select("id", "piece", "start_line", "end_line", "start_char", "text").mapInArrow(_joined, "id string, text string")
