@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cairn.functions.code_symbols import cpp_symbols, python_symbols
 from cairn.functions.formats import list_id, manifest
 from cairn.functions.rewrite import without_repeats
-from cairn.functions.shell import decision, is_long, tool_observations
+from cairn.functions.shell import decision, is_long, routed, tool_observations
 from cairn.functions.checklists import checklist
 from cairn.operators.nested import nested_objects
 from cairn.operators.selection import bootstrap_deltas, greedy_selection
@@ -72,16 +72,16 @@ def txt25_27_48_str01_observations(spark: SparkSession, d: str) -> DataFrame:
 
 
 @book.frame()
-def txt28_flt18_routing(spark: SparkSession, d: str) -> DataFrame:
+def txt28_43_flt18_routing(spark: SparkSession, d: str) -> DataFrame:
     """Commands that print much, and what the routing does with each by mode."""
     c = load(spark, d, "runs").where("command is not null").select("command").distinct()
     modes = ("redirect", "ask", "rewrite", "off")
 
     def make(x: str) -> list[tuple]:
         got = [decision("Bash", x, False, m, "compost") for m in modes]
-        return [(x, is_long(x, "compost"), *(g[0] if g else "none" for g in got), next((g[1] for g in got if g), ""))]
+        return [(x, is_long(x, "compost"), *(g[0] if g else "none" for g in got), routed(x, "compost", True))]
 
-    return _rows(c, make, "command string, is_long boolean, redirect string, ask string, rewrite string, off string, instead string")
+    return _rows(c, make, "command string, is_long boolean, redirect string, ask string, rewrite string, off string, moved string")
 
 
 @book.frame()
@@ -111,7 +111,7 @@ def mth13_bootstrap(spark: SparkSession, d: str) -> DataFrame:
 
 
 @book.frame()
-def rwr02_07_09_without_repeats(spark: SparkSession, d: str) -> DataFrame:
+def rwr09_without_repeats(spark: SparkSession, d: str) -> DataFrame:
     """Documents with repeated sentences taken out."""
     make = lambda i, t: [(i, *without_repeats(t))]
     return _rows(load(spark, d, "documents").where("text is not null").select("doc_id", "text"), make, "doc_id bigint, text string, removed bigint")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cairn.plans import card_queries, code_queries, log_queries, python_queries, similarity_queries, star_queries, stats_queries, text_queries, problems
+from cairn.plans import card_queries, code_queries, log_queries, python_queries, similarity_queries, source_queries, star_queries, stats_queries, text_queries, problems
 
-BOOKS = [m.book for m in (text_queries, log_queries, stats_queries, code_queries, similarity_queries, card_queries, star_queries, python_queries)]
+BOOKS = [m.book for m in (text_queries, log_queries, stats_queries, code_queries, similarity_queries, card_queries, star_queries, python_queries, source_queries)]
 
 
 def queries() -> dict:

@@ -262,13 +262,6 @@ def set09_10_12_13_tiers(d: Spark) -> str:
         LEFT JOIN (SELECT source, min(mix_id) AS mix_id FROM mix_targets GROUP BY source) m ON m.source = s.source WHERE s.n >= 10"""
 
 
-@book.sql
-def rwr01_03_section_moves(d: Spark) -> str:
-    """Sections that would move out of a document, and how many requests that makes."""
-    return f"""SELECT doc_id, {d.size(d.all('text', '(?m)^## '))} AS sections, {d.size(d.all('text', '(?mi)^## .*(?:example|background|why|overview)'))} AS movable,
-        CASE WHEN {d.size(d.all('text', '(?m)^## '))} = 0 THEN 0 WHEN {d.size(d.all('text', '(?m)^## '))} < 3 THEN 1 ELSE 3 END AS requests FROM {texts(d)} t"""
-
-
 @book.sql
 def rwr04_flt17_reports(d: Spark) -> str:
     """Tokens before and after code and structure are taken out, and whether that is enough."""

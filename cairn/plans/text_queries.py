@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from cairn.functions import words as W
+from cairn.functions.rewrite import CATEGORIES, OTHERWISE
 from cairn.plans.dialect import Book, Spark
 
 book = Book()
@@ -207,23 +208,23 @@ def txt15_16_sections(d: Spark) -> str:
     """Sections under headings of level 1 and 2 outside fences, with class and tokens."""
     lines = d.split("text", "\n") if d.name == "spark" else "string_split(text, chr(10))"
     nl = "\n"
-    cls = " ".join(f"WHEN {d.match('lower(heading)', p)} THEN '{c}'" for c, p in (("examples", "example|sample|usage"), ("constraints", "rule|constraint|must|never|warning"), ("workflow", "step|workflow|how|process|guide"), ("background", "background|why|overview|intro|about"), ("reference", "reference|api|option|config|table")))
+    cls = " ".join(f"WHEN {d.match('heading', '(?i)' + p)} THEN '{c}'" for c, p in CATEGORIES.items())
     return f"""WITH l AS (SELECT doc_id, pos, x, sum(CASE WHEN {d.match('x', '^[ ]*(```|~~~)')} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS f FROM {texts(d)} t {d.unnest(lines, 'x')}),
         h AS (SELECT *, CASE WHEN f % 2 = 0 AND {d.match('x', '^#{1,2}[ ]+')} THEN 1 ELSE 0 END AS is_head FROM l),
         s AS (SELECT *, sum(is_head) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM h),
         g AS (SELECT doc_id, {d.big('section')} AS section, max(CASE WHEN is_head = 1 THEN {d.sub('x', '^#+[ ]+', '')} END) AS heading, sum(length(x) + 1) - 1 AS chars FROM s GROUP BY doc_id, section)
-        SELECT doc_id, section, heading, CASE WHEN heading IS NULL THEN 'preamble' {cls} ELSE 'other' END AS class, {d.big(f'greatest(1, {d.half_even("chars / " + D4[d.name])})')} AS tokens FROM g"""
+        SELECT doc_id, section, heading, CASE WHEN heading IS NULL THEN '{OTHERWISE}' {cls} ELSE '{OTHERWISE}' END AS class, {d.big(f'greatest(1, {d.half_even("chars / " + D4[d.name])})')} AS tokens FROM g"""
 
 
 @book.sql
 def txt17_19_files(d: Spark) -> str:
     """Kinds of files by path, whether they are fixtures, and the names a test points at."""
-    base = d.ext("path", r"([^/]+)$", 1)
-    kind = f"""CASE WHEN {d.match(base, r'\.(?:toml|ya?ml|json|cfg|ini|txt|cmake)$')} THEN 'config' WHEN {d.match(base, r'\.(?:md|rst)$')} THEN 'doc'
-        WHEN {d.match('path', r'(?:^|/)tests?/')} OR {d.match(base, r'^test_|_test\.')} THEN 'test' WHEN {d.match(base, r'\.pyi?$')} THEN 'python'
-        WHEN {d.match(base, r'\.(?:c|cc|cpp|cxx|h|hh|hpp)$')} THEN 'cpp' ELSE 'other' END"""
+    name, stem = d.ext("lower(path)", r"([^/]+)$", 1), d.ext("path", r"([^/]+?)(?:\.[^./]*)?$", 1)
+    code = d.match(name, r"\.(?:pyi?|c|cc|cpp|cxx|h|hh|hpp|hxx)$")
+    kind = f"""CASE WHEN {d.match(name, r'^(?:makefile|dockerfile|cmakelists\.txt|requirements\.txt)$|\.(?:toml|ya?ml|json|cfg|ini|cmake)$')} THEN 'config' WHEN {d.match(name, r'\.(?:md|rst|txt)$')} THEN 'doc'
+        WHEN {code} AND ({d.match(name, r'^test_|test\.[^.]*$')} OR {d.match('lower(path)', r'(?:^|/)tests?/')}) THEN 'test' WHEN {d.match(name, r'\.pyi?$')} THEN 'python' WHEN {code} THEN 'cpp' ELSE 'other' END"""
     return f"""SELECT DISTINCT path, {kind} AS kind, {d.match('path', '(?:^|/)(?:fixtures?|testdata|snapshots)/')} AS is_fixture,
-        nullif({d.sub(d.ext(base, r'^test_(.+)\.\w+$', 1), ' ', '')}, '') AS guess_prefix, nullif({d.ext(base, r'^(.+)_test\.\w+$', 1)}, '') AS guess_suffix FROM source_files WHERE path IS NOT NULL"""
+        CASE WHEN {stem} LIKE 'test~_%' ESCAPE '~' THEN substr({stem}, 6) END AS guess_prefix, CASE WHEN {stem} LIKE '%~_test' ESCAPE '~' THEN left({stem}, length({stem}) - 5) END AS guess_suffix FROM source_files WHERE path IS NOT NULL"""
 
 
 @book.sql

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.session import exists
+from cairn.session import exists, hadoop
 
 
 def write_records(df: DataFrame, path: str, append: bool = False) -> None:
@@ -67,3 +68,29 @@ def merge_block(text: str, block: str, name: str = "facts") -> str:
     region = f"{begin}\n{block}\n{end}"
     out, n = re.subn(re.escape(begin) + r"[\s\S]*?" + re.escape(end), lambda m: region, text, count=1)
     return out if n else text.rstrip("\n") + "\n\n" + region + "\n"
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text as one file that is there whole or not at all."""
+    fs, half = hadoop(spark, f"{path}._part")
+    out = fs.create(half, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    _, whole = hadoop(spark, path)
+    fs.delete(whole, False)
+    fs.rename(half, whole)
+
+
+def write_summary(deltas: DataFrame, folder: str) -> None:
+    """summary.json and summary.md of trials (task, arm, delta, lo, hi): one row per task and arm, a report's worth."""
+    rows = [r.asDict() for r in deltas.orderBy("task", "arm").collect()]
+    spark = deltas.sparkSession
+    write_text(spark, f"{folder}/summary.json", json.dumps({"results": rows}, indent=1, default=str))
+    table = "\n".join(f"| {r['task']} | {r['arm']} | {r['delta']:.2f} % | [{r['lo']:.2f}, {r['hi']:.2f}] |" for r in rows)
+    write_text(spark, f"{folder}/summary.md", f"| task | arm | difference | interval |\n| --- | --- | --- | --- |\n{table}\n")
+
+
+def write_schedule(order: DataFrame, path: str, seed: int, arms: list[str]) -> None:
+    """The schedule of trials (task, rep, place) with its seed, arms and sorted tasks; bounded by the tasks of one run."""
+    rows = order.orderBy("place").collect()
+    write_text(order.sparkSession, path, json.dumps({"seed": seed, "arms": arms, "tasks": sorted({r.task for r in rows}), "order": [[r.task, r.rep] for r in rows]}))
