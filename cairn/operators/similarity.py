@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,52 +128,3 @@ def repeated(briefs: DataFrame, threshold: float) -> DataFrame:
     near = links.join(sets.select(F.col("id").alias("b"), "first"), "b").groupBy("a").agg(F.min(F.struct("first", "overlap")).alias("m"))
     out = base.join(near.withColumnRenamed("a", "id"), "id").where(F.col("m.first.o") < F.col("o"))
     return out.select("line_id", F.col("m.first.line_id").alias("first_line"), F.col("m.overlap").alias("overlap"))
-
-
-def duplicate_groups(units: DataFrame, thresholds: dict[str, float], run: int | None = None) -> DataFrame:
-    """(scope, kind, first_pos, n, max_overlap, wasted, members) of groups of units of one scope and kind that repeat each other.
-
-    ``units`` has scope, kind, pos, tokens, w (distinct words) and seq (words in order, null where runs
-    don't count).  Two units are alike if their words overlap by the kind's threshold or, with
-    ``run``, if they share that many words in a row.  Units with a run in common are linked
-    to the first that has it, which connects the same groups as all pairs would; ``max_overlap`` is
-    that of the overlapping pairs, null if only runs connect a group.  ``members`` are positions.
-
-    Defined results: units without words are in no group; repeated rows of a unit count once;
-    an empty input gives an empty result.
-    """
-    uid = F.xxhash64("scope", "kind", "pos")
-    base, _ = written(units.where("scope is not null and kind is not null and pos is not null").dropDuplicates(["scope", "kind", "pos"]).withColumn("id", uid), "units")
-    where = F.xxhash64("scope", "kind")
-    pairs = [overlapping(base.where(F.col("kind") == k).select(where.alias("scope"), "id", "w"), t) for k, t in thresholds.items()]
-    found, _ = written(reduce(DataFrame.unionByName, pairs).select("a", "b", "overlap"), "overlaps")
-    edges = found.select("a", "b")
-    if run:
-        grams = F.transform(F.sequence(F.lit(1), F.size("seq") - (run - 1)), lambda i: F.xxhash64(F.array_join(F.slice("seq", i, run), " ")))
-        each = base.where(F.size("seq") >= run).select(where.alias("scope"), "id", F.explode(F.array_distinct(grams)).alias("g"))
-        first = each.groupBy("scope", "g").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
-        edges = edges.unionByName(each.join(first, ["scope", "g"]).where("id <> a").select("a", F.col("id").alias("b")))
-    group = components(edges.distinct())
-    best = found.join(group, found["a"] == group["id"]).groupBy("component").agg(F.max("overlap").alias("max_overlap"))
-    out = base.join(group, "id").groupBy("component").agg(F.max("scope").alias("scope"), F.max("kind").alias("kind"), F.min("pos").alias("first_pos"), F.count("*").alias("n"), (F.sum("tokens") - F.max("tokens")).alias("wasted"), F.sort_array(F.collect_list("pos")).alias("members"))
-    return out.join(best, "component", "left").select("scope", "kind", "first_pos", "n", "max_overlap", "wasted", "members")
-
-
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([longest_run(x, y) for x, y in zip(b.column(3).to_pylist(), b.column(4).to_pylist())], pa.int64())], names=["scope", "a", "b", "run"])
-
-
-def longest_run(a: list[str], b: list[str]) -> int:
-    """Words of the longest run that two sequences share: by halving, as a run of n has runs of all shorter lengths."""
-    low, high = 0, min(len(a), len(b))
-    has = lambda n: not {tuple(a[i : i + n]) for i in range(len(a) - n + 1)}.isdisjoint(tuple(b[i : i + n]) for i in range(len(b) - n + 1))
-    while low < high:
-        mid = (low + high + 1) // 2
-        low, high = (mid, high) if has(mid) else (low, mid - 1)
-    return low
-
-
-def longest_runs(pairs: DataFrame) -> DataFrame:
-    """(scope, a, b, run) of pairs of word sequences ``sa`` and ``sb``."""
-    return pairs.select("scope", "a", "b", "sa", "sb").mapInArrow(_runs, "scope bigint, a bigint, b bigint, run bigint")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from cairn.tables import load
@@ -12,6 +13,22 @@ from cairn.tables import load
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings log_lines runs log_events source_files symbols transcripts eval_items mix_targets".split()
 
 
+_TYPES = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
+
+
+def rows_of(df: DataFrame, make: Callable, schema: str) -> DataFrame:
+    """Rows that ``make`` gives for each row of ``df``, batch by batch as Arrow columns."""
+    fields = [c.split() for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [r for row in zip(*(c.to_pylist() for c in b.columns)) for r in make(*row)]
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(x, _TYPES[t]) for x, (_, t) in zip(zip(*got), fields)], names=[n for n, _ in fields])
+
+    return df.mapInArrow(run, schema)
+
+
 class Spark:
     """Spark SQL."""
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +12,7 @@ from cairn.functions.shell import decision, is_long, routed, tool_observations
 from cairn.functions.checklists import checklist
 from cairn.operators.nested import nested_objects
 from cairn.operators.selection import bootstrap_deltas, greedy_selection
-from cairn.plans.dialect import Book
+from cairn.plans.dialect import Book, rows_of
 from cairn.session import shared_path
 from cairn.sources.sinks import KeyedTable, fact_blocks, write_records
 from cairn.streaming.stateful import call_budgets, drain, follow, once, repeated_briefs, running_stats
@@ -24,22 +21,6 @@ from cairn.tables import load
 book = Book()
 
 
-_TYPES = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
-
-
-def _rows(df: DataFrame, make: Callable, schema: str) -> DataFrame:
-    """Rows that ``make`` gives for each row of ``df``, batch by batch as Arrow columns."""
-    fields = [c.split() for c in schema.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [r for row in zip(*(c.to_pylist() for c in b.columns)) for r in make(*row)]
-            if got:
-                yield pa.RecordBatch.from_arrays([pa.array(x, _TYPES[t]) for x, (_, t) in zip(zip(*got), fields)], names=[n for n, _ in fields])
-
-    return df.mapInArrow(run, schema)
-
-
 def _sources(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "source_files").where("path is not null and content is not null").groupBy("path").agg(F.max("language").alias("language"), F.max("content").alias("content"))
 
@@ -48,14 +29,14 @@ def _sources(spark: SparkSession, d: str) -> DataFrame:
 def txt34_python_symbols(spark: SparkSession, d: str) -> DataFrame:
     """Symbols of Python files by their syntax trees."""
     make = lambda p, x: [(p, *s[:6], " ".join(s[6])) for s in python_symbols(x)[0]]
-    return _rows(_sources(spark, d).where("language = 'python'").select("path", "content"), make, "path string, qualname string, name string, type string, start_line bigint, end_line bigint, parent string, calls string")
+    return rows_of(_sources(spark, d).where("language = 'python'").select("path", "content"), make, "path string, qualname string, name string, type string, start_line bigint, end_line bigint, parent string, calls string")
 
 
 @book.frame()
 def txt35_37_cpp_symbols(spark: SparkSession, d: str) -> DataFrame:
     """Symbols of C++ files by the braces of the blanked text."""
     make = lambda p, x: [(p, *s[:6], " ".join(s[6])) for s in cpp_symbols(x)]
-    return _rows(_sources(spark, d).where("language = 'cpp'").select("path", "content"), make, "path string, qualname string, name string, type string, start_line bigint, end_line bigint, parent string, calls string")
+    return rows_of(_sources(spark, d).where("language = 'cpp'").select("path", "content"), make, "path string, qualname string, name string, type string, start_line bigint, end_line bigint, parent string, calls string")
 
 
 @book.frame()
@@ -68,7 +49,7 @@ def txt25_27_48_str01_observations(spark: SparkSession, d: str) -> DataFrame:
     names = ("command", "file_path", "pattern", "path", "glob")
     calls = o.where(text("$.type") == "tool_use").select("line_id", text("$.name").alias("tool"), *(F.try_variant_get(inner, f"$.{n}", "string").alias(n) for n in names))
     make = lambda i, t, *x: [(i, k, y) for k, y in tool_observations(t, dict(zip(names, x)))]
-    return _rows(calls, make, "line_id bigint, kind string, value string")
+    return rows_of(calls, make, "line_id bigint, kind string, value string")
 
 
 @book.frame()
@@ -81,7 +62,7 @@ def txt28_43_flt18_routing(spark: SparkSession, d: str) -> DataFrame:
         got = [decision("Bash", x, False, m, "compost") for m in modes]
         return [(x, is_long(x, "compost"), *(g[0] if g else "none" for g in got), routed(x, "compost", True))]
 
-    return _rows(c, make, "command string, is_long boolean, redirect string, ask string, rewrite string, off string, moved string")
+    return rows_of(c, make, "command string, is_long boolean, redirect string, ask string, rewrite string, off string, moved string")
 
 
 @book.frame()
@@ -93,7 +74,7 @@ def txt39_checklists(spark: SparkSession, d: str) -> DataFrame:
         c = checklist(t)
         return [(i, c[0], c[1], len(c[2]), sum(x for _, x in c[2]), list_id([x for x, _ in c[2]]))] if c else []
 
-    return _rows(docs, make, "doc_id bigint, title string, kind string, n bigint, n_done bigint, list_id string")
+    return rows_of(docs, make, "doc_id bigint, title string, kind string, n bigint, n_done bigint, list_id string")
 
 
 @book.frame()
@@ -114,7 +95,7 @@ def mth13_bootstrap(spark: SparkSession, d: str) -> DataFrame:
 def rwr09_without_repeats(spark: SparkSession, d: str) -> DataFrame:
     """Documents with repeated sentences taken out."""
     make = lambda i, t: [(i, *without_repeats(t))]
-    return _rows(load(spark, d, "documents").where("text is not null").select("doc_id", "text"), make, "doc_id bigint, text string, removed bigint")
+    return rows_of(load(spark, d, "documents").where("text is not null").select("doc_id", "text"), make, "doc_id bigint, text string, removed bigint")
 
 
 @book.frame()
@@ -122,7 +103,7 @@ def scl40_list_ids(spark: SparkSession, d: str) -> DataFrame:
     """The id of each document's list."""
     items = F.regexp_extract_all("text", F.lit(r"(?m)^(?:[-*]|\d+\.) (.+)$"), F.lit(1))
     docs = load(spark, d, "documents").where("text is not null").select("doc_id", items.alias("i")).where("size(i) > 0")
-    return _rows(docs, lambda i, x: [(i, list_id(x), len(x))], "doc_id bigint, list_id string, n bigint")
+    return rows_of(docs, lambda i, x: [(i, list_id(x), len(x))], "doc_id bigint, list_id string, n bigint")
 
 
 @book.frame()
@@ -130,7 +111,7 @@ def src26_manifests(spark: SparkSession, d: str) -> DataFrame:
     """Packages that manifests among the files provide and need."""
     make = lambda p, t: [(p, *(" ".join(x) for x in manifest(p.rpartition("/")[2], t)))]
     names = ("package.json", "pyproject.toml", "go.mod", "Cargo.toml", "requirements.txt")
-    return _rows(_sources(spark, d).where(F.substring_index("path", "/", -1).isin(*names)).select("path", "content"), make, "path string, provides string, needs string")
+    return rows_of(_sources(spark, d).where(F.substring_index("path", "/", -1).isin(*names)).select("path", "content"), make, "path string, provides string, needs string")
 
 
 @book.frame("SELECT event_id, user_id, event_type, value FROM events")

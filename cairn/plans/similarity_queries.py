@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import words as W
+from cairn.functions.repeats import groups, longest_run, word_sequence
 from cairn.operators.graph import cycle_links, distances
-from cairn.operators.similarity import contradictions, duplicate_groups, near_duplicates, repeated
+from cairn.operators.similarity import contradictions, near_duplicates, repeated
 from cairn.plans.code_queries import files, imports, symbols
-from cairn.plans.dialect import Book, Spark, ask
+from cairn.plans.dialect import Book, Spark, ask, rows_of
 from cairn.plans.text_queries import texts
 from cairn.session import written
 from cairn.tables import load
@@ -36,16 +39,22 @@ def jon17_gra02_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
 PARAGRAPHS, SENTENCES, RUN = 0.6, 0.45, 6
 
 
-def units(d: Spark) -> str:
-    """Paragraphs of at least 8 words and sentences of at least 6, as they stand, with the words of their prose."""
-    prose, n = W.strip_code(d, "u"), lambda x: d.size(d.all(W.strip_code(d, x), r"[^ \n\t\r]+"))
-    blocks = d.filter(d.map(d.split(d.sub(d.sub("text", W.FENCE, "\n\n"), r"\n\s*\n", "\x01"), chr(1)), "y", W.trim(d, "y")), "y", "y <> ''")
+def blocks(d: Spark) -> tuple[str, str]:
+    """Paragraphs of at least 8 words and sentences of at least 6 of ``text``, as they stand, as arrays."""
+    n = lambda x: d.size(d.all(W.strip_code(d, x), r"[^ \n\t\r]+"))
     nl = d.lit("\n") if d.name == "spark" else "chr(10)"
+    paras = d.filter(d.map(d.split(d.sub(d.sub("text", W.FENCE, "\n\n"), r"\n\s*\n", "\x01"), chr(1)), "y", W.trim(d, "y")), "y", "y <> ''")
     marked = d.sub(d.sub(d.sub("text", W.FENCE, "\x01"), W.HEADING_LINE, "\x01"), W.LIST_MARKER, "\x01")
-    seq = d.all(f"lower({prose})", "[a-z0-9]+")
+    return d.filter(paras, "z", f"{n('z')} >= 8"), d.filter(W.pieces(d, f"replace({marked}, {nl}, {d.lit(chr(32))})"), "z", f"{n('z')} >= 6")
+
+
+def units(d: Spark) -> str:
+    """Those paragraphs and sentences as rows, with the words of their prose."""
+    prose = W.strip_code(d, "u")
+    of = lambda kind, x, s: f"SELECT doc_id AS scope, '{kind}' AS kind, {d.big('pos')} AS pos, u, {W.tokens_half_even(d, 'u')} AS tokens, {W.plain_words(d, prose)} AS w, {s} AS seq FROM {texts(d)} t {d.unnest(x, 'u')}"
+    paras, sents = blocks(d)
     no = "cast(NULL as array<string>)" if d.name == "spark" else "CAST(NULL AS VARCHAR[])"
-    of = lambda kind, x, least, s: f"SELECT doc_id AS scope, '{kind}' AS kind, {d.big('pos')} AS pos, u, {W.tokens_half_even(d, 'u')} AS tokens, {W.plain_words(d, prose)} AS w, {s} AS seq FROM {texts(d)} t {d.unnest(x, 'u')} WHERE {n('u')} >= {least}"
-    return f"({of('paragraph', blocks, 8, no)} UNION ALL {of('sentence', W.pieces(d, f'replace({marked}, {nl}, {d.lit(chr(32))})'), 6, seq)})"
+    return f"({of('paragraph', paras, no)} UNION ALL {of('sentence', sents, d.all(f'lower({prose})', '[a-z0-9]+'))})"
 
 
 def _groups(d: Spark) -> str:
@@ -58,23 +67,43 @@ def _groups(d: Spark) -> str:
         SELECT q.scope AS doc_id, q.kind, q.m AS first_pos, q.n, round(o.j, 6) AS max_overlap, q.wasted FROM q JOIN o ON o.scope = q.scope AND o.kind = q.kind AND o.m = q.m"""
 
 
+def repeats(spark: SparkSession, d: str, make: Callable, schema: str) -> DataFrame:
+    """What ``make`` gives of each document's id, text, paragraphs and sentences: a document is one row and is compared with itself only."""
+    docs = ask(spark, d, lambda x: f"SELECT doc_id, text, {blocks(x)[0]} AS paragraphs, {blocks(x)[1]} AS sentences FROM {texts(x)} t")
+    return rows_of(docs, make, schema)
+
+
 @book.frame(_groups)
 def jon17_scl27_agg16_repeated_units(spark: SparkSession, d: str) -> DataFrame:
     """Groups of paragraphs and of sentences of a document that repeat each other: by overlap of words, sentences also by six words in a row; with the tokens that costs."""
-    g = duplicate_groups(ask(spark, d, lambda x: f"SELECT scope, kind, pos, tokens, w, seq FROM {units(x)} u"), {"paragraph": PARAGRAPHS, "sentence": SENTENCES}, RUN)
-    return g.select(F.col("scope").alias("doc_id"), "kind", "first_pos", "n", F.round("max_overlap", 6).alias("max_overlap"), "wasted")
+
+    def make(i: int, _: str, paragraphs: list[str], sentences: list[str]) -> list[tuple]:
+        out = []
+        for kind, x, t, run in (("paragraph", paragraphs, PARAGRAPHS, None), ("sentence", sentences, SENTENCES, RUN)):
+            for m, j in groups(x, t, run):
+                sizes = [max(1, round(len(x[k]) / 4)) for k in m]
+                out.append((i, kind, m[0], len(m), None if j is None else round(j, 6), sum(sizes) - max(sizes)))
+        return out
+
+    return repeats(spark, d, make, "doc_id bigint, kind string, first_pos bigint, n bigint, max_overlap double, wasted bigint")
 
 
 @book.frame()
 def gra02_sentence_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Groups of repeated sentences, those left out whose members all stand in repeated paragraphs of their document."""
-    u = ask(spark, d, lambda x: f"SELECT * FROM {units(x)} u")
-    g, _ = written(duplicate_groups(u.drop("u"), {"paragraph": PARAGRAPHS, "sentence": SENTENCES}, RUN), "groups")
-    flat = F.trim(F.regexp_replace("u", r"\s+", " "))
-    member = g.select("scope", "kind", "first_pos", "n", F.explode("members").alias("pos")).join(u.select("scope", "kind", "pos", flat.alias("x")), ["scope", "kind", "pos"])
-    blocks = member.where("kind = 'paragraph'").select("scope", F.col("x").alias("block")).distinct()
-    alone = member.where("kind = 'sentence'").join(blocks, (member["scope"] == blocks["scope"]) & F.col("block").contains(F.col("x")), "left_anti")
-    return alone.groupBy(F.col("scope").alias("doc_id"), "first_pos").agg(F.max("n").alias("n"), F.count("*").alias("n_alone"))
+    """Groups of repeated sentences with the longest run that the first shares with another, those left out whose members all stand in repeated paragraphs of their document."""
+
+    def make(i: int, _: str, paragraphs: list[str], sentences: list[str]) -> list[tuple]:
+        flat = lambda x: " ".join(x.split())
+        inside = [flat(paragraphs[k]) for m, _ in groups(paragraphs, PARAGRAPHS) for k in m]
+        out = []
+        for m, _ in groups(sentences, SENTENCES, RUN):
+            alone = [k for k in m if not any(flat(sentences[k]) in p for p in inside)]
+            if alone:
+                first = word_sequence(sentences[m[0]])
+                out.append((i, m[0], len(m), len(alone), max(longest_run(first, word_sequence(sentences[k])) for k in m[1:])))
+        return out
+
+    return repeats(spark, d, make, "doc_id bigint, first_pos bigint, n bigint, n_alone bigint, longest_run bigint")
 
 
 @book.sql

@@ -9,16 +9,14 @@ from pyspark.sql import functions as F
 
 from cairn.functions import words as W
 from cairn.functions.checklists import draft
+from cairn.functions.repeats import groups
 from cairn.functions.rewrite import consolidate, front_value, move_sections, requests
 from cairn.operators.selection import bootstrap_deltas
-from cairn.operators.similarity import duplicate_groups
 from cairn.plans.code_queries import files, symbols
-from cairn.plans.dialect import Book, Spark, ask
-from cairn.plans.python_queries import _rows
-from cairn.plans.similarity_queries import RUN, SENTENCES, units
+from cairn.plans.dialect import Book, Spark, ask, rows_of
+from cairn.plans.similarity_queries import RUN, SENTENCES, repeats
 from cairn.plans.stats_queries import usage
 from cairn.plans.text_queries import texts
-from cairn.session import written
 from cairn.tables import load
 
 book = Book()
@@ -127,34 +125,26 @@ def flt01_02_trials(d: Spark) -> str:
 def rwr01_section_moves(spark: SparkSession, d: str) -> DataFrame:
     """Documents with their background and example sections moved out: the text with pointers, the texts moved, tokens before and after."""
     make = lambda i, t: [(i, r[0], json.dumps(r[1], ensure_ascii=False), len(r[1]), r[2], r[3]) for r in [move_sections(t)] if r[1]]
-    return _rows(_texts_of(spark, d), make, "doc_id bigint, text string, moved string, n bigint, before bigint, after bigint")
+    return rows_of(_texts_of(spark, d), make, "doc_id bigint, text string, moved string, n bigint, before bigint, after bigint")
 
 
 def _texts_of(spark: SparkSession, d: str) -> DataFrame:
     return ask(spark, d, lambda x: f"SELECT doc_id, text FROM {texts(x)} t")
 
 
-def _repeats(spark: SparkSession, d: str) -> DataFrame:
-    """Per document the texts of its groups of repeated sentences, a group as one list in the order of the text."""
-    u, _ = written(ask(spark, d, lambda x: f"SELECT * FROM {units(x)} u WHERE kind = 'sentence'"), "sentences")
-    g = duplicate_groups(u.drop("u"), {"sentence": SENTENCES}, RUN)
-    m = g.select("scope", "first_pos", F.explode("members").alias("pos")).join(u.select("scope", "pos", "u"), ["scope", "pos"])
-    each = m.groupBy("scope", "first_pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "u"))), lambda x: x.u).alias("group"))
-    return each.groupBy(F.col("scope").alias("doc_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("first_pos", "group"))), lambda x: x.group).alias("groups"))
-
-
 @book.frame()
 def rwr02_07_consolidated(spark: SparkSession, d: str) -> DataFrame:
     """Documents with each group of repeated sentences brought to its longest member, where it first stands; members not found as they stand are counted."""
 
-    def make(i: int, t: str, groups: list[list[str]]) -> list[tuple]:
-        lost = 0
-        for g in groups:
+    def make(i: int, t: str, _: list[str], sentences: list[str]) -> list[tuple]:
+        found, lost = groups(sentences, SENTENCES, RUN), 0
+        for m, _j in found:
+            g = [sentences[k] for k in m]
             t, missing = consolidate(t, g, 0, max(g, key=len))
             lost += len(missing)
-        return [(i, t, len(groups), lost)]
+        return [(i, t, len(found), lost)] if found else []
 
-    return _rows(_texts_of(spark, d).join(_repeats(spark, d), "doc_id"), make, "doc_id bigint, text string, n_groups bigint, n_missing bigint")
+    return repeats(spark, d, make, "doc_id bigint, text string, n_groups bigint, n_missing bigint")
 
 
 @book.frame()
@@ -162,16 +152,17 @@ def rwr08_descriptions(spark: SparkSession, d: str) -> DataFrame:
     """Documents whose description is replaced by its first sentence, whatever lines the old value took."""
     docs = _texts_of(spark, d).where(F.col("text").rlike(r"(?sm)\A---\n.*?^description:"))
     first = F.regexp_extract("text", r"(?m)^description:[ \t]*(.*?[.!?](?:\s|$)|[^\n]*)", 1)
-    return _rows(docs.select("doc_id", "text", F.trim(first).alias("value")), lambda i, t, v: [(i, front_value(t, "description", v))] if v else [], "doc_id bigint, text string")
+    return rows_of(docs.select("doc_id", "text", F.trim(first).alias("value")), lambda i, t, v: [(i, front_value(t, "description", v))] if v else [], "doc_id bigint, text string")
 
 
 @book.frame()
 def rwr03_requests(spark: SparkSession, d: str) -> DataFrame:
     """The requests that a rewriting at each level makes of a document: none, its description, or that with its repeats and filler."""
     filler = ask(spark, d, lambda x: f"SELECT doc_id, count(*) AS n FROM {texts(x)} t {x.unnest(W.sentences(x, 'text'), 's')} WHERE {W.is_filler(x, 's')} GROUP BY doc_id")
-    docs = _texts_of(spark, d).select("doc_id").join(_repeats(spark, d).select("doc_id", F.size("groups").alias("repeats")), "doc_id", "left").join(filler.withColumnRenamed("n", "filler"), "doc_id", "left")
-    make = lambda i, r, f: [(i, level, kind, n) for level in ("none", "slight", "lot") for kind, n in requests(level, r or 0, f or 0)]
-    return _rows(docs, make, "doc_id bigint, level string, kind string, n bigint")
+    own = repeats(spark, d, lambda i, _, p, x: [(i, len(groups(x, SENTENCES, RUN)))], "doc_id bigint, repeats bigint")
+    docs = own.join(filler.withColumnRenamed("n", "filler"), "doc_id", "left")
+    make = lambda i, r, f: [(i, level, kind, n) for level in ("none", "slight", "lot") for kind, n in requests(level, r, f or 0)]
+    return rows_of(docs, make, "doc_id bigint, level string, kind string, n bigint")
 
 
 @book.frame()
@@ -182,7 +173,7 @@ def str09_drafts(spark: SparkSession, d: str) -> DataFrame:
         got = draft(t.replace("\n", "\r"))
         return [(i, len(got), sum(x is None for x in got))]
 
-    return _rows(_texts_of(spark, d), make, "doc_id bigint, n_lines bigint, n_untrusted bigint")
+    return rows_of(_texts_of(spark, d), make, "doc_id bigint, n_lines bigint, n_untrusted bigint")
 
 
 @book.frame()

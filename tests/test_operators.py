@@ -240,47 +240,42 @@ def test_running_sum(spark):
     assert running_sum(spark.createDataFrame([], "k int, n int"), [F.asc("k")], "n").count() == 0
 
 
-def test_duplicate_groups_and_runs(spark):
+def test_groups_and_runs(spark):
     import itertools
     import random
 
-    from cairn.operators.similarity import duplicate_groups, longest_run, repeated
+    from cairn.functions.repeats import groups, longest_run, overlaps
+    from cairn.operators.similarity import repeated
 
     rnd = random.Random(3)
     words = [f"w{k}" for k in range(14)]
-    units = []
-    for s in (1, 2):
-        for p in range(40):
-            seq = [rnd.choice(words) for _ in range(rnd.randrange(0, 14))]
-            units.append((s, rnd.choice(["paragraph", "sentence"]), p, len(seq), sorted(set(seq)), seq))
-    df = spark.createDataFrame(units + units[:3], "scope bigint, kind string, pos bigint, tokens bigint, w array<string>, seq array<string>")
-    got = {(r.scope, r.kind, tuple(r.members)): (r.n, r.wasted, r.max_overlap) for r in duplicate_groups(df, {"paragraph": 0.6, "sentence": 0.7}, 3).collect()}
-    want = {}
-    for s, kind in itertools.product((1, 2), ("paragraph", "sentence")):
-        mine = {u[2]: u for u in units if u[:2] == (s, kind)}
-        t = {"paragraph": 0.6, "sentence": 0.7}[kind]
-        jac = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) if a and b else 0
-        near = {(a, b): jac(mine[a][4], mine[b][4]) for a, b in itertools.combinations(mine, 2)}
-        run = {p for p in near if longest_run(mine[p[0]][5], mine[p[1]][5]) >= 3}
-        parent = {p: p for p in mine}
+    jac = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) if a and b else 0
+    for t, run in ((0.6, None), (0.7, 3), (0.45, 6), (1.0, None)) * 6:
+        seqs = [[rnd.choice(words) for _ in range(rnd.randrange(0, 14))] for _ in range(40)]
+        near = {(a, b): jac(seqs[a], seqs[b]) for a, b in itertools.combinations(range(40), 2)}
+        alike = {p for p, j in near.items() if j >= t}
+        got = {(a, b): j for a, b, j in overlaps([frozenset(x) for x in seqs], t)}
+        assert all(abs(near[p] - j) < 1e-9 for p, j in got.items()) and set(got) <= alike
+        assert all(any(set(seqs[a]) == set(seqs[x]) and set(seqs[b]) == set(seqs[y]) for x, y in [*got, *((y, x) for x, y in got)]) or set(seqs[a]) == set(seqs[b]) for a, b in alike)
+        parent = list(range(40))
 
         def find(x, parent=parent):
             while parent[x] != x:
                 x = parent[x]
             return x
 
-        for (a, b), j in near.items():
-            if j >= t or (a, b) in run:
-                parent[find(a)] = find(b)
-        for root in {find(p) for p in mine}:
-            members = tuple(sorted(p for p in mine if find(p) == root))
-            if len(members) > 1:
-                sizes = [mine[p][3] for p in members]
-                best = max((j for (a, b), j in near.items() if j >= t and a in members), default=None)
-                want[s, kind, members] = (len(members), sum(sizes) - max(sizes), best)
-    assert got == want
+        for a, b in near:
+            if (a, b) in alike or (run and longest_run(seqs[a], seqs[b]) >= run):
+                parent[find(b)] = find(a)
+        want = {}
+        for root in {find(p) for p in range(40)}:
+            m = tuple(p for p in range(40) if find(p) == root)
+            if len(m) > 1:
+                want[m] = max((near[p] for p in alike if p[0] in m), default=None)
+        assert {tuple(m): j for m, j in groups([" ".join(x) for x in seqs], t, run)} == want
+    units = [[rnd.choice(words) for _ in range(rnd.randrange(0, 14))] for _ in range(20)]
     brute = lambda a, b: max((k for i in range(len(a)) for j in range(len(b)) for k in range(1, 1 + min(len(a) - i, len(b) - j)) if a[i : i + k] == b[j : j + k]), default=0)
-    assert all(longest_run(x[5], y[5]) == brute(x[5], y[5]) for x, y in itertools.combinations(units[:20], 2))
+    assert all(longest_run(x, y) == brute(x, y) for x, y in itertools.combinations(units, 2))
     briefs = [(rnd.choice("ab"), k, 100 + k, sorted(set(rnd.choices(words[:6], k=4)))) for k in range(80)] + [("hot", 1000 + k, 2000 + k, ["x", "y"]) for k in range(300)]
     got = {r.line_id: (r.first_line, round(r.overlap, 6)) for r in repeated(spark.createDataFrame(briefs, "session_id string, o bigint, line_id bigint, w array<string>"), 0.6).collect()}
     want = {}

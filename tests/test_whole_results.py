@@ -15,7 +15,7 @@ def rows(spark, name, d=DATA):
 
 def test_all_candidates(spark):
     got = rows(spark, "top04_candidates")
-    want = {k for k, _, value, _ in rows(spark, "mth06_10_19_20_values") if value >= 1}
+    want = {r.k for r in registry.queries()["mth06_10_19_20_values"](spark, DATA).collect() if r.value >= 1}
     assert len(got) > 100 and {k for k, _ in got} == want
     assert got == sorted(got, key=lambda r: (-r[1], r[0]))
 
