@@ -34,6 +34,9 @@ class Spark:
 
     name = "spark"
 
+    def __init__(self, **held: str):
+        self.held = held  #: what stands for a part of a text that is computed already
+
     def lit(self, s: str) -> str:
         return "'" + s.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
 

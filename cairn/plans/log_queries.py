@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from cairn.functions import words as W
 from cairn.operators.selection import running_sum
 from cairn.plans.dialect import Book, Spark, ask
+from cairn.session import written
+from cairn.tables import load
 
 book = Book()
 
@@ -21,6 +23,8 @@ ROOT_SHOWN, ERRORS_SHOWN, WARNINGS_SHOWN, SMALL, TAIL = 1, 10, 5, 30, 40
 
 def lines(d: Spark) -> str:
     """Lines once each, without colour codes and trailing CR: run_id, command, exit_code, line_no, x."""
+    if d.held.get("lines"):
+        return d.held["lines"]
     clean = d.sub(d.sub("text", W.ANSI, ""), r"\r+$", "")
     return f"""(SELECT run_id, max(command) AS command, max(exit_code) AS exit_code, line_no, max({clean}) AS x FROM (
         SELECT run_id, command, exit_code, line_no, coalesce(text, '') AS text FROM log_lines WHERE run_id IS NOT NULL AND line_no IS NOT NULL) a GROUP BY run_id, line_no)"""
@@ -144,7 +148,7 @@ def contexts(d: Spark) -> str:
             CASE WHEN {d.match('s', req)} THEN {of(req)} WHEN {d.match('s', inc)} THEN {of(inc)} WHEN is_note THEN concat({d.ext('s', GCC, 1)}, ':', {d.ext('s', GCC, 2)}, CASE WHEN coalesce({d.ext('s', GCC, 3)}, '') <> '' THEN concat(':', {d.ext('s', GCC, 3)}) ELSE '' END) END AS loc,
             CASE WHEN {d.match('s', inc)} THEN 'include' ELSE 'instantiation' END AS kind
         FROM (SELECT run_id, line_no, s, {d.match('s', GCC)} AND {d.ext('s', GCC, 4)} <> 'note' AS is_ev, {d.match('s', GCC)} AND {d.ext('s', GCC, 4)} = 'note' AND {d.match('s', '(?i)requested here|required from|in instantiation of|instantiated from')} AS is_note
-            FROM (SELECT run_id, line_no, {W.trim(d, 'x')} AS s FROM {lines(d)} l) a) b)"""
+            FROM (SELECT run_id, line_no, {W.trim(d, 'x')} AS s FROM {lines(d)} l WHERE {d.match('x', r':[0-9]+(?::[0-9]+)?:|included from|^\s*from ')}) a) b WHERE is_ev OR {d.match('s', req)} OR {d.match('s', inc)} OR is_note)"""
     return f"""(SELECT run_id, next_ev AS ev, line_no, kind, file, loc FROM {since(d, k, True, next_ev='is_ev')} w WHERE loc IS NOT NULL AND NOT is_note AND next_ev IS NOT NULL
         UNION ALL SELECT run_id, last_ev, line_no, kind, file, loc FROM {since(d, k, last_ev='is_ev')} w WHERE is_note AND last_ev IS NOT NULL)"""
 
@@ -354,14 +358,12 @@ def win08_summary(d: Spark) -> str:
     return f"""SELECT run_id, severity, least(count(*), {cap}) AS shown, greatest(0, count(*) - {cap}) AS omitted, {d.big('sum(n)')} AS events FROM {clusters(d)} c GROUP BY run_id, severity"""
 
 
-@book.sql
-def win08_snk17_run_summaries(d: Spark) -> str:
-    """The text of each run's summary: small output whole, else the root error, other groups and warnings under caps; the tail of a failure that shows no error."""
+def summaries(d: Spark) -> str:
     text = lambda x: f"cast({x} AS VARCHAR(20))"
     nl = "\n"
-    return f"""WITH s AS (SELECT * FROM {statuses(d)} s), k AS (SELECT * FROM {ranked(d)} k), p AS (SELECT * FROM {profiles(d)} p),
-        z AS (SELECT run_id, count(*) AS n FROM {lines(d)} l GROUP BY run_id),
-        t AS (SELECT run_id, line_no, x, row_number() OVER (PARTITION BY run_id ORDER BY line_no DESC) AS back FROM {lines(d)} l),
+    return f"""WITH s AS (SELECT * FROM {d.held.get('statuses') or statuses(d)} s), k AS (SELECT * FROM {d.held.get('ranked') or ranked(d)} k), p AS (SELECT * FROM {d.held.get('profiles') or profiles(d)} p),
+        z AS (SELECT run_id, n FROM {d.held.get('counts') or f'(SELECT run_id, count(*) AS n FROM {lines(d)} l GROUP BY run_id)'} c),
+        t AS (SELECT run_id, line_no, x, back FROM {d.held.get('tails') or f'(SELECT run_id, line_no, x, row_number() OVER (PARTITION BY run_id ORDER BY line_no DESC) AS back FROM {lines(d)} l)'} t),
         parts AS (
             SELECT run_id, 1 AS o, concat('$ ', coalesce(command, '')) AS line FROM s
             UNION ALL SELECT s.run_id, 2, concat('exit=', coalesce({text('s.exit_code')}, 'none'), ' duration_ms=', coalesce({text(d.big('round(s.duration_s * 1000)'))}, 'none'), ' status=', s.status, ' profile=', coalesce(p.profile, 'generic'), ' lines=', {text('coalesce(z.n, 0)')}) FROM s LEFT JOIN p ON p.run_id = s.run_id LEFT JOIN z ON z.run_id = s.run_id
@@ -376,6 +378,33 @@ def win08_snk17_run_summaries(d: Spark) -> str:
         SELECT run_id, {d.text_agg('line', nl, 'o')} AS summary FROM parts GROUP BY run_id"""
 
 
+@book.frame(summaries)
+def win08_snk17_run_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """The text of each run's summary: small output whole, else the root error, other groups and warnings under caps; the tail of a failure that shows no error.
+
+    Lines are cleaned and written once; groups carry their own best candidate for the root, so
+    runs are told from groups, and only the last lines of a run are kept for its tail.
+    """
+    hold = lambda df, name: written(df, name)[0].createOrReplaceTempView(f"held_{name}")
+    hold(ask(spark, d, lambda x: f"SELECT run_id, exit_code, line_no, x FROM {lines(x)} l"), "lines")
+    x = Spark(lines="(SELECT *, cast(NULL AS string) AS command FROM held_lines)")
+    tier = f"CASE WHEN e.file IS NOT NULL AND {W.user_path(x, 'e.file')} THEN 0 WHEN u.loc IS NOT NULL THEN 1 ELSE 2 END"
+    hold(spark.sql(f"""SELECT e.run_id, e.signature, min_by(e.severity, e.line_no) AS severity, min_by(e.message, e.line_no) AS message, count(*) AS n, min(e.line_no) AS first_line, count_if(e.severity = 'error') AS n_errors, min(CASE WHEN e.severity = 'error' THEN struct({tier} AS tier, e.line_no AS line_no) END) AS root
+        FROM {events(x)} e LEFT JOIN {user_locations(x)} u ON u.run_id = e.run_id AND u.ev = e.line_no GROUP BY e.run_id, e.signature"""), "clusters")
+    hold(spark.sql("SELECT run_id, min_by(signature, root) FILTER (WHERE root IS NOT NULL) AS signature, sum(n_errors) AS n_errors FROM held_clusters GROUP BY run_id"), "roots")
+    most = ROOT_SHOWN + max(ERRORS_SHOWN, WARNINGS_SHOWN)
+    order = "PARTITION BY c.run_id, c.severity ORDER BY CASE WHEN c.signature = r.signature THEN 0 ELSE 1 END, c.n DESC, c.first_line"
+    hold(spark.sql(f"""SELECT k.*, g.n_groups FROM (SELECT * FROM (SELECT c.run_id, c.severity, c.signature, c.message, c.n, c.first_line, row_number() OVER ({order}) AS k FROM held_clusters c LEFT JOIN held_roots r ON r.run_id = c.run_id) a WHERE k <= {most}) k
+        JOIN (SELECT run_id, severity, count(*) AS n_groups FROM held_clusters GROUP BY run_id, severity) g ON g.run_id = k.run_id AND g.severity = k.severity"""), "ranked")
+    hold(spark.sql(f"SELECT * FROM (SELECT run_id, line_no, x, row_number() OVER (PARTITION BY run_id ORDER BY line_no DESC) AS back FROM held_lines) t WHERE back <= {max(SMALL, TAIL)}"), "tails")
+    hold(spark.sql("SELECT run_id, count(*) AS n FROM held_lines GROUP BY run_id"), "counts")
+    load(spark, d, "runs").createOrReplaceTempView("runs")
+    runs = "(SELECT run_id, max(command) AS command, max(exit_code) AS exit_code, max(duration_s) AS duration_s, max(n_lines) AS n_lines FROM runs WHERE run_id IS NOT NULL GROUP BY run_id)"
+    hold(spark.sql(f"SELECT r.*, coalesce(e.n_errors, 0) AS n_errors, CASE WHEN r.exit_code = 124 THEN 'TIMEOUT' WHEN coalesce(r.exit_code, 0) <> 0 OR coalesce(e.n_errors, 0) > 0 THEN 'FAIL' ELSE 'PASS' END AS status FROM {runs} r LEFT JOIN held_roots e ON e.run_id = r.run_id"), "statuses")
+    hold(spark.sql(f"SELECT p.* FROM {profiles(Spark(lines='(SELECT l.run_id, l.line_no, l.x, c.command FROM held_lines l LEFT JOIN ' + runs + ' c ON c.run_id = l.run_id)'))} p"), "profiles")
+    return spark.sql(summaries(Spark(statuses="held_statuses", ranked="held_ranked", profiles="held_profiles", counts="held_counts", tails="held_tails")))
+
+
 @book.sql
 def agg20_sizes(d: Spark) -> str:
     """Characters of each run's output, and of each folder's files."""
