@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import words as W
+from cairn.functions.scoring import Queries
 from cairn.operators.selection import slices
 from cairn.plans.dialect import SPARK, Book, Spark, ask
-from cairn.session import written
 
 book = Book()
 
@@ -207,37 +212,51 @@ def lexical(d: Spark) -> str:
         SELECT item_id, id, score, {d.big('k')} AS k FROM k WHERE k <= 10"""
 
 
-#: Words of tasks that are sent to all executors at most; more are joined by a shuffle.
-SENT_WORDS = 500_000
+#: Tasks that one pass over the symbols takes along.
+TASKS = 5_000
 
 
-def lexical_scores(spark: SparkSession, d: str, only: str = "true") -> DataFrame:
-    """item_id, id, score and whether the symbol is called by name, of the tasks ``only`` keeps.
+def lexical_scores(spark: SparkSession, d: str, only: str = "item_id IS NOT NULL", most: int | None = None) -> DataFrame:
+    """item_id, id, score over 0 and whether the symbol is called by name, of the tasks ``only`` keeps: all, or the ``most`` best of a chunk of symbols.
 
-    The tasks' words are the query set: weights are looked up for them alone, and each symbol
-    meets them where it is, so that scores of a symbol are summed without a shuffle.
+    The tasks are the query set: their words and weights go to the symbols, which are scored where
+    they are, a chunk against all tasks at once; nothing is shuffled but the scores that are kept.
+    More than ``TASKS`` tasks go in blocks, a pass over the symbols each.
     """
+    total = ask(spark, d, lambda x: f"SELECT item_id FROM eval_items WHERE {only}").count()
+    n = -(-total // TASKS)
+    if n > 1:
+        return reduce(DataFrame.unionByName, (_scores(spark, d, f"{only} AND pmod(xxhash64(item_id), {n}) = {k}", most) for k in range(n)))
+    return _scores(spark, d, only, most)
+
+
+def _scores(spark: SparkSession, d: str, only: str, most: int | None) -> DataFrame:
     kw, names, doc = W.keywords_a(SPARK, "text"), W.name_words(SPARK, "name"), W.keywords_a(SPARK, "doc")
     sym = ask(spark, d, lambda x: f"SELECT id, lower(name) AS whole, length(name) > 2 AS counts, {names} AS names, CASE WHEN doc <> '' THEN {doc} END AS docs FROM {symbols(x)} s")
-    tasks = ask(spark, d, lambda x: f"SELECT item_id, {kw} AS kw, {W.word_list(x, 'lower(text)')} AS whole FROM eval_items WHERE text IS NOT NULL AND {only}")
-    word = tasks.select("item_id", F.explode("kw").alias("w")).distinct()
-    n = sym.agg(F.count("*").alias("n"))
-    df = sym.select(F.explode("names").alias("w")).join(F.broadcast(word.select("w").distinct()), "w").groupBy("w").agg(F.count("*").alias("df"))
-    idf = df.join(F.broadcast(n), F.lit(True)).select("w", (3.0 * F.least(F.lit(1.0), F.greatest(F.lit(0.05), F.ln((F.col("n") + 1) / (F.col("df") + 0.5)) / F.ln(F.col("n") + 1)))).alias("score"))
-    q = word.join(idf, "w").select("item_id", F.lit("n").alias("kind"), "w", "score")
-    q = q.unionByName(word.select("item_id", F.lit("d").alias("kind"), "w", F.lit(0.5).alias("score")))
-    q, _ = written(q.unionByName(tasks.select("item_id", F.lit("w").alias("kind"), F.explode(F.array_distinct("whole")).alias("w"), F.lit(12.0).alias("score"))), "task-words")
-    tag = lambda c, k: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.struct(F.lit(k).alias("kind"), x.alias("w")))
-    each = sym.select("id", F.explode(F.concat(tag(F.col("names"), "n"), tag(F.col("docs"), "d"), tag(F.when(F.col("counts"), F.array("whole")), "w"))).alias("x")).select("id", "x.kind", "x.w")
-    hit = each.join(F.broadcast(q) if q.count() <= SENT_WORDS else q, ["kind", "w"])
-    return hit.groupBy("id", "item_id").agg((F.bround(F.sum("score") * 100, 0) / 100).alias("score"), F.max(F.col("kind") == "w").alias("named"))
+    tasks = [tuple(r) for r in ask(spark, d, lambda x: f"SELECT item_id, {kw} AS kw, {W.word_list(x, 'lower(text)')} AS whole FROM eval_items WHERE item_id IS NOT NULL AND text IS NOT NULL AND {only}").collect()]
+    every = spark.createDataFrame([(w,) for w in sorted({w for _, k, _ in tasks for w in k})], "w string")
+    n = sym.count()
+    df = dict(tuple(r) for r in sym.select(F.explode("names").alias("w")).join(F.broadcast(every), "w").groupBy("w").count().collect())
+    weight = {w: 3.0 * min(1.0, max(0.05, math.log((n + 1) / (k + 0.5)) / math.log(n + 1))) for w, k in df.items()} if n else {}
+    rows = [(f"n:{w}", i, weight[w], False) for i, k, _ in tasks for w in set(k) if w in weight]
+    rows += [(f"d:{w}", i, 0.5, False) for i, k, _ in tasks for w in set(k)] + [(f"w:{w}", i, 12.0, True) for i, _, x in tasks for w in set(x)]
+    queries = Queries(rows)
+    tag = lambda c, k: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.concat(F.lit(k), x))
+    terms = F.concat(tag(F.col("names"), "n:"), tag(F.col("docs"), "d:"), tag(F.when(F.col("counts"), F.array("whole")), "w:"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r, q, score, named in queries.score(b.column(1).to_pylist(), b.column(0).to_pylist(), most):
+                yield pa.RecordBatch.from_arrays([pa.array(q), b.column(0).take(pa.array(r)), pa.array(score), pa.array(named)], names=["item_id", "id", "score", "named"])
+
+    return sym.select("id", terms.alias("terms")).mapInArrow(run, "item_id bigint, id string, score double, named boolean")
 
 
 @book.frame(lexical)
 def mth11_12_top01_lexical_scores(spark: SparkSession, d: str) -> DataFrame:
     """The ten symbols that each task text speaks of most: shared name words by weight, whole names by 12, documentation words added."""
     k = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "id"))
-    return lexical_scores(spark, d).withColumn("k", k).where("k <= 10").select("item_id", "id", "score", F.col("k").cast("bigint").alias("k"))
+    return lexical_scores(spark, d, most=10).withColumn("k", k).where("k <= 10").select("item_id", "id", "score", F.col("k").cast("bigint").alias("k"))
 
 
 #: Tokens of a slice, tokens that expanding it adds, and the share of the best score that chunks need.

@@ -285,3 +285,31 @@ def test_groups_and_runs(spark):
         if first:
             want[i] = (first[1], round(first[2], 6))
     assert got == want
+
+
+def test_scores_against_a_plain_sum():
+    import random
+
+    from cairn.functions import scoring
+
+    rnd = random.Random(1)
+    words = [f"w{k}" for k in range(30)]
+    queries = [(w, q, rnd.choice([0.5, 3.0, 12.0]), rnd.random() < 0.2) for q in (3, 7, 9) for w in rnd.sample(words, 8)]
+    rows = [rnd.choices(words, k=rnd.randrange(0, 6)) for _ in range(200)]
+    ids = [f"r{rnd.randrange(10**6)}-{k}" for k in range(200)]
+    for cells in (30, 4_000_000):
+        scoring.CELLS = cells
+        for most in (None, 5):
+            got = [(ids[r], q, s, n) for x in scoring.Queries(queries).score(rows, ids, most) for r, q, s, n in zip(*(y.tolist() for y in x))]
+            want = []
+            for i, r in zip(ids, rows):
+                for q in (3, 7, 9):
+                    hits = [(w, n) for t in r for a, b, w, n in queries if (a, b) == (t, q)]
+                    if sum(w for w, _ in hits) > 0:
+                        want.append((i, q, sum(w for w, _ in hits), any(n for _, n in hits)))
+            if most is None:
+                assert sorted(got) == sorted(want)
+            else:
+                best = lambda x: {q: sorted(((-s, i, n) for i, p, s, n in x if p == q))[:most] for q in (3, 7, 9)}
+                assert best(got) == best(want)
+    assert list(scoring.Queries([]).score(rows, ids, 5)) == []
