@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import base64
 import heapq
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.session import written
@@ -16,20 +17,33 @@ from cairn.session import written
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Splits text before merging, as public byte-level BPEs do.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Ranges of the hash order per source; a running sum never has more rows of a source than one range holds.
-RANGES = 4096
+#: Rows that one range of the hash order of all documents holds, about; a running sum goes over the rows of one source in a range.
+RANGE_ROWS = 50_000
 #: Blocks a mixture is scheduled in.
 BLOCKS = 20_000
 
 
+def _shipped(spark: SparkSession, path: str) -> str:
+    """The name under which the workers find a file of the driver, sent to them once."""
+    sc = spark.sparkContext
+    sent = sc.__dict__.setdefault("_cairn_files", set())
+    if path not in sent:
+        sc.addFile(path)
+        sent.add(path)
+    return os.path.basename(path)
+
+
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, source, tokens of every document that has an id; a null or empty text has none."""
     src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
 
+    name = _shipped(docs.sparkSession, vocabulary)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
+        from pyspark import SparkFiles
 
-        with open(vocabulary, "rb") as f:
+        with open(SparkFiles.get(name), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         enc = tiktoken.Encoding("counts", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for b in batches:
@@ -73,8 +87,9 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _plan(docs: DataFrame, targets: DataFrame, vocabulary: str) -> tuple[DataFrame, DataFrame]:
     """Counted documents in hash order with what precedes them in their source, and the plan of each mixture and source."""
     counted, _ = written(token_counts(docs, vocabulary).dropDuplicates(["doc_id"]), "tokens")
+    bits = max(4, (counted.count() // RANGE_ROWS).bit_length())
     h = F.xxhash64("doc_id")
-    ranged = counted.where("source is not null").select("source", "doc_id", "tokens", h.alias("h"), F.shiftrightunsigned(h, 64 - RANGES.bit_length() + 1).cast("int").alias("r"))
+    ranged = counted.where("source is not null").select("source", "doc_id", "tokens", h.alias("h"), F.shiftrightunsigned(h, 64 - bits).cast("int").alias("r"))
     sums = ranged.groupBy("source", "r").agg(F.sum("tokens").alias("t"))
     upto = Window.partitionBy("source").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("source")
@@ -129,7 +144,7 @@ def mix_report(docs: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY
 
 
 def mix_schedule(docs: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY, blocks: int = BLOCKS) -> DataFrame:
-    """The documents of each mixture in order: mix_id, slot, seq, source, doc_id, copy, tokens.
+    """The documents of each mixture in order: mix_id, slot, seq, source, doc_id, copy, tokens, and the block of its source that slot is, of n_blocks, in n_slots.
 
     The tokens of a mixture are cut into about ``blocks`` equal blocks.  Pfair scheduling
     gives every block of a source a release time and a deadline from the source's share
@@ -150,4 +165,6 @@ def mix_schedule(docs: DataFrame, targets: DataFrame, vocabulary: str = VOCABULA
     copies = copies.join(sized.select("mix_id", "source", "block_tokens"), ["mix_id", "source"])
     start = F.col("at") + (F.col("copy") - 1) * F.col("source_tokens")
     copies = copies.select("mix_id", "source", "doc_id", "copy", "tokens", start.alias("seq"), F.floor(start / F.col("block_tokens")).alias("block"))
-    return copies.join(slots, ["mix_id", "source", "block"]).select("mix_id", "slot", "seq", "source", "doc_id", "copy", "tokens")
+    sums = sized.groupBy("mix_id").agg(F.sum("n_blocks").alias("n_slots"))
+    slots = slots.join(sized.select("mix_id", "source", "n_blocks"), ["mix_id", "source"]).join(sums, "mix_id")
+    return copies.join(slots, ["mix_id", "source", "block"]).select("mix_id", "slot", "seq", "source", "doc_id", "copy", "tokens", "block", "n_blocks", "n_slots")

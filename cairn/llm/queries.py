@@ -9,6 +9,7 @@ from cairn.llm.code import documented, documented_pairs, rebuilt, split_symbols
 from cairn.llm.contamination import contamination
 from cairn.llm.encodings import garbled, repair
 from cairn.llm.mixing import mix_report, mix_schedule
+from cairn.session import written
 from cairn.tables import load
 
 
@@ -64,6 +65,22 @@ def p8_schedule(spark: SparkSession, d: str) -> DataFrame:
     return mix_schedule(load(spark, d, "documents"), load(spark, d, "mix_targets"))
 
 
+def p8_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What a mixture may not do: documents taken more often than allowed, sources off their tokens by more than a document, slots at which a source is a block or more off its share. 0 of all."""
+    docs, targets = load(spark, d, "documents"), load(spark, d, "mix_targets")
+    report, _ = written(mix_report(docs, targets), "report")
+    plan, _ = written(mix_schedule(docs, targets), "schedule")
+    times = plan.groupBy("mix_id", "source", "doc_id").agg(F.count("*").alias("n"), F.max("tokens").alias("t"))
+    per = times.groupBy("mix_id", "source").agg(F.max("n").alias("n"), F.max("t").alias("longest"), F.sum(F.col("n") * F.col("t")).alias("taken"))
+    own = report.join(per, ["mix_id", "source"], "left").fillna(0, ["n", "longest", "taken"])
+    # A source falls short of its need only where all its documents are taken as often as they may be.
+    short = (F.col("tokens_needed") - F.col("tokens") > F.col("longest")) & (F.col("n") > 0) & (F.col("most_repeats") < F.col("max_repeats"))
+    a = own.agg(F.count_if(F.col("n") > F.col("max_repeats")).alias("n_over_repeats"), F.count_if(short | (F.col("tokens") - F.col("tokens_needed") > F.col("longest"))).alias("n_off_need"), F.count_if(F.col("taken") != F.col("tokens")).alias("n_off_report"))
+    share = F.col("n_blocks") / F.col("n_slots")
+    b = plan.agg(F.count_if((F.abs(F.col("block") + 1 - share * (F.col("slot") + 1)) >= 1) | (F.abs(F.col("block") - share * F.col("slot")) >= 1)).alias("n_off_share"))
+    return a.crossJoin(b)
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that show characters of a wrong decoding."""
     return garbled(load(spark, d, "documents")).select("doc_id").distinct()
@@ -74,7 +91,7 @@ def p9_repaired(spark: SparkSession, d: str) -> DataFrame:
     return repair(load(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_pieces, p2_rebuilt, p2_cuts, p7_found, p7_items, p8_report, p8_schedule, p9_found, p9_repaired)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_pieces, p2_rebuilt, p2_cuts, p7_found, p7_items, p8_report, p8_schedule, p8_checks, p9_found, p9_repaired)}
 
 ORACLES = {
     "p2_found": "WITH s AS (SELECT DISTINCT id, path, start_line, end_line, tokens FROM symbols WHERE id IS NOT NULL), "
@@ -85,5 +102,6 @@ ORACLES = {
     "f AS (SELECT path, string_split(max(content), chr(10)) AS ls FROM source_files WHERE content IS NOT NULL GROUP BY path), "
     "t AS (SELECT id, tokens, array_to_string(ls[greatest(1, start_line):least(len(ls), end_line)], chr(10)) AS x FROM s JOIN f USING (path)) "
     "SELECT DISTINCT id, sha256(x) AS hash FROM t WHERE CASE WHEN tokens > 0 THEN tokens ELSE greatest(1, round_even(length(x) / 4.0, 0)) END > 800",
+    "p8_checks": "SELECT 0::BIGINT AS n_over_repeats, 0::BIGINT AS n_off_need, 0::BIGINT AS n_off_report, 0::BIGINT AS n_off_share",
     "p2_cuts": "SELECT 0::BIGINT AS n_over, 0::BIGINT AS n_shallow",
 }
