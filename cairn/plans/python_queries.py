@@ -145,11 +145,16 @@ def _answers(spark: SparkSession, d: str) -> DataFrame:
     return s.where("type = 'assistant'").select("session_id", (F.col("line_no").cast("bigint") * 10_000_000 + F.col("line_id")).alias("seq"), F.lit("call").alias("kind"), F.regexp_extract("message", '"description": ?"([^"\\\\]+)"', 1).alias("text"))
 
 
-@book.frame("""SELECT seq % 10000000 AS line_id, n, CASE WHEN n > 40 THEN 'deny' WHEN n > 37 THEN 'warn' ELSE 'allow' END AS verdict FROM (
-    SELECT CAST(line_no AS BIGINT) * 10000000 + line_id AS seq, count(*) OVER (PARTITION BY session_id ORDER BY line_no, line_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM transcripts WHERE type = 'assistant') t""")
+@book.frame("""WITH a AS (SELECT session_id, line_no, line_id, coalesce(message, '') LIKE '%"stop_reason": "end_turn"%' AS stops FROM transcripts WHERE type = 'assistant' AND session_id IS NOT NULL),
+    g AS (SELECT *, coalesce(sum(CASE WHEN stops THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY line_no, line_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS turn FROM a)
+    SELECT line_id, n, CASE WHEN n > 5 THEN 'deny' WHEN n > 2 THEN 'warn' ELSE 'allow' END AS verdict FROM (SELECT line_id, count(*) OVER (PARTITION BY session_id, turn ORDER BY line_no, line_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM g) t""")
 def str02_04_05_streamed_budgets(spark: SparkSession, d: str) -> DataFrame:
-    """The call counter as a stream with keyed state."""
-    return drain(spark, call_budgets(_answers(spark, d), live_ms=None)).select((F.col("seq") % 10_000_000).alias("line_id"), "n", "verdict")
+    """The call counter as a stream with keyed state, five calls a turn: the end of a turn forgets it."""
+    s = follow(spark, f"{d}/transcripts.parquet", load(spark, d, "transcripts").schema).where("type = 'assistant' and session_id is not null")
+    seq = 2 * (F.col("line_no").cast("bigint") * 10_000_000 + F.col("line_id"))
+    ends = F.when(F.coalesce("message", F.lit("")).contains('"stop_reason": "end_turn"'), F.array(F.lit("call"), F.lit("stop"))).otherwise(F.array(F.lit("call")))
+    e = s.select("session_id", seq.alias("at"), F.posexplode(ends).alias("i", "kind")).select("session_id", (F.col("at") + F.col("i")).alias("seq"), "kind")
+    return drain(spark, call_budgets(e, limit=5, live_ms=None)).select((F.floor(F.col("seq") / 2) % 10_000_000).alias("line_id"), "n", "verdict")
 
 
 @book.frame("SELECT session_id, line_id FROM (SELECT session_id, line_id, row_number() OVER (PARTITION BY session_id ORDER BY line_no, line_id) AS k FROM transcripts WHERE type = 'assistant') t WHERE k = 1")

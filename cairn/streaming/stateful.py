@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from cairn.functions.words import NOTE_STOPWORDS
 from cairn.session import shared_path
 
 #: A key untouched for so long is forgotten.
@@ -26,6 +27,10 @@ LIVE_MS = 86_400_000
 SESSIONS = 32
 
 
+_TASK = re.compile(r"^\s*[-*]?\s*\**Task\**\s*:(.*)$", re.I | re.M)
+_OTHER = re.compile(r"^\s*[-*]?\s*\**Not a duplicate\**\s*:", re.I | re.M)
+
+
 def _keyed(events: DataFrame, key: str, step: Callable, out: T.StructType, state: T.StructType, first: tuple, live_ms: int | None, opened: Callable = lambda x: x, closed: Callable = lambda x: x) -> DataFrame:
     def run(k: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         if held.hasTimedOut:
@@ -106,8 +111,9 @@ class _Briefs:
 def repeated_briefs(events: DataFrame, key: str = "session_id", deny: float = 0.9, hint: float = 0.6, live_ms: int | None = LIVE_MS) -> DataFrame:
     """(key, seq, verdict, similarity, like) of each brief against those let through before in its session.
 
-    Denied briefs don't enter the state, so what is compared depends on earlier verdicts; all
-    others stay in it as long as the session lives.  ``events`` has the key, seq and text.
+    The first brief alike decides.  Denied briefs don't enter the state, so what is compared
+    depends on earlier verdicts; all others stay in it as long as the session lives.  A Task line
+    speaks for its brief, and a line that says it is not a duplicate lets it through.  ``events`` has the key, seq and text.
 
     Scale: a brief meets only those that share one of its rarest words, by an index made once
     per batch; the words of all briefs let through in one session are held by one task.
@@ -116,15 +122,16 @@ def repeated_briefs(events: DataFrame, key: str = "session_id", deny: float = 0.
     state = T.StructType([T.StructField("seqs", T.ArrayType(T.LongType())), T.StructField("words", T.ArrayType(T.StringType()))])
 
     def step(now: _Briefs, r):  # noqa: ANN001, ANN202
-        mine = set(re.findall(r"[a-z0-9_]{3,}", r.text.lower() if isinstance(r.text, str) else ""))
+        text = r.text if isinstance(r.text, str) else ""
+        task = _TASK.search(text)
+        mine = {w for w in re.findall(r"[a-z0-9_]{3,}", (task[1] if task else text).lower()) if w not in NOTE_STOPWORDS}
         verdict, sim, like = "allow", 0.0, None
-        for k in now.near(mine, hint):
+        for k in () if _OTHER.search(text) else now.near(mine, hint):
             other = now.sets[k]
             x = len(mine & other) / len(mine | other) if mine and other else 0.0
-            if x >= hint:
+            if x >= hint:  # the first that is alike tells, even if a later one is more so
                 verdict, sim, like = ("deny" if x >= deny else "hint"), x, now.seqs[k]
-                if x >= deny:
-                    break
+                break
         if verdict != "deny":
             now.add(int(r.seq), frozenset(mine))
         return now, (r.seq, verdict, sim, like)

@@ -169,8 +169,7 @@ def test_briefs_of_a_long_session(spark, tmp_path):
             x = len(mine & other) / len(mine | other) if mine and other else 0.0
             if x >= 0.6:
                 got = ("deny" if x >= 0.9 else "hint", k)
-                if x >= 0.9:
-                    break
+                break
         if got[0] != "deny":
             kept.append((i, mine))
         want[i] = got
@@ -183,6 +182,14 @@ def test_briefs_of_a_long_session(spark, tmp_path):
     assert {r.seq: (r.verdict, r.like) for r in got.collect()} == want
 
 
+def test_briefs_with_a_task_line(spark, tmp_path):
+    texts = ["Task: walk the rows twice\nKnown: nothing", "- **Task**: walk the rows twice\nKnown: other words here", "Task: walk the rows twice\nNot a duplicate: other rows", "Task: fold cells\nKnown: nothing"]
+    rows = spark.createDataFrame([("s", i, t) for i, t in enumerate(texts)], "session_id string, seq bigint, text string")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/in")
+    got = drain(spark, repeated_briefs(follow(spark, f"{tmp_path}/in", rows.schema), live_ms=None), f"file://{tmp_path}/b")
+    assert [r.verdict for r in got.orderBy("seq").collect()] == ["allow", "deny", "allow", "allow"]
+
+
 def test_slices_against_a_plain_fold(spark):
     import random
 
