@@ -94,18 +94,24 @@ def jon02_callees(d: Spark) -> str:
     return f"SELECT DISTINCT src, target FROM {resolved(d)} r WHERE target IS NOT NULL AND target <> src"
 
 
+#: Callers from which on only those in the same folder count as neighbours.
+MANY_CALLERS = 200
+
+
 @book.sql
 def jon03_neighbours(d: Spark) -> str:
-    """Callers, callees, parents and children of each symbol, counted."""
-    c = f"SELECT DISTINCT src, target FROM {resolved(d)} r WHERE target IS NOT NULL AND target <> src"
-    return f"""WITH c AS ({c}), p AS (SELECT s.id AS src, s.parent AS target FROM {symbols(d)} s JOIN {symbols(d)} q ON q.id = s.parent)
-        SELECT id, count(*) AS n FROM (SELECT src AS id, target AS other FROM c UNION SELECT target, src FROM c UNION SELECT src, target FROM p UNION SELECT target, src FROM p) t WHERE id <> other GROUP BY id"""
+    """Callees, callers, parents and children of each symbol; of one with very many callers only those of its folder."""
+    folder = lambda x: d.sub(x, r"[^/]*$", "")
+    return f"""WITH c AS (SELECT DISTINCT src, target FROM {resolved(d)} r WHERE target IS NOT NULL AND target <> src), s AS (SELECT id, path, parent FROM {symbols(d)} s), m AS (SELECT target, count(*) AS n FROM c GROUP BY target),
+        k AS (SELECT c.target AS id, c.src AS other FROM c JOIN m ON m.target = c.target JOIN s a ON a.id = c.src JOIN s b ON b.id = c.target WHERE m.n <= {MANY_CALLERS} OR {folder('a.path')} = {folder('b.path')}),
+        p AS (SELECT s.id, q.id AS other FROM s JOIN s q ON q.id = s.parent WHERE s.id <> q.id)
+        SELECT src AS id, target AS other, 'callee' AS kind FROM c UNION SELECT id, other, 'caller' FROM k UNION SELECT id, other, 'parent' FROM p UNION SELECT other, id, 'child' FROM p"""
 
 
 @book.sql
 def jon04_importers(d: Spark) -> str:
-    """Files that import each file."""
-    return f"SELECT target, {d.gather('path')} AS importers FROM {imports(d)} i GROUP BY target"
+    """Files that import each file, a row each, and how many there are."""
+    return f"SELECT i.target, i.path, n.n FROM {imports(d)} i JOIN (SELECT target, count(*) AS n FROM {imports(d)} j GROUP BY target) n ON n.target = i.target"
 
 
 @book.sql
@@ -139,10 +145,14 @@ def jon08_09_suffix_paths(d: Spark) -> str:
         SELECT l.frag, f.path, {base('f.path')} AS base FROM (SELECT DISTINCT {frag} AS frag FROM log_lines WHERE text LIKE '%File \"%') l JOIN {files(d)} f ON {base('l.frag')} = {d.sub(base('f.path'), r'_[0-9a-z]+\.(\w+)$', r'.\1')}) c) t WHERE k = 1"""
 
 
+#: Lines on either side of a place that lies in no symbol.
+AROUND = 15
+
+
 @book.sql
 def jon10_point_in_range(d: Spark) -> str:
-    """Lines that raise or call for care, with the innermost symbol around them; else none."""
-    return f"""SELECT path, line_no, id FROM (SELECT l.path, l.line_no, s.id, row_number() OVER (PARTITION BY l.path, l.line_no ORDER BY s.b - s.a, s.a DESC, s.id) AS k
+    """Comment lines with the innermost symbol around them; where there is none, the lines around."""
+    return f"""SELECT path, line_no, id, CASE WHEN id IS NULL THEN greatest(1, line_no - {AROUND}) ELSE a END AS first_line, CASE WHEN id IS NULL THEN line_no + {AROUND} ELSE b END AS last_line FROM (SELECT l.path, l.line_no, s.id, {d.big('s.a')} AS a, {d.big('s.b')} AS b, row_number() OVER (PARTITION BY l.path, l.line_no ORDER BY s.b - s.a, s.a DESC, s.id) AS k
         FROM (SELECT path, line_no FROM {code_lines(d)} c WHERE {d.match('x', r'^\s*(?:#|//) ')}) l LEFT JOIN {symbols(d)} s ON s.path = l.path AND l.line_no BETWEEN s.a AND s.b) t WHERE k = 1"""
 
 
@@ -297,9 +307,9 @@ def agg08_src39_harvest(d: Spark) -> str:
 
 @book.sql
 def agg10_selection_quality(d: Spark) -> str:
-    """How much of the lines of documented symbols a selection of all tests' targets covers."""
-    return f"""WITH sel AS (SELECT DISTINCT i.target AS path FROM {imports(d)} i), t AS (SELECT path, sum(b - a + 1) AS n FROM {symbols(d)} s WHERE doc <> '' GROUP BY path)
-        SELECT count(*) AS n_files, count_if(sel.path IS NOT NULL) AS n_hit, round(sum(CASE WHEN sel.path IS NOT NULL THEN n ELSE 0 END) * 1.0 / sum(n), 6) AS recall FROM t LEFT JOIN sel ON sel.path = t.path"""
+    """How much of the lines of documented symbols a selection of all imported files covers, and how much of it they are."""
+    return f"""WITH sel AS (SELECT DISTINCT i.target AS path FROM {imports(d)} i), t AS (SELECT path, sum(CASE WHEN doc <> '' THEN b - a + 1 ELSE 0 END) AS n, sum(b - a + 1) AS every FROM {symbols(d)} s GROUP BY path)
+        SELECT count(*) AS n_files, count_if(sel.path IS NOT NULL) AS n_hit, round(sum(CASE WHEN sel.path IS NOT NULL THEN n ELSE 0 END) * 1.0 / sum(n), 6) AS recall, round(sum(CASE WHEN sel.path IS NOT NULL THEN n ELSE 0 END) * 1.0 / sum(CASE WHEN sel.path IS NOT NULL THEN every ELSE 0 END), 6) AS precision_ FROM t LEFT JOIN sel ON sel.path = t.path"""
 
 
 @book.sql

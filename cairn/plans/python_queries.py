@@ -14,12 +14,15 @@ from cairn.operators.nested import nested_objects
 from cairn.operators.selection import bootstrap_deltas, greedy_selection
 from cairn.plans.dialect import Book, rows_of
 from cairn.session import shared_path
-from cairn.sources.sinks import KeyedTable, fact_blocks, write_records
+from cairn.sources.sinks import KeyedTable, fact_blocks, merge_block, write_records
 from cairn.streaming.stateful import call_budgets, drain, follow, once, repeated_briefs, running_stats
 from cairn.tables import load
 
 book = Book()
 
+#: The program that commands with long output are sent through.
+WRAPPER = "condense"
+
 
 def _sources(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "source_files").where("path is not null and content is not null").groupBy("path").agg(F.max("language").alias("language"), F.max("content").alias("content"))
@@ -59,8 +62,8 @@ def txt28_43_flt18_routing(spark: SparkSession, d: str) -> DataFrame:
     modes = ("redirect", "ask", "rewrite", "off")
 
     def make(x: str) -> list[tuple]:
-        got = [decision("Bash", x, False, m, "compost") for m in modes]
-        return [(x, is_long(x, "compost"), *(g[0] if g else "none" for g in got), routed(x, "compost", True))]
+        got = [decision("Bash", x, False, m, WRAPPER) for m in modes]
+        return [(x, is_long(x, WRAPPER), *(g[0] if g else "none" for g in got), routed(x, WRAPPER, True))]
 
     return rows_of(c, make, "command string, is_long boolean, redirect string, ask string, rewrite string, off string, moved string")
 
@@ -134,12 +137,21 @@ def snk04_06_set04_08_keyed_table(spark: SparkSession, d: str) -> DataFrame:
     return t.read()
 
 
-@book.frame("SELECT lower(source) AS scope, string_agg(DISTINCT '- ' || lang, chr(10) ORDER BY '- ' || lang) AS block FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY lower(source)")
+@book.frame("SELECT scope, 0 AS part, string_agg('- ' || lang, chr(10) ORDER BY lang) AS block FROM (SELECT DISTINCT lower(source) AS scope, lang FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL) t GROUP BY scope")
 def snk07_fact_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """One block of bullets per scope."""
+    """Bullets of each scope in blocks."""
     return fact_blocks(load(spark, d, "documents").select(F.lower("source").alias("scope"), F.col("lang").alias("text")))
 
 
+@book.frame("SELECT scope, n, '<!-- facts:begin -->' || chr(10) || block || chr(10) || '<!-- facts:end -->' AS region FROM (SELECT lower(source) AS scope, count(DISTINCT lang) AS n, string_agg(DISTINCT '- ' || lang, chr(10) ORDER BY '- ' || lang) AS block FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY lower(source)) t")
+def snk07_14_merged_regions(spark: SparkSession, d: str) -> DataFrame:
+    """The marked region that each scope's facts give, put into a text that has an old one."""
+    b = fact_blocks(load(spark, d, "documents").select(F.lower("source").alias("scope"), F.col("lang").alias("text")))
+    old = "# Facts\n\n<!-- facts:begin -->\n- gone\n<!-- facts:end -->\n"
+    make = lambda s, x: [(s, x.count("\n") + 1, merge_block(old, x).removeprefix("# Facts\n\n").removesuffix("\n"))]
+    return rows_of(b.where("part = 0").select("scope", "block"), make, "scope string, n bigint, region string")
+
+
 def _answers(spark: SparkSession, d: str) -> DataFrame:
     s = follow(spark, f"{d}/transcripts.parquet", load(spark, d, "transcripts").schema)
     return s.where("type = 'assistant'").select("session_id", (F.col("line_no").cast("bigint") * 10_000_000 + F.col("line_id")).alias("seq"), F.lit("call").alias("kind"), F.regexp_extract("message", '"description": ?"([^"\\\\]+)"', 1).alias("text"))

@@ -308,6 +308,6 @@ def rwr05_06_marked_blocks(d: Spark) -> str:
 
 @book.sql
 def snk11_14_bundles(d: Spark) -> str:
-    """Bullets by scope: documents of each source and language with their first heading."""
+    """Bullets by scope: documents of each source with their first heading, a row each in the order of the bundle."""
     h = d.ext("t.text", r"(?m)^#{1,6}[ ]+([^\n]*)$", 1)
-    return f"""SELECT source, {d.text_agg("concat('- ', h)", '|', 'doc_id')} AS bullets FROM (SELECT a.source, t.doc_id, {h} AS h FROM {texts(d)} t JOIN documents a ON a.doc_id = t.doc_id WHERE a.source IS NOT NULL) x WHERE h <> '' GROUP BY source"""
+    return f"""SELECT source, doc_id, concat('- ', h) AS bullet FROM (SELECT a.source, t.doc_id, {h} AS h FROM {texts(d)} t JOIN documents a ON a.doc_id = t.doc_id WHERE a.source IS NOT NULL) x WHERE h <> ''"""

@@ -106,7 +106,7 @@ def rel15_json(d: Spark) -> str:
 
 @book.sql
 def rel16_arrays(d: Spark) -> str:
-    """Event types of each user in order of time, and how many there are."""
+    """Event types of each user as a sorted set, and how many events there are."""
     return f"SELECT user_id, {d.gather_set('event_type')} AS kinds, count(*) AS n FROM events GROUP BY user_id"
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.session import exists, hadoop
@@ -56,10 +56,19 @@ class KeyedTable:
         return self.replace(old.join(keys.select(self.key).distinct(), self.key, "left_anti")) if old is not None else -1
 
 
-def fact_blocks(facts: DataFrame) -> DataFrame:
-    """(scope, block): one bullet per fact and scope, comment marks broken so that they can't end the block."""
+#: Bullets of one block.
+BLOCK_LINES = 1000
+
+
+def fact_blocks(facts: DataFrame, most: int = BLOCK_LINES) -> DataFrame:
+    """(scope, part, block): bullets in order, each once a scope, at most ``most`` a block; comment marks broken so that they can't end the block.
+
+    A scope with very many facts is many blocks, never one value.
+    """
     line = F.concat(F.lit("- "), F.regexp_replace(F.regexp_replace(F.trim("text"), r"\s+", " "), "-->", "-- >"))
-    return facts.where("scope is not null and text is not null").groupBy("scope").agg(F.array_join(F.array_sort(F.collect_set(line)), "\n").alias("block"))
+    each = facts.where("scope is not null and text is not null").select("scope", line.alias("line")).distinct()
+    part = F.floor((F.row_number().over(Window.partitionBy("scope").orderBy("line")) - 1) / F.lit(most)).cast("int")
+    return each.withColumn("part", part).groupBy("scope", "part").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("block"))
 
 
 def merge_block(text: str, block: str, name: str = "facts") -> str:

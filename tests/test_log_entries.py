@@ -28,7 +28,7 @@ LINES = "run_id string, line_no int, text string"
         ("11:23:56.440 [main-7] WARN a.sync - started", ("????-??-?? 11:23:56", "WARNING", "a.sync")),
         ("INFO 2026/08/23 14:12:28 a.gate: written", ("2026-08-23 14:12:28", "INFO", "a.gate")),
         ("27.04.2026 17:31:12 | ERROR | spool/writer | drained", ("2026-04-27 17:31:12", "ERROR", "spool/writer")),
-        ('weeder-x [01/Jan/2026:01:04:30 +0200] "DEBUG" error budget', ("2025-12-31 23:04:30", "DEBUG", "weeder-x")),
+        ('spade-x [01/Jan/2026:01:04:30 +0200] "DEBUG" error budget', ("2025-12-31 23:04:30", "DEBUG", "spade-x")),
         ("[1778833630.724] (a.cluster) info: cache", ("2026-05-15 08:27:10", "INFO", "a.cluster")),
         ("WARNING:a.pool:dropped INFO:x:y", ("", "WARNING", "a.pool")),
     ],
