@@ -69,13 +69,22 @@ def src01_raw_lines(d: Spark) -> str:
     return f"SELECT path, {d.big('pos + 1')} AS line_no, {d.sub('x', chr(92) + 'r$', '')} AS line FROM (SELECT path, max(content) AS content FROM source_files WHERE path IS NOT NULL AND content IS NOT NULL GROUP BY path) t {d.unnest(ls, 'x')}"
 
 
+def any_of(x: str, *words: str) -> str:
+    """Whether a lower-case text holds one of some plain words: told without an expression, before one is tried."""
+    return "(" + " OR ".join(f"contains({x}, '{w}')" for w in words) + ")"
+
+
+#: Plain words without one of which a flag isn't raised.
+HINTS = {"pytest": ("short test summary", "= failures ="), "ctest": ("tests failed",), "cmake": ("cmake ",), "slurm": ("slurm",), "gcc": ("error:", "warning:"), "python_traceback": ("traceback",), "numerical_solver": ("resid",)}
+
+
 def profiles(d: Spark) -> str:
-    flags = ", ".join(f"bool_or({d.match('x', p)}) AS f_{n}" for n, p in FLAGS.items())
+    flags = ", ".join(f"bool_or({any_of('low', *HINTS[n])} AND {d.match('x', p)}) AS f_{n}" for n, p in FLAGS.items())
     return f"""(SELECT run_id, CASE WHEN c LIKE '%pytest%' OR f_pytest THEN 'pytest' WHEN c LIKE '%ctest%' OR f_ctest THEN 'ctest'
         WHEN f_cmake OR (c LIKE '%cmake%' AND c NOT LIKE '%--build%') THEN 'cmake' WHEN c LIKE '%srun%' OR c LIKE '%sbatch%' OR f_slurm THEN 'slurm'
         WHEN f_gcc OR {d.match('c', r'^(?:gcc|g\+\+|clang|cc|c\+\+)|(?:^| )(?:gcc|g\+\+|clang|clang\+\+|cc|c\+\+)(?: |$)')} THEN 'gcc'
         WHEN f_python_traceback THEN 'python_traceback' WHEN f_numerical_solver THEN 'numerical_solver' ELSE 'generic' END AS profile
-        FROM (SELECT run_id, lower(coalesce(max(command), '')) AS c, {flags} FROM {lines(d)} l GROUP BY run_id) g)"""
+        FROM (SELECT run_id, lower(coalesce(max(command), '')) AS c, {flags} FROM (SELECT *, lower(x) AS low FROM {lines(d)} l) t GROUP BY run_id) g)"""
 
 
 @book.sql
@@ -90,10 +99,13 @@ def log03_explicit_markers(d: Spark) -> str:
     return f"SELECT run_id, line_no, {W.trim(d, 'x')} AS message, CASE WHEN upper({d.ext('x', MARK, 1)}) = 'WARNING' THEN 'warning' ELSE 'error' END AS severity FROM {lines(d)} l WHERE {d.match('x', MARK)}"
 
 
+def failing(d: Spark, x: str, low: str) -> str:
+    return f"({any_of(low, 'error', 'exception', 'fatal', 'failed', 'failure')} AND {d.match(x, ERRORS)} AND {d.match(d.sub(x, ZERO, ''), ERRORS)})"
+
+
 def generic(d: Spark) -> str:
-    err = d.match(d.sub("x", ZERO, ""), ERRORS)
-    return f"""SELECT run_id, line_no, {W.trim(d, 'x')} AS message, CASE WHEN {err} AND coalesce(exit_code, 0) <> 0 THEN 'error' ELSE 'warning' END AS severity
-        FROM {lines(d)} l WHERE {err} OR {d.match('x', '(?i)' + chr(92) + 'bwarning' + chr(92) + 'b')}"""
+    return f"""SELECT run_id, line_no, {W.trim(d, 'x')} AS message, CASE WHEN err AND coalesce(exit_code, 0) <> 0 THEN 'error' ELSE 'warning' END AS severity
+        FROM (SELECT *, {failing(d, 'x', 'low')} AS err, contains(low, 'warning') AND {d.match('x', '(?i)' + chr(92) + 'bwarning' + chr(92) + 'b')} AS warns FROM (SELECT *, lower(x) AS low FROM {lines(d)} l) a) b WHERE err OR warns"""
 
 
 @book.sql
@@ -148,7 +160,7 @@ def contexts(d: Spark) -> str:
             CASE WHEN {d.match('s', req)} THEN {of(req)} WHEN {d.match('s', inc)} THEN {of(inc)} WHEN is_note THEN concat({d.ext('s', GCC, 1)}, ':', {d.ext('s', GCC, 2)}, CASE WHEN coalesce({d.ext('s', GCC, 3)}, '') <> '' THEN concat(':', {d.ext('s', GCC, 3)}) ELSE '' END) END AS loc,
             CASE WHEN {d.match('s', inc)} THEN 'include' ELSE 'instantiation' END AS kind
         FROM (SELECT run_id, line_no, s, {d.match('s', GCC)} AND {d.ext('s', GCC, 4)} <> 'note' AS is_ev, {d.match('s', GCC)} AND {d.ext('s', GCC, 4)} = 'note' AND {d.match('s', '(?i)requested here|required from|in instantiation of|instantiated from')} AS is_note
-            FROM (SELECT run_id, line_no, {W.trim(d, 'x')} AS s FROM {lines(d)} l WHERE {d.match('x', r':[0-9]+(?::[0-9]+)?:|included from|^\s*from ')}) a) b WHERE is_ev OR {d.match('s', req)} OR {d.match('s', inc)} OR is_note)"""
+            FROM (SELECT run_id, line_no, {W.trim(d, 'x')} AS s FROM (SELECT *, lower(x) AS low FROM {lines(d)} l) w WHERE {any_of('low', 'required ', 'nstantiat', 'requested here', 'included from', 'error:', 'warning:')} OR ltrim(x) LIKE 'from %') a) b WHERE is_ev OR {d.match('s', req)} OR {d.match('s', inc)} OR is_note)"""
     return f"""(SELECT run_id, next_ev AS ev, line_no, kind, file, loc FROM {since(d, k, True, next_ev='is_ev')} w WHERE loc IS NOT NULL AND NOT is_note AND next_ev IS NOT NULL
         UNION ALL SELECT run_id, last_ev, line_no, kind, file, loc FROM {since(d, k, last_ev='is_ev')} w WHERE is_note AND last_ev IS NOT NULL)"""
 
@@ -235,13 +247,14 @@ def log13_residual_trend(d: Spark) -> str:
 
 def events(d: Spark) -> str:
     """All events of all runs: diagnostics before keywords, markers last, one per line."""
-    s = W.trim(d, "x")
-    err = d.match(d.sub("x", ZERO, ""), ERRORS)
-    rank = f"""CASE WHEN ({d.match(s, GCC)} AND {d.ext(s, GCC, 4)} <> 'note') OR {d.match('x', LINKER)} THEN 1 WHEN {err} OR {d.match('x', r'(?i)\bwarning\b')} THEN 2 WHEN {d.match('x', MARK)} THEN 3 END"""
-    sev = f"""CASE WHEN {d.match(s, GCC)} THEN {d.ext(s, GCC, 4)} WHEN {d.match('x', LINKER)} THEN 'error' WHEN {err} THEN CASE WHEN coalesce(exit_code, 0) <> 0 THEN 'error' ELSE 'warning' END
-        WHEN {d.match('x', r'(?i)\bwarning\b')} THEN 'warning' WHEN upper({d.ext('x', MARK, 1)}) = 'WARNING' THEN 'warning' ELSE 'error' END"""
-    sig = f"CASE WHEN {d.match(s, GCC)} THEN concat({d.ext(s, GCC, 1)}, ': ', {W.normalise(d, d.ext(s, GCC, 5))}) ELSE {W.normalise(d, 'x')} END"
-    return f"(SELECT run_id, command, exit_code, line_no, {s} AS message, {sev} AS severity, {sig} AS signature, CASE WHEN {d.match(s, GCC)} THEN {d.ext(s, GCC, 1)} END AS file FROM (SELECT *, {rank} AS r FROM {lines(d)} l) k WHERE r IS NOT NULL)"
+    sev = f"""CASE WHEN gcc THEN {d.ext('s', GCC, 4)} WHEN link THEN 'error' WHEN err THEN CASE WHEN coalesce(exit_code, 0) <> 0 THEN 'error' ELSE 'warning' END
+        WHEN warns THEN 'warning' WHEN upper({d.ext('x', MARK, 1)}) = 'WARNING' THEN 'warning' ELSE 'error' END"""
+    sig = f"CASE WHEN gcc THEN concat({d.ext('s', GCC, 1)}, ': ', {W.normalise(d, d.ext('s', GCC, 5))}) ELSE {W.normalise(d, 'x')} END"
+    may = any_of("low", "error", "exception", "fatal", "failed", "failure", "warning", "undefined", "ld: symbol", "ld returned", "linker command")
+    flags = f"""{d.match('s', GCC)} AND {d.ext('s', GCC, 4)} <> 'note' AS gcc, {any_of('low', 'undefined', 'ld: symbol', 'ld returned', 'linker command')} AND {d.match('x', LINKER)} AS link, {failing(d, 'x', 'low')} AS err,
+        contains(low, 'warning') AND {d.match('x', r'(?i)\bwarning\b')} AS warns, {d.match('x', MARK)} AS marked"""
+    return f"""(SELECT run_id, command, exit_code, line_no, s AS message, {sev} AS severity, {sig} AS signature, CASE WHEN gcc THEN {d.ext('s', GCC, 1)} END AS file
+        FROM (SELECT *, {flags} FROM (SELECT *, {W.trim(d, 'x')} AS s FROM (SELECT *, lower(x) AS low FROM {lines(d)} l) a WHERE {may}) b) c WHERE gcc OR link OR err OR warns OR marked)"""
 
 
 @book.sql
