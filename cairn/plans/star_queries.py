@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from cairn.plans.dialect import Book, Spark
+from cairn.streaming.stateful import follow
+from cairn.streaming.windows import settle, windowed
+from cairn.tables import load
 
 book = Book()
 
@@ -153,3 +159,36 @@ def rel22_vectors(d: Spark) -> str:
 def rel23_daily_windows(d: Spark) -> str:
     """Events and value by day and type."""
     return f"SELECT {d.day('ts')} AS day, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY {d.day('ts')}, event_type"
+
+
+def _stream(spark: SparkSession, d: str) -> DataFrame:
+    return follow(spark, f"{d}/events.parquet", load(spark, d, "events").schema).select("event_type", "user_id", F.col("ts").cast("timestamp").alias("at"), "value")
+
+
+
+@book.frame("SELECT epoch_us(time_bucket(INTERVAL '1' DAY, ts)) AS started, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events WHERE ts IS NOT NULL GROUP BY ALL")
+def rel24_streamed_days(spark: SparkSession, d: str) -> DataFrame:
+    """Tumbling windows of a day over the event stream."""
+    w = windowed(_stream(spark, d), "at", ["event_type"], {"n": F.count("*"), "value": F.sum("value")}, "1 day")
+    return settle(spark, w, ["event_type"]).select(F.unix_micros("start").alias("started"), "event_type", "n", F.round("value", 4).alias("value"))
+
+
+@book.frame("SELECT epoch_us(s) AS started, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL '12' HOUR, ts), time_bucket(INTERVAL '12' HOUR, ts) - INTERVAL '12' HOUR]) AS s FROM events WHERE ts IS NOT NULL) t GROUP BY ALL")
+def rel25_streamed_sliding(spark: SparkSession, d: str) -> DataFrame:
+    """Sliding windows of a day every twelve hours over the event stream."""
+    w = windowed(_stream(spark, d), "at", ["event_type"], {"n": F.count("*")}, "24 hours", "12 hours")
+    return settle(spark, w, ["event_type"]).select(F.unix_micros("start").alias("started"), "event_type", "n")
+
+
+@book.frame("""SELECT user_id, epoch_us(min(ts)) AS started, count(*) AS n FROM (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM (
+    SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '6' HOUR THEN 0 ELSE 1 END AS fresh FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL) a) b GROUP BY user_id, s""")
+def rel26_streamed_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Session windows of users, parted by six hours of silence, over the event stream."""
+    w = windowed(_stream(spark, d).where("user_id is not null"), "at", ["user_id"], {"n": F.count("*")}, "6 hours", gap=True, late="400 days")
+    return settle(spark, w, ["user_id"], "complete").select("user_id", F.unix_micros("start").alias("started"), "n")
+
+
+@book.frame()
+def rel27_approximate(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct users and median by event type, by sketches with stated errors of 2 % and a thousandth of the rows."""
+    return load(spark, d, "events").groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.02).alias("users"), F.percentile_approx("value", 0.5, 1000).alias("median"))

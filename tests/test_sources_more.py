@@ -108,3 +108,37 @@ def test_consolidation(spark, tmp_path):
     assert sorted(kinds) == [("lot", "description_shorten", 1), ("lot", "duplicate_consolidation", 1), ("lot", "unnecessary_removal", 0), ("slight", "description_shorten", 1)]
     text = ask(spark, tmp_path, ["---\nname: a\ndescription: >\n  Old first. And more\n  lines\nkind: b\n---\nbody"], "rwr08_descriptions")
     assert text == [] or text[0].text.startswith("---\nname: a\ndescription: \"")
+
+
+def test_functions_in_sql(spark):
+    from cairn.functions.catalog import register
+
+    assert "cairn_longest_run" in register(spark)
+    got = spark.sql("""SELECT cairn_longest_run('walk the rows once', 'so walk the rows twice') AS a, cairn_section_category('See also') AS b, cairn_prints_much('make -j4') AS c, cairn_checklist_size(cast(NULL AS string)) AS d,
+        cairn_checklist_size('- [ ] a\n- [x] b\n- [ ] c') AS e, cairn_without_repeats('One two three four five six. One two three four five six.') AS f""").first()
+    assert tuple(got) == (3, "external_reference", True, None, 3, "One two three four five six.")
+
+
+def test_own_layout():
+    from cairn.functions import loglines
+
+    loglines.register_layout("own", ["<<"], r"<<(?P<l>[A-Z]+)>> (?P<t>\d{4}-\d\d-\d\d \d\d:\d\d:\d\d) (?P<c>\w+) (?P<m>.*)\Z")
+    try:
+        assert loglines.parse("<<ERROR>> 2026-01-02 03:04:05 pool no room", loglines.automaton()) == ("2026-01-02 03:04:05", "ERROR", "pool", "no room")
+    finally:
+        loglines.LAYOUTS.pop("own")
+        loglines._ORDER.remove("own")
+
+
+def test_late_rows_of_windows(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from cairn.streaming.stateful import follow
+    from cairn.streaming.windows import settle, windowed
+
+    where, root = str(tmp_path / "in"), f"file://{tmp_path}/w"
+    for part in (["2026-01-01 10:00:00", "2026-01-01 10:30:00", None], ["2026-01-03 09:00:00"], ["2026-01-01 10:40:00", "2026-01-03 09:30:00"]):
+        df = spark.createDataFrame([("k", x) for x in part], "k string, at string").select("k", F.col("at").cast("timestamp").alias("at"))
+        df.coalesce(1).write.mode("append").parquet(where)
+        got = settle(spark, windowed(follow(spark, where, df.schema), "at", ["k"], {"n": F.count("*")}, "1 hour", late="1 hour"), ["k"], root=root)
+    assert sorted(r.n for r in got.collect()) == [2, 2]  # the row of the first hour came after its window was over
