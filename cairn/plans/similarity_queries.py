@@ -285,7 +285,7 @@ def set05_07_note_upserts(d: Spark) -> str:
 
 
 @book.sql
-def set09_10_12_13_tiers(d: Spark) -> str:
+def set10_tiers(d: Spark) -> str:
     """Sources with the tier they come to by size, cold ones dropped, earlier marks carried over."""
     return f"""SELECT s.source, CASE WHEN s.n >= 60 THEN 'hot' ELSE 'warm' END AS tier, m.mix_id IS NOT NULL AS carried FROM (SELECT source, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY source) s
         LEFT JOIN (SELECT source, min(mix_id) AS mix_id FROM mix_targets GROUP BY source) m ON m.source = s.source WHERE s.n >= 10"""

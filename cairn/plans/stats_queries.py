@@ -99,7 +99,7 @@ def src21_attributed_tokens(d: Spark) -> str:
 
 
 @book.sql
-def src22_23_last_locations(d: Spark) -> str:
+def src22_last_locations(d: Spark) -> str:
     """The file that each session touched last."""
     p = r'"file_path": ?"([^"\\]+)"'
     return f"""SELECT session_id, path FROM (SELECT session_id, path, row_number() OVER (PARTITION BY session_id ORDER BY line_no DESC, line_id DESC) AS k
@@ -255,7 +255,7 @@ def win15_flt13_15_checks(d: Spark) -> str:
 
 
 @book.sql
-def flt10_11_16_card_states(d: Spark) -> str:
+def flt10_11_card_states(d: Spark) -> str:
     """Documents that call themselves obsolete, and whether they are newer than the runs' end."""
     return f"""SELECT doc_id, {d.match("coalesce(text, '')", r'(?i)\b(?:obsolete|deprecated|archived)\b')} AS obsolete, CASE WHEN added_at IS NULL THEN 'unknown' WHEN added_at >= (SELECT max(started_at) FROM runs) THEN 'current' ELSE 'stale' END AS state FROM documents"""
 

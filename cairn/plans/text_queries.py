@@ -130,11 +130,10 @@ def scl31_34_slugs(d: Spark) -> str:
 
 
 @book.sql
-def scl37_40_names(d: Spark) -> str:
-    """Package names, folder codes, clipped text and a version's parts, over parts and commands."""
-    clip = f"CASE WHEN length(c) > 12 THEN concat(rtrim(left(c, 11)), '…') ELSE c END"
-    return f"""SELECT p_partkey, {d.sub('lower(trim(p_name))', '[-_. ]+', '-')} AS package, {d.sub('p_type', '[^A-Za-z0-9]', '-')} AS folder, {clip} AS clipped
-        FROM (SELECT p_partkey, p_name, p_type, trim({d.sub('p_name', r'\s+', ' ')}) AS c FROM part) t"""
+def scl37_38_names(d: Spark) -> str:
+    """Package names brought to one form, and paths as one folder name, over parts and files."""
+    return f"""SELECT 'part' AS kind, cast(p_partkey AS VARCHAR(20)) AS id, {d.sub('lower(trim(p_name))', '[-_. ]+', '-')} AS package, {d.sub('p_type', '[^A-Za-z0-9]', '-')} AS folder FROM part
+        UNION ALL SELECT DISTINCT 'file', path, {d.sub('lower(trim(' + d.ext('path', '^([^/]+)/', 1) + '))', '[-_. ]+', '-')}, {d.sub('path', '[^A-Za-z0-9]', '-')} FROM source_files WHERE path IS NOT NULL"""
 
 
 @book.sql
