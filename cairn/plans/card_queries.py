@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from cairn.functions import words as W
-from cairn.plans.code_queries import imports
+from cairn.plans.code_queries import import_targets, imports
 from cairn.plans.dialect import Book, Spark
 
 book = Book()
@@ -78,11 +78,22 @@ def updates(d: Spark) -> str:
     return f"""(SELECT path, min(mtime) AS old_time, max(mtime) AS new_time, min_by({d.sha256('content')}, coalesce(mtime, TIMESTAMP '1970-01-01 00:00:00')) AS old_hash, max_by({d.sha256('content')}, coalesce(mtime, TIMESTAMP '1970-01-01 00:00:00')) AS new_hash, count(content) AS n FROM source_files WHERE path IS NOT NULL GROUP BY path)"""
 
 
+def refreshed(d: Spark) -> str:
+    return f"""(SELECT coalesce(f.path, s.path) AS path, CASE WHEN f.path IS NULL THEN 'removed' WHEN s.path IS NULL THEN 'added' WHEN f.old_time IS NOT DISTINCT FROM f.new_time THEN 'unchanged' WHEN f.old_hash IS NOT DISTINCT FROM f.new_hash THEN 'touched' ELSE 'changed' END AS state, coalesce(s.n, 0) AS n_symbols
+        FROM {updates(d)} f FULL OUTER JOIN (SELECT path, count(DISTINCT id) AS n FROM symbols WHERE path IS NOT NULL GROUP BY path) s ON s.path = f.path)"""
+
+
 @book.sql
 def str12_refresh(d: Spark) -> str:
     """Files by what a refresh of the index (the symbols) does with them: added, removed, parsed anew, or left as they are."""
-    return f"""SELECT coalesce(f.path, s.path) AS path, CASE WHEN f.path IS NULL THEN 'removed' WHEN s.path IS NULL THEN 'added' WHEN f.old_time IS NOT DISTINCT FROM f.new_time THEN 'unchanged' WHEN f.old_hash IS NOT DISTINCT FROM f.new_hash THEN 'touched' ELSE 'changed' END AS state, coalesce(s.n, 0) AS n_symbols
-        FROM {updates(d)} f FULL OUTER JOIN (SELECT path, count(DISTINCT id) AS n FROM symbols WHERE path IS NOT NULL GROUP BY path) s ON s.path = f.path"""
+    return f"SELECT path, state, n_symbols FROM {refreshed(d)} r"
+
+
+@book.sql
+def str13_reresolved(d: Spark) -> str:
+    """Imports looked up again by a refresh: of all files where the set of files changed, else of those parsed anew."""
+    return f"""WITH r AS (SELECT * FROM {refreshed(d)} r), a AS (SELECT count_if(state IN ('added', 'removed')) AS n FROM r)
+        SELECT i.path, i.module, i.target FROM ({import_targets(d)}) i JOIN r ON r.path = i.path CROSS JOIN a WHERE a.n > 0 OR r.state IN ('added', 'changed')"""
 
 
 @book.sql

@@ -122,9 +122,7 @@ def jon05_test_targets(d: Spark) -> str:
         UNION SELECT f.path, g.path FROM {files(d)} f JOIN {files(d)} g ON {d.sub(stem('f.path'), '^test_', '')} = {stem('g.path')} AND f.language = g.language WHERE f.kind = 'test' AND g.kind <> 'test'"""
 
 
-@book.sql
-def jon06_07_import_resolution(d: Spark) -> str:
-    """Import and include lines with the file of that name that shares the longest folder with the importer."""
+def import_targets(d: Spark) -> str:
     mod = d.ext("x", r'^(?:import|from) ([a-z_]+)|^#include "([a-z_]+)', 0)
     name = d.sub(mod, r'^(?:import |from |#include ")', "")
     stem = d.ext("f.path", r"([^/]+)\.\w+$", 1)
@@ -135,6 +133,12 @@ def jon06_07_import_resolution(d: Spark) -> str:
         SELECT i.path, i.module, k.target FROM i LEFT JOIN k ON k.path = i.path AND k.module = i.module AND k.k = 1"""
 
 
+@book.sql
+def jon06_07_import_resolution(d: Spark) -> str:
+    """Import and include lines with the file of that name that shares the longest folder with the importer."""
+    return import_targets(d)
+
+
 @book.sql
 def jon08_09_suffix_paths(d: Spark) -> str:
     """Paths that log lines name, joined to files of the same base name; the longest shared tail wins."""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import words as W
 from cairn.functions.checklists import draft
+from cairn.functions.formats import flat_yaml, json_items
 from cairn.functions.repeats import groups
 from cairn.functions.rewrite import consolidate, front_value, move_sections, requests
 from cairn.operators.selection import bootstrap_deltas
@@ -191,3 +192,25 @@ def set12_carry_over(spark: SparkSession, d: str) -> DataFrame:
     first = e.groupBy("user_id", "event_type").agg(F.min("seq").alias("first"))
     return e.join(first, ["user_id", "event_type"]).select("seq", "user_id", "event_type", F.when(F.col("seq") > F.col("first"), "again").otherwise("first").alias("state"))
 
+
+#: Keys that a spec has to have.
+REQUIRED = ("name", "description")
+
+
+@book.frame()
+def src30_31_specs(spark: SparkSession, d: str) -> DataFrame:
+    """Front blocks read as flat keys and values, and which required keys they lack."""
+    docs = _texts_of(spark, d).where(F.col("text").startswith("---\n")).select("doc_id", F.regexp_extract("text", r"(?s)\A---\n(.*?)\n---", 1).alias("block"))
+
+    def make(i: int, block: str) -> list[tuple]:
+        keys = flat_yaml(block)
+        return [(i, ",".join(sorted(keys)), ",".join(k for k in REQUIRED if not keys.get(k)))]
+
+    return rows_of(docs.where("block != ''"), make, "doc_id bigint, keys string, missing string")
+
+
+@book.frame("SELECT line_id, 1::BIGINT AS n FROM transcripts WHERE json_valid(message) AND json_type(message::JSON) <> 'ARRAY'")
+def src29_concatenated(spark: SparkSession, d: str) -> DataFrame:
+    """Items of JSON written one after another in each line, where it reads to the end: one of a whole message."""
+    m = load(spark, d, "transcripts").where("message is not null").select("line_id", "message")
+    return rows_of(m, lambda i, t: [(i, len(x))] if (x := json_items(t)) else [], "line_id bigint, n bigint")
