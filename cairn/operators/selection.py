@@ -115,9 +115,10 @@ def running_sum(rows: DataFrame, order: list[Column], size: str) -> DataFrame:
     ranges of the order, which are windowed by themselves; one row per range carries the sums
     before it, so no task holds more than a range.
 
-    Defined results: null sizes count 0; an empty input gives an empty result.
+    Defined results: null sizes count 0; an empty input gives an empty result; columns named
+    upto and total are replaced.
     """
-    cut, _ = written(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    cut, _ = written(rows.drop("upto", "total", "_part").repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
     n = F.coalesce(F.col(size).cast("bigint"), F.lit(0))
     parts = cut.groupBy("_part").agg(F.sum(n).alias("_own"))
     every = Window.orderBy("_part")  # one row per range

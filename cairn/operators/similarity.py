@@ -119,7 +119,11 @@ def repeated(briefs: DataFrame, threshold: float) -> DataFrame:
     ``briefs`` has session_id, o (order, unique), line_id and w (sorted distinct words).  Rows of the
     same words are one set, of which only the first row can be the first match, so a brief that
     is repeated any number of times is compared once.
+
+    Defined results: rows with a null session, order or word list, and rows without words, are like
+    none; other columns are not read; an empty input gives an empty result.
     """
+    briefs = briefs.select("session_id", "o", "line_id", "w").where("session_id is not null and o is not null and w is not null")
     same = F.xxhash64("session_id", F.array_join("w", " "))
     base, _ = written(briefs.withColumn("id", same), "briefs")
     sets = base.groupBy("id").agg(F.max("session_id").alias("scope"), F.max("w").alias("w"), F.min(F.struct("o", "line_id")).alias("first"))

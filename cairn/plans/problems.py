@@ -74,10 +74,7 @@ def p6_entries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_unplaced(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of runs that no entry or more than one spans, by whether they come before the first entry; and entries whose message isn't in their first line.
-
-    Every line from a run's first entry on lies in one entry: 0 rows of ``kind`` 'gap' and 'message'.
-    """
+    """Runs whose entries leave out a line after the first entry or span one twice ('gap'), and entries whose message isn't in their first line ('message'): no rows where all holds."""
     e = log_entries(load(spark, d, "log_lines"), load(spark, d, "runs"))
     lines = load(spark, d, "log_lines").where("run_id is not null and line_no is not null").groupBy("run_id", "line_no").agg(F.max("text").alias("text"))
     first = e.groupBy("run_id").agg(F.min("first_line").alias("a"), F.max("last_line").alias("b"), F.sum(F.col("last_line") - F.col("first_line") + 1).alias("n"))

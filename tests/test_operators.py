@@ -245,6 +245,8 @@ def test_running_sum(spark):
         want[k] = total
     assert {r.k: r.upto for r in got} == want and {r.total for r in got} == {total}
     assert running_sum(spark.createDataFrame([], "k int, n int"), [F.asc("k")], "n").count() == 0
+    odd = spark.createDataFrame([(1, 2, 9, 9, 9), (2, None, 9, 9, 9)], "k int, n int, upto int, total int, _part int")
+    assert sorted((r.k, r.upto, r.total) for r in running_sum(odd, [F.asc("k")], "n").collect()) == [(1, 2, 2), (2, 2, 2)]
 
 
 def test_groups_and_runs(spark):
@@ -292,6 +294,8 @@ def test_groups_and_runs(spark):
         if first:
             want[i] = (first[1], round(first[2], 6))
     assert got == want
+    odd = spark.createDataFrame([("s", 1, 1, ["a"], 5, 6), ("s", 2, 2, ["a"], 5, 6), ("s", 3, 3, None, 5, 6), ("s", 4, 4, [], 5, 6), (None, 5, 5, ["a"], 5, 6)], "session_id string, o bigint, line_id bigint, w array<string>, id int, m int")
+    assert [tuple(r) for r in repeated(odd, 0.6).collect()] == [(2, 1, 1.0)] and repeated(odd.limit(0), 0.6).count() == 0
 
 
 def test_scores_against_a_plain_sum():
