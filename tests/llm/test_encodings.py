@@ -65,3 +65,32 @@ def test_short_words_go_by_the_others(spark):
     alone = "ПО Х"  # looks like a swap of short words, but nothing else of its text does
     df = spark.createDataFrame([*((i, t) for i in range(1, 6)), (6, "он и по"), (7, alone), (10, bad)], "doc_id bigint, text string")
     assert {r.doc_id: r.restored for r in repair(df).collect()} == {10: t}
+
+
+def test_held_out_documents(spark):
+    """Clean documents of the tables, garbled whole under chains drawn at random beside their corpus: what is restored word for word."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    known = {r.doc_id for r in garbled(docs).select("doc_id").distinct().collect()}
+    rnd = random.Random(12)
+    clean = [r for r in docs.where("text is not null").orderBy("doc_id").collect() if r.doc_id not in known and sum(ord(c) > 127 for c in r.text) > 5 and "`" not in r.text]
+    chosen = rnd.sample(clean, 80)
+    chains = [("utf-8", "cp1252"), ("utf-8", "latin-1"), ("utf-8", "mac-roman"), ("utf-8", "cp437"), ("utf-8", "cp850"), ("utf-8", "cp1251"), ("utf-8", "koi8-r")]
+    held = []
+    for k, r in enumerate(chosen):
+        a, b = chains[k % len(chains)]
+        held.append((10**9 + k, sloppy(r.text.encode(a), b)))
+    rest = docs.where(~F.col("doc_id").isin([r.doc_id for r in chosen]))
+    got = {r.doc_id: r.restored for r in repair(rest.unionByName(spark.createDataFrame(held, "doc_id bigint, text string"))).collect()}
+    words = right = whole = 0
+    for (i, _), r in zip(held, chosen):
+        want = [w for w in r.text.split() if not w.isascii()]
+        have = set((got.get(i) or "").split())
+        words += len(want)
+        right += sum(w in have for w in want)
+        whole += got.get(i) == r.text
+    assert len(got) >= 80 and set(i for i, _ in held) <= set(got)
+    assert right >= 0.95 * words and whole >= 0.8 * len(held)
