@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from cairn.functions import words as W
 from cairn.plans.code_queries import import_targets, imports
 from cairn.plans.dialect import Book, Spark
 

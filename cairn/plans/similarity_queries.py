@@ -11,7 +11,7 @@ from cairn.functions import words as W
 from cairn.functions.repeats import groups, longest_run, word_sequence
 from cairn.operators.graph import cycle_links, distances
 from cairn.operators.similarity import contradictions, near_duplicates, repeated
-from cairn.plans.code_queries import files, imports, symbols
+from cairn.plans.code_queries import files, imports
 from cairn.plans.dialect import Book, Spark, ask, rows_of
 from cairn.plans.text_queries import texts
 from cairn.session import written

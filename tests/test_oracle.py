@@ -11,6 +11,21 @@ from cairn.plans import registry
 DATA = "/root/testdata/sf0.001"
 
 
+#: Queries without SQL; here they only run, and what they give is checked in the file named.
+CHECKED_ELSEWHERE = {
+    "test_log_entries.py": "p6_found p6_entries",
+    "test_nested.py": "p4_found p4_objects",
+    "test_functions.py": "scl40_list_ids src26_manifests str09_drafts txt25_27_48_str01_observations txt28_43_flt18_routing txt34_python_symbols txt35_37_cpp_symbols txt39_checklists rwr09_without_repeats src30_31_specs",
+    "test_operators.py": "mth13_bootstrap snk08_12_summary win09_13_set01_greedy_selection win09_13_15_top01_slices str07_streamed_briefs gra02_sentence_groups",
+    "test_sources_more.py": "rwr01_section_moves rwr02_07_consolidated rwr03_requests rwr08_descriptions",
+    "": "rel27_approximate",
+}
+
+
+def test_queries_without_sql_are_named():
+    assert set(registry.queries()) - set(registry.oracles()) == {n for x in CHECKED_ELSEWHERE.values() for n in x.split()}
+
+
 def norm(v):
     if v is None:
         return "NULL"
