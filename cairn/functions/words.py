@@ -5,6 +5,9 @@ Patterns are kept to what both Java's and RE2's engines read alike; word charact
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
 # Words left out of keywords, by operator.
 TASK_STOPWORDS = (
     "the a an in on of to for and or is are fix bug issue incorrect behavior when that this with error failing please need update change make "
@@ -174,6 +177,25 @@ def content_words(d, x: str) -> str:
     return d.sorted(d.distinct(d.map(kept, "t", fold)))
 
 
+#: What a text has that :func:`negated` holds for, and some that it doesn't hold for: one quick look.
+MAYBE_NEGATED = r"(?i)(?<![A-Za-z0-9])(?:" + "|".join(w.replace("'", "['’]") for w in FACT_NEGATIONS) + r")(?![A-Za-z])"
+_FACT_TOKEN, _NO_CONTENT = re.compile(r"[a-z0-9]+(?:'[a-z]+)?"), frozenset(FACT_STOPWORDS + FACT_NEGATIONS)
+
+
+@lru_cache(65_536)
+def _content(t: str) -> str:
+    if len(t) < 2 or t in _NO_CONTENT:
+        return ""
+    return t[:-1] if len(t) > 3 and t[-1] == "s" and t[-2] != "s" else t
+
+
+def content_word_set(x: str) -> set[str]:
+    """The words of :func:`content_words`, in Python."""
+    out = set(map(_content, _FACT_TOKEN.findall(x.lower().replace("’", "'"))))
+    out.discard("")
+    return out
+
+
 def note_words(d, x: str, plural: bool = False) -> str:
     kept = d.filter(d.all(f"lower({x})", r"[a-z0-9_]{3,}"), "t", f"NOT {d.has(d.strings(NOTE_STOPWORDS), 't')}")
     if plural:

@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.operators.graph import components
 from cairn.session import written
 
+#: Characters of the statements that are compared in one place.
+BLOCK = 8_000_000
+#: One in so many rows that have a word make its list a row of bytes.
+DENSE = 32
+
 
 def word_array(text: Column) -> Column:
     """Lower-case words: runs of letters and digits of any script."""
@@ -70,26 +80,112 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     return member.select("id", F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
 
 
-def contradictions(facts: DataFrame, threshold: float) -> DataFrame:
+def contradictions(facts: DataFrame, threshold: float, words: Callable[[str], set[str]] | None = None, sizes: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """(scope, denies, states, overlap): statements of a scope with opposite polarity whose words overlap.
 
-    ``facts`` has scope, s, neg and w (distinct words).  The few that deny are joined to
-    those that state by a rare word of their prefix within the scope; Jaccard is exact.
+    ``facts`` has scope, s, neg and w (distinct words); with ``words``, which gives those of a
+    statement, it needs no w.  ``sizes`` has scope and n, the characters of its statements or
+    more of them, and is counted where it isn't given.
+
+    Statements are shuffled once and pairs never: small scopes go into buckets of about
+    ``block`` characters; a scope above that is a grid, in which a statement that denies goes
+    into all blocks of its row and one that states into all of its column, so each pair meets
+    in one place.  There those that state are listed by word, and for each that denies the
+    shared words are counted over the lists of its own words.
+
+    Defined results: null scopes and polarities are dropped; a statement that repeats counts
+    once; one without words overlaps with none.
     """
-    base, _ = written(facts.where("size(w) > 0").select(F.xxhash64("scope", "s").alias("id"), "scope", "s", "neg", "w", F.size("w").alias("n")), "facts")
-    each = base.select("id", "scope", "neg", "n", F.explode("w").alias("x"))
-    df = each.groupBy("scope", "x").agg(F.count("*").alias("df"))
-    order = each.join(df, ["scope", "x"]).groupBy("id", "scope", "neg", "n").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("o"))
-    take = (F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1).cast("int")
-    pre = order.select("id", "scope", "neg", F.explode(F.slice("o", 1, take)).alias("p")).select("id", "scope", "neg", F.col("p.x").alias("x"))
-    a, b = pre.where("neg").select("scope", "x", F.col("id").alias("a")), pre.where("not neg").select("scope", "x", F.col("id").alias("b"))
-    cand = a.join(b, ["scope", "x"]).select("a", "b").distinct()
-    left = base.select(F.col("id").alias("a"), "scope", F.col("s").alias("denies"), F.col("w").alias("wa"))
-    right = base.select(F.col("id").alias("b"), F.col("s").alias("states"), F.col("w").alias("wb"))
-    both = cand.join(left, "a").join(right, "b")
-    shared = F.size(F.array_intersect("wa", "wb"))
-    overlap = shared / (F.size("wa") + F.size("wb") - shared)
-    return both.select("scope", "denies", "states", overlap.alias("exact")).where(F.col("exact") >= threshold).select("scope", "denies", "states", F.round("exact", 6).alias("overlap"))
+    facts = facts.select("scope", "s", "neg", *([] if words else ["w"])).where("scope is not null")
+    if sizes is None:
+        sizes = facts.groupBy("scope").agg(F.sum(F.coalesce(F.length("s"), F.lit(0)) + (F.lit(0) if words else 8 * F.size("w"))).alias("n"))
+    sizes, _ = written(sizes, "scope-sizes")
+    buckets = max(1, -(-int(sizes.agg(F.sum("n")).first()[0] or 0) // block))
+    # At most as many as the input has blocks.
+    large = sizes.where(F.col("n") > block).select("scope", F.ceil(F.col("n") / (8 * block)).cast("int").alias("rows"), F.ceil(F.col("n") / block).cast("int").alias("cols"))
+    row, col = F.pmod(F.xxhash64("s"), F.col("rows")).cast("int"), F.pmod(F.xxhash64("s"), F.col("cols")).cast("int")
+    spot = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    spots = (
+        F.when(F.col("cols").isNull(), F.array(spot(F.lit(0), F.lit(0))))
+        .when(F.col("neg"), F.transform(F.sequence(F.lit(0), F.col("cols") - 1), lambda j: spot(row, j)))
+        .otherwise(F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda i: spot(i, col)))
+    )
+    key = F.when(F.col("cols").isNull(), F.pmod(F.xxhash64("scope"), F.lit(buckets))).otherwise(F.xxhash64("scope"))
+    placed = facts.join(F.broadcast(large), "scope", "left").withColumn("k", key).withColumn("at", F.explode(spots)).drop("rows", "cols")
+    met = placed.select(*facts.columns, "k", "at.i", "at.j").repartition("k", "i", "j").dropDuplicates()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches).combine_chunks()
+        if t.num_rows == 0:
+            return
+        scope, s, neg = (t.column(c).combine_chunks() for c in ("scope", "s", "neg"))
+        if words is None:
+            w = t.column("w").combine_chunks()
+            n, flat = pc.fill_null(pc.list_value_length(w), 0).to_numpy(zero_copy_only=False), pc.fill_null(w.flatten(), "\0")
+        else:
+            sets = [words(x) if x is not None else () for x in s.to_pylist()]
+            n, flat = np.fromiter(map(len, sets), np.int64, len(sets)), pa.array([x for y in sets for x in y], pa.string())
+            del sets
+        for a, b, overlap in opposed(scope, neg, n.astype(np.int64), flat, threshold):
+            yield pa.RecordBatch.from_arrays([scope.take(a), s.take(a), s.take(b), pa.array(overlap, pa.float64())], names=["scope", "denies", "states", "exact"])
+
+    pairs = met.groupBy("k", "i", "j").applyInArrow(run, "scope string, denies string, states string, exact double")
+    return pairs.select("scope", "denies", "states", F.round("exact", 6).alias("overlap"))
+
+
+def opposed(scope: pa.Array, neg: pa.Array, n: np.ndarray, words: pa.Array, threshold: float, rows: int = 20_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows that deny, rows that state, overlap) of the pairs of one scope that overlap by ``threshold``, about ``rows`` pairs at a time.
+
+    Each row has the next ``n`` of ``words``.  Lists of words that many rows have are rows of bytes instead.
+    """
+    denies, states = (pc.fill_null(pc.equal(neg, x), False).to_numpy(zero_copy_only=False) for x in (True, False))
+    flat = words.dictionary_encode()
+    word = np.repeat(scope.dictionary_encode().indices.to_numpy().astype(np.int64), n) * len(flat.dictionary) + flat.indices.to_numpy()
+    by = np.repeat(denies, n)
+    known, mine = np.unique(word[by], return_inverse=True)
+    if not len(known):
+        return
+    other = np.repeat(states, n)
+    word, line = word[other], np.repeat(np.cumsum(states) - 1, n)[other]
+    place = np.minimum(np.searchsorted(known, word), len(known) - 1)
+    hit = known[place] == word
+    place, line = place[hit], line[hit]
+    line = line[np.argsort(place, kind="stable")]
+    a_rows, b_rows, nb = np.flatnonzero(denies), np.flatnonzero(states), n[states]
+    lists = np.split(line, np.cumsum(np.bincount(place, minlength=len(known)))[:-1])
+    dense: dict[int, np.ndarray] = {}
+    for k, x in enumerate(lists):
+        if len(x) * DENSE > len(b_rows):
+            dense[k] = np.zeros(len(b_rows), np.uint8)
+            dense[k][x] = 1
+    kind = np.uint8 if n[denies].max() < 256 else np.int64
+    shared = np.zeros(len(b_rows), kind)
+    least: dict[int, np.ndarray] = {}  # by words of the one that denies: shared words without which the other isn't alike
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    held, x = 0, 0
+    for a, na in zip(a_rows.tolist(), n[denies].tolist()):
+        if na not in least:
+            least[na] = np.clip(np.ceil(threshold / (1 + threshold) * (na + nb) - 1e-6), 1, np.iinfo(kind).max).astype(kind)
+        shared.fill(0)
+        for k in mine[x : x + na].tolist():
+            if k in dense:
+                shared += dense[k]
+            else:
+                shared[lists[k]] += 1
+        x += na
+        near = np.flatnonzero(shared >= least[na])
+        both = shared[near].astype(np.int64)
+        overlap = both / (na + nb[near] - both)
+        near, overlap = near[overlap >= threshold], overlap[overlap >= threshold]
+        for k in range(0, len(near), rows):
+            part = b_rows[near[k : k + rows]]
+            out.append((np.full(len(part), a), part, overlap[k : k + rows]))
+            held += len(part)
+            if held >= rows:
+                yield tuple(np.concatenate(y) for y in zip(*out))
+                out, held = [], 0
+    if out:
+        yield tuple(np.concatenate(y) for y in zip(*out))
 
 
 def overlapping(sets: DataFrame, threshold: float) -> DataFrame:

@@ -12,7 +12,7 @@ from cairn.functions.repeats import groups, longest_run, word_sequence
 from cairn.operators.graph import cycle_links, distances
 from cairn.operators.similarity import contradictions, near_duplicates, repeated
 from cairn.plans.code_queries import files, imports
-from cairn.plans.dialect import Book, Spark, ask, rows_of
+from cairn.plans.dialect import SPARK, Book, Spark, ask, rows_of
 from cairn.plans.text_queries import texts
 from cairn.session import written
 from cairn.tables import load
@@ -118,10 +118,25 @@ def statements(d: Spark) -> str:
     return f"""(SELECT scope, s, {W.negated(d, 's')} AS neg, {W.content_words(d, 's')} AS w FROM (SELECT DISTINCT coalesce(source, '') AS scope, s FROM (SELECT t.text, a.source FROM {texts(d)} t JOIN documents a ON a.doc_id = t.doc_id) q {d.unnest(W.sentences(d, 'text'), 's')}) u)"""
 
 
+#: Ids with several sources up to which they are sent to all executors.
+MOST_SENT = 100_000
+
+
 @book.frame(lambda d: f"""WITH f AS (SELECT * FROM {statements(d)} x) SELECT a.scope, a.s AS denies, b.s AS states, round({W.jaccard(d, 'a.w', 'b.w')}, 6) AS overlap FROM f a JOIN f b ON a.scope = b.scope AND a.neg AND NOT b.neg WHERE {W.jaccard(d, 'a.w', 'b.w')} >= 0.4""")
 def jon16_contradictions(spark: SparkSession, d: str) -> DataFrame:
-    """Statements of one scope that speak of the same with opposite polarity, words overlapping by 0.4."""
-    return contradictions(ask(spark, d, lambda x: f"SELECT * FROM {statements(x)} f"), 0.4)
+    """Statements of one scope that speak of the same with opposite polarity, words overlapping by 0.4.
+
+    A text stands under the sources of all documents of its id: those of ids with several are
+    looked up, so texts aren't shuffled.
+    """
+    docs = load(spark, d, "documents").where("doc_id is not null").select("doc_id", "text", F.coalesce("source", F.lit("")).alias("scope"))
+    several, _ = written(docs.groupBy("doc_id").agg(F.collect_set("scope").alias("scopes")).where("size(scopes) > 1"), "several-sources")
+    few = several.count() <= MOST_SENT
+    texts = docs.where("text is not null").join(F.broadcast(several) if few else several, "doc_id", "left").withColumn("scope", F.explode(F.coalesce("scopes", F.array("scope"))))
+    sizes = texts.groupBy("scope").agg(F.sum(F.length("text")).alias("n"))
+    said = texts.withColumn("text", F.expr("replace(text, chr(13), '')")).select("scope", F.explode(F.array_distinct(F.expr(W.sentences(SPARK, "text")))).alias("s"))
+    neg = F.expr(f"{SPARK.match('s', W.MAYBE_NEGATED)} AND {W.negated(SPARK, 's')}")
+    return contradictions(said.select("scope", "s", neg.alias("neg")), 0.4, W.content_word_set, sizes)
 
 
 #: Overlap of words from which a brief is denied, and from which it gets a hint.
