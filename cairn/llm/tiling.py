@@ -6,6 +6,7 @@ import heapq
 import math
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +21,10 @@ GAP = 12
 EDITS = 1 / 6
 #: Share of the weight of the stretch of the item that a passage covers which its matched tokens have at least.
 WEIGHT_SHARE = 0.65
+#: Seeds of one passage lie so far apart at least: it has 13 words that match, each a word of the text or an edit.
+SPAN = math.ceil((1 - EDITS / (1 - EDITS)) * math.ceil(PASSAGE_WORDS * (1 - EDITS)) - 0.5 / (1 - EDITS)) - MIN_TILE
+#: Pairs of a seed in a text and an item that are listed at a time.
+PAIRS = 4_000_000
 #: Share of an item's words from which on a beginning or end that another item has too makes them variants.
 VARIANT = 0.5
 
@@ -95,10 +100,7 @@ class Items:
         total = total or len(same)
         self.vocab = {w: k for k, w in enumerate(sorted(set().union(*same)), 1)}
         value = {w: math.log(1 + total / held.get(w, 1)) ** 3 for w in self.vocab}
-        #: A seed with such a token opens a comparison: one that no more items hold than the root of their number.
-        telling = (math.log(1 + total) / 2) ** 3
         self.items: list[Item] = []
-        self.openers: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for key, ids in same.items():
             toks, group, mask, g = [], [], [], 0
             cut = [s for s in _SENTENCE.split(texts[key]) if words(s)]
@@ -117,11 +119,10 @@ class Items:
             for p, h in enumerate(rolling(np.array(numbers, np.int64)).tolist()):
                 if h:
                     seeds[h].append(p)
-                    if max(weight[p : p + MIN_TILE]) >= telling:
-                        self.openers[h].append((len(self.items), p))
             self.items.append(Item(ids, numbers, group, weight, seeds))
         self.hashes = np.array(sorted(set().union(*(x.seeds for x in self.items))), np.int64)
-        self.opening = np.array(sorted(self.openers), np.int64)
+        #: The items that hold each seed, in order: number of the seed times the number of items, plus the item.
+        self.holders = np.sort(np.concatenate([np.searchsorted(self.hashes, np.array(sorted(x.seeds), np.int64)) * len(self.items) + k for k, x in enumerate(self.items)] or [self.hashes]))
 
 
 def _standing(text: str, standing: set[str]) -> tuple[int, int]:
@@ -244,12 +245,45 @@ def _near(h: np.ndarray, known: np.ndarray) -> np.ndarray:
     return np.flatnonzero((known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h) & (h > 0))
 
 
+def _chains(text: np.ndarray, at: np.ndarray, seed: np.ndarray, items: Items, low: int, high: int) -> Iterator[tuple[int, int, int, int]]:
+    """(text, item, first, last seed) of the runs of seeds with short gaps that are as long as a passage, for the items from ``low`` up to ``high``.
+
+    What is more than PAIRS is done in parts, of texts first and then of items.
+    """
+    n = len(items.items)
+    first = np.searchsorted(items.holders, seed * n + low)
+    count = np.searchsorted(items.holders, seed * n + high) - first
+    total = int(count.sum())
+    if total == 0:
+        return
+    if total > PAIRS and text[0] != text[-1]:
+        cut = int(np.searchsorted(text, text[len(text) // 2])) or int(np.searchsorted(text, text[0], "right"))
+        yield from _chains(text[:cut], at[:cut], seed[:cut], items, low, high)
+        yield from _chains(text[cut:], at[cut:], seed[cut:], items, low, high)
+        return
+    if total > PAIRS and high - low > 1:
+        cut = (low + high) // 2
+        yield from _chains(text, at, seed, items, low, cut)
+        yield from _chains(text, at, seed, items, cut, high)
+        return
+    nth = np.arange(total) - np.repeat(np.cumsum(count) - count - first, count)
+    pair = np.repeat(text, count) * n + items.holders[nth] % n
+    order = np.argsort(pair, kind="stable")
+    pair, where = pair[order], np.repeat(at, count)[order]
+    begin = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (np.diff(where) > MIN_TILE + GAP)]))
+    end = np.append(begin[1:], total) - 1
+    long = where[end] - where[begin] >= SPAN
+    pair, begin, end = pair[begin[long]], where[begin[long]], where[end[long]]
+    yield from zip((pair // n).tolist(), (pair % n).tolist(), begin.tolist(), end.tolist())
+
+
 def leaked(texts: list[str | None], items: Items) -> list[tuple[int, int, int, int]]:
     """(text number, number of the item in ``items``, words, edits) for the items that texts hold.
 
     The seeds of all texts are found by one rolling hash over their tokens laid end to end.
-    Seeds with a telling token open a comparison with the items that hold them; the stretch
-    of text around them, as long as a passage of the item can be, is then tiled with all seeds.
+    Any seeds of an item that lie as a passage's do open a comparison with it, however many
+    items hold them; the stretch of text around them, as long as a passage of the item can be,
+    is then tiled.
     """
     get = items.vocab.get
     flat: list[int] = []
@@ -262,25 +296,20 @@ def leaked(texts: list[str | None], items: Items) -> list[tuple[int, int, int, i
     starts.append(len(flat))
     h = rolling(np.array(flat, np.int64))
     at = _near(h, items.hashes)
-    first = _near(h, items.opening)
-    edge = np.array(starts)
-    by: dict[tuple[int, int], list[int]] = defaultdict(list)
-    for w, d in zip((np.searchsorted(edge, first, "right") - 1).tolist(), first.tolist()):
-        for k, _ in items.openers[int(h[d])]:
-            if (got := by[w, k])[-1:] != [d]:
-                got.append(d)
+    which = np.searchsorted(items.hashes, h[at])
+    by: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+    for w, k, first, last in _chains(np.searchsorted(np.array(starts), at, "right") - 1, at, which, items, 0, len(items.items)):
+        by[w, k].append((first, last))
     out = []
-    for (w, k), opened in by.items():
+    for (w, k), chains in by.items():
         item = items.items[k]
         reach = int(1.25 * len(item.ids)) + MIN_TILE + GAP
         best, upto = None, 0
-        for x, d in enumerate(opened):
-            if x and d - reach < upto:
-                upto = d + reach
-            else:
-                low = d - reach
-                upto = d + reach
-            if x + 1 < len(opened) and opened[x + 1] - reach < upto:
+        for x, (first, last) in enumerate(chains):
+            if not x or first - reach >= upto:
+                low = first - reach
+            upto = last + reach
+            if x + 1 < len(chains) and chains[x + 1][0] - reach < upto:
                 continue
             a, b = max(starts[w], low), min(starts[w + 1], upto + 1)
             near = at[np.searchsorted(at, a) : np.searchsorted(at, b)].tolist()

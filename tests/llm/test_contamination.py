@@ -3,7 +3,7 @@
 import random
 
 from cairn.llm.contamination import contamination
-from cairn.llm.tiling import Items, tiles, words
+from cairn.llm.tiling import Items, leaked, passage, tiles, words
 
 NAMES = [f"{a}_{b}" for a in ("walk", "fold", "rank", "trim", "load", "store", "drain", "merge") for b in ("grid", "leaf", "ring", "seed", "slot", "card", "note", "bed")]
 
@@ -117,3 +117,50 @@ def test_standing_edges():
     assert all_.items[0].ids[:4] == [0] * 4 and all(all_.items[0].ids[4:])
     ends = Items([(1, "Alpha one is here. Answer with one letter."), (2, "Delta three is not there. Answer with one letter.")])
     assert ends.items[0].ids[-4:] == [0] * 4 and all(ends.items[0].ids[:4])
+
+
+def test_items_of_words_that_all_items_hold(spark):
+    """No word tells items apart that hold the same words: they are found by the order of words, in whole and in passages."""
+    rnd = random.Random(9)
+    base = [f"{a}{b}" for a in ("ka", "lo", "mi", "tu", "se", "ra") for b in ("den", "fol", "gim", "hul", "jar", "kos")]
+    items = [(k, " ".join(rnd.sample(base, len(base)))) for k in range(40)]
+    docs, want = [], set()
+    for k in range(80):
+        i, t = items[rnd.randrange(40)]
+        ws = t.split()
+        a = rnd.randrange(len(ws) - 18)
+        body = (t, " ".join(ws[a : a + 18]), " ".join("really" if j % 9 == 4 else w for j, w in enumerate(ws)), " ".join(ws[a : a + 9]))[k % 4]
+        docs.append((k, f"So it goes on and on. {body} And nothing else is said."))
+        if k % 4 < 3:
+            want.add((k, i))
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    for block in (8_000_000, 3_000):
+        assert {(r.doc_id, r.item_id) for r in contamination(d, i, block_chars=block).collect()} == want
+
+
+def test_leaked_against_all_pairs(monkeypatch):
+    """What a text shares with every item, compared without a filter, also where the pairs are listed in parts."""
+    rnd = random.Random(10)
+    few = [f"w{k}" for k in range(30)]
+    block = Items([(k, " ".join(rnd.choice(few) for _ in range(rnd.randrange(5, 40)))) for k in range(25)])
+    texts = [None, ""]
+    for _ in range(120):
+        ids = [w for w, _ in sorted(block.vocab.items(), key=lambda x: x[1])]
+        a, b = (block.items[rnd.randrange(25)].ids for _ in range(2))
+        cut = rnd.randrange(len(a))
+        ws = [ids[x - 1] for x in a[cut:] + b[: rnd.randrange(len(b))] + a[:cut]]
+        texts.append(" ".join(rnd.choice([w, w, w, w, w, w, w, w, "x", f"{w} x"]) for w in ws))
+    want = set()
+    for w, t in enumerate(texts):
+        doc = [block.vocab.get(x, 0) for x in words(t or "")] + [0]
+        runs = {}
+        for p in range(len(doc) - 2):
+            runs.setdefault(tuple(doc[p : p + 3]), []).append(p)
+        for k, it in enumerate(block.items):
+            seeds = sorted((d, p) for p in range(len(it.ids) - 2) for d in runs.get(tuple(it.ids[p : p + 3]), ()))
+            if got := passage(doc, it, tiles(doc, it.ids, seeds)):
+                want.add((w, k, *got))
+    assert len(want) > 60
+    for most in (4_000_000, 200, 1):
+        monkeypatch.setattr("cairn.llm.tiling.PAIRS", most)
+        assert set(leaked(texts, block)) == want
