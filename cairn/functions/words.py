@@ -6,7 +6,6 @@ Patterns are kept to what both Java's and RE2's engines read alike; word charact
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 # Words left out of keywords, by operator.
 TASK_STOPWORDS = (
@@ -182,18 +181,22 @@ MAYBE_NEGATED = r"(?i)(?<![A-Za-z0-9])(?:" + "|".join(w.replace("'", "['’]") f
 _FACT_TOKEN, _NO_CONTENT = re.compile(r"[a-z0-9]+(?:'[a-z]+)?"), frozenset(FACT_STOPWORDS + FACT_NEGATIONS)
 
 
-@lru_cache(65_536)
-def _content(t: str) -> str:
-    if len(t) < 2 or t in _NO_CONTENT:
-        return ""
-    return t[:-1] if len(t) > 3 and t[-1] == "s" and t[-2] != "s" else t
+class ContentWords(dict):
+    """The words of :func:`content_words` in Python, as numbers from 0; by token, -1 for one that is no content word."""
 
+    def __init__(self) -> None:
+        self.numbers: dict[str, int] = {}
 
-def content_word_set(x: str) -> set[str]:
-    """The words of :func:`content_words`, in Python."""
-    out = set(map(_content, _FACT_TOKEN.findall(x.lower().replace("’", "'"))))
-    out.discard("")
-    return out
+    def __missing__(self, t: str) -> int:
+        w = "" if len(t) < 2 or t in _NO_CONTENT else t[:-1] if len(t) > 3 and t[-1] == "s" and t[-2] != "s" else t
+        self[t] = n = self.numbers.setdefault(w, len(self.numbers)) if w else -1
+        return n
+
+    def of(self, x: str) -> set[int]:
+        """The numbers of a text's words."""
+        out = set(map(self.__getitem__, _FACT_TOKEN.findall(x.lower().replace("’", "'"))))
+        out.discard(-1)
+        return out
 
 
 def note_words(d, x: str, plural: bool = False) -> str:

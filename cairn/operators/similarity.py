@@ -16,7 +16,9 @@ from cairn.session import written
 #: Characters of the statements that are compared in one place.
 BLOCK = 8_000_000
 #: One in so many rows that have a word make its list a row of bytes.
-DENSE = 32
+DENSE = 128
+#: Bytes that such rows take at most; what is more stays a list.
+DENSE_BYTES = 64_000_000
 
 
 def word_array(text: Column) -> Column:
@@ -80,11 +82,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     return member.select("id", F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
 
 
-def contradictions(facts: DataFrame, threshold: float, words: Callable[[str], set[str]] | None = None, sizes: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+def contradictions(facts: DataFrame, threshold: float, words: Callable[[], Callable[[str], set[int]]] | None = None, sizes: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """(scope, denies, states, overlap): statements of a scope with opposite polarity whose words overlap.
 
-    ``facts`` has scope, s, neg and w (distinct words); with ``words``, which gives those of a
-    statement, it needs no w.  ``sizes`` has scope and n, the characters of its statements or
+    ``facts`` has scope, s, neg and w (distinct words); it needs no w where a call of
+    ``words`` gives what numbers the words of a statement.  ``sizes`` has scope and n, the characters of its statements or
     more of them, and is counted where it isn't given.
 
     Statements are shuffled once and pairs never: small scopes go into buckets of about
@@ -121,26 +123,29 @@ def contradictions(facts: DataFrame, threshold: float, words: Callable[[str], se
         scope, s, neg = (t.column(c).combine_chunks() for c in ("scope", "s", "neg"))
         if words is None:
             w = t.column("w").combine_chunks()
-            n, flat = pc.fill_null(pc.list_value_length(w), 0).to_numpy(zero_copy_only=False), pc.fill_null(w.flatten(), "\0")
+            n, flat = pc.fill_null(pc.list_value_length(w), 0).to_numpy(zero_copy_only=False), pc.fill_null(w.flatten(), "\0").dictionary_encode().indices.to_numpy()
         else:
-            sets = [words(x) if x is not None else () for x in s.to_pylist()]
-            n, flat = np.fromiter(map(len, sets), np.int64, len(sets)), pa.array([x for y in sets for x in y], pa.string())
-            del sets
-        for a, b, overlap in opposed(scope, neg, n.astype(np.int64), flat, threshold):
+            of, sizes, every = words(), [], []
+            for x in s.to_pylist():
+                got = of(x) if x is not None else ()
+                sizes.append(len(got))
+                every += got
+            n, flat = np.array(sizes, np.int64), np.array(every, np.int64)
+            del sizes, every
+        for a, b, overlap in opposed(scope, neg, n.astype(np.int64), flat.astype(np.int64), threshold):
             yield pa.RecordBatch.from_arrays([scope.take(a), s.take(a), s.take(b), pa.array(overlap, pa.float64())], names=["scope", "denies", "states", "exact"])
 
     pairs = met.groupBy("k", "i", "j").applyInArrow(run, "scope string, denies string, states string, exact double")
     return pairs.select("scope", "denies", "states", F.round("exact", 6).alias("overlap"))
 
 
-def opposed(scope: pa.Array, neg: pa.Array, n: np.ndarray, words: pa.Array, threshold: float, rows: int = 20_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def opposed(scope: pa.Array, neg: pa.Array, n: np.ndarray, words: np.ndarray, threshold: float, rows: int = 20_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(rows that deny, rows that state, overlap) of the pairs of one scope that overlap by ``threshold``, about ``rows`` pairs at a time.
 
-    Each row has the next ``n`` of ``words``.  Lists of words that many rows have are rows of bytes instead.
+    Each row has the next ``n`` of ``words``, which are numbers.  Lists of words that many rows have are rows of bytes instead.
     """
     denies, states = (pc.fill_null(pc.equal(neg, x), False).to_numpy(zero_copy_only=False) for x in (True, False))
-    flat = words.dictionary_encode()
-    word = np.repeat(scope.dictionary_encode().indices.to_numpy().astype(np.int64), n) * len(flat.dictionary) + flat.indices.to_numpy()
+    word = np.repeat(scope.dictionary_encode().indices.to_numpy().astype(np.int64), n) * (words.max(initial=0) + 1) + words
     by = np.repeat(denies, n)
     known, mine = np.unique(word[by], return_inverse=True)
     if not len(known):
@@ -153,39 +158,54 @@ def opposed(scope: pa.Array, neg: pa.Array, n: np.ndarray, words: pa.Array, thre
     line = line[np.argsort(place, kind="stable")]
     a_rows, b_rows, nb = np.flatnonzero(denies), np.flatnonzero(states), n[states]
     lists = np.split(line, np.cumsum(np.bincount(place, minlength=len(known)))[:-1])
+    most = -(-len(b_rows) // 8) * 8
     dense: dict[int, np.ndarray] = {}
-    for k, x in enumerate(lists):
-        if len(x) * DENSE > len(b_rows):
-            dense[k] = np.zeros(len(b_rows), np.uint8)
-            dense[k][x] = 1
+    for k in sorted(range(len(lists)), key=lambda k: -len(lists[k]))[: DENSE_BYTES // max(1, most)]:
+        if len(lists[k]) * DENSE <= len(b_rows):
+            break
+        dense[k] = np.zeros(most, np.uint8)
+        dense[k][lists[k]] = 1
     kind = np.uint8 if n[denies].max() < 256 else np.int64
-    shared = np.zeros(len(b_rows), kind)
+    shared = np.zeros(most, kind)
     least: dict[int, np.ndarray] = {}  # by words of the one that denies: shared words without which the other isn't alike
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    held, x = 0, 0
-    for a, na in zip(a_rows.tolist(), n[denies].tolist()):
+    mine, at, held = mine.tolist(), 0, 0
+    out: list[tuple[int, np.ndarray, np.ndarray]] = []
+    for a, na in enumerate(n[denies].tolist()):
         if na not in least:
-            least[na] = np.clip(np.ceil(threshold / (1 + threshold) * (na + nb) - 1e-6), 1, np.iinfo(kind).max).astype(kind)
+            least[na] = np.full(most, np.iinfo(kind).max, kind)
+            least[na][: len(nb)] = np.clip(np.ceil(threshold / (1 + threshold) * (na + nb) - 1e-6), 1, np.iinfo(kind).max)
         shared.fill(0)
-        for k in mine[x : x + na].tolist():
+        for k in mine[at : at + na]:
             if k in dense:
                 shared += dense[k]
             else:
                 shared[lists[k]] += 1
-        x += na
-        near = np.flatnonzero(shared >= least[na])
-        both = shared[near].astype(np.int64)
-        overlap = both / (na + nb[near] - both)
-        near, overlap = near[overlap >= threshold], overlap[overlap >= threshold]
-        for k in range(0, len(near), rows):
-            part = b_rows[near[k : k + rows]]
-            out.append((np.full(len(part), a), part, overlap[k : k + rows]))
-            held += len(part)
+        at += na
+        enough = shared >= least[na]
+        eight = np.flatnonzero(enough.view(np.uint64))  # most rows have none: eight at a time
+        if len(eight):
+            near = (eight[:, None] * 8 + np.arange(8)).ravel()
+            near = near[enough[near]]
+            near = near[near < len(nb)]
+            out.append((a, near, shared[near]))
+            held += len(near)
             if held >= rows:
-                yield tuple(np.concatenate(y) for y in zip(*out))
+                yield from _alike(out, a_rows, b_rows, n, threshold, rows)
                 out, held = [], 0
-    if out:
-        yield tuple(np.concatenate(y) for y in zip(*out))
+    yield from _alike(out, a_rows, b_rows, n, threshold, rows)
+
+
+def _alike(found: list[tuple[int, np.ndarray, np.ndarray]], a_rows: np.ndarray, b_rows: np.ndarray, n: np.ndarray, threshold: float, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Those of the pairs found that overlap by ``threshold``."""
+    if not found:
+        return
+    a = np.repeat(a_rows[[x[0] for x in found]], [len(x[1]) for x in found])
+    b, both = b_rows[np.concatenate([x[1] for x in found])], np.concatenate([x[2] for x in found]).astype(np.int64)
+    overlap = both / (n[a] + n[b] - both)
+    keep = overlap >= threshold
+    a, b, overlap = a[keep], b[keep], overlap[keep]
+    for k in range(0, len(a), rows):
+        yield a[k : k + rows], b[k : k + rows], overlap[k : k + rows]
 
 
 def overlapping(sets: DataFrame, threshold: float) -> DataFrame:

@@ -136,7 +136,7 @@ def jon16_contradictions(spark: SparkSession, d: str) -> DataFrame:
     sizes = texts.groupBy("scope").agg(F.sum(F.length("text")).alias("n"))
     said = texts.withColumn("text", F.expr("replace(text, chr(13), '')")).select("scope", F.explode(F.array_distinct(F.expr(W.sentences(SPARK, "text")))).alias("s"))
     neg = F.expr(f"{SPARK.match('s', W.MAYBE_NEGATED)} AND {W.negated(SPARK, 's')}")
-    return contradictions(said.select("scope", "s", neg.alias("neg")), 0.4, W.content_word_set, sizes)
+    return contradictions(said.select("scope", "s", neg.alias("neg")), 0.4, lambda: W.ContentWords().of, sizes)
 
 
 #: Overlap of words from which a brief is denied, and from which it gets a hint.
